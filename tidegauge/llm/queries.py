@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import bpe, fingerprints, neardup, packing, substring, topk
+from tidegauge.llm import bpe, chat, fingerprints, neardup, packing, sharding, substring, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,40 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
+    chats = chat.read_back(chat.formatted(rows.unionByName(own)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        F.col("conversation_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP4_SQL = r"""
+with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+              union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, regexp_replace(replace(text, '\', '\\'), '<(\||/?s>|</?SYS>>)', '<\\\1', 'g') as half from rows),
+f as (select *, regexp_replace(half, '\[(/?INST\])', '[\\\1', 'g') as escaped from e)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length('<|turn|>' || role || '<|says|>' || escaped || '<|end|>'))::bigint as formatted_chars
+from f group by conv_id
+"""
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.interleave(table(spark, sf_dir, "documents"), 24)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", "law", F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.deduplicate(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -62,8 +96,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_topk_search, op3_near_duplicates, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op2_topk_search, op3_near_duplicates, op4_chat_format, op6_sharding, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": OP2_SQL}
+    return {"op2_topk_search": OP2_SQL, "op4_chat_format": OP4_SQL}
