@@ -6,8 +6,9 @@ linked with nothing. Two documents are linked if their sets' Jaccard similarity
 connected components of the links.
 
 How it scales: equal sets are one class from the start, so copies cost one row each. Buckets of equal band keys are never
-listed: each elects a leader by a partial minimum, members are compared with it, and components merge. Only pairs that
-share a bucket and are still in different components are compared one by one, with the rest of the bucket left out.
+listed: each elects a leader by a partial minimum, members are compared with it, and components merge; other leaders are
+drawn for what is left. Only members of buckets that still hold several components are compared pair by pair, in tiles of
+bounded size: a tile's signatures are compared look by look, and a pair becomes a row only if no look rules it out.
 Nothing is collected to the driver; every step that is read twice is checkpointed.
 
 What can be missed: a pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6, and is pruned with a
@@ -34,6 +35,8 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 #: Hashes compared at a look, and the posterior probability of similarity below which a pair is given up.
 LOOK, MISS = 32, 1e-7
+#: Members of a bucket on a side of a tile.
+TILE = 512
 #: Shingles hashed at a time, so that the work stays in a core's cache.
 _SLICE = 60_000
 _random = np.random.default_rng(7)
@@ -78,8 +81,8 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 sets = [shingles(t.as_py()) for t in batch.column(1)]
                 digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -129,13 +132,44 @@ def promising(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def crossing(members: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) within a band of ``members`` (band, id, component) that lie in different components and that no look
+    at their signatures rules out."""
+    looks = least_matches(threshold)
+
+    def tile(table: pa.Table) -> pa.Table:
+        ids, component, part = (table.column(c).to_numpy() for c in ("id", "component", "part"))
+        marks = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, BANDS * ROWS)
+        rows, columns = table.column("row")[0].as_py(), table.column("column")[0].as_py()
+        left, right = np.flatnonzero(part == rows), np.flatnonzero(part == columns)
+        open_ = component[left][:, None] != component[right][None, :]
+        if rows == columns:
+            open_ &= ids[left][:, None] < ids[right][None, :]
+        i, j = np.nonzero(open_)
+        matches, done = np.zeros(len(i), np.int64), 0
+        for n, least in looks:
+            for at in range(0, len(i), 100_000):
+                some = slice(at, at + 100_000)
+                matches[some] += (marks[left[i[some]], done:n] == marks[right[j[some]], done:n]).sum(axis=1)
+            alive = matches >= least
+            i, j, matches, done = i[alive], j[alive], matches[alive], n
+        a, b = ids[left[i]], ids[right[j]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    placed = members.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(signed, "id")
+    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiled = tiled.select("band", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("column"), "part", "id", "component", "signature")
+    return tiled.groupBy("band", "row", "column").applyInArrow(tile, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists([shingles(t.as_py()).view(np.int64) for t in batch.column(1)], pa.int64())], ["id", "set"])
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -161,28 +195,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     bucketed = checkpointed(banded.join(shared, "band"))  # only what shares a bucket
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return checkpointed(confirmed(checkpointed(promising(pairs, signed, percent / 100)), docs, key, text, percent))
+        return checkpointed(confirmed(pairs, docs, key, text, percent))
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    tried = checkpointed(bucketed.filter("id <> leader").select(*ordered("id", "leader")).distinct())
+    tried = checkpointed(promising(bucketed.filter("id <> leader").select(*ordered("id", "leader")).distinct(), signed, percent / 100))
     links = links_of(tried)
     found = components(links)
     many = bucketed.filter("members > 2").select("band", "id")
     for turn in (1, 2, 3):
         at = many.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
         mixed = at.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.col("id").bitwiseXOR(F.xxhash64("band", F.lit(turn)))).alias("drawn")).filter("least <> most")
-        open_ = checkpointed(at.join(mixed, "band").withColumn("leader", F.col("drawn").bitwiseXOR(F.xxhash64("band", F.lit(turn)))).select("band", "id", "component", "leader"))
-        if open_.isEmpty():
+        many = checkpointed(at.join(mixed, "band").withColumn("leader", F.col("drawn").bitwiseXOR(F.xxhash64("band", F.lit(turn)))).select("band", "id", "component", "leader"))
+        if many.isEmpty():
             break
         if turn < 3:  # another leader, drawn at random, merges most of what is left of a large bucket
-            heads = open_.filter("id = leader").select("band", F.col("component").alias("other")).distinct()
-            more = open_.join(heads, "band").filter("component <> other").select(*ordered("id", "leader"))
+            heads = many.filter("id = leader").select("band", F.col("component").alias("other")).distinct()
+            more = promising(many.join(heads, "band").filter("component <> other").select(*ordered("id", "leader")).distinct(), signed, percent / 100)
         else:
-            right = open_.select(F.col("band").alias("same"), F.col("id").alias("b"), F.col("component").alias("other"))
-            more = open_.join(right, (F.col("band") == F.col("same")) & (F.col("component") < F.col("other"))).select(*ordered("id", "b"))
-        new = checkpointed(more.distinct().join(tried, ["a", "b"], "left_anti"))
+            more = crossing(many.select("band", "id", "component"), signed, percent / 100).distinct()
+        new = checkpointed(more.join(tried, ["a", "b"], "left_anti"))
+        many = many.select("band", "id")
         if new.isEmpty():
             continue
         tried = checkpointed(tried.unionByName(new))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words are remembered with their hashes up to this many, then forgotten together; bounds a worker's memory.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
