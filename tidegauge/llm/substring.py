@@ -11,7 +11,8 @@ another chunk with a smaller id. Pass 3 removes the words.
 
 How it scales: the sketch has ``CELLS`` cells for each window, so its error does not grow with the data; it is never
 gathered in one place. A chunk sends a cell and a window once, however often it has them, so a passage that a third of
-all documents share costs each merging task one entry for each chunk. Answers return as one bit for each entry.
+all documents share costs each merging task one entry for each chunk. Answers return as one bit for each entry. The passes
+are one plan over one exchange of the texts, which Spark reuses.
 
 Defined results: a null or empty text has no words and loses none; windows are judged on the input, not on what is left;
 windows repeated only within one document stay; rows that share an id are the same document; a row without an id has no
@@ -21,46 +22,77 @@ are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.runtime import checkpointed, hash_words, rolling, shuffle_width, text_bytes
+from tidegauge.llm.runtime import hash_words, mixed, rolling, shuffle_width, text_bytes
 
 WINDOW = 13
 #: Bytes of text in a chunk, sketch cells for each window, rows of cells in the sketch, and entries a merging task gets.
 CHUNK_BYTES, CELLS, ROWS, RANGE_ENTRIES = 6_000_000, 8, 2, 3_000_000
 #: Bytes of a word and the space after it, about.
 WORD_BYTES = 6
-_SECOND = 0xD6E8FEB86659FD93
+_SECOND, _LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64((1 << 22) - 1)
 
 
 class Windows:
-    """The windows of a chunk's documents: distinct hashes in order, and each occurrence's place among them."""
+    """The windows of a chunk's documents: the hash and the first word of each occurrence, in order of the documents."""
 
     def __init__(self, table: pa.Table):
         self.ids = table.column("id").to_pylist()
         self.words = [(t.as_py() or b"").split() for t in table.column("text")]
-        hashes = [hash_words(w) for w in self.words]
-        first = [rolling(h, WINDOW) for h in hashes]
-        self.hash, self.where = np.unique(np.concatenate([np.empty(0, np.uint64), *first]), return_inverse=True)
-        self.document = np.repeat(np.arange(len(first)), [len(x) for x in first])
-        self.hashes = hashes
-
-    def second(self) -> np.ndarray:
-        """32 more bits of each distinct window's words, and the least id that it starts in."""
-        low = np.concatenate([np.empty(0, np.uint64), *[rolling(h, WINDOW, _SECOND) for h in self.hashes]])
-        more = np.empty(len(self.hash), np.uint32)
-        more[self.where] = (low >> np.uint64(32)).astype(np.uint32)
-        return more
-
-    def least(self) -> np.ndarray:
-        number = np.array([2**63 - 1 if i is None else i for i in self.ids], np.int64)
-        out = np.full(len(self.hash), 2**63 - 1, np.int64)
-        np.minimum.at(out, self.where, number[self.document]) if len(self.where) else None
-        return out
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        each = [hash_words(w) for w in self.words]
+        self.word_hashes = np.concatenate([np.empty(0, np.uint64), *each])
+        self.hash = np.concatenate([np.empty(0, np.uint64), *[rolling(h, WINDOW) for h in each]])
+        counts = np.maximum(self.sizes - WINDOW + 1, 0)
+        self.document = np.repeat(np.arange(len(each)), counts)
+        shift = np.cumsum(self.sizes) - self.sizes - (np.cumsum(counts) - counts)
+        self.start = np.arange(len(self.hash)) + shift[self.document]
+
+    def sketched(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The chunk's cells in a row of the sketch, ascending, and which of them it fills more than once."""
+        cells = np.sort(cells_of(self.hash, row, bits))
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
+        return cells[first], np.diff(first, append=len(cells)) > 1
+
+    def estimated(self, got: dict, ranges: int, bits: int) -> np.ndarray:
+        """The occurrences whose windows every row of the sketch counts more than once."""
+        chosen = np.arange(len(self.hash))
+        for row in range(ROWS):
+            cells, _ = self.sketched(row, bits)
+            at = split_points(cells, ranges, bits)
+            often = cells[np.concatenate([np.empty(0, bool), *[got[f"row{row}", int(r)] for r in np.flatnonzero(np.diff(at))]])]
+            if not len(often):
+                return np.empty(0, np.int64)
+            own = cells_of(self.hash[chosen], row, bits)
+            quick = np.zeros(1 << 22, bool)  # a table of the cells' low bits leaves few to look up in order
+            quick[often & _LOW] = True
+            near = np.flatnonzero(quick[own & _LOW])
+            own = own[near]
+            chosen = chosen[near[often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own]]
+        return chosen
+
+    def grouped(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chosen occurrences: the distinct windows' hashes, 32 more bits, the least ids they start in; and the
+        occurrences in that order with each one's window."""
+        more = np.zeros(len(chosen), np.uint64)
+        for k in range(WINDOW):
+            more = more * _SECOND + self.word_hashes[self.start[chosen] + k]
+        more = (mixed(more) >> np.uint64(32)).astype(np.uint32)
+        order = np.lexsort((more, self.hash[chosen]))
+        chosen, more = chosen[order], more[order]
+        hashes = self.hash[chosen]
+        first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1])])) if len(hashes) else np.empty(0, np.int64)
+        least = np.minimum.reduceat(self.numbers()[self.document[chosen]], first) if len(first) else np.empty(0, np.int64)
+        window = np.repeat(np.arange(len(first)), np.diff(first, append=len(hashes)))
+        return hashes[first], more[first], least, chosen, window
+
+    def numbers(self) -> np.ndarray:
+        return np.array([2**63 - 1 if i is None else i for i in self.ids], np.int64)
 
 
 def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -105,7 +137,7 @@ def answers(rows: pa.Table) -> dict[tuple[str, int], np.ndarray]:
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id, n_words, n_removed, kept (binary: the kept words joined by one space)."""
-    spark, width = docs.sparkSession, shuffle_width(docs)
+    width = shuffle_width(docs)
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), text_bytes(F.col(f"`{text}`")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).cast("long")).first()[0]
     windows = total // WORD_BYTES  # sizes the sketch and its ranges; results are right for any number
@@ -117,11 +149,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def mark(table: pa.Table) -> pa.Table:
         found, chunk, out = Windows(table), table.column("chunk")[0].as_py(), []
         for row in range(ROWS):
-            cells, times = np.unique(cells_of(found.hash, row, bits), return_counts=True)
-            repeats = np.bincount(found.where, minlength=len(found.hash)) > 1
-            again = np.zeros(len(cells), bool)
-            again[np.searchsorted(cells, cells_of(found.hash[repeats], row, bits))] = True
-            again |= times > 1
+            cells, again = found.sketched(row, bits)
             at = split_points(cells, ranges, bits)
             for r in np.flatnonzero(np.diff(at)):
                 part = slice(at[r], at[r + 1])
@@ -137,23 +165,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         often[where[again]] = True
         return pa.Table.from_pylist([{"chunk": r["chunk"], "kind": r["kind"], "range": r["range"], "bits": np.packbits(b).tobytes(), "entries": r["entries"]} for r, b in zip(rows, np.split(often[where], np.cumsum([len(c) for c in cells])[:-1]), strict=True)], answer_schema)
 
-    def estimated(found: Windows, got: dict) -> np.ndarray:
-        """The distinct windows that every row of the sketch counts more than once."""
-        out = np.ones(len(found.hash), bool)
-        for row in range(ROWS):
-            own = cells_of(found.hash, row, bits)
-            cells = np.unique(own)
-            at = split_points(cells, ranges, bits)
-            often = np.concatenate([np.empty(0, bool), *[got[f"row{row}", int(r)] for r in np.flatnonzero(np.diff(at))]])
-            out &= often[np.searchsorted(cells, own)] if len(own) else out
-        return out
-
     def offer(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_pylist([], exact_schema)
         found, out = Windows(table), []
-        chosen = estimated(found, answers(replies))
-        hashes, more, least = found.hash[chosen], found.second()[chosen], found.least()[chosen]
+        hashes, more, least, _, _ = found.grouped(found.estimated(answers(replies), ranges, bits))
         at = split_points(hashes, ranges, 64)
         for r in np.flatnonzero(np.diff(at)):
             part = slice(at[r], at[r + 1])
@@ -176,23 +192,19 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         if not table.num_rows:
             return pa.Table.from_pylist([], result_schema)
         found, got = Windows(table), answers(replies)
-        chosen = np.flatnonzero(estimated(found, got))
-        at = split_points(found.hash[chosen], ranges, 64)
-        elsewhere = np.zeros(len(found.hash), bool)
-        elsewhere[chosen] = np.concatenate([np.empty(0, bool), *[got["exact", int(r)] for r in np.flatnonzero(np.diff(at))]])
-        least, out, start = found.least(), [], 0
+        hashes, _, least, chosen, window = found.grouped(found.estimated(got, ranges, bits))
+        at = split_points(hashes, ranges, 64)
+        elsewhere = np.concatenate([np.empty(0, bool), *[got["exact", int(r)] for r in np.flatnonzero(np.diff(at))]])
+        known = np.array([i is not None for i in found.ids], bool)[found.document[chosen]]
+        gone = chosen[known & (elsewhere[window] | (least[window] < found.numbers()[found.document[chosen]]))]
+        size = len(found.word_hashes) + 1
+        lost = np.cumsum(np.bincount(found.start[gone], minlength=size) - np.bincount(found.start[gone] + WINDOW, minlength=size)) > 0
+        out, at_word = [], 0
         for i, words in zip(found.ids, found.words, strict=True):
-            n = max(0, len(words) - WINDOW + 1)
-            where = found.where[start : start + n]
-            start += n
-            gone = np.zeros(len(words) + 1, np.int64)
-            if n and i is not None:
-                begins = np.flatnonzero(elsewhere[where] | (least[where] < i))
-                np.add.at(gone, begins, 1)
-                np.add.at(gone, begins + WINDOW, -1)
-            lost = np.cumsum(gone)[: len(words)] > 0
-            kept = words if not lost.any() else [words[k] for k in np.flatnonzero(~lost)]
-            out.append((i, len(words), int(lost.sum()), b" ".join(kept)))
+            away = lost[at_word : at_word + len(words)]
+            at_word += len(words)
+            removed = int(away.sum())
+            out.append((i, len(words), removed, b" ".join(compress(words, (~away).tolist()) if removed else words)))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], schema=result_schema)
 
     sketch_schema = pa.schema([("range", pa.int32()), ("kind", pa.string()), ("chunk", pa.int32()), ("data", pa.binary()), ("more", pa.binary()), ("entries", pa.int32())])
@@ -203,7 +215,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     by_chunk = chunked.groupBy("chunk")
     marked = by_chunk.applyInArrow(mark, "range int, kind string, chunk int, data binary, more binary, entries int")
-    often = checkpointed(marked.groupBy("range", "kind").applyInArrow(merge, answer))
+    often = marked.groupBy("range", "kind").applyInArrow(merge, answer)
     offered = by_chunk.cogroup(often.groupBy("chunk")).applyInArrow(offer, "range int, chunk int, data binary, more binary, least binary, entries int")
-    exact = checkpointed(offered.groupBy("range").applyInArrow(group, answer))
+    exact = offered.groupBy("range").applyInArrow(group, answer)
     return by_chunk.cogroup(often.unionByName(exact).groupBy("chunk")).applyInArrow(remove, "id long, n_words long, n_removed long, kept binary")
