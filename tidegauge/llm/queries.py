@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import bpe, chat, fingerprints, html, neardup, packing, sharding, substring, topk
+from tidegauge.llm import bpe, chat, fingerprints, html, neardup, packing, sharding, substring, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_: str = "id") -> Column:
+    return F.crc32(F.col(id_).cast("string").cast("binary")) % 5 == 0
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out()).withColumnRenamed("id", "doc_id")
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).withColumnRenamed("id", "vec_id")
 
@@ -101,7 +109,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_topk_search, op3_near_duplicates, op4_chat_format, op5_html_extraction, op6_sharding, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_near_duplicates, op4_chat_format, op5_html_extraction, op6_sharding, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
