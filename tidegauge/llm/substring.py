@@ -22,6 +22,7 @@ are not read.
 
 from __future__ import annotations
 
+import re
 from itertools import compress
 
 import numpy as np
@@ -35,6 +36,7 @@ WINDOW = 13
 CHUNK_BYTES, CELLS, ROWS, RANGE_ENTRIES = 6_000_000, 8, 2, 3_000_000
 #: Bytes of a word and the space after it, about.
 WORD_BYTES = 6
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SECOND, _LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64((1 << 22) - 1)
 
 
@@ -130,13 +132,21 @@ def split_points(sorted_values: np.ndarray, ranges: int, bits: int) -> np.ndarra
     return np.concatenate([[0], np.searchsorted(sorted_values, edges), [len(sorted_values)]])
 
 
+def left_of(text: bytes, away: np.ndarray) -> bytes:
+    """A text without the words marked; each run of words that stay keeps its white space, runs are joined by a space."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], away, [True]]).astype(np.int8)))
+    return b" ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def answers(rows: pa.Table) -> dict[tuple[str, int], np.ndarray]:
     """The bits that came back to a chunk, by what was asked (a row of the sketch, or the exact groups) and range."""
     return {(r["kind"], r["range"]): np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["entries"]).astype(bool) for r in rows.to_pylist()}
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: id, n_words, n_removed, kept (binary: the kept words joined by one space)."""
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """A row for each row of ``docs``: id, n_words, n_removed, kept (binary: the kept words joined by one space); with
+    ``with_text`` also text: what is left of the text with its own white space, or all of it if nothing goes."""
     width = shuffle_width(docs)
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), text_bytes(F.col(f"`{text}`")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).cast("long")).first()[0]
@@ -205,12 +215,15 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             at_word += len(words)
             removed = int(away.sum())
             out.append((i, len(words), removed, b" ".join(compress(words, (~away).tolist()) if removed else words)))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], schema=result_schema)
+            if with_text:
+                whole = table.column("text")[len(out) - 1].as_py()
+                out[-1] += ((left_of(whole, away) if removed else whole or b"").decode(),)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), result_schema.types, strict=True)], schema=result_schema)
 
     sketch_schema = pa.schema([("range", pa.int32()), ("kind", pa.string()), ("chunk", pa.int32()), ("data", pa.binary()), ("more", pa.binary()), ("entries", pa.int32())])
     answer_schema = pa.schema([("chunk", pa.int32()), ("kind", pa.string()), ("range", pa.int32()), ("bits", pa.binary()), ("entries", pa.int32())])
     exact_schema = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("data", pa.binary()), ("more", pa.binary()), ("least", pa.binary()), ("entries", pa.int32())])
-    result_schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
+    result_schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), *[("text", pa.string())] * with_text])
     answer = "chunk int, kind string, range int, bits binary, entries int"
 
     by_chunk = chunked.groupBy("chunk")
@@ -218,4 +231,4 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     often = marked.groupBy("range", "kind").applyInArrow(merge, answer)
     offered = by_chunk.cogroup(often.groupBy("chunk")).applyInArrow(offer, "range int, chunk int, data binary, more binary, least binary, entries int")
     exact = offered.groupBy("range").applyInArrow(group, answer)
-    return by_chunk.cogroup(often.unionByName(exact).groupBy("chunk")).applyInArrow(remove, "id long, n_words long, n_removed long, kept binary")
+    return by_chunk.cogroup(often.unionByName(exact).groupBy("chunk")).applyInArrow(remove, "id long, n_words long, n_removed long, kept binary" + ", text string" * with_text)

@@ -161,21 +161,22 @@ def learned_lexicon(labelled: DataFrame) -> dict[str, float]:
     return {r["term"]: r["odds"] for r in best}
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", carry: bool = False) -> DataFrame:
     """A row for each row of ``docs``: id, held_out, score from 0 to 1, predicted (1 from a score of 0.5).
 
-    Labels of rows where ``held_out`` (of column id) is true are not learned from.
+    With ``carry`` also row: a struct of the columns of ``docs``. Labels of rows where ``held_out`` (of column id) is true are not learned from.
     """
-    plain_docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    extra = ["id", *["row"] * carry]
+    plain_docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry)
     marks = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).filter("label in (0, 1) and id is not null")
     draw = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(6 << 20))
     sample = marks.filter(~F.coalesce(held_out, F.lit(False))).groupBy("id").agg(F.max("label").alias("label")).withColumn("draw", draw).orderBy("draw", "id").limit(TRAIN_ROWS)
-    known = checkpointed(plain_docs.join(F.broadcast(sample), "id").withColumn("part", F.pmod("draw", F.lit(6))))  # TRAIN_ROWS rows at most
+    known = checkpointed(plain_docs.select("id", "text").join(F.broadcast(sample), "id").withColumn("part", F.pmod("draw", F.lit(6))))  # TRAIN_ROWS rows at most
     half = F.col("part") % 2
     lexicon = learned_lexicon(known)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = checkpointed(featured(known.filter(half == 0), learned_lexicon(known.filter(half == 1)), ["id", "label", "part"]).unionByName(featured(known.filter(half == 1), learned_lexicon(known.filter(half == 0)), ["id", "label", "part"])))
-    scored = featured(plain_docs, lexicon, ["id"])
+    scored = featured(plain_docs, lexicon, extra)
     seen = train.groupBy((F.col("part") > 3).alias("calibrates")).agg(F.sum("label").alias("ones"), F.count("*").alias("rows")).collect()
     enough = {r["calibrates"] for r in seen if 0 < r["ones"] < r["rows"]}
     if enough == {False, True}:
@@ -183,8 +184,8 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_
         model = trees.fit(assembler.transform(train.filter("part < 4").repartition(1)))
         raised = lambda df: model.transform(assembler.transform(df)).withColumn("raw", vector_to_array("rawPrediction")[1])
         calibrated = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raised(train.filter("part > 3")).select("raw", F.col("label").cast("double").alias("label")))
-        out = calibrated.transform(raised(scored)).select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
+        out = calibrated.transform(raised(scored)).select(*extra, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
     else:
         ones, rows = sum(r["ones"] for r in seen), sum(r["rows"] for r in seen)
-        out = scored.select("id", F.lit(ones / rows if rows else 0.0).alias("score"))
-    return out.select("id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        out = scored.select(*extra, F.lit(ones / rows if rows else 0.0).alias("score"))
+    return out.select(*extra, F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
