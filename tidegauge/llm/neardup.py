@@ -8,7 +8,8 @@ connected components of the links.
 How it scales: equal sets are one class from the start, so copies cost one row each. Buckets of equal band keys are never
 listed: each elects a leader by a partial minimum, members are compared with it, and components merge; other leaders are
 drawn for what is left. Only members of buckets that still hold several components are compared pair by pair, in tiles of
-bounded size: a tile's signatures are compared look by look, and a pair becomes a row only if no look rules it out.
+bounded size. There a pair becomes a row only if neither the number of shingles that its documents have in common with
+any other member, nor a look at its signatures, rules it out.
 Nothing is collected to the driver; every step that is read twice is checkpointed.
 
 What can be missed: a pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6, and is pruned with a
@@ -21,7 +22,7 @@ without an id are kept, in no component; an empty table gives an empty table; ot
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,15 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 #: Hashes compared at a look, and the posterior probability of similarity below which a pair is given up.
 LOOK, MISS = 32, 1e-7
+#: Further hashes, of one byte each, compared within the tiles; their looks get longer.
+FURTHER, FURTHER_LOOKS = 512, (64, 128, 256, 512)
 #: Members of a bucket on a side of a tile.
 TILE = 512
 #: Shingles hashed at a time, so that the work stays in a core's cache.
 _SLICE = 60_000
 _random = np.random.default_rng(7)
-_XOR = _random.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32)
-_ODD = _random.integers(1, 2**32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1)
+_XOR = _random.integers(1, 2**32, BANDS * ROWS + FURTHER, dtype=np.uint32)
+_ODD = _random.integers(1, 2**32, (2, BANDS * ROWS + FURTHER), dtype=np.uint32) | np.uint32(1)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -55,9 +58,9 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(rolling(hashes, WORDS))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash signatures, a row for each set; sets must not be empty."""
-    out = np.empty((len(sets), BANDS * ROWS), np.uint32)
+def signatures(sets: list[np.ndarray], first: int = 0, count: int = BANDS * ROWS) -> np.ndarray:
+    """MinHash signatures by ``count`` hash functions, a row for each set; sets must not be empty."""
+    out = np.empty((len(sets), count), np.uint32)
     at = 0
     while at < len(sets):
         to, n = at, 0
@@ -67,11 +70,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         flat = np.concatenate(sets[at:to])
         low = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
         starts = np.cumsum([0, *map(len, sets[at : to - 1])])
-        for k in range(BANDS * ROWS):
+        for k in range(first, first + count):
             x = (low ^ _XOR[k]) * _ODD[0, k]
             x ^= x >> np.uint32(16)
             x *= _ODD[1, k]
-            out[at:to, k] = np.minimum.reduceat(x, starts)
+            out[at:to, k - first] = np.minimum.reduceat(x, starts)
         at = to
     return out
 
@@ -98,13 +101,13 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     return plain.mapInArrow(run, "id long, n_shingles long, set_hi long, set_lo long, signature array<int>")
 
 
-def least_matches(threshold: float) -> list[tuple[int, int]]:
+def least_matches(threshold: float, looks: Iterable[int] = range(LOOK, BANDS * ROWS + 1, LOOK)) -> list[tuple[int, int]]:
     """After n compared hashes, the matches below which P(similarity >= threshold | matches) < MISS, from a uniform prior.
 
     The posterior is Beta(m + 1, n - m + 1), whose upper tail is a binomial sum.
     """
     out = []
-    for n in range(LOOK, BANDS * ROWS + 1, LOOK):
+    for n in looks:
         tail, m = 0.0, 0
         for m in range(n + 2):
             tail += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -132,17 +135,31 @@ def promising(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def crossing(members: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) within a band of ``members`` (band, id, component) that lie in different components and that no look
-    at their signatures rules out."""
-    looks = least_matches(threshold)
+def described(members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """For each id of ``members``: size; common, its shingles that some other member's set has too; marks, FURTHER bytes
+    of more MinHashes. Bytes agree by chance once in 256, which rules out less, never more."""
+    sets = checkpointed(sets_of(members.select("id").distinct(), docs, key, text, FURTHER).dropDuplicates(["id"]))
+    spread = sets.select("id", F.explode("set").alias("shingle"))
+    held = spread.groupBy("shingle").agg(F.min("id").alias("only"), F.count("*").alias("holders"))
+    alone = held.filter("holders = 1").groupBy(F.col("only").alias("id")).agg(F.count("*").alias("own"))
+    sizes = sets.select("id", F.size("set").alias("size"), "marks")
+    return sizes.join(alone, "id", "left").select("id", "size", "marks", (F.col("size") - F.coalesce("own", F.lit(0))).cast("int").alias("common"))
+
+
+def crossing(members: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within a band of ``members`` (band, id, component) that lie in different components and that neither
+    their sizes and common shingles nor a look at their signatures rule out."""
+    looks = least_matches(percent / 100, FURTHER_LOOKS)
 
     def tile(table: pa.Table) -> pa.Table:
         ids, component, part = (table.column(c).to_numpy() for c in ("id", "component", "part"))
-        marks = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, BANDS * ROWS)
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, FURTHER)
         rows, columns = table.column("row")[0].as_py(), table.column("column")[0].as_py()
         left, right = np.flatnonzero(part == rows), np.flatnonzero(part == columns)
+        size, common = (table.column(c).to_numpy().astype(np.int64) for c in ("size", "common"))
         open_ = component[left][:, None] != component[right][None, :]
+        # an intersection has at most the common shingles of either, and must reach its share of the union
+        open_ &= (100 + percent) * np.minimum(common[left][:, None], common[right][None, :]) >= percent * (size[left][:, None] + size[right][None, :])
         if rows == columns:
             open_ &= ids[left][:, None] < ids[right][None, :]
         i, j = np.nonzero(open_)
@@ -157,24 +174,31 @@ def crossing(members: DataFrame, signed: DataFrame, threshold: float) -> DataFra
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    placed = members.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(signed, "id")
+    placed = members.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(counted, "id")
     tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiled = tiled.select("band", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("column"), "part", "id", "component", "signature")
+    tiled = tiled.select("band", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("column"), "part", "id", "component", "size", "common", "marks")
     return tiled.groupBy("band", "row", "column").applyInArrow(tile, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
+def sets_of(ids: DataFrame, docs: DataFrame, key: str, text: str, further: int = 0) -> DataFrame:
+    """(id, set, marks: a byte of each of ``further`` more MinHashes) of the documents with these ids; their texts are read again, so that no set is kept for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists([shingles(t.as_py()).view(np.int64) for t in batch.column(1)], pa.int64())], ["id", "set"])
+                sets = [shingles(t.as_py()) for t in batch.column(1)]
+                marks = [m.astype(np.uint8).tobytes() for m in signatures(sets, BANDS * ROWS, further)] if further and sets else [b""] * len(sets)
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists([x.view(np.int64) for x in sets], pa.int64()), pa.array(marks, pa.binary())], ["id", "set", "marks"])
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), text_bytes(F.col(f"`{text}`")).alias("text"))
-    sets = plain.join(ids, "id", "left_semi").mapInArrow(run, "id long, set array<long>")
+    return plain.join(ids, "id", "left_semi").mapInArrow(run, "id long, set array<long>, marks binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = sets_of(ids, docs, key, text)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("s", "t")).cast("long").alias("common"), (F.size("s") + F.size("t")).cast("long").alias("total"))
     return common.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))).select("a", "b")
@@ -214,7 +238,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
             heads = many.filter("id = leader").select("band", F.col("component").alias("other")).distinct()
             more = promising(many.join(heads, "band").filter("component <> other").select(*ordered("id", "leader")).distinct(), signed, percent / 100)
         else:
-            more = crossing(many.select("band", "id", "component"), signed, percent / 100).distinct()
+            members = many.select("band", "id", "component")
+            more = crossing(members, described(members, docs, key, text), percent).distinct()
         new = checkpointed(more.join(tried, ["a", "b"], "left_anti"))
         many = many.select("band", "id")
         if new.isEmpty():
