@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from tidegauge.functions.expr import ratio
 
-C = Window.partitionBy("kind", "as_of")
+
+def cross_section() -> WindowSpec:
+    return Window.partitionBy("kind", "as_of")
 
 
 def fused(metrics: DataFrame, flows: DataFrame) -> DataFrame:
@@ -31,9 +33,9 @@ def fused(metrics: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def relative_strength(metrics: DataFrame) -> DataFrame:
-    return metrics.withColumns({f"rs_{k}d": F.col(f"ret_{k}d") - F.median(f"ret_{k}d").over(C) for k in (5, 10)})
+    return metrics.withColumns({f"rs_{k}d": F.col(f"ret_{k}d") - F.median(f"ret_{k}d").over(cross_section()) for k in (5, 10)})
 
 
 def amount_share(metrics: DataFrame) -> DataFrame:
     amount = F.greatest(F.coalesce("snapshot_amount", "last_amount") if "snapshot_amount" in metrics.columns else F.col("last_amount"), F.lit(0.0))
-    return metrics.withColumn("amount_share", ratio(amount, F.sum(amount).over(C)))
+    return metrics.withColumn("amount_share", ratio(amount, F.sum(amount).over(cross_section())))

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidegauge.functions.expr import clipped, ratio
 
 #: Bars a board needs before it has metrics.
 LEAST_BARS = 12
-W = Window.partitionBy("kind", "code").orderBy("date")
 
 
-def last(n: int, back: int = 0):
-    return W.rowsBetween(1 - n - back, -back)
+def board() -> WindowSpec:
+    return Window.partitionBy("kind", "code").orderBy("date")
+
+
+def last(n: int, back: int = 0) -> WindowSpec:
+    return board().rowsBetween(1 - n - back, -back)
 
 
 def returns(k: int) -> Column:
-    base = F.lag("close", k).over(W)
+    base = F.lag("close", k).over(board())
     return F.when(base > 0, (F.col("close") / base - 1) * 100)
 
 
@@ -36,7 +39,7 @@ def bar_metrics(bars: DataFrame) -> DataFrame:
     """``bars`` with about forty features, for rows from the 12th bar of a board on. Bars without a close are dropped."""
     high, low = F.coalesce("high", "close"), F.coalesce("low", "close")
     rows = bars.filter(F.col("close").isNotNull() & F.col("date").isNotNull())
-    base = rows.withColumn("n", F.row_number().over(W)).withColumn("ln_close", F.when(F.col("close") > 0, F.log("close"))).withColumn("r", F.when(F.lag("close").over(W) != 0, F.col("close") / F.lag("close").over(W) - 1))
+    base = rows.withColumn("n", F.row_number().over(board())).withColumn("ln_close", F.when(F.col("close") > 0, F.log("close"))).withColumn("r", F.when(F.lag("close").over(board()) != 0, F.col("close") / F.lag("close").over(board()) - 1))
     span = F.col("high") - F.col("low")
     flow = F.when(F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("amount").isNotNull(), F.coalesce(clipped(ratio(2 * F.col("close") - F.col("high") - F.col("low"), span), -1, 1), F.lit(0.0)))
     base = base.withColumn("multiplier", flow)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidegauge.functions.expr import at_least, clipped, holds, last_label, percentile_rank, ramp
 
@@ -42,9 +42,7 @@ def flow_signals(rows: DataFrame) -> DataFrame:
     return rows.withColumns(out)
 
 
-def _over(by):
-    from pyspark.sql import Window
-
+def _over(by: tuple[str, ...]) -> WindowSpec:
     return Window.partitionBy(*by)
 
 
