@@ -10,7 +10,7 @@ from pyspark.sql import Column, Window, functions as F
 def settled(x: Column | str, digits: int = 6) -> Column:
     """Rounds for output; the cut lies just off the decimal halves, so that the last bit of a sum does not decide."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.floor(x * 10.0**digits + 0.50000123) / 10.0**digits
+    return F.floor(x * 10.0**digits + 0.500123) / 10.0**digits
 
 
 def number(text: Column) -> Column:

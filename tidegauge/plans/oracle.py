@@ -9,7 +9,7 @@ from tidegauge.plans.panel import PERIOD
 
 
 def settled(x: str) -> str:
-    return f"floor(({x}) * 1000000.0 + 0.50000123) / 1000000.0"
+    return f"floor(({x}) * 1000000.0 + 0.500123) / 1000000.0"
 
 
 def listed(doubles: Sequence[str] = (), plain: Sequence[str] = (), counts: Sequence[str] = ()) -> str:
@@ -76,7 +76,7 @@ FEATURES = {
 }
 METRICS = f"""{BARS},
 logged as (select *, row_number() over w as n, case when close > 0 then ln(close) end as ln_close, case when lag(close) over w <> 0 then close / lag(close) over w - 1 end as r,
-           coalesce(greatest(-1, least(1, (2 * close - high - low) / nullif(high - low, 0))), 0) as multiplier from bars window w as (partition by kind, code order by date)),
+           case when high = low then 0 else greatest(-1, least(1, (2 * close - high - low) / (high - low))) end as multiplier from bars window w as (partition by kind, code order by date)),
 panel as (select kind, code, date as as_of, up_count, down_count, n as history_days, close as last_close, amount as last_amount, {", ".join(f"{e} as {k}" for k, e in FEATURES.items())}
           from logged window w as (partition by kind, code order by date)),
 metrics as (select *, up_count / nullif(up_count + down_count, 0) as breadth from panel where history_days >= 12)"""
@@ -191,7 +191,8 @@ dated as (select board, date, max(members) as members, count(r_close) as availab
 levels as (select *, available >= least(3, members) as valid, exp(sum(case when available >= least(3, members) and r_close > -1 then ln(1 + r_close) else 0 end) over (partition by board order by date rows unbounded preceding)) * 100 as close from dated),
 chained as (select *, coalesce(lag(close) over (partition by board order by date), 100) as previous from levels),
 synthetic as (select board, date, previous * (1 + r_open) as open, greatest(previous * (1 + r_open), previous * (1 + r_high), close) as high, least(previous * (1 + r_open), previous * (1 + r_low), close) as low, close, amount, volume, turnover,
-              available as constituent_count, available / members as synthetic_coverage from chained where valid)"""
+              available as constituent_count, available / members as synthetic_coverage from chained where valid),
+log_index as (select *, ln(open) as ln_open, ln(high) as ln_high, ln(low) as ln_low, ln(close) as ln_close from synthetic)"""
 
 REPORTS = """
 quarters as (select l_suppkey, year(l_shipdate) as y, quarter(l_shipdate) as q, sum(l_extendedprice * (1 - l_discount)) as revenue, sum(l_extendedprice * (0.055::double - l_discount)) as net_profit, sum(l_extendedprice * (l_tax - 0.02::double)) as ocf,

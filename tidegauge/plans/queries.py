@@ -115,7 +115,10 @@ def _top_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.top_views(rows, {"mainline": (F.lit(True), "mainline_score"), "seed": (F.col("sideways_seed_score") > 0, "sideways_seed_score"), "ignition": (F.col("ignition_score") >= 50, "ignition_score")}, 20)
 
 
-_LAST = ", ".join(f"select '{v}' as view, * from (select row_number() over (order by {s} desc nulls last, kind, code) as place, kind, code, {s} as score from first_pass where as_of = (select max(as_of) from first_pass) and {c}) where place <= 20" for v, s, c in (("mainline", "mainline_score", "true"), ("seed", "sideways_seed_score", "sideways_seed_score > 0"), ("ignition", "ignition_score", "ignition_score >= 50"))).replace(", select 'seed'", " union all select 'seed'").replace(", select 'ignition'", " union all select 'ignition'")
+_VIEWS = (("mainline", "mainline_score", "true"), ("seed", "sideways_seed_score", "sideways_seed_score > 0"), ("ignition", "ignition_score", "ignition_score >= 50"))
+_LAST = " union all ".join(
+    f"select '{v}' as view, * from (select row_number() over (order by {s} desc nulls last, kind, code) as place, kind, code, {s} as score from first_pass where as_of = (select max(as_of) from first_pass) and {c}) where place <= 20" for v, s, c in _VIEWS
+)
 add("top_views", _top_boards, ["view", "place", "kind", "code", "score"], f"with {sql.FIRST.strip()}, views as ({_LAST}) select view, place::bigint as place, kind, code, {sql.settled('score')} as score from views")
 
 
@@ -157,7 +160,14 @@ add("future_pairs", lambda s, d: backtest.future_pairs(adapters.snapshots(s, d))
 
 # synthetic indexes, waterfalls, names -----------------------------------------------------------------------------
 
-add("synthetic_index", lambda s, d: synthetic.index(adapters.constituents(s, d), adapters.stock_bars(s, d)), ["board", "date", *OHLC, "constituent_count", "synthetic_coverage"], sql.query(sql.SYNTHETIC, "synthetic", sql.listed([*OHLC, "synthetic_coverage"], ["board", "date::varchar as date"], ["constituent_count"])))
+def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months compound to large levels, so prices are shown as logarithms."""
+    rows = synthetic.index(adapters.constituents(spark, sf_dir), adapters.stock_bars(spark, sf_dir))
+    return rows.withColumns({f"ln_{c}": F.log(c) for c in OHLC[:4]})
+
+
+_INDEX = [*[f"ln_{c}" for c in OHLC[:4]], *OHLC[4:], "synthetic_coverage"]
+add("synthetic_index", _synthetic, ["board", "date", *_INDEX, "constituent_count"], sql.query(sql.SYNTHETIC, "log_index", sql.listed(_INDEX, ["board", "date::varchar as date"], ["constituent_count"])))
 
 
 def _waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
