@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.operators import canonical, flows, fundamentals, metrics, scoring, trajectory
@@ -11,6 +13,14 @@ from tidegauge.sources import adapters
 PERIOD = "19970930"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once to the shared folder named by spark.checkpoint.dir (a temporary one only where none is set)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
 def metric_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.bar_metrics(adapters.bars(spark, sf_dir))
 
@@ -29,8 +39,11 @@ def first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores and labels with each board's change since the earlier cross-sections; the first pass's scores give the change."""
-    first = first_pass(spark, sf_dir)
+    """Scores and labels with each board's change since the earlier cross-sections; the first pass's scores give the change.
+
+    The first pass is read five times (itself, its calendar and three references), so it is written once.
+    """
+    first = cut(first_pass(spark, sf_dir))
     stored = first.select(F.col("as_of").cast("timestamp").alias("captured_at"), F.col("as_of").alias("snapshot_date"), "kind", "code", *trajectory.VALUES)
     moved = trajectory.deltas(stored).select(F.col("snapshot_date").alias("as_of"), "kind", "code", "ref_intraday", "ref_1d", "ref_3d", *scoring.TRAJECTORY)
     present = {c: F.col(f"ref_{c.rsplit('_', 1)[1]}").isNotNull() for c in scoring.TRAJECTORY}
