@@ -168,3 +168,12 @@ def test_packing(spark, documents):
     for _, rows in found.groupby("sequence_id"):
         rows = rows.sort_values("offset")
         assert rows.offset.tolist() == [0, *rows.length.cumsum().tolist()[:-1]] and rows.length.sum() <= 2048
+
+
+def test_toxicity_accuracy_on_held_out_rows(spark):
+    """Labels that were not learned from, on the table with enough of them."""
+    data = "/root/testdata/sf0.1"
+    found = queries.op1_toxicity(spark, data).filter("held_out").toPandas().merge(pd.read_parquet(f"{data}/labels.parquet"), on="doc_id")
+    ones, zeros = (found.score[found.toxic == k].to_numpy() for k in (1, 0))
+    area = (ones[:, None] > zeros).mean() + (ones[:, None] == zeros).mean() / 2
+    assert area > 0.95 and (ones >= 0.5).mean() > 0.8 and (zeros >= 0.5).mean() < 0.03
