@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.functions import expr
 from tidegauge.operators import backtest, canonical, fundamentals, history, synthetic, trajectory, views
-from tidegauge.plans import oracle as sql, panel
+from tidegauge.plans import appraisal, oracle as sql, panel
 from tidegauge.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +221,28 @@ stats as (select *, q[3] as median, q[1] as q10, q[2] as q25, q[3] as q50, q[4]
 add("history_stats", lambda s, d: history.stats(adapters.stock_bars(s, d).withColumnRenamed("stock_code", "code"), "code", "close", "date"), ["code", "status", "points", "last_date", *_STATS], sql.query(_HISTORY, "stats", sql.listed(_STATS, ["code", "status", "last_date::varchar as last_date"], ["points"])))
 
 
+def _last_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stock's last close beside its own history, and a model value (1.1 of that close) drawn to the median."""
+    rows = adapters.stock_bars(spark, sf_dir).withColumnRenamed("stock_code", "code")
+    last = rows.groupBy("code").agg(F.max_by("close", "date").alias("last_close"))
+    both = history.stats(rows, "code", "close", "date").join(last, "code")
+    value, weight = history.shrunk(1.1 * F.col("last_close"), F.col("status"), F.col("median"), F.col("effective_points"), F.col("confidence"))
+    return both.select("code", "last_close", history.robust_z(F.col("last_close"), F.col("median"), F.col("mad")).alias("robust_z"), value.alias("shrunk_value"), weight.alias("history_weight"))
+
+
+_LAST = f"""{_HISTORY},
+lasting as (select code, max_by(close, date) as last_close from prepared group by code),
+weighed as (select *, case when status = 'OK' and median > 0 then effective_points / (effective_points + 60) * confidence else 0 end as history_weight from stats join lasting using (code)),
+against as (select *, case when 1.4826::double * mad > 1e-12 then (last_close - median) / (1.4826::double * mad) end as robust_z, exp((1 - history_weight) * ln(1.1::double * last_close) + history_weight * ln(median)) as shrunk_value from weighed)"""
+for _name, _columns in {"robust_z": ["last_close", "robust_z"], "shrinkage": ["shrunk_value", "history_weight"]}.items():
+    add(_name, _last_against_history, ["code", *_columns], sql.query(_LAST, "against", sql.listed(_columns, ["code"])))
+
+# fair values ------------------------------------------------------------------------------------------------------
+
+for _entry in appraisal.ENTRIES:
+    add(*_entry)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
