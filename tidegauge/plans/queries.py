@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.functions import expr
 from tidegauge.operators import backtest, canonical, fundamentals, history, synthetic, trajectory, views
-from tidegauge.plans import appraisal, auditing, oracle as sql, panel
+from tidegauge.plans import appraisal, auditing, oracle as sql, panel, policy
 from tidegauge.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,9 +237,9 @@ against as (select *, case when 1.4826::double * mad > 1e-12 then (last_close -
 for _name, _columns in {"robust_z": ["last_close", "robust_z"], "shrinkage": ["shrunk_value", "history_weight"]}.items():
     add(_name, _last_against_history, ["code", *_columns], sql.query(_LAST, "against", sql.listed(_columns, ["code"])))
 
-# fair values and the audit ----------------------------------------------------------------------------------------
+# fair values, the audit and the policy ----------------------------------------------------------------------------------------
 
-for _entry in [*appraisal.ENTRIES, *auditing.ENTRIES]:
+for _entry in [*appraisal.ENTRIES, *auditing.ENTRIES, *policy.entries(_HISTORY)]:
     add(*_entry)
 
 
