@@ -49,3 +49,15 @@ def test_differencing(spark):
     got = sorted((r.id, r.text) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     want = [(i, t[3:-4]) for i, t in enumerate(own)] + [(9, "a null url"), (10, "alone"), (0, own[0][3:-4])]
     assert got == sorted(want)
+
+
+def test_differencing_of_marked_articles(spark):
+    """Lines that every article of a site repeats go; quoted ones and copies stay, and so does text that outweighs its article."""
+    body = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(8)]
+    lines = [[b, "Read more on our site", *(["quoted by two"] if i in (2, 3) else [])] for i, b in enumerate(body)]
+    page = "<main>{}</main>".format
+    rows = [(i, f"https://one.example/news/{i}", page("".join(f"<p>{t}</p>" for t in x))) for i, x in enumerate(lines)] + [(20, "https://one.example/news/0", page(f"<p>{body[0]}</p><p>Read more on our site</p>"))]
+    rows += [(30, "https://two.example/a", f"<article><p>teaser</p></article><div>{body[0]}</div>"), (31, "https://three.example/a", f"<div>menu</div><article><p>{body[1]}</p></article>")]
+    got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "\n\n".join(t for t in x if t != "Read more on our site") for i, x in enumerate(lines)} | {20: body[0], 30: f"teaser\n\n{body[0]}", 31: body[1]}
+    assert got == want

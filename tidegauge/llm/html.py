@@ -2,11 +2,11 @@
 
 A page is read into text lines, one for each block. Lines inside menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments (by element, role or class) are furniture. If the page marks an article (``article``, ``main``),
-the text is its other lines. If it marks none, any line may still be furniture that only its repetition tells: the page is
+the text is its other lines, and its unmarked lines too where they outweigh the article. Any of these lines may still be furniture that only its repetition tells: the page is
 paired with the page of the same host whose URL path is nearest, their lines are aligned by a longest common
 subsequence, and shared lines are deleted. A pair that shares most of its text is two copies of one article, not two
-pages of one template; the next nearest page is taken then. Lines of a marked article are never deleted so: articles that
-quote or copy each other would lose their text.
+pages of one template; the next nearest page is taken then. Articles quote each other, so a marked line is deleted only
+if the alignments with each of the ``WITNESSES`` nearest unlike articles of the host share it.
 
 How it scales: pages meet in groups of one host, of about ``GROUP`` pages; larger hosts are split by a hash of the page,
 so each group still holds pages of that template, and the nearest page of the group is taken.
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 #: Pages of a host that are compared with each other; hosts looked up by broadcast at most; the share of a page's text
 #: above which a pair counts as copies.
 GROUP, BROADCAST_HOSTS, COPY_SHARE = 400, 20_000, 0.5
+#: Unlike articles that must all have a marked article's line before it counts as the site's.
+WITNESSES = 3
 
 ARTICLE, FURNITURE, LOOSE = 0, 1, 2
 
@@ -185,16 +187,47 @@ def nearness(a: str, b: str) -> tuple[int, int]:
     return steps, characters
 
 
+def outward(place: int, paths: list[str]) -> Iterator[int]:
+    """The other places of the sorted ``paths``, the nearest path first."""
+    left, right = place - 1, place + 1
+    while left >= 0 or right < len(paths):
+        if right >= len(paths) or (left >= 0 and nearness(paths[place], paths[left]) >= nearness(paths[place], paths[right])):
+            yield left
+            left -= 1
+        else:
+            yield right
+            right += 1
+
+
+def overlap(mine: list[str], theirs: set[str]) -> float:
+    """The share of the characters of ``mine`` whose lines are in ``theirs``."""
+    return sum(len(t) for t in mine if t in theirs) / (sum(map(len, mine)) or 1)
+
+
+def repeated(place: int, paths: list[str], texts: list[list[str]], sets: list[set[str]]) -> set[int]:
+    """Positions of a marked article's lines that each of the ``WITNESSES`` nearest articles unlike it has too."""
+    mine = texts[place]
+    gone, seen = set(range(len(mine))), 0
+    for j in outward(place, paths):
+        if not texts[j] or overlap(mine, sets[j]) > COPY_SHARE:
+            continue
+        gone &= set(shared(mine, texts[j])) if gone and not sets[j].isdisjoint(mine) else set()
+        seen += 1
+        if not gone or seen == WITNESSES:
+            break
+    return gone if seen == WITNESSES else set()
+
+
 def differenced(pages: list[tuple[str, list[tuple[int, str]]]]) -> list[list[str]]:
     """The text lines of each page (path, lines) of one group."""
     order = sorted(range(len(pages)), key=lambda i: pages[i][0])
     compared = {i: [t for z, t in pages[i][1] if z == LOOSE] for i in order}
+    paths = [pages[i][0] for i in order]
+    articles = [[t for z, t in pages[i][1] if z == ARTICLE] for i in order]
+    sets = [set(a) for a in articles]
     out: list[list[str]] = [[] for _ in pages]
     for place, i in enumerate(order):
         path, own = pages[i]
-        if any(z == ARTICLE for z, _ in own):
-            out[i] = [t for z, t in own if z == ARTICLE]
-            continue
         mine = compared[i]
         near = sorted((order[p] for p in (place - 2, place - 1, place + 1, place + 2) if 0 <= p < len(order)), key=lambda j: nearness(path, pages[j][0]), reverse=True)
         gone: set[int] = set()
@@ -204,10 +237,21 @@ def differenced(pages: list[tuple[str, list[tuple[int, str]]]]) -> list[list[str
             if common and sum(len(mine[k]) for k in common) <= COPY_SHARE * whole:
                 gone = set(common)
                 break
-        out[i] = [t for k, t in enumerate(mine) if k not in gone]
+        out[i] = kept(own, {LOOSE: gone, ARTICLE: repeated(place, paths, articles, sets) if articles[place] else set()})
     return out
 
 
+def kept(own: list[tuple[int, str]], gone: dict[int, set[int]]) -> list[str]:
+    """A page's lines without those gone by zone; a marked page's unmarked lines count only if they outweigh its article."""
+    left, at = [], {LOOSE: 0, ARTICLE: 0}
+    for z, t in own:
+        if at[z] not in gone[z]:
+            left.append((z, t))
+        at[z] += 1
+    size = {zone: sum(len(t) for z, t in left if z == zone) for zone in at}
+    return [t for z, t in left if z == ARTICLE or not at[ARTICLE] or size[LOOSE] > size[ARTICLE]]
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """A row for each page: id, url, text (its lines joined by two newlines)."""
     plain = pages.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{markup}`").alias("html"))
