@@ -61,3 +61,14 @@ def test_differencing_of_marked_articles(spark):
     got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {i: "\n\n".join(t for t in x if t != "Read more on our site") for i, x in enumerate(lines)} | {20: body[0], 30: f"teaser\n\n{body[0]}", 31: body[1]}
     assert got == want
+
+
+def test_cut_hosts(spark, monkeypatch):
+    """A host of many groups gives the texts of an uncut one: each section's own notice goes, wherever the host is cut."""
+    body = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(300)]
+    rows = [(i, f"https://one.example/s{i // 3:03d}/{i}", f"<div>notice of section {i // 3}</div><p>{b}</p>") for i, b in enumerate(body)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    monkeypatch.setattr(html, "GROUP", 20)
+    monkeypatch.setattr(html, "SAMPLE", 5, raising=False)
+    got = {r.id: r.text for r in html.extract(pages).collect()}
+    assert got == dict(enumerate(body))

@@ -8,8 +8,9 @@ subsequence, and shared lines are deleted. A pair that shares most of its text i
 pages of one template; the next nearest page is taken then. Articles quote each other, so a marked line is deleted only
 if the alignments with each of the ``WITNESSES`` nearest unlike articles of the host share it.
 
-How it scales: pages meet in groups of one host, of about ``GROUP`` pages; larger hosts are split by a hash of the page,
-so each group still holds pages of that template, and the nearest page of the group is taken.
+How it scales: pages meet in groups of one host, of about ``GROUP`` pages; larger hosts are cut in the order of their
+paths, and each group is given, as prints of their lines, the nearest pages beyond its edges of which no two are alike.
+So a page at an edge finds its nearest unlike page as in an uncut host.
 
 Defined results: null html is empty; a null URL is a host of its own; a page without text has an empty text; broken or
 cut markup is read as far as it goes; repeated pages each have their row; an empty table gives an empty table; only the
@@ -20,18 +21,21 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Pages of a host that are compared with each other; hosts looked up by broadcast at most; the share of a page's text
-#: above which a pair counts as copies.
-GROUP, BROADCAST_HOSTS, COPY_SHARE = 400, 20_000, 0.5
+#: Pages of a host that are compared in one group; how many of these are drawn to find the edges; the share of a page's
+#: text above which a pair counts as copies.
+GROUP, SAMPLE, COPY_SHARE = 400, 20, 0.5
 #: Unlike articles that must all have a marked article's line before it counts as the site's.
 WITNESSES = 3
+#: Pages unlike each other that a group sees beyond each of its edges.
+EDGE = 4
 
 ARTICLE, FURNITURE, LOOSE = 0, 1, 2
 
@@ -199,83 +203,165 @@ def outward(place: int, paths: list[str]) -> Iterator[int]:
             right += 1
 
 
-def overlap(mine: list[str], theirs: set[str]) -> float:
-    """The share of the characters of ``mine`` whose lines are in ``theirs``."""
-    return sum(len(t) for t in mine if t in theirs) / (sum(map(len, mine)) or 1)
+class Page:
+    """A page's place in its host's order, and its lines (or their prints) by zone."""
 
+    def __init__(self, path: str, place: str, zones: list[int], tokens: list, sizes: list[int]):
+        self.path, self.place, self.zones, self.sizes = path, place, zones, sizes
+        self.lines = {zone: [t for z, t in zip(zones, tokens, strict=True) if z == zone] for zone in (ARTICLE, LOOSE)}
+        self.lengths = {zone: [n for z, n in zip(zones, sizes, strict=True) if z == zone] for zone in (ARTICLE, LOOSE)}
+        self.sets = {zone: set(x) for zone, x in self.lines.items()}
 
-def repeated(place: int, paths: list[str], texts: list[list[str]], sets: list[set[str]]) -> set[int]:
+    def overlap(self, other: "Page", zone: int) -> float:
+        """The share of this page's characters whose lines the other page has too."""
+        return sum(n for t, n in zip(self.lines[zone], self.lengths[zone], strict=True) if t in other.sets[zone]) / (sum(self.lengths[zone]) or 1)
+
+
+def printed(line: str) -> bytes:
+    return blake2b(line.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+
+
+def repeated(place: int, order: list[Page], paths: list[str]) -> set[int]:
     """Positions of a marked article's lines that each of the ``WITNESSES`` nearest articles unlike it has too."""
-    mine = texts[place]
+    page = order[place]
+    mine = page.lines[ARTICLE]
     gone, seen = set(range(len(mine))), 0
     for j in outward(place, paths):
-        if not texts[j] or overlap(mine, sets[j]) > COPY_SHARE:
+        other = order[j]
+        if not other.lines[ARTICLE] or page.overlap(other, ARTICLE) > COPY_SHARE:
             continue
-        gone &= set(shared(mine, texts[j])) if gone and not sets[j].isdisjoint(mine) else set()
+        gone &= set(shared(mine, other.lines[ARTICLE])) if gone and not other.sets[ARTICLE].isdisjoint(mine) else set()
         seen += 1
         if not gone or seen == WITNESSES:
             break
     return gone if seen == WITNESSES else set()
 
 
-def differenced(pages: list[tuple[str, list[tuple[int, str]]]]) -> list[list[str]]:
-    """The text lines of each page (path, lines) of one group."""
-    order = sorted(range(len(pages)), key=lambda i: pages[i][0])
-    compared = {i: [t for z, t in pages[i][1] if z == LOOSE] for i in order}
-    paths = [pages[i][0] for i in order]
-    articles = [[t for z, t in pages[i][1] if z == ARTICLE] for i in order]
-    sets = [set(a) for a in articles]
-    out: list[list[str]] = [[] for _ in pages]
-    for place, i in enumerate(order):
-        path, own = pages[i]
-        mine = compared[i]
-        near = sorted((order[p] for p in (place - 2, place - 1, place + 1, place + 2) if 0 <= p < len(order)), key=lambda j: nearness(path, pages[j][0]), reverse=True)
+def differenced(pages: list[Page], around: list[Page] = ()) -> list[list[int]]:
+    """The positions of the text lines of each page of one group; ``around`` are pages beyond the group's edges."""
+    every = [*pages, *around]
+    ranks = sorted(range(len(every)), key=lambda i: every[i].place)
+    order = [every[i] for i in ranks]
+    paths = [p.path for p in order]
+    out: list[list[int]] = [[] for _ in pages]
+    for place, i in enumerate(ranks):
+        if i >= len(pages):
+            continue
+        page = order[place]
+        mine = page.lines[LOOSE]
+        near = sorted((p for p in (place - 2, place - 1, place + 1, place + 2) if 0 <= p < len(order)), key=lambda p: nearness(page.path, paths[p]), reverse=True)
         gone: set[int] = set()
-        whole = sum(map(len, mine))
-        for j in near:
-            common = shared(mine, compared[j])
-            if common and sum(len(mine[k]) for k in common) <= COPY_SHARE * whole:
+        for p in near:
+            common = shared(mine, order[p].lines[LOOSE])
+            if common and sum(page.lengths[LOOSE][k] for k in common) <= COPY_SHARE * sum(page.lengths[LOOSE]):
                 gone = set(common)
                 break
-        out[i] = kept(own, {LOOSE: gone, ARTICLE: repeated(place, paths, articles, sets) if articles[place] else set()})
+        out[i] = kept(page, {LOOSE: gone, ARTICLE: repeated(place, order, paths) if page.lines[ARTICLE] else set()})
     return out
 
 
-def kept(own: list[tuple[int, str]], gone: dict[int, set[int]]) -> list[str]:
-    """A page's lines without those gone by zone; a marked page's unmarked lines count only if they outweigh its article."""
-    left, at = [], {LOOSE: 0, ARTICLE: 0}
-    for z, t in own:
+def kept(page: Page, gone: dict[int, set[int]]) -> list[int]:
+    """A page's positions without those gone by zone; a marked page's unmarked lines count only if they outweigh its article."""
+    left, at, size = [], {LOOSE: 0, ARTICLE: 0}, {LOOSE: 0, ARTICLE: 0}
+    for k, z in enumerate(page.zones):
         if at[z] not in gone[z]:
-            left.append((z, t))
+            left.append(k)
+            size[z] += page.sizes[k]
         at[z] += 1
-    size = {zone: sum(len(t) for z, t in left if z == zone) for zone in at}
-    return [t for z, t in left if z == ARTICLE or not at[ARTICLE] or size[LOOSE] > size[ARTICLE]]
+    return [k for k in left if page.zones[k] == ARTICLE or not at[ARTICLE] or size[LOOSE] > size[ARTICLE]]
+
+
+def hosts_cut(plain: DataFrame) -> DataFrame:
+    """Rows (host, cuts) of the hosts of more than ``GROUP`` pages: places that cut them into parts of about ``GROUP``.
+
+    The cuts are every ``SAMPLE``-th place of a sample by hash, which holds ``SAMPLE`` pages of ``GROUP``.
+    """
+    large = plain.groupBy("host").count().filter(F.col("count") > GROUP).select("host")
+    drawn = plain.filter(F.pmod(F.xxhash64("place", F.lit("cut")), F.lit(GROUP // SAMPLE)) == 0).select("host", "place")
+    sample = drawn.join(large, "host", "left_semi").groupBy("host").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    cuts = F.filter("places", lambda x, k: k % SAMPLE == SAMPLE - 1)
+    return sample.select("host", cuts.alias("cuts")).filter(F.size("cuts") > 0)
+
+
+def unlike_ones(rows: list[dict]) -> list[dict]:
+    """The first rows of which none is like one before it, in each zone as many as a page's neighbours may have to be."""
+    out: list[tuple[dict, Page]] = []
+    full = dict.fromkeys((ARTICLE, LOOSE), 0)
+    for r in rows:
+        page = Page(r["path"], r["place"], r["zones"], r["prints"], r["sizes"])
+        zones = [z for z in full if page.lines[z] and full[z] < EDGE and all(page.overlap(p, z) <= COPY_SHARE for _, p in out)]
+        if zones:
+            out.append((r, page))
+            for z in zones:
+                full[z] += 1
+        if min(full.values()) == EDGE:
+            break
+    return [r for r, _ in out]
+
+
+def ends(group: pa.Table) -> pa.Table:
+    """Of a part, the unlike pages nearest to its first edge (first true) and to its last."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["place"])
+    return pa.Table.from_pylist([*({**r, "first": True} for r in unlike_ones(rows)), *({**r, "first": False} for r in unlike_ones(rows[::-1]))], group.schema.append(pa.field("first", pa.bool_())))
+
+
+def beyond_edges(host: pa.Table) -> pa.Table:
+    """For each part of a host, the unlike pages nearest to its edges from the parts before and after it."""
+    rows = sorted(host.to_pylist(), key=lambda r: r["place"])
+    schema = host.schema.remove(host.schema.get_field_index("first"))
+    parts = sorted({r["part"] for r in rows})
+    out = []
+    for first in (True, False):
+        side = defaultdict(list)
+        for r in rows if first else rows[::-1]:
+            if r["first"] is first:
+                side[r["part"]].append({k: v for k, v in r.items() if k != "first"})
+        held: list[dict] = []
+        for part in parts[::-1] if first else parts:
+            out += [{**r, "part": part} for r in held]
+            held = unlike_ones(side[part] + held)
+    return pa.Table.from_pylist(out, schema)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """A row for each page: id, url, text (its lines joined by two newlines)."""
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    path = F.regexp_replace(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*|[?#].*$|/$|\.html?$", "")
     plain = pages.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{markup}`").alias("html"))
+    # equal paths lie in the order of a hash, so that they can be cut too
+    plain = plain.withColumns({"host": host, "path": path, "place": F.concat(path, F.lit("\x00"), F.hex(F.xxhash64("id", "url", "html")))})
+    cuts = {r.host: r.cuts for r in hosts_cut(plain).collect()}
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch], cut_only: bool = False) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = [lines(h.as_py() or "") for h in batch.column(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([[z for z, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[t for _, t in x if _ != FURNITURE] for x in found], pa.list_(pa.string()))],
-                    ["id", "url", "zones", "lines"],
-                )
-
-    def compare(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        paths = [re.sub(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*|[?#].*$|/$|\.html?$", "", r["url"] or "") for r in rows]
-        texts = differenced([(p, list(zip([z for z in r["zones"] if z != FURNITURE], r["lines"], strict=True))) for p, r in zip(paths, rows, strict=True)])
-        return pa.table({"id": group.column("id"), "url": group.column("url"), "text": pa.array(["\n\n".join(t) for t in texts], pa.string())})
-
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    large = plain.groupBy(host.alias("host")).agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("host", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    read_pages = plain.mapInArrow(read, "id long, url string, zones array<int>, lines array<string>").withColumn("host", host)
-    split = read_pages.join(F.broadcast(large) if few else large, "host", "left")
-    grouped = split.withColumn("part", F.pmod(F.xxhash64("id", "url"), F.coalesce("parts", F.lit(1))).cast("int")).select("id", "url", "zones", "lines", "host", "part")
-    return grouped.groupBy("host", "part").applyInArrow(compare, "id long, url string, text string")
+                hosts = batch.column(3).to_pylist()
+                if cut_only:
+                    batch = batch.take(pa.array([i for i, h in enumerate(hosts) if h in cuts], pa.int32()))
+                    hosts = batch.column(3).to_pylist()
+                found = [[x for x in lines(h.as_py() or "") if x[0] != FURNITURE] for h in batch.column(2)]
+                parts = pa.array([bisect_right(cuts.get(h, ()), p) for h, p in zip(hosts, batch.column(5).to_pylist(), strict=True)], pa.int32())
+                zones = pa.array([[z for z, _ in x] for x in found], pa.list_(pa.int32()))
+                if cut_only:
+                    sizes = pa.array([[len(t) for _, t in x] for x in found], pa.list_(pa.int32()))
+                    prints = pa.array([[printed(t) for _, t in x] for x in found], pa.list_(pa.binary()))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (3, 4, 5)), parts, zones, sizes, prints], ["host", "path", "place", "part", "zones", "sizes", "prints"])
+                else:
+                    texts = pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 3, 4, 5)), parts, zones, texts], ["id", "url", "host", "path", "place", "part", "zones", "lines"])
+
+    def compare(group: pa.Table, around: pa.Table) -> pa.Table:
+        rows, others = group.select(["path", "place", "zones", "lines"]).to_pylist(), around.to_pylist()
+        own = [Page(r["path"], r["place"], r["zones"], [printed(t) for t in r["lines"]] if others else r["lines"], list(map(len, r["lines"]))) for r in rows]
+        taken = differenced(own, [Page(r["path"], r["place"], r["zones"], r["prints"], r["sizes"]) for r in others])
+        return pa.table({"id": group.column("id"), "url": group.column("url"), "text": pa.array(["\n\n".join(r["lines"][k] for k in t) for r, t in zip(rows, taken, strict=True)], pa.string())})
+
+    read_pages = plain.mapInArrow(read, "id long, url string, host string, path string, place string, part int, zones array<int>, lines array<string>")
+    signs = "host string, path string, place string, part int, zones array<int>, sizes array<int>, prints array<binary>"
+    if cuts:
+        signed = plain.mapInArrow(lambda batches: read(batches, True), signs)
+        beyond = signed.groupBy("host", "part").applyInArrow(ends, f"{signs}, first boolean").groupBy("host").applyInArrow(beyond_edges, signs)
+    else:
+        beyond = pages.sparkSession.createDataFrame([], signs)
+    return read_pages.groupBy("host", "part").cogroup(beyond.groupBy("host", "part")).applyInArrow(compare, "id long, url string, text string")
