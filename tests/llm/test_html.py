@@ -72,3 +72,19 @@ def test_cut_hosts(spark, monkeypatch):
     monkeypatch.setattr(html, "SAMPLE", 5, raising=False)
     got = {r.id: r.text for r in html.extract(pages).collect()}
     assert got == dict(enumerate(body))
+
+
+def test_short_articles_and_many_copies(spark):
+    """Menus longer than the article go, also between rows of one URL and copies side by side; edited copies keep their text."""
+    menu = " ".join(f"menu{k}" for k in range(40))
+    page = f"<div>{menu}</div>{{}}<div>All rights reserved</div>".format
+    short = [(i, f"https://short.example/n/{i}", page(f"<p>s{i} few words</p>")) for i in range(5)]
+    long = [" ".join(f"w{i}x{k}" for k in range(80)) for i in range(4)]
+    many = [(100 + i, "https://many.example/n/0", page(f"<p>{long[0]}</p>")) for i in range(7)] + [(110, "https://many.example/n/9", page(f"<p>{long[1]}</p>"))]
+    part = [" ".join(f"p{i}x{k}" for k in range(40)) for i in range(9)]
+    edited = [[f"edit {i}" if k == i else p for k, p in enumerate(part)] for i in range(9)]
+    copies = [(200 + i, f"https://copies.example/n/{i}", page("".join(f"<p>{t}</p>" for t in x))) for i, x in enumerate(edited)] + [(210, "https://copies.example/z", page(f"<p>{long[2]} {long[3]}</p>"))]
+    got = {r.id: r.text for r in html.extract(spark.createDataFrame(short + many + copies, "page_id long, url string, html string")).collect()}
+    want = {i: f"s{i} few words" for i in range(5)} | {100 + i: long[0] for i in range(7)} | {110: long[1]}
+    want |= {200 + i: "\n\n".join(x) for i, x in enumerate(edited)} | {210: f"{long[2]} {long[3]}"}
+    assert got == want

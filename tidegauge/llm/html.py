@@ -5,7 +5,7 @@ forms and reader comments (by element, role or class) are furniture. If the page
 the text is its other lines, and its unmarked lines too where they outweigh the article. Any of these lines may still be furniture that only its repetition tells: the page is
 paired with the page of the same host whose URL path is nearest, their lines are aligned by a longest common
 subsequence, and shared lines are deleted. A pair that shares most of its text is two copies of one article, not two
-pages of one template; the next nearest page is taken then. Articles quote each other, so a marked line is deleted only
+pages of one template (``templated`` tells them apart); the walk goes on to the next nearest page then, as far as the host's pages go. Articles quote each other, so a marked line is deleted only
 if the alignments with each of the ``WITNESSES`` nearest unlike articles of the host share it.
 
 How it scales: pages meet in groups of one host, of about ``GROUP`` pages; larger hosts are cut in the order of their
@@ -211,6 +211,7 @@ class Page:
         self.lines = {zone: [t for z, t in zip(zones, tokens, strict=True) if z == zone] for zone in (ARTICLE, LOOSE)}
         self.lengths = {zone: [n for z, n in zip(zones, sizes, strict=True) if z == zone] for zone in (ARTICLE, LOOSE)}
         self.sets = {zone: set(x) for zone, x in self.lines.items()}
+        self.content = (tuple(zones), tuple(tokens))
 
     def overlap(self, other: "Page", zone: int) -> float:
         """The share of this page's characters whose lines the other page has too."""
@@ -237,26 +238,53 @@ def repeated(place: int, order: list[Page], paths: list[str]) -> set[int]:
     return gone if seen == WITNESSES else set()
 
 
+def templated(place: int, order: list[Page], paths: list[str]) -> set[int]:
+    """Positions of a page's unmarked lines that are its site's.
+
+    The walk ends at the nearest page that shares some, but at most ``COPY_SHARE`` of the text: what both share goes. It
+    ends before that at a page that shares more, if a third shares exactly the same lines with this page and no two of the
+    three share any other line: these are siblings of one template with little text, for copies edited in different lines
+    share different ones. Other pages that share more are copies and are passed over.
+    """
+    page = order[place]
+    mine, alike = page.lines[LOOSE], {}
+    if not mine:
+        return set()
+    for j in outward(place, paths):
+        other = order[j]
+        met = page.sets[LOOSE] & other.sets[LOOSE]
+        if not met:
+            continue
+        if page.overlap(other, LOOSE) <= COPY_SHARE:
+            return set(shared(mine, other.lines[LOOSE]))
+        if met == page.sets[LOOSE] or met == other.sets[LOOSE]:
+            continue
+        third = alike.setdefault(frozenset(met), [])
+        for one in third:
+            if one.sets[LOOSE] & other.sets[LOOSE] == met:
+                return set(shared(mine, other.lines[LOOSE])) & set(shared(mine, one.lines[LOOSE]))
+        third.append(other)
+    return set()
+
+
 def differenced(pages: list[Page], around: list[Page] = ()) -> list[list[int]]:
-    """The positions of the text lines of each page of one group; ``around`` are pages beyond the group's edges."""
-    every = [*pages, *around]
-    ranks = sorted(range(len(every)), key=lambda i: every[i].place)
-    order = [every[i] for i in ranks]
+    """The positions of the text lines of each page of one group; ``around`` are pages beyond the group's edges.
+
+    Pages of equal lines are one page, at the first of their places.
+    """
+    equal = defaultdict(list)
+    for i, page in sorted(enumerate([*pages, *around]), key=lambda x: x[1].place):
+        equal[page.content].append((i, page))
+    order = [same[0][1] for same in equal.values()]
     paths = [p.path for p in order]
     out: list[list[int]] = [[] for _ in pages]
-    for place, i in enumerate(ranks):
-        if i >= len(pages):
-            continue
+    for place, same in enumerate(equal.values()):
         page = order[place]
-        mine = page.lines[LOOSE]
-        near = sorted((p for p in (place - 2, place - 1, place + 1, place + 2) if 0 <= p < len(order)), key=lambda p: nearness(page.path, paths[p]), reverse=True)
-        gone: set[int] = set()
-        for p in near:
-            common = shared(mine, order[p].lines[LOOSE])
-            if common and sum(page.lengths[LOOSE][k] for k in common) <= COPY_SHARE * sum(page.lengths[LOOSE]):
-                gone = set(common)
-                break
-        out[i] = kept(page, {LOOSE: gone, ARTICLE: repeated(place, order, paths) if page.lines[ARTICLE] else set()})
+        if any(i < len(pages) for i, _ in same):
+            left = kept(page, {LOOSE: templated(place, order, paths), ARTICLE: repeated(place, order, paths) if page.lines[ARTICLE] else set()})
+            for i, _ in same:
+                if i < len(pages):
+                    out[i] = left
     return out
 
 
