@@ -1,4 +1,7 @@
-"""The completeness audit on the landed tables, with SQL. Boards lose a stage by their number, so that every status occurs."""
+"""The completeness audit on the landed tables, with SQL. Boards lose a stage by their number, so that most statuses occur.
+
+Not stale and gap: the given bars run past the cutoff by more than the calendar's dates, so no session is expected.
+"""
 
 from __future__ import annotations
 
