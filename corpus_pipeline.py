@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.llm import bpe, neardup, packing, queries, substring, toxicity
 
@@ -23,17 +23,42 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter("predicted = 0").select("row.*").select(*COLUMNS)
 
 
+def _print() -> Column:
+    """A hash of a row's content, its id among it."""
+    return F.xxhash64(*[x for c in ("doc_id", "text", "lang", "source") for x in (F.col(c), F.col(c).isNull())])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id."""
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """Of each group of near-duplicates the row of the smallest id (null ids last, then by content).
+
+    Rows are told apart by their content, as ids may be null or repeated. Rows without shingles all stay.
+    """
+    rows = docs.withColumn("row_print", _print())
+    found = neardup.near_duplicates(rows, key="row_print").select(F.col("id").alias("row_print"), "n_shingles", "component_id").distinct()
+    ids = rows.select("row_print", "doc_id").distinct()
+    kept = found.join(ids, "row_print").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_print"))["row_print"].alias("row_print"), F.max("n_shingles").alias("n_shingles"))
+    left = rows.join(kept.select("row_print", "n_shingles"), "row_print")
+    apart = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id())
+    return left.withColumn("apart", apart).dropDuplicates(["row_print", "apart"]).select(*COLUMNS)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``number``: the id for one row of each id, and a number above all ids (2^62 and a hash) for the rest."""
+    rows = docs.withColumn("row_print", _print())
+    odd = rows.groupBy("doc_id").agg(F.min("row_print").alias("first_print"), F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"), "first_print")
+    if odd.isEmpty():
+        return rows.withColumn("number", F.col("doc_id"))
+    marked = rows.join(odd, F.col("doc_id") == F.col("odd_id"), "left")
+    own = F.col("doc_id").isNotNull() & (F.col("first_print").isNull() | (F.col("first_print") == F.col("row_print")))
+    return marked.withColumn("number", F.when(own, F.col("doc_id")).otherwise(F.col("row_print").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))).drop("odd_id", "first_print")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages that one of a smaller id has too."""
-    cut = substring.deduplicate(docs, with_text=True).select("id", "text")
-    about = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    joined = cut.join(about, F.col("id").eqNullSafe(F.col("doc_id")))
+    """Every document, without the passages that one of a smaller id has too; rows of null or repeated ids come last."""
+    rows = numbered(docs)
+    cut = substring.deduplicate(rows, key="number", with_text=True).select("id", "text")
+    about = rows.select("number", "doc_id", "lang", "source").dropDuplicates(["number"])
+    joined = cut.join(about, F.col("id").eqNullSafe(F.col("number")))
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
