@@ -53,7 +53,7 @@ def bounds(queries: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.nda
     width = np.maximum((high - low + 1.0) / (1 << BITS), 1.0)
     cells = np.floor((vectors - low) / width).astype(np.uint8)
     inside = low + np.minimum(width - 1, high - low) / 2  # a cell of width w holds the integers from its edge to w - 1 above
-    return queries @ (cells * width + inside).T, np.abs(queries) @ (np.ceil(width) / 2) + 1.0
+    return queries @ (cells * width + inside).T, np.abs(queries) @ ((width + 1) / 2) + 1.0  # whole numbers lie less than that from the middle
 
 
 def best(queries: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
