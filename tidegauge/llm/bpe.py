@@ -20,13 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces a worker remembers before it starts anew; at some 300 bytes each.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 120_000
+#: Rows, and bytes of text, whose ids a worker holds at a time; a longer text is held alone.
+SLICE_ROWS, SLICE_BYTES = 500, 8_000_000
 #: The byte-level pattern this module has a fast form of; others go through the ``regex`` module.
 GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _FAST = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
@@ -133,32 +136,57 @@ def token_bytes(source: str) -> list[bytes]:
     return [out.get(i, b"") for i in range(max(out, default=-1) + 1)]
 
 
-def encode(docs: DataFrame, source: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pattern: str = GPT2_PATTERN, offsets: bool = True) -> DataFrame:
-    """Adds to the columns ``keep``: ids array<int>, and with ``offsets`` char_starts array<int>.
+@functools.lru_cache(2)
+def byte_table(source: str) -> list[bytes]:
+    return token_bytes(source)
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES`` bytes of a text column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        limit = (ends[at - 1] if at else 0) + SLICE_BYTES
+        to = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(ends, limit, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def joined(ids: np.ndarray, table: list[bytes]) -> bytes:
+    """The bytes that ids stand for; unknown ids give none."""
+    return b"".join([table[i] for i in ids.tolist() if 0 <= i < len(table)])
+
+
+def encode(docs: DataFrame, source: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pattern: str = GPT2_PATTERN, offsets: bool = True, decoded: bool = False) -> DataFrame:
+    """Adds to the columns ``keep``: ids array<int>, and with ``offsets`` char_starts array<int>; with ``decoded`` the
+    bytes that ``decode`` gives for the ids, from the same worker.
 
     char_starts[i] is the code point of the text in which token i begins; tokens that split a character between them
     share its position.
     """
-    clash = {"ids", "char_starts"} & set(keep)
+    clash = {"ids", "char_starts", "decoded"} & set(keep)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten; rename them first")
     odd = odd_characters()
     kept = [docs.schema[c] for c in keep]
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *[T.StructField("char_starts", T.ArrayType(T.IntegerType(), False))] * offsets])
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *[T.StructField("char_starts", T.ArrayType(T.IntegerType(), False))] * offsets, *[T.StructField("decoded", T.BinaryType())] * decoded])
     shipped = docs.sparkSession.sparkContext.broadcast(source)  # one vocabulary, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tidegauge.llm.runtime import lists
 
         code = encoder(shipped.value, pattern, odd)
-        sizes = np.array([len(b) for b in token_bytes(shipped.value)]) if offsets else None
-        for batch in batches:
+        table = byte_table(shipped.value) if offsets or decoded else []
+        sizes = np.array([len(b) for b in table])
+        for batch in (part for whole in batches for part in slices(whole, len(keep))):
             texts = batch.column(len(keep)).to_pylist()
             ids = [np.frombuffer(code(t or ""), "<i4") for t in texts]
             columns = [*batch.columns[: len(keep)], lists(ids, pa.int32())]
             if offsets:
                 columns.append(lists([character_starts(t or "", i, sizes) for t, i in zip(texts, ids, strict=True)], pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", *["char_starts"] * offsets])
+            if decoded:
+                columns.append(pa.array([joined(i, table) for i in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", *["char_starts"] * offsets, *["decoded"] * decoded])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
@@ -179,12 +207,11 @@ def decode(encoded: DataFrame, source: str, ids: str = "ids", keep: tuple[str, .
     schema = T.StructType([*[encoded.schema[c] for c in keep], T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(shipped.value)
-        known = len(table)
-        for batch in batches:
+        table = byte_table(shipped.value)
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             column = batch.column(len(keep))
             flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            parts = [b"".join([table[i] for i in flat[a:b].tolist() if 0 <= i < known]) for a, b in zip(ends, ends[1:], strict=False)]
+            parts = [joined(flat[a:b], table) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(parts, pa.binary())], [*keep, "decoded"])
 
     return encoded.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias("__ids")).mapInArrow(run, schema)
