@@ -6,16 +6,19 @@ linked with nothing. Two documents are linked if their sets' Jaccard similarity
 connected components of the links.
 
 How it scales: equal sets are one class from the start, so copies cost one row each. Buckets of equal band keys are never
-listed: each elects a leader by a partial minimum, members are compared with it, and components merge; other leaders are
-drawn for what is left. Only members of buckets that still hold several components are compared pair by pair, in tiles of
-bounded size. There a pair becomes a row only if neither the number of shingles that its documents have in common with
-any other member, nor a look at its signatures, rules it out.
-Nothing is collected to the driver; every step that is read twice is checkpointed.
+listed: each elects a leader by a partial minimum, and a document is compared with its leaders. Verification looks at one
+byte of each MinHash, batch by batch. Of the pairs that survive, a document's likeliest is confirmed first, and others
+only where they still lie in different components; a text travels to its leader, whose own text is joined to it and not
+sent for each pair. Other leaders are drawn for buckets that still hold several components. What is left is compared
+within the bucket in tiles of bounded size, each member outside the bucket's largest component with all others; a pair
+becomes a row only if neither the sizes nor a look at the MinHashes, of which these have more, rules it out, and again the likeliest pair of two
+components goes first. Nothing is collected to the driver; tables between the steps are written, and deleted once replaced.
 
 What can be missed: a pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6, and is pruned with a
 posterior probability below ``MISS`` at each look.
 
-Defined results: null and empty texts have n_shingles 0, component_id their own id; rows of one id count as linked; rows
+Defined results: null and empty texts have n_shingles 0, component_id their own id; of rows that
+share an id each takes the component of its own set, and sets whose smallest id is the same are one component; rows
 without an id are kept, in no component; an empty table gives an empty table; other columns are not read.
 """
 
@@ -30,21 +33,22 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm.components import components
-from tidegauge.llm.runtime import checkpointed, hash_words, lists, rolling, text_bytes
+from tidegauge.llm.runtime import Scratch, hash_words, lists, mixed, rolling, text_bytes
 
 WORDS = 5
 BANDS, ROWS = 32, 4
-#: Hashes compared at a look, and the posterior probability of similarity below which a pair is given up.
-LOOK, MISS = 32, 1e-7
-#: Further hashes, of one byte each, compared within the tiles; their looks get longer.
-FURTHER, FURTHER_LOOKS = 512, (64, 128, 256, 512)
-#: Members of a bucket on a side of a tile.
-TILE = 512
+#: Hashes compared at each look, and the posterior probability of similarity below which a pair is given up.
+LOOKS, MISS = (32, 64, 96, 128), 1e-7
+#: Hashes that only what is left for the tiles gets besides, and the looks at them.
+FURTHER, FURTHER_LOOKS = 384, (256, 512)
+#: Members of a bucket on a side of a tile; parts that a bucket's rows are dealt to where they meet its leader.
+TILE, SALTS = 1024, 16
 #: Shingles hashed at a time, so that the work stays in a core's cache.
 _SLICE = 60_000
 _random = np.random.default_rng(7)
-_XOR = _random.integers(1, 2**32, BANDS * ROWS + FURTHER, dtype=np.uint32)
-_ODD = _random.integers(1, 2**32, (2, BANDS * ROWS + FURTHER), dtype=np.uint32) | np.uint32(1)
+HASHES = BANDS * ROWS
+_XOR = _random.integers(1, 2**32, HASHES + FURTHER, dtype=np.uint32)
+_ODD = _random.integers(1, 2**32, (2, HASHES + FURTHER), dtype=np.uint32) | np.uint32(1)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -58,7 +62,7 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(rolling(hashes, WORDS))
 
 
-def signatures(sets: list[np.ndarray], first: int = 0, count: int = BANDS * ROWS) -> np.ndarray:
+def signatures(sets: list[np.ndarray], first: int = 0, count: int = HASHES) -> np.ndarray:
     """MinHash signatures by ``count`` hash functions, a row for each set; sets must not be empty."""
     out = np.empty((len(sets), count), np.uint32)
     at = 0
@@ -79,8 +83,18 @@ def signatures(sets: list[np.ndarray], first: int = 0, count: int = BANDS * ROWS
     return out
 
 
+def band_keys(signed: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each signature; bands differ by their numbers."""
+    rows = signed.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    keys = np.broadcast_to(mixed(np.arange(1, BANDS + 1, dtype=np.uint64)), rows.shape[:2])
+    for k in range(ROWS):
+        keys = mixed(keys ^ (rows[:, :, k] + np.uint64(k << 32)))
+    return keys.view(np.int64)
+
+
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, n_shingles, set_hi and set_lo (equal for equal sets), signature (null for empty sets)."""
+    """id, n_shingles, set_hi and set_lo (equal for equal sets), bands (keys, none for empty sets), marks (a byte of each
+    MinHash; bytes agree by chance once in 256, which rules out less, never more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -89,19 +103,19 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 sets = [shingles(t.as_py()) for t in batch.column(1)]
                 digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                rows = signatures([sets[i] for i in full]).view(np.int32) if full else np.empty((0, BANDS * ROWS), np.int32)
-                signed = dict(zip(full, rows, strict=True))
-                none = np.empty(0, np.int32)
+                signed = signatures([sets[i] for i in full])
+                keys, marks = dict(zip(full, band_keys(signed), strict=True)), dict(zip(full, signed.astype(np.uint8), strict=True))
+                none = np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists([signed.get(i, none) for i in range(len(sets))], pa.int32())],
-                    ["id", "n_shingles", "set_hi", "set_lo", "signature"],
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists([keys.get(i, none) for i in range(len(sets))], pa.int64()), pa.array([marks[i].tobytes() if i in marks else b"" for i in range(len(sets))], pa.binary())],
+                    ["id", "n_shingles", "set_hi", "set_lo", "bands", "marks"],
                 )
 
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), text_bytes(F.col(f"`{text}`")).alias("text"))
-    return plain.mapInArrow(run, "id long, n_shingles long, set_hi long, set_lo long, signature array<int>")
+    return plain.mapInArrow(run, "id long, n_shingles long, set_hi long, set_lo long, bands array<long>, marks binary")
 
 
-def least_matches(threshold: float, looks: Iterable[int] = range(LOOK, BANDS * ROWS + 1, LOOK)) -> list[tuple[int, int]]:
+def least_matches(threshold: float, looks: Iterable[int] = LOOKS) -> list[tuple[int, int]]:
     """After n compared hashes, the matches below which P(similarity >= threshold | matches) < MISS, from a uniform prior.
 
     The posterior is Beta(m + 1, n - m + 1), whose upper tail is a binomial sum.
@@ -117,91 +131,126 @@ def least_matches(threshold: float, looks: Iterable[int] = range(LOOK, BANDS * R
     return out
 
 
-def promising(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b) those that no look at their signatures rules out."""
-    looks = least_matches(threshold)
+def looked_at(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray, looks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (left[i], right[j]) of marks no look rules out, and the matches of those."""
+    alive, matches, done = np.arange(len(i)), np.zeros(len(i), np.int64), 0
+    for n, least in looks:
+        for at in range(0, len(alive), 100_000):
+            some = slice(at, at + 100_000)
+            matches[some] += (left[i[alive[some]], done:n] == right[j[alive[some]], done:n]).sum(axis=1)
+        more = matches >= least
+        alive, matches, done = alive[more], matches[more], n
+    return alive, matches
+
+
+def marks_of(column: pa.Array | pa.ChunkedArray, count: int = HASHES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, count)
+
+
+def further_marks(texts: DataFrame) -> DataFrame:
+    """(id, more: bytes of ``FURTHER`` more MinHashes) of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                signed = signatures([shingles(t.as_py()) for t in batch.column(1)], HASHES, FURTHER).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in signed], pa.binary())], ["id", "more"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, more binary")
+
+
+def with_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` joined to the one row of their band; a band's rows are dealt to ``SALTS`` parts, so that none is hot."""
+    each = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(SALTS)).cast("int")).join(each, ["band", "salt"]).drop("salt")
+
+
+def promising(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that neither the sizes of their sets nor a look at their marks rules out, with ``matches``."""
+    looks = least_matches(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(k).flatten().to_numpy().reshape(-1, BANDS * ROWS) for k in (2, 3))
-            alive, matches, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
-            for n, least in looks:
-                matches[alive] += (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
-                alive, done = alive[matches[alive] >= least], n
+            left, right = marks_of(batch.column(2)), marks_of(batch.column(3))
+            each = np.arange(batch.num_rows)
+            alive, matches = looked_at(left, each, right, each, looks)
             kept = batch.take(pa.array(alive))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(matches.astype(np.int32))], ["a", "b", "matches"])
 
-    both = pairs.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("s")), "a").join(signed.select(F.col("id").alias("b"), F.col("signature").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    def side(x: str) -> DataFrame:
+        return signed.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("marks").alias(f"marks_{x}"))
 
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(sized)
+    return both.select("a", "b", "marks_a", "marks_b").mapInArrow(run, "a long, b long, matches int")
 
-def described(members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """For each id of ``members``: size; common, its shingles that some other member's set has too; marks, FURTHER bytes
-    of more MinHashes. Bytes agree by chance once in 256, which rules out less, never more."""
-    sets = checkpointed(sets_of(members.select("id").distinct(), docs, key, text, FURTHER).dropDuplicates(["id"]))
-    spread = sets.select("id", F.explode("set").alias("shingle"))
-    held = spread.groupBy("shingle").agg(F.min("id").alias("only"), F.count("*").alias("holders"))
-    alone = held.filter("holders = 1").groupBy(F.col("only").alias("id")).agg(F.count("*").alias("own"))
-    sizes = sets.select("id", F.size("set").alias("size"), "marks")
-    return sizes.join(alone, "id", "left").select("id", "size", "marks", (F.col("size") - F.coalesce("own", F.lit(0))).cast("int").alias("common"))
 
-
-def crossing(members: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) within a band of ``members`` (band, id, component) that lie in different components and that neither
-    their sizes and common shingles nor a look at their signatures rule out."""
-    looks = least_matches(percent / 100, FURTHER_LOOKS)
+def crossing(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, matches) within a band of ``members`` (band, id, component) that lie in different components and that
+    neither sizes nor marks rule out: each member outside its band's largest component (``other``) with every member.
+    The marks of ``signed`` are those of ``HASHES`` and ``FURTHER`` hashes."""
+    looks = least_matches(percent / 100, LOOKS + FURTHER_LOOKS)
 
     def tile(table: pa.Table) -> pa.Table:
-        ids, component, part = (table.column(c).to_numpy() for c in ("id", "component", "part"))
-        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, FURTHER)
-        rows, columns = table.column("row")[0].as_py(), table.column("column")[0].as_py()
-        left, right = np.flatnonzero(part == rows), np.flatnonzero(part == columns)
-        size, common = (table.column(c).to_numpy().astype(np.int64) for c in ("size", "common"))
-        open_ = component[left][:, None] != component[right][None, :]
-        # an intersection has at most the common shingles of either, and must reach its share of the union
-        open_ &= (100 + percent) * np.minimum(common[left][:, None], common[right][None, :]) >= percent * (size[left][:, None] + size[right][None, :])
-        if rows == columns:
-            open_ &= ids[left][:, None] < ids[right][None, :]
-        i, j = np.nonzero(open_)
-        matches, done = np.zeros(len(i), np.int64), 0
-        for n, least in looks:
-            for at in range(0, len(i), 100_000):
-                some = slice(at, at + 100_000)
-                matches[some] += (marks[left[i[some]], done:n] == marks[right[j[some]], done:n]).sum(axis=1)
-            alive = matches >= least
-            i, j, matches, done = i[alive], j[alive], matches[alive], n
-        a, b = ids[left[i]], ids[right[j]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    placed = members.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(counted, "id")
-    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiled = tiled.select("band", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("column"), "part", "id", "component", "size", "common", "marks")
-    return tiled.groupBy("band", "row", "column").applyInArrow(tile, "a long, b long")
-
-
-def sets_of(ids: DataFrame, docs: DataFrame, key: str, text: str, further: int = 0) -> DataFrame:
-    """(id, set, marks: a byte of each of ``further`` more MinHashes) of the documents with these ids; their texts are read again, so that no set is kept for all."""
+        ids, component, size = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+        across, other, marks = table.column("across").to_numpy(), table.column("other").to_numpy(), marks_of(table.column("marks"), HASHES + FURTHER)
+        left, right = np.flatnonzero(~across), np.flatnonzero(across)
+        small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
+        open_ = (component[left][:, None] != component[right][None, :]) & (100 * small >= percent * large)
+        open_ &= ~other[left][:, None] | (ids[left][:, None] < ids[right][None, :])  # two others meet once
+        i, j = (x.astype(np.int32) for x in np.nonzero(open_))
+        alive, matches = looked_at(marks, left[i], marks, right[j], looks)
+        a, b = ids[left[i[alive]]], ids[right[j[alive]]]
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "matches": matches.astype(np.int32)})
+
+    counts = members.groupBy("band", "component").count()
+    sizes = counts.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    parts = [F.ceil(F.col("n") / TILE).cast("int").alias("rows"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("columns")]
+    placed = with_bucket(members, sizes.select("band", "largest", *parts)).withColumn("other", F.col("component") != F.col("largest")).join(signed, "id")
+    part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    what = ["id", "component", "n_shingles", "other", "marks"]
+    down = placed.select("band", part("rows", "row").alias("row"), every("columns").alias("column"), F.lit(False).alias("across"), *what)
+    over = placed.filter("other").select("band", every("rows").alias("row"), part("columns", "column").alias("column"), F.lit(True).alias("across"), *what)
+    met = down.unionByName(over).groupBy("band", "row", "column").applyInArrow(tile, "a long, b long, matches int")
+    return met.groupBy("a", "b").agg(F.max("matches").alias("matches"))
+
+
+def texts_of(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the documents with these ids."""
+    plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), text_bytes(F.col(f"`{text}`")).alias("text"))
+    return plain.join(ids, "id", "left_semi")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, np.ndarray] = b"", np.empty(0, np.uint64)  # pairs come in the order of b as a rule
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                sets = [shingles(t.as_py()) for t in batch.column(1)]
-                marks = [m.astype(np.uint8).tobytes() for m in signatures(sets, BANDS * ROWS, further)] if further and sets else [b""] * len(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists([x.view(np.int64) for x in sets], pa.int64()), pa.array(marks, pa.binary())], ["id", "set", "marks"])
+                found = []
+                for i, (mine, theirs) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                    t = theirs.as_py()
+                    last = last if last[0] == t else (t, shingles(t))
+                    s, t = shingles(mine.as_py()), last[1]
+                    common = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * common >= percent * (len(s) + len(t) - common):
+                        found.append(i)
+                yield batch.select([0, 1]).take(pa.array(found, pa.int32()))
 
-    plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), text_bytes(F.col(f"`{text}`")).alias("text"))
-    return plain.join(ids, "id", "left_semi").mapInArrow(run, "id long, set array<long>, marks binary")
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = sets_of(ids, docs, key, text)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("s", "t")).cast("long").alias("common"), (F.size("s") + F.size("t")).cast("long").alias("total"))
-    return common.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))).select("a", "b")
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs that lie in different components, with both: component_a, component_b."""
+    side = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"component_{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.withColumns({f"component_{x}": F.coalesce(f"component_{x}", x) for x in ("a", "b")}).filter("component_a <> component_b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -209,49 +258,65 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     ``key`` must be an integer; ``percent`` is the least similarity of linked documents.
     """
-    sketched = checkpointed(sketch(docs, key, text))
-    classes = checkpointed(sketched.filter("n_shingles > 0 and id is not null").groupBy("set_hi", "set_lo").agg(F.min("id").alias("id"), F.min_by("signature", "id").alias("signature")))
-    signed = classes.select("id", "signature")
+    scratch = Scratch(docs.sparkSession, "near")
+    sketched = scratch.keep(sketch(docs, key, text))
+    full = sketched.filter("n_shingles > 0 and id is not null")
+    classes = scratch.keep(full.groupBy("set_hi", "set_lo").agg(F.min("id").alias("id"), F.min_by(F.struct("n_shingles", "bands", "marks"), "id").alias("s")).select("set_hi", "set_lo", "id", "s.*"))
+    signed = classes.select("id", "n_shingles", "marks")
 
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("signature", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)])
-    banded = signed.select("id", F.explode(bands).alias("band"))
+    banded = classes.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).filter("members > 1")
-    bucketed = checkpointed(banded.join(shared, "band"))  # only what shares a bucket
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        return checkpointed(confirmed(pairs, docs, key, text, percent))
-
-    def ordered(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    tried = checkpointed(promising(bucketed.filter("id <> leader").select(*ordered("id", "leader")).distinct(), signed, percent / 100))
-    links = links_of(tried)
-    found = components(links)
-    many = bucketed.filter("members > 2").select("band", "id")
-    for turn in (1, 2, 3):
-        at = many.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        mixed = at.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.col("id").bitwiseXOR(F.xxhash64("band", F.lit(turn)))).alias("drawn")).filter("least <> most")
-        many = checkpointed(at.join(mixed, "band").withColumn("leader", F.col("drawn").bitwiseXOR(F.xxhash64("band", F.lit(turn)))).select("band", "id", "component", "leader"))
-        if many.isEmpty():
-            break
-        if turn < 3:  # another leader, drawn at random, merges most of what is left of a large bucket
-            heads = many.filter("id = leader").select("band", F.col("component").alias("other")).distinct()
-            more = promising(many.join(heads, "band").filter("component <> other").select(*ordered("id", "leader")).distinct(), signed, percent / 100)
-        else:
-            members = many.select("band", "id", "component")
-            more = crossing(members, described(members, docs, key, text), percent).distinct()
-        new = checkpointed(more.join(tried, ["a", "b"], "left_anti"))
-        many = many.select("band", "id")
-        if new.isEmpty():
-            continue
-        tried = checkpointed(tried.unionByName(new))
-        added = links_of(new)
+    bucketed = scratch.keep(with_bucket(banded, shared))  # only what shares a bucket
+
+    # a link's documents are one component from then on, whatever else is proposed
+    led = bucketed.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    tried = scratch.keep(promising(led, signed, percent))
+    # ids are written first: with their size known, they are broadcast only where they are few
+    texts = scratch.keep(texts_of(scratch.keep(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()), docs, key, text))
+    first = tried.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
+    links = scratch.keep(confirmed(first, texts, percent))
+    found = components(links, scratch)
+
+    def joined(pairs: DataFrame, texts: DataFrame) -> None:
+        """Takes the links among ``pairs`` into the components."""
+        nonlocal links, found
+        added = scratch.keep(confirmed(pairs, texts, percent))
         if not added.isEmpty():
-            links = links.unionByName(added)
-            found = components(links)
-
-    placed = classes.select("set_hi", "set_lo", "id").join(found, "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
+            before, links = found, scratch.keep(links.unionByName(added))
+            found = components(links, scratch)
+            scratch.drop(before)
+
+    joined(apart(tried, found).join(first, ["a", "b"], "left_anti"), texts)
+    checked = tried.select("a", "b")
+
+    def mixed_buckets(members: DataFrame, turn: int) -> DataFrame:
+        """The members (band, id, component) of the buckets that hold several components, with a leader drawn at random."""
+        at = members.join(found.select("id", "component"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+        salt = F.xxhash64("band", F.lit(turn))
+        drawn = at.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct(F.col("id").bitwiseXOR(salt).alias("draw"), "id", "component")).alias("l")).filter("least <> most")
+        return with_bucket(at, drawn.select("band", F.col("l.id").alias("leader"), F.col("l.component").alias("of_leader")))
+
+    many = scratch.keep(mixed_buckets(bucketed.filter("members > 2").select("band", "id"), 1))
+    texts = scratch.keep(texts_of(scratch.keep(many.select("id").distinct()), docs, key, text))
+    for turn in (1, 2):  # another leader merges most of what is left of a large bucket
+        many = many if turn == 1 else scratch.keep(mixed_buckets(many.select("band", "id"), turn))
+        pairs = many.filter("component <> of_leader").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+        more = scratch.keep(promising(pairs.join(checked, ["a", "b"], "left_anti"), signed, percent))
+        if not more.isEmpty():
+            joined(more, texts)
+            checked = checked.unionByName(more.select("a", "b"))
+    left = scratch.keep(mixed_buckets(many.select("band", "id"), 3).select("band", "id", "component"))
+    marked = signed.join(further_marks(texts.join(left.select("id").distinct(), "id", "left_semi")), "id").withColumn("marks", F.concat("marks", "more")).drop("more")
+    met = scratch.keep(crossing(left, scratch.keep(marked), percent).join(checked, ["a", "b"], "left_anti"))
+    if not met.isEmpty():
+        likeliest = apart(met, found).groupBy(F.least("component_a", "component_b"), F.greatest("component_a", "component_b")).agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p")).select("p.*")
+        likeliest = scratch.keep(likeliest)
+        joined(likeliest, texts)
+        joined(apart(met, found).join(likeliest, ["a", "b"], "left_anti"), texts)
+
+    placed = classes.select("set_hi", "set_lo", "id").join(found.select("id", "component"), "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
     own = sketched.select("id", "n_shingles", "set_hi", "set_lo")
     alone = own.filter("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     grouped = own.filter("n_shingles > 0 and id is not null").join(placed, ["set_hi", "set_lo"]).select("id", "n_shingles", "component_id")
+    scratch.drop(*(read for read, _ in scratch.kept if not any(read is x for x in (sketched, classes, found))))
     return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -3,29 +3,60 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are remembered with their hashes up to this many, then forgotten together; bounds a worker's memory.
 MEMO_WORDS = 150_000
+_own: dict[str, str] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder named by ``spark.checkpoint.dir`` and cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Only a local session without one, as in tests, gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
+    return folder
+
 
-    Only where no folder is set (as in tests) a temporary one is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and cuts its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables between the steps of one operator, as Parquet in the shared folder: lineage ends there, sizes are known to
+    the optimizer, and what a later step replaces is deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.kept: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.kept)}"
+        df.write.parquet(path)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((read, path))
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of ``keep`` that no later step and no result reads."""
+        context = self.spark.sparkContext
+        for path in (p for read, p in self.kept if any(read is t for t in tables)):
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
