@@ -10,9 +10,9 @@ listed: each elects a leader by a partial minimum, and a document is compared wi
 byte of each MinHash, batch by batch. Of the pairs that survive, a document's likeliest is confirmed first, and others
 only where they still lie in different components; a text travels to its leader, whose own text is joined to it and not
 sent for each pair. Other leaders are drawn for buckets that still hold several components. What is left is compared
-within the bucket in tiles of bounded size, each member outside the bucket's largest component with all others; a pair
-becomes a row only if neither the sizes nor a look at the MinHashes, of which these have more, rules it out, and again the likeliest pair of two
-components goes first. Nothing is collected to the driver; tables between the steps are written, and deleted once replaced.
+within the bucket in tiles of bounded size, each member outside the bucket's largest component with all others; sizes and
+MinHashes rule pairs out there, whole sets decide on the rest, and only links that join components become rows. Nothing
+is collected to the driver; tables between the steps are written, and deleted once replaced.
 
 What can be missed: a pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6, and is pruned with a
 posterior probability below ``MISS`` at each look.
@@ -39,16 +39,15 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 #: Hashes compared at each look, and the posterior probability of similarity below which a pair is given up.
 LOOKS, MISS = (32, 64, 96, 128), 1e-7
-#: Hashes that only what is left for the tiles gets besides, and the looks at them.
-FURTHER, FURTHER_LOOKS = 384, (256, 512)
-#: Members of a bucket on a side of a tile; parts that a bucket's rows are dealt to where they meet its leader.
-TILE, SALTS = 1024, 16
+#: Members of a bucket on a side of a tile, and their shingles; parts that a bucket's rows are dealt to where they meet
+#: its leader.
+TILE, TILE_SHINGLES, SALTS = 1024, 2_000_000, 16
 #: Shingles hashed at a time, so that the work stays in a core's cache.
 _SLICE = 60_000
 _random = np.random.default_rng(7)
 HASHES = BANDS * ROWS
-_XOR = _random.integers(1, 2**32, HASHES + FURTHER, dtype=np.uint32)
-_ODD = _random.integers(1, 2**32, (2, HASHES + FURTHER), dtype=np.uint32) | np.uint32(1)
+_XOR = _random.integers(1, 2**32, HASHES, dtype=np.uint32)
+_ODD = _random.integers(1, 2**32, (2, HASHES), dtype=np.uint32) | np.uint32(1)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -62,9 +61,9 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(rolling(hashes, WORDS))
 
 
-def signatures(sets: list[np.ndarray], first: int = 0, count: int = HASHES) -> np.ndarray:
-    """MinHash signatures by ``count`` hash functions, a row for each set; sets must not be empty."""
-    out = np.empty((len(sets), count), np.uint32)
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """MinHash signatures by ``HASHES`` hash functions, a row for each set; sets must not be empty."""
+    out = np.empty((len(sets), HASHES), np.uint32)
     at = 0
     while at < len(sets):
         to, n = at, 0
@@ -74,11 +73,11 @@ def signatures(sets: list[np.ndarray], first: int = 0, count: int = HASHES) -> n
         flat = np.concatenate(sets[at:to])
         low = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
         starts = np.cumsum([0, *map(len, sets[at : to - 1])])
-        for k in range(first, first + count):
+        for k in range(HASHES):
             x = (low ^ _XOR[k]) * _ODD[0, k]
             x ^= x >> np.uint32(16)
             x *= _ODD[1, k]
-            out[at:to, k - first] = np.minimum.reduceat(x, starts)
+            out[at:to, k] = np.minimum.reduceat(x, starts)
         at = to
     return out
 
@@ -143,21 +142,20 @@ def looked_at(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray,
     return alive, matches
 
 
-def marks_of(column: pa.Array | pa.ChunkedArray, count: int = HASHES) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, count)
+def marks_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def further_marks(texts: DataFrame) -> DataFrame:
-    """(id, more: bytes of ``FURTHER`` more MinHashes) of (id, text)."""
+def sets_of(texts: DataFrame) -> DataFrame:
+    """(id, set: its sorted shingles, eight bytes each) of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                signed = signatures([shingles(t.as_py()) for t in batch.column(1)], HASHES, FURTHER).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in signed], pa.binary())], ["id", "more"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, more binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
 def with_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -186,35 +184,81 @@ def promising(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "marks_a", "marks_b").mapInArrow(run, "a long, b long, matches int")
 
 
-def crossing(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, matches) within a band of ``members`` (band, id, component) that lie in different components and that
-    neither sizes nor marks rule out: each member outside its band's largest component (``other``) with every member.
-    The marks of ``signed`` are those of ``HASHES`` and ``FURTHER`` hashes."""
-    looks = least_matches(percent / 100, LOOKS + FURTHER_LOOKS)
+def linked(sets: list[np.ndarray], component: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the pairs (i, j), in the order of i, links that join the components of these sets: no more than there are sets.
+
+    Two sets are compared whole, unless links found before have joined their components.
+    """
+    ends = np.cumsum([0, *map(len, sets)])
+    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = [dense[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    held = np.zeros(int(dense.max(initial=-1)) + 1, bool)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    labels, out = component.tolist(), []
+    edges = np.flatnonzero(np.diff(i, prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:], strict=False):
+        mine = int(i[a])
+        held[parts[mine]] = True
+        theirs = [y for y in j[a:b].tolist() if root(labels[y]) != root(labels[mine])]
+        at = 0
+        while at < len(theirs):
+            to, n = at, 0
+            while to < len(theirs) and (to == at or n + len(parts[theirs[to]]) <= TILE_SHINGLES):
+                n += len(parts[theirs[to]])
+                to += 1
+            some = theirs[at:to]
+            sizes = np.array([len(parts[y]) for y in some])
+            common = np.add.reduceat(held[np.concatenate([parts[y] for y in some])], np.cumsum(sizes) - sizes, dtype=np.int64)
+            for y in np.array(some)[100 * common >= percent * (len(parts[mine]) + sizes - common)].tolist():
+                if root(labels[y]) != root(labels[mine]):
+                    parent[root(labels[y])] = root(labels[mine])
+                    out.append((mine, y))
+            at = to
+        held[parts[mine]] = False
+    return out
+
+
+def crossing(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the bands of ``members`` (band, id, component) that join different components.
+
+    ``known``: id, n_shingles, marks and set. Each member outside its band's largest component (``other``) meets every
+    member in a tile; there sizes and marks rule pairs out, whole sets decide on the rest, and no other pair is a row.
+    """
+    looks = least_matches(percent / 100)
 
     def tile(table: pa.Table) -> pa.Table:
         ids, component, size = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
-        across, other, marks = table.column("across").to_numpy(), table.column("other").to_numpy(), marks_of(table.column("marks"), HASHES + FURTHER)
+        across, other, marks = table.column("across").to_numpy(), table.column("other").to_numpy(), marks_of(table.column("marks"))
         left, right = np.flatnonzero(~across), np.flatnonzero(across)
         small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
         open_ = (component[left][:, None] != component[right][None, :]) & (100 * small >= percent * large)
         open_ &= ~other[left][:, None] | (ids[left][:, None] < ids[right][None, :])  # two others meet once
         i, j = (x.astype(np.int32) for x in np.nonzero(open_))
-        alive, matches = looked_at(marks, left[i], marks, right[j], looks)
-        a, b = ids[left[i[alive]]], ids[right[j[alive]]]
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "matches": matches.astype(np.int32)})
-
-    counts = members.groupBy("band", "component").count()
-    sizes = counts.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.sum("count").alias("n"), F.max("count").alias("most"))
-    parts = [F.ceil(F.col("n") / TILE).cast("int").alias("rows"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("columns")]
-    placed = with_bucket(members, sizes.select("band", "largest", *parts)).withColumn("other", F.col("component") != F.col("largest")).join(signed, "id")
+        alive, _ = looked_at(marks, left[i], marks, right[j], looks)
+        found = []
+        if len(alive):
+            sets = [np.frombuffer(x, "<u8") for x in table.column("set").to_pylist()]
+            found = linked(sets, component, left[i[alive]], right[j[alive]], percent)
+        a, b = (ids[[x[k] for x in found]] if found else np.empty(0, np.int64) for k in (0, 1))
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    counts = members.join(known.select("id", "n_shingles"), "id").groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    sizes = counts.groupBy("band").agg(F.max_by(F.struct("component", "n", "shingles"), F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    parts = lambda n, shingles: F.greatest(F.ceil(n / TILE), F.ceil(shingles / TILE_SHINGLES)).cast("int")
+    cut = sizes.select("band", F.col("most.component").alias("largest"), parts(F.col("n"), F.col("shingles")).alias("rows"), parts(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")).alias("columns"))
+    placed = with_bucket(members, cut).withColumn("other", F.col("component") != F.col("largest")).join(known, "id")
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    what = ["id", "component", "n_shingles", "other", "marks"]
+    what = ["id", "component", "n_shingles", "other", "marks", "set"]
     down = placed.select("band", part("rows", "row").alias("row"), every("columns").alias("column"), F.lit(False).alias("across"), *what)
     over = placed.filter("other").select("band", every("rows").alias("row"), part("columns", "column").alias("column"), F.lit(True).alias("across"), *what)
-    met = down.unionByName(over).groupBy("band", "row", "column").applyInArrow(tile, "a long, b long, matches int")
-    return met.groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    return down.unionByName(over).groupBy("band", "row", "column").applyInArrow(tile, "a long, b long").distinct()
 
 
 def texts_of(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -277,16 +321,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = scratch.keep(confirmed(first, texts, percent))
     found = components(links, scratch)
 
-    def joined(pairs: DataFrame, texts: DataFrame) -> None:
-        """Takes the links among ``pairs`` into the components."""
+    def joined(more: DataFrame) -> None:
+        """Takes further links into the components."""
         nonlocal links, found
-        added = scratch.keep(confirmed(pairs, texts, percent))
+        added = scratch.keep(more)
         if not added.isEmpty():
             before, links = found, scratch.keep(links.unionByName(added))
             found = components(links, scratch)
             scratch.drop(before)
 
-    joined(apart(tried, found).join(first, ["a", "b"], "left_anti"), texts)
+    joined(confirmed(apart(tried, found).join(first, ["a", "b"], "left_anti"), texts, percent))
     checked = tried.select("a", "b")
 
     def mixed_buckets(members: DataFrame, turn: int) -> DataFrame:
@@ -303,16 +347,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         pairs = many.filter("component <> of_leader").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
         more = scratch.keep(promising(pairs.join(checked, ["a", "b"], "left_anti"), signed, percent))
         if not more.isEmpty():
-            joined(more, texts)
+            joined(confirmed(more, texts, percent))
             checked = checked.unionByName(more.select("a", "b"))
     left = scratch.keep(mixed_buckets(many.select("band", "id"), 3).select("band", "id", "component"))
-    marked = signed.join(further_marks(texts.join(left.select("id").distinct(), "id", "left_semi")), "id").withColumn("marks", F.concat("marks", "more")).drop("more")
-    met = scratch.keep(crossing(left, scratch.keep(marked), percent).join(checked, ["a", "b"], "left_anti"))
-    if not met.isEmpty():
-        likeliest = apart(met, found).groupBy(F.least("component_a", "component_b"), F.greatest("component_a", "component_b")).agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p")).select("p.*")
-        likeliest = scratch.keep(likeliest)
-        joined(likeliest, texts)
-        joined(apart(met, found).join(likeliest, ["a", "b"], "left_anti"), texts)
+    known = scratch.keep(signed.join(sets_of(texts.join(left.select("id").distinct(), "id", "left_semi")), "id"))
+    joined(crossing(left, known, percent))
 
     placed = classes.select("set_hi", "set_lo", "id").join(found.select("id", "component"), "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
     own = sketched.select("id", "n_shingles", "set_hi", "set_lo")
