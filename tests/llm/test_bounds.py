@@ -21,3 +21,20 @@ def test_best_on_a_dense_grid():
         exact = grid @ q
         least = np.sort(exact)[-5]
         assert sorted(at) == np.flatnonzero(exact >= least).tolist() and (scores == exact[at]).all()
+
+
+def test_large_components_and_edges(spark):
+    from pyspark.sql import functions as F
+
+    draw = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in draw.integers(-(10**9), 10**9, 3)]) for i in range(60)] + [(60, None), (61, [1.0, None, 2.0]), (62, [1.0, float("nan"), 0.0]), (63, []), (0, None), (70, [1.0, 2.0]), (71, [1e300, 0.0, 0.0])]
+    frame = spark.createDataFrame([(*r, "x") for r in [*rows, rows[5]]], "vec_id long, embedding array<double>, score string")
+    got = {}
+    for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, k=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    held = {i: [max(-(2**63), min(2**63 - 1, int(np.floor(64 * x)))) for x in v] for i, v in rows if v and None not in v and np.isfinite(v).all()}
+    cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+    for q in (0, 20, 40):
+        scores = sorted((-cut(sum(a * b for a, b in zip(held[q], v, strict=True))), i) for i, v in held.items() if i != q and len(v) == 3)
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores[:4])]
+    assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0

@@ -11,8 +11,8 @@ ids, so copies cost nothing and lose nothing. Nothing is broadcast or collected
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; vectors of another
 length than a query's are no candidates for it; a query has fewer rows if there are fewer candidates; ties go to the
-smaller id; rows that share an id and a vector are one; components beyond 2^24 in size count as 2^24; an empty table
-gives an empty table; other columns are not read.
+smaller id; rows that share an id and a vector are one; components and scores beyond the range of a long stand at its
+ends, and scores are exact up to there; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from tidegauge.llm.runtime import shuffle_width
 BITS = 6
 #: Distinct vectors in a block, blocks in a stripe, distinct queries in a block.
 BLOCK, STRIPE, QUERIES = 4096, 4, 1024
-_LIMIT = float(2**24)
+#: Products below this are exact in doubles, sums of 64-bit products too.
+_EXACT = 2.0**52
 
 
 def packed(vectors: DataFrame, salt: str, size: int) -> DataFrame:
@@ -56,12 +57,23 @@ def bounds(queries: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.nda
     return queries @ (cells * width + inside).T, np.abs(queries) @ ((width + 1) / 2) + 1.0  # whole numbers lie less than that from the middle
 
 
+def products(vectors: np.ndarray, query: np.ndarray, large: bool) -> np.ndarray:
+    """Inner products; ``large`` ones by whole numbers of any size, cut to the range of a long."""
+    if not large:
+        return vectors @ query
+    ends = np.iinfo(np.int64)
+    return np.array([min(max(x, ends.min), ends.max) for x in (vectors.astype(object) @ query.astype(object)).tolist()], np.int64)
+
+
 def best(queries: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query, positions and scores that hold its k best scores with all ties of the kth; read as the bounds say."""
     out = []
+    reach = np.abs(queries.astype(np.float64)).max(initial=0) * np.abs(vectors.astype(np.float64)).max(initial=0) * queries.shape[1]
+    large = bool(reach >= _EXACT)
     for at in range(0, len(queries), 128):
         part = queries[at : at + 128]
         centre, half = bounds(part.astype(np.float64), vectors.astype(np.float64))
+        half = half + large * reach * queries.shape[1] * 2.0**-48  # what doubles of that size may have lost
         for q, c, h in zip(part, centre, half, strict=True):
             if len(c) > k:
                 certain = np.partition(c, len(c) - k)[len(c) - k] - h  # k candidates score at least this
@@ -72,7 +84,7 @@ def best(queries: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndar
             read, scores = 0, np.empty(0, np.int64)
             while read < len(left):
                 step = left[read : read + 4 * k]
-                scores = np.concatenate([scores, vectors[step] @ q])
+                scores = np.concatenate([scores, products(vectors[step], q, large)])
                 read += len(step)
                 if len(scores) >= k and read < len(left) and c[left[read]] + h < np.partition(scores, len(scores) - k)[len(scores) - k]:
                     break
@@ -87,7 +99,7 @@ def best(queries: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndar
 def scaled(vector: Column, factor: int) -> Column:
     """floor(factor * component) as integers, or null where the vector takes no part."""
     sound = F.coalesce(F.size(vector) > 0, F.lit(False)) & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    return F.when(sound, F.transform(vector, lambda x: F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), F.floor(x.cast("double") * factor).cast("double"))).cast("long")))
+    return F.when(sound, F.transform(vector, lambda x: F.floor(x.cast("double") * factor)))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", factor: int = 64) -> DataFrame:
