@@ -16,8 +16,27 @@ def test_stale_and_gap(spark):
     bars = spark.createDataFrame([("industry", code, d, 1.0, 1.0, 1.0, 1.0, "lines") for code, ds in dates.items() for d in ds], "kind string, code string, date date, open double, high double, low double, close double, data_source string")
     source = bars.select("kind", "code").distinct().withColumn("name", F.col("code"))
     failures = spark.createDataFrame([], "kind string, code string, name string, error string")
-    got = {r.code: r for r in audit.rows(source, source, bars, failures, source.select("kind", "name"), source.withColumn("flow_5d_pct", F.lit(1.0)), F.lit(cutoff)).collect()}
+    flows = [F.lit(1.0).alias(f"flow_{n}d_pct") for n in audit.WINDOWS]
+    got = {r.code: r for r in audit.rows(source, source, bars, failures, source.select("kind", "name", *flows), source.select("kind", "code", *flows), F.lit(cutoff)).collect()}
     assert {code: r.audit_status for code, r in got.items()} == {"whole": "complete", "current": "complete", "stale": "stale", "gap": "gap", "old_gap": "complete", "late": "complete"}
     assert {code: (r.missing_count, r.stale_sessions, r.missing_trading_dates) for code, r in got.items() if r.missing_count} == {
         "stale": (3, 3, ",".join(str(d) for d in DAYS[-4:-1])), "gap": (1, 0, str(DAYS[20])),
     }
+
+
+def test_statuses(spark):
+    """An error matters only without a history; a flow needs all windows; shares are of the target."""
+    bar = lambda code, d, *x: ("concept", code, d, *x, "lines")
+    good = (1.0, 1.0, 1.0, 1.0)
+    odd = {"open_outside": (5.0, 2.0, 1.0, 1.5), "close_above": (1.0, 2.0, 1.0, 3.0), "no_close": (1.0, 1.0, 1.0, None)}
+    codes = ["erred", "one_window", *odd]
+    bars = spark.createDataFrame([bar(code, d, *(odd.get(code, good) if k == 5 else good)) for code in codes for k, d in enumerate(DAYS)], "kind string, code string, date date, open double, high double, low double, close double, data_source string")
+    source = spark.createDataFrame([("concept", c, c) for c in [*codes, "short", "lost", "left_out"]], "kind string, code string, name string")
+    failures = spark.createDataFrame([("concept", c, c, e) for c, e in (("erred", "too_short"), ("short", "too_short"), ("lost", "timeout"))], "kind string, code string, name string, error string")
+    flows = spark.createDataFrame([("concept", c, 1.0, 1.0, None if c == "one_window" else 1.0) for c in codes], "kind string, name string, flow_1d_pct double, flow_5d_pct double, flow_10d_pct double")
+    scored = spark.createDataFrame([("concept", c, None, None, None) for c in codes], "kind string, code string, flow_1d_pct double, flow_5d_pct double, flow_10d_pct double")
+    found = audit.rows(source, source.filter("code <> 'left_out'"), bars, failures, flows, scored, F.lit(DAYS[-1]))
+    assert {r.code: r.audit_status for r in found.collect()} == {"erred": "complete", "one_window": "partial_flow", "open_outside": "complete", "close_above": "bad_quality", "no_close": "bad_quality", "short": "too_short", "lost": "failed", "left_out": "filtered"}
+    total = next(r for r in audit.summary(found).collect() if r.kind == "all")
+    assert (total.universe, total.filtered, total.target, total.history_success, total.scored, total.omitted, total.warnings) == (8, 1, 7, 5, 5, 2, 3)
+    assert (total.target_coverage_pct, total.flow_1d_match_pct, total.flow_10d_available_pct) == (71.43, 71.43, 57.14)

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidegauge.functions.expr import first_label, holds
 
 CALENDAR_DAYS = 30
+WINDOWS = (1, 5, 10)
+#: Statuses that count as quality warnings in the summary.
+WARNED = ("bad_quality", "stale", "gap", "partial_flow")
 
 
 def calendar(bars: DataFrame, cutoff) -> DataFrame:
@@ -21,49 +24,55 @@ def calendar(bars: DataFrame, cutoff) -> DataFrame:
 def rows(source: DataFrame, target: DataFrame, bars: DataFrame, failures: DataFrame, flows: DataFrame, scored: DataFrame, cutoff) -> DataFrame:
     """A row for each source board: stages it reached, gaps, staleness, quality counts and one status.
 
-    ``source`` and ``target``: kind, code, name; ``bars`` with OHLC and data_source; ``flows``: kind, name; ``scored``:
-    kind, code, flow_5d_pct.
+    ``source`` and ``target``: kind, code, name; ``bars`` with OHLC and data_source; ``flows``: kind, name and
+    flow_{n}d_pct for the ``WINDOWS``; ``scored``: kind, code and the same. A board's fetch error only tells why it has no
+    history; a history is judged by its bars.
     """
     key = ["kind", "code"]
     doubled = source.withColumns({"duplicate_code": F.count("*").over(Window.partitionBy("kind", "code")) > 1, "duplicate_name": F.count("*").over(Window.partitionBy("kind", "name")) > 1})
-    bad = holds((F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high")))
+    bad = holds(F.col("high") < F.col("low")) | holds(F.col("close") > F.col("high")) | holds(F.col("close") < F.col("low"))
     history = bars.groupBy(*key).agg(
         F.count("*").alias("history_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), (F.count("*") - F.count_distinct("date")).alias("duplicate_dates"),
-        F.sum(F.when(holds(F.col("close") > 0), 0).otherwise(1)).alias("invalid_close"), F.sum(F.when(bad, 1).otherwise(0)).alias("invalid_ohlc"), F.max_by("data_source", "date").alias("history_source"),
+        F.sum(F.when(holds(F.col("close") > 0), 0).otherwise(1)).alias("invalid_close"), F.sum(F.when(bad, 1).otherwise(0)).alias("invalid_ohlc"), F.max_by("data_source", F.when(F.col("data_source").isNotNull(), F.col("date"))).alias("history_source"),
     )
     expected = calendar(bars, cutoff)
     due = history.select(*key, "first_date", "last_date").join(F.broadcast(expected), "kind").filter("date >= first_date")  # at most 30 dates for each kind
     gone = due.join(bars.select(*key, "date").distinct(), [*key, "date"], "left_anti")
     gaps = gone.groupBy(*key).agg(F.count("*").alias("missing_count"), F.array_join(F.array_sort(F.collect_list(F.date_format("date", "yyyy-MM-dd"))), ",").alias("missing_trading_dates"), F.sum((F.col("date") > F.col("last_date")).cast("int")).alias("stale_sessions"))
-    matched = flows.select("kind", "name").distinct().withColumn("flow_matched", F.lit(True))
+    flow = [f"flow_{n}d" for n in WINDOWS]
+    matched = flows.groupBy("kind", "name").agg(*[(F.count(f"{w}_pct") > 0).alias(f"{w}_matched") for w in flow])
+    known = scored.groupBy(*key).agg(F.lit(True).alias("is_scored"), *[(F.count(f"{w}_pct") > 0).alias(f"{w}_known") for w in flow])
     placed = (
         doubled.join(target.select(*key).distinct().withColumn("is_target", F.lit(True)), key, "left").join(history, key, "left").join(gaps, key, "left").join(failures.select(*key, "error").dropDuplicates(key), key, "left")
-        .join(matched, ["kind", "name"], "left").join(scored.select(*key, F.lit(True).alias("is_scored"), F.col("flow_5d_pct").isNotNull().alias("has_flow")).dropDuplicates(key), key, "left")
+        .join(matched, ["kind", "name"], "left").join(known, key, "left")
     )
-    flags = {c: F.coalesce(c, F.lit(False)) for c in ("is_target", "flow_matched", "is_scored", "has_flow")}
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("is_target", "is_scored", *[f"{w}_{x}" for w in flow for x in ("matched", "known")])}
     counts = {c: F.coalesce(c, F.lit(0)) for c in ("history_rows", "duplicate_dates", "invalid_close", "invalid_ohlc", "missing_count", "stale_sessions")}
     out = placed.withColumns(flags | counts | {"missing_trading_dates": F.coalesce("missing_trading_dates", F.lit(""))})
+    out = out.withColumns({f"{w}_available": F.col(f"{w}_matched") | F.col(f"{w}_known") for w in flow})
     c = F.col
+    available = F.forall(F.array(*[f"{w}_available" for w in flow]), lambda x: x)
     status = first_label(
         [
-            (~c("is_target"), "filtered"), (c("error") == "too_short", "too_short"), (c("error").isNotNull() | (c("history_rows") == 0), "failed"), (c("duplicate_dates") + c("invalid_close") + c("invalid_ohlc") > 0, "bad_quality"),
-            (c("stale_sessions") > 0, "stale"), (c("missing_count") > 0, "gap"), (~c("is_scored"), "unscored"), (~(c("flow_matched") | c("has_flow")), "partial_flow"),
+            (~c("is_target"), "filtered"), ((c("history_rows") == 0) & (c("error") == "too_short"), "too_short"), (c("history_rows") == 0, "failed"), (c("duplicate_dates") + c("invalid_close") + c("invalid_ohlc") > 0, "bad_quality"),
+            (c("stale_sessions") > 0, "stale"), (c("missing_count") > 0, "gap"), (~c("is_scored"), "unscored"), (~available, "partial_flow"),
         ],
         "complete",
     )
-    return out.withColumns({"audit_status": status, "is_omitted": ~c("is_scored")}).select("kind", "code", "name", "duplicate_code", "duplicate_name", "is_target", "history_rows", "history_source", "duplicate_dates", "invalid_close", "invalid_ohlc", "missing_count", "missing_trading_dates", "stale_sessions", "flow_matched", "is_scored", "audit_status", "is_omitted")
+    return out.withColumns({"audit_status": status, "is_omitted": ~c("is_scored")}).select("kind", "code", "name", "duplicate_code", "duplicate_name", "is_target", "history_rows", "history_source", "duplicate_dates", "invalid_close", "invalid_ohlc", "missing_count", "missing_trading_dates", "stale_sessions", *[f"{w}_{x}" for w in flow for x in ("matched", "available")], "is_scored", "audit_status", "is_omitted")
 
 
 def summary(audit: DataFrame) -> DataFrame:
-    """Totals and shares of each kind, and of all."""
-    flag = lambda x: F.sum(x.cast("int"))
+    """Totals and shares of each kind, and of all; but for the universe and the boards filtered, all are of the target."""
     c = F.col
-    totals = audit.rollup("kind").agg(
-        F.when(F.grouping("kind") == 1, "all").otherwise(F.first("kind")).alias("group"), F.count("*").alias("universe"), flag(~c("is_target")).alias("filtered"), flag(c("is_target")).alias("target"), flag(c("is_target") & (c("history_rows") > 0)).alias("history_success"),
-        flag(c("is_scored")).alias("scored"), flag(c("is_omitted")).alias("omitted"), flag(c("audit_status") != "complete").alias("warnings"),
-    )
-    share = lambda a, b: F.bround(F.try_divide(c(a) * 100.0, F.nullif(c(b), F.lit(0))), 2)
-    return totals.select(c("group").alias("kind"), "universe", "filtered", "target", "history_success", "scored", "omitted", "warnings", share("scored", "universe").alias("scored_pct"), share("history_success", "target").alias("history_pct"), share("omitted", "universe").alias("omitted_pct"))
+    flag = lambda x: F.coalesce(F.sum(x.cast("int")), F.lit(0))
+    target = lambda x: flag(c("is_target") & x)
+    share = lambda x: F.bround(F.try_divide(target(x) * 100.0, F.nullif(target(F.lit(True)), F.lit(0))), 2)
+    return audit.rollup("kind").agg(
+        F.when(F.grouping("kind") == 1, "all").otherwise(F.first("kind")).alias("group"), F.count("*").alias("universe"), flag(~c("is_target")).alias("filtered"), target(F.lit(True)).alias("target"), target(c("history_rows") > 0).alias("history_success"),
+        target(c("is_scored")).alias("scored"), target(c("is_omitted")).alias("omitted"), target(c("audit_status").isin(*WARNED)).alias("warnings"), share(c("is_scored")).alias("target_coverage_pct"),
+        *[share(c(f"flow_{n}d_{x}")).alias(f"flow_{n}d_{y}_pct") for x, y in (("matched", "match"), ("available", "available")) for n in WINDOWS],
+    ).drop("kind").withColumnRenamed("group", "kind")
 
 
 def distribution(audit: DataFrame) -> DataFrame:

@@ -1,7 +1,4 @@
-"""The completeness audit on the landed tables, with SQL. Boards lose a stage by their number, so that most statuses occur.
-
-Not stale and gap: the given bars run past the cutoff by more than the calendar's dates, so no session is expected.
-"""
+"""The completeness audit on the landed tables, with SQL. Boards lose a stage by their number, so that every status occurs."""
 
 from __future__ import annotations
 
@@ -11,8 +8,8 @@ from tidegauge.operators import audit
 from tidegauge.plans import oracle as sql
 from tidegauge.sources import adapters
 
-#: The last completed session, and the last one that boards which went stale have.
-CUTOFF, STALE = "1998-06-01", "1998-03-01"
+#: Days before the last bar's date of the last completed session, and of the last one that boards which went stale have.
+CUTOFF, STALE = 7, 28
 
 
 def _number() -> Column:
@@ -21,37 +18,44 @@ def _number() -> Column:
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = adapters.bars(spark, sf_dir)
+    last = bars.agg(F.max("date")).first()[0]
+    before = lambda days: F.date_sub(F.lit(last).cast("date"), days)
     source = bars.select("kind", "code").distinct().withColumn("name", F.when(_number() % 9 == 0, "shared").otherwise(F.col("code")))
-    kept = bars.filter((_number() % 5 != 3) & ~((_number() % 8 == 5) & (F.col("date") > F.lit(STALE).cast("date"))))
+    kept = bars.filter((_number() % 5 != 3) & ~((_number() % 8 == 5) & (F.col("date") > before(STALE))) & ~((_number() % 7 == 3) & (F.col("date") == before(2 * CUTOFF))))
     failures = source.withColumn("error", F.when(_number() % 10 == 7, "too_short").when(_number() % 10 == 9, "fetch_failed")).filter("error is not null")
-    scored = source.filter(_number() % 6 != 1).withColumn("flow_5d_pct", F.when(_number() % 3 != 0, 1.0))
-    flows = adapters.flows(spark, sf_dir).select("kind", "name")
-    return audit.rows(source, source.filter(_number() % 4 != 0), kept, failures, flows, scored, F.lit(CUTOFF).cast("date"))
+    scored = source.filter(_number() % 6 != 1).withColumns({"flow_1d_pct": F.when(_number() % 2 == 0, 1.0), "flow_5d_pct": F.when(_number() % 3 != 0, 1.0), "flow_10d_pct": F.when(_number() % 7 == 0, 1.0)})
+    flows = adapters.flows(spark, sf_dir).select("kind", "name", *[F.col(f"flow_{n}d_direct_pct").alias(f"flow_{n}d_pct") for n in audit.WINDOWS])
+    return audit.rows(source, source.filter(_number() % 4 != 0), kept, failures, flows, scored, before(CUTOFF))
 
 
 AUDIT = f"""{sql.BARS},
 boards as (select *, case when number % 9 = 0 then 'shared' else code end as name from (select distinct kind, code, regexp_extract(code, '([0-9]+)$', 1)::bigint as number from bars)),
-kept as (select b.* from bars b join boards using (kind, code) where number % 5 <> 3 and not (number % 8 = 5 and date > date '{STALE}')),
+ended as (select max(date) as last from bars),
+kept as (select b.* from bars b join boards using (kind, code), ended where number % 5 <> 3 and not (number % 8 = 5 and date > last - {STALE}) and not (number % 7 = 3 and date = last - {2 * CUTOFF})),
 longest as (select kind, code from (select kind, code, row_number() over (partition by kind order by count(distinct date) desc, code) as place from kept group by kind, code) where place = 1),
-expected as (select kind, date from (select kind, date, row_number() over (partition by kind order by date desc) as place from kept join longest using (kind, code)) where place <= {audit.CALENDAR_DAYS} and date <= date '{CUTOFF}'),
+expected as (select kind, date from (select kind, date, row_number() over (partition by kind order by date desc) as place from kept join longest using (kind, code)), ended where place <= {audit.CALENDAR_DAYS} and date <= last - {CUTOFF}),
 history as (select kind, code, count(*) as history_rows, min(date) as first_date, max(date) as last_date, count(*) filter (not coalesce(close > 0, false)) as invalid_close,
-            count(*) filter (high < greatest(open, close, low) or low > least(open, close, high)) as invalid_ohlc from kept group by kind, code),
+            count(*) filter (high < low or close > high or close < low) as invalid_ohlc from kept group by kind, code),
 due as (select h.kind, h.code, e.date, last_date from history h join expected e on e.kind = h.kind and e.date >= h.first_date),
 gaps as (select kind, code, count(*) as missing_count, string_agg(strftime(date, '%Y-%m-%d'), ',' order by date) as missing_trading_dates, count(*) filter (date > last_date) as stale_sessions
          from due d anti join kept using (kind, code, date) group by kind, code),
 staged as (select kind, code, name, false as duplicate_code, count(*) over (partition by kind, name) > 1 as duplicate_name, number % 4 <> 0 as is_target, coalesce(history_rows, 0) as history_rows, case when history_rows > 0 then 'lines' end as history_source,
            0 as duplicate_dates, coalesce(invalid_close, 0) as invalid_close, coalesce(invalid_ohlc, 0) as invalid_ohlc, coalesce(missing_count, 0) as missing_count, coalesce(missing_trading_dates, '') as missing_trading_dates,
-           coalesce(stale_sessions, 0) as stale_sessions, number % 3 <> 0 as flow_matched, number % 6 <> 1 as is_scored, case number % 10 when 7 then 'too_short' when 9 then 'fetch_failed' end as error
+           coalesce(stale_sessions, 0) as stale_sessions, number % 3 <> 0 as flow_1d_matched, number % 3 <> 0 as flow_5d_matched, number % 3 <> 0 as flow_10d_matched, number % 6 <> 1 as is_scored,
+           number % 3 <> 0 or (number % 6 <> 1 and number % 2 = 0) as flow_1d_available, number % 3 <> 0 as flow_5d_available, number % 3 <> 0 or (number % 6 <> 1 and number % 7 = 0) as flow_10d_available, case number % 10 when 7 then 'too_short' when 9 then 'fetch_failed' end as error
            from boards left join history using (kind, code) left join gaps using (kind, code)),
-audited as (select *, not is_scored as is_omitted, case when not is_target then 'filtered' when error = 'too_short' then 'too_short' when error is not null or history_rows = 0 then 'failed' when invalid_close + invalid_ohlc > 0 then 'bad_quality'
-            when stale_sessions > 0 then 'stale' when missing_count > 0 then 'gap' when not is_scored then 'unscored' when not flow_matched then 'partial_flow' else 'complete' end as audit_status from staged)"""
-_PLAIN = ["kind", "code", "name", "duplicate_code", "duplicate_name", "is_target", "history_source", "missing_trading_dates", "flow_matched", "is_scored", "audit_status", "is_omitted"]
+audited as (select *, not is_scored as is_omitted, case when not is_target then 'filtered' when history_rows = 0 and error = 'too_short' then 'too_short' when history_rows = 0 then 'failed' when invalid_close + invalid_ohlc > 0 then 'bad_quality'
+            when stale_sessions > 0 then 'stale' when missing_count > 0 then 'gap' when not is_scored then 'unscored' when not (flow_1d_available and flow_5d_available and flow_10d_available) then 'partial_flow' else 'complete' end as audit_status from staged)"""
+_FLOWS = [f"flow_{n}d_{x}" for n in audit.WINDOWS for x in ("matched", "available")]
+_PLAIN = ["kind", "code", "name", "duplicate_code", "duplicate_name", "is_target", "history_source", "missing_trading_dates", *_FLOWS, "is_scored", "audit_status", "is_omitted"]
 _COUNTS = ["history_rows", "duplicate_dates", "invalid_close", "invalid_ohlc", "missing_count", "stale_sessions"]
-_TOTALS, _SHARES = ["universe", "filtered", "target", "history_success", "scored", "omitted", "warnings"], ["scored_pct", "history_pct", "omitted_pct"]
+_OF_TARGET = {"target": "true", "history_success": "history_rows > 0", "scored": "is_scored", "omitted": "is_omitted", "warnings": "audit_status in ('bad_quality', 'stale', 'gap', 'partial_flow')"}
+_TOTALS = ["universe", "filtered", *_OF_TARGET]
+_SHARED = {"target_coverage_pct": "is_scored"} | {f"flow_{n}d_{y}_pct": f"flow_{n}d_{x}" for x, y in (("matched", "match"), ("available", "available")) for n in audit.WINDOWS}
 SUMMARY = f"""{AUDIT},
-totals as (select coalesce(kind, 'all') as kind, count(*) as universe, count(*) filter (not is_target) as filtered, count(*) filter (is_target) as target, count(*) filter (is_target and history_rows > 0) as history_success,
-           count(*) filter (is_scored) as scored, count(*) filter (is_omitted) as omitted, count(*) filter (audit_status <> 'complete') as warnings from audited group by rollup (kind)),
-shares as (select *, {", ".join(f"round_even({a} * 100.0::double / nullif({b}, 0), 2) as {n}" for n, a, b in (("scored_pct", "scored", "universe"), ("history_pct", "history_success", "target"), ("omitted_pct", "omitted", "universe")))} from totals)"""
+shares as (select coalesce(kind, 'all') as kind, count(*) as universe, count(*) filter (not is_target) as filtered, {", ".join(f"count(*) filter (is_target and {x}) as {n}" for n, x in _OF_TARGET.items())},
+           {", ".join(f"round_even(count(*) filter (is_target and {x}) * 100.0::double / nullif(count(*) filter (is_target), 0), 2) as {n}" for n, x in _SHARED.items())} from audited group by rollup (kind))"""
+_SHARES = list(_SHARED)
 
 #: Name, plan, columns and SQL of each query.
 ENTRIES = [
