@@ -87,13 +87,14 @@ def pool(default: DataFrame, custom: DataFrame, removed: DataFrame) -> DataFrame
     return default.withColumn("origin", F.lit("default")).unionByName(own.withColumn("origin", F.lit("custom")))
 
 
-def resolve_boards(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
+def resolve_boards(wanted: DataFrame, catalog: DataFrame, exact_only: bool = False) -> DataFrame:
     """For each wanted (id, alias_pos, alias) the catalog's board (code, name): exact names first, in the order of the
-    aliases, then names that hold each other, nearest in length; the catalog is a dimension table of bounded size."""
+    aliases, then (unless ``exact_only``) names that hold each other, nearest in length; the catalog is a dimension table of bounded size."""
     a, b = board_name(F.col("alias")), board_name(F.col("name"))
     named = catalog.withColumn("b", b)
     small = named.limit(100_001).count() <= 100_000  # beyond that Spark picks the join
     near = wanted.withColumn("a", a).join(F.broadcast(named) if small else named, (F.length("a") > 0) & (F.length("b") > 0) & (F.col("b").contains(F.col("a")) | F.col("a").contains(F.col("b"))))
+    near = near.filter("a = b") if exact_only else near
     tier = F.when(F.col("a") == F.col("b"), 0).otherwise(1)
     place = F.row_number().over(Window.partitionBy("id").orderBy(tier, "alias_pos", F.abs(F.length("a") - F.length("b")), "code"))
     return near.withColumn("tier", tier).withColumn("place", place).filter("place = 1").select("id", "alias", "code", "name", "tier")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.functions.expr import clipped, first_label, holds, ratio
+from tidegauge.functions.expr import clipped, first_label, holds
 
 METRICS = ("pe", "pb", "ps", "ocf_yield")
 GROWTH_FAMILIES = ("growth_pe", "cyclical_growth", "quality_growth", "mature_consumer", "materials_mature", "commodity_cycle")
@@ -260,7 +260,3 @@ def config_violations(sectors: DataFrame, weights: DataFrame, stocks: DataFrame)
     for rule in rules[1:]:
         out = out.unionByName(rule)
     return out
-
-
-def share_of(a: str, b: str) -> Column:
-    return ratio(F.col(a), F.col(b))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.functions import expr
 from tidegauge.operators import backtest, canonical, fundamentals, history, synthetic, trajectory, views
-from tidegauge.plans import appraisal, auditing, oracle as sql, panel, policy
+from tidegauge.plans import appraisal, auditing, catalog, oracle as sql, panel, policy
 from tidegauge.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,7 +193,8 @@ add(
     f"""select distinct name, {_BOARD.format(_MARKS.format("name", ""))} as board_key, {_BOARD.format(_MARKS.format("regexp_replace(lower(trim(name)), '^[a-z][0-9][0-9]', '')", ""))} as theme_key, {_MARKS.format("name", "")} as compact_key,
         regexp_replace({_MARKS.format("name", "/")}, '(概念|板块|行业)$', '') as valuation_key, regexp_replace({_MARKS.format("name", "/")}, '概念|板块|行业', '', 'g') as stage_key from (select 'c01 ' || p_name || '_(概念)' as name from part)""",
 )
-add("code_extract", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.array_join(expr.stock_codes(F.concat_ws(" ", F.lpad(F.col("c_custkey").cast("string"), 6, "6"), F.col("c_name"), F.lit("sh.600519"), F.lit("600519"))), ",").alias("codes")), ["c_custkey", "codes"], None)
+add("code_extract", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.array_join(expr.stock_codes(F.concat_ws(" ", F.lpad(F.col("c_custkey").cast("string"), 6, "6"), F.col("c_name"), F.lit("sh.600519"), F.lit("600519"))), ",").alias("codes")), ["c_custkey", "codes"],
+    "select c_custkey, lpad(c_custkey::varchar, 6, '6') || case when lpad(c_custkey::varchar, 6, '6') = '600519' then '' else ',600519' end as codes from customer")
 add("dataset_freshness", lambda s, d: canonical.freshness({"lines": (adapters.landed(s, d, "lineitem"), "l_shipdate"), "orders": (adapters.landed(s, d, "orders"), "o_orderdate"), "events": (adapters.landed(s, d, "events"), "ts")}), ["dataset", "rows", "last_date"],
     "select 'lines' as dataset, count(*)::bigint as rows, max(l_shipdate)::date::varchar as last_date from lineitem union all select 'orders', count(*), max(o_orderdate)::date::varchar from orders union all select 'events', count(*), max(ts)::date::varchar from events")
 add("universe_hash", lambda s, d: trajectory.universe_hash(panel.sector_members(s, d), "sector", "code"), ["sector", "universe_hash"],
@@ -239,7 +240,7 @@ for _name, _columns in {"robust_z": ["last_close", "robust_z"], "shrinkage": ["s
 
 # fair values, the audit and the policy ----------------------------------------------------------------------------------------
 
-for _entry in [*appraisal.ENTRIES, *auditing.ENTRIES, *policy.entries(_HISTORY)]:
+for _entry in [*appraisal.ENTRIES, *auditing.ENTRIES, *policy.entries(_HISTORY), *catalog.ENTRIES]:
     add(*_entry)
 
 
