@@ -10,8 +10,9 @@ from tidegauge.operators.trajectory import latest_of_day
 def numbered_days(snapshots: DataFrame) -> DataFrame:
     """The last snapshot of each day, with the day's number; days are few, so one window numbers them."""
     last = latest_of_day(snapshots)
+    # the optimizer broadcasts the days where they are small
     days = last.select("snapshot_date").distinct().withColumn("day", F.row_number().over(Window.orderBy("snapshot_date")))
-    return last.join(F.broadcast(days), "snapshot_date")
+    return last.join(days, "snapshot_date")
 
 
 def future_pairs(snapshots: DataFrame, horizon: int = 10) -> DataFrame:
@@ -20,8 +21,8 @@ def future_pairs(snapshots: DataFrame, horizon: int = 10) -> DataFrame:
     strong = days.withColumn("rs", F.col("ret_1d") - F.median("ret_1d").over(Window.partitionBy("day", "kind")))
     later = strong.select("kind", "code", F.col("day").alias("later_day"), F.col("mainline_score").alias("later_score"), F.col("rs").alias("later_rs"))
     base = days.select("snapshot_date", "day", "kind", "code", "ignition_score", "ret_5d")
-    met = base.join(later, ["kind", "code"]).filter((F.col("later_day") > F.col("day")) & (F.col("later_day") <= F.col("day") + horizon))
-    return met.withColumn("offset", F.col("later_day") - F.col("day"))
+    ahead = base.withColumn("offset", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("later_day", F.col("day") + F.col("offset"))
+    return ahead.join(later, ["kind", "code", "later_day"])
 
 
 def detail(snapshots: DataFrame, top_k: int = 10, horizon: int = 10, ignition: float = 70, mainline: float = 80) -> DataFrame:

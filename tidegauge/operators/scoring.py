@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegauge.functions.expr import at_least, clipped, holds, last_label, percentile_rank, ramp
+from tidegauge.functions.expr import at_least, clipped, holds, last_label, ramp
 
 GROUP = ("kind", "as_of")
 
@@ -27,34 +27,50 @@ TRAJECTORY = list(IGNITION)[:7]
 SIGNALS = {"flow_1d_signal", "flow_5d_signal", "flow_10d_signal", "flow_acceleration_signal"}
 
 
+def ranked(rows: DataFrame, signals: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
+    """Adds for each signal (its value, and a column that parts its cross-sections further): ``rank_`` its average-tie
+    percentile rank among the values of its part, null for null; ``held_`` the values and ``size_`` the rows of that part.
+
+    All signals are ranked at once, as long rows under one sort; the wide row travels with its first signal. ``rows`` has
+    one row for each kind, as_of and code.
+    """
+    items = F.array(*[F.struct(F.lit(n).alias("signal"), value.cast("double").alias("value"), (F.lit("") if part is None else part).alias("part")) for n, (value, part) in signals.items()])
+    exploded = rows.select(*GROUP, "code", F.struct(*rows.columns).alias("row"), F.posexplode(items).alias("at", "item"))
+    long = exploded.select(*GROUP, "code", F.when(F.col("at") == 0, F.col("row")).alias("row"), "item.*")
+    part = Window.partitionBy(*GROUP, "signal", "part")
+    order = part.orderBy(F.col("value").asc_nulls_last())
+    placed = long.withColumns({"first": F.rank().over(order), "last": F.count("value").over(order), "held": F.count("value").over(part), "size": F.count("*").over(part)})
+    middle = F.when(F.col("value").isNotNull(), (F.col("first") + F.col("last")) / 2.0 / F.col("held"))
+    of = lambda n, x: F.max(F.when(F.col("signal") == n, x))
+    wide = [y for n in signals for y in (of(n, middle).alias(f"rank_{n}"), of(n, F.col("held")).alias(f"held_{n}"), of(n, F.col("size")).alias(f"size_{n}"))]
+    return placed.groupBy(*GROUP, "code").agg(F.first("row", True).alias("row"), *wide).select("row.*", *[f"{x}_{n}" for n in signals for x in ("rank", "held", "size")])
+
+
 def flow_signals(rows: DataFrame) -> DataFrame:
     """Flow ranks among boards of one source, drawn to 0.5 by the source's confidence; 0.5 in groups below three."""
+    names = ["flow_acceleration", *[f"flow_{k}d" for k in (1, 5, 10)]]
+    found = ranked(rows, {n: (F.col(n if n == "flow_acceleration" else f"{n}_pct"), F.col(f"{n}_source")) for n in names})
     out = {}
-    for k in (1, 5, 10):
-        by = (*GROUP, f"flow_{k}d_source")
-        ranked = F.when(F.count("*").over(_over(by)) >= 3, percentile_rank(F.col(f"flow_{k}d_pct"), *by)).otherwise(0.5)
-        out[f"flow_{k}d_signal"] = 0.5 + (ranked - 0.5) * F.col(f"flow_{k}d_confidence")
+    for n in names[1:]:
+        among = F.when(F.col(f"size_{n}") >= 3, F.coalesce(f"rank_{n}", F.lit(0.5))).otherwise(0.5)
+        out[f"{n}_signal"] = 0.5 + (among - 0.5) * F.col(f"{n}_confidence")
     value, source = F.col("flow_acceleration"), F.col("flow_acceleration_source")
-    by = (*GROUP, "flow_acceleration_source")
     confidence = F.least("flow_1d_confidence", "flow_5d_confidence")
-    ranked = F.when(F.count(value).over(_over(by)) >= 3, percentile_rank(value, *by)).otherwise(0.5)
-    out["flow_acceleration_signal"] = F.when(value.isNotNull() & (source != "not_comparable"), 0.5 + (ranked - 0.5) * confidence).otherwise(0.5)
-    return rows.withColumns(out)
-
-
-def _over(by: tuple[str, ...]) -> WindowSpec:
-    return Window.partitionBy(*by)
+    among = F.when(F.col("held_flow_acceleration") >= 3, F.coalesce("rank_flow_acceleration", F.lit(0.5))).otherwise(0.5)
+    out["flow_acceleration_signal"] = F.when(value.isNotNull() & (source != "not_comparable"), 0.5 + (among - 0.5) * confidence).otherwise(0.5)
+    return found.withColumns(out).select(*rows.columns, *out)
 
 
 def weighted(weights: Mapping[str, float], present: Mapping[str, Column] | None = None) -> Column:
     """100 * sum(weight * signal) / sum(weight), over the columns that are present for the cross-section.
 
-    ``present``: for a column that some cross-sections lack as a whole, whether this one has it.
+    ``present``: for a column that some cross-sections lack as a whole, whether this one has it. Columns other than signals
+    count by their ranks, which ``ranked`` has added.
     """
     present = present or {}
     parts, total = [], []
     for name, weight in weights.items():
-        signal = F.coalesce(F.col(name), F.lit(0.5)) if name in SIGNALS else percentile_rank(F.col(name), *GROUP)
+        signal = F.coalesce(F.col(name), F.lit(0.5)) if name in SIGNALS else F.coalesce(f"rank_{name}", F.lit(0.5))
         here = present.get(name)
         parts.append(signal * weight if here is None else F.when(here, signal * weight).otherwise(0.0))
         total.append(F.lit(weight) if here is None else F.when(here, F.lit(weight)).otherwise(0.0))
@@ -80,8 +96,10 @@ def scores(rows: DataFrame, present: Mapping[str, Column] | None = None) -> Data
     known = [F.when(present.get(c, F.lit(True)) & F.col(c).isNotNull(), 1.0).otherwise(0.0) for c in seen]
     count = sum(here[1:], here[0]) if seen else F.lit(0)
     coverage = F.when(count > 0, sum(known[1:], known[0]) / count).otherwise(0.0) if seen else F.lit(0.0)
+    names = dict.fromkeys(n for weights in (MAINLINE, CONFIRMATION, ignition) for n in weights if n not in SIGNALS)
     confirmation = clipped(weighted(CONFIRMATION) - crowding(), 0, 100)
-    return rows.withColumns({"mainline_score": weighted(MAINLINE), "confirmation_score": confirmation, "candidate_score": confirmation, "crowding_penalty": crowding(), "ignition_score": clipped(weighted(ignition, present) - early_crowding(), 0, 100), "ignition_history_coverage": coverage})
+    out = {"mainline_score": weighted(MAINLINE), "confirmation_score": confirmation, "candidate_score": confirmation, "crowding_penalty": crowding(), "ignition_score": clipped(weighted(ignition, present) - early_crowding(), 0, 100), "ignition_history_coverage": coverage}
+    return ranked(rows, {n: (F.col(n), None) for n in names}).withColumns(out).select(*[c for c in rows.columns if c not in out], *out)
 
 
 def sideways(rows: DataFrame) -> DataFrame:

@@ -14,10 +14,14 @@ PERIOD = "19970930"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared folder named by spark.checkpoint.dir (a temporary one only where none is set)."""
+    """Writes ``df`` once to the shared folder named by spark.checkpoint.dir; a local session without one gets a temporary one."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
