@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 A text is split by the vocabulary's pattern; each piece's UTF-8 bytes are mapped to the printable characters that
-byte-level vocabularies are written in, and the library's BPE model merges them. Pieces recur, so a worker remembers
+byte-level vocabularies are written in, and the library's BPE model merges them. Pieces recur, so a task remembers
 the ids of those it has seen, up to ``MEMO_PIECES``.
 
 Defined results: a null text counts as empty and has no ids; a text of any length is encoded whole; equal texts have
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces a worker remembers before it starts anew; at some 300 bytes each.
-MEMO_PIECES = 120_000
+#: Pieces a task remembers before it starts anew, at some 200 bytes each; a worker's next task starts without any.
+MEMO_PIECES = 300_000
 #: Rows, and bytes of text, whose ids a worker holds at a time; a longer text is held alone.
 SLICE_ROWS, SLICE_BYTES = 500, 8_000_000
 #: The byte-level pattern this module has a fast form of; others go through the ``regex`` module.
@@ -187,6 +187,7 @@ def encode(docs: DataFrame, source: str, text: str = "text", keep: tuple[str, ..
             if decoded:
                 columns.append(pa.array([joined(i, table) for i in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", *["char_starts"] * offsets, *["decoded"] * decoded])
+        code.pieces.clear()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 

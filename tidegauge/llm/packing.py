@@ -150,6 +150,7 @@ def pack(docs: DataFrame, source: str, key: str = "doc_id", text: str = "text",
                     packer.pack(final=False)
                 if len(packer.out) >= 20_000:
                     yield written(packer, kind)
+        code.pieces.clear()
         packer.pack(final=True)
         if packer.out:
             yield written(packer, kind)
