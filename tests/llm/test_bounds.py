@@ -1,4 +1,4 @@
-"""Operator 2's score ranges hold every score, and its early stop loses none of the best."""
+"""Operator 2's bounds hold every score, its scan leaves out none of the best, and ties go to the smaller id."""
 
 import numpy as np
 import pytest
@@ -8,19 +8,48 @@ from tidegauge.llm import topk
 
 @pytest.mark.parametrize("levels", [3, 64, 65, 100, 127, 128, 129, 200, 1000])
 def test_bounds_hold_every_score(levels):
-    queries, vectors = np.array([[1000.0], [-7.0]]), np.arange(levels, dtype=np.float64)[:, None]
-    centre, half = topk.bounds(queries, vectors)
-    assert (np.abs(queries @ vectors.T - centre) <= half[:, None]).all()
+    queries, vectors = np.array([[1000], [-7]]), np.arange(levels)[:, None]
+    low, high = topk.scan(queries, *topk.quantised(vectors))
+    exact = queries @ vectors.T
+    assert (low <= exact).all() and (exact <= high).all()
 
 
-def test_best_on_a_dense_grid():
-    grid = np.stack(np.meshgrid(np.arange(127), np.arange(127)), -1).reshape(-1, 2).astype(np.int64)
+@pytest.mark.parametrize("size", [127, 10**4, 10**12, 2**62])
+def test_bounds_of_wide_and_large_components(size):
+    draw = np.random.default_rng(size)
+    queries, vectors = draw.integers(-size, size, (40, 3)), draw.integers(-size, size, (500, 3))
+    low, high = topk.scan(queries, *topk.quantised(vectors))
+    exact = np.clip(np.array(queries.tolist(), object) @ np.array(vectors.tolist(), object).T, -(2**63), 2**63 - 1).astype(np.float64)
+    assert (low <= exact).all() and (exact <= high).all()
+
+
+def test_no_winner_is_left_out_on_a_dense_grid():
+    grid = np.stack(np.meshgrid(np.arange(1270, step=10), np.arange(1270, step=10)), -1).reshape(-1, 2)
     grid = np.random.default_rng(1).permutation(grid)
-    queries = np.random.default_rng(2).integers(1, 1000, (60, 2))
-    for q, (at, scores) in zip(queries, topk.best(queries, grid, 5), strict=True):
-        exact = grid @ q
-        least = np.sort(exact)[-5]
-        assert sorted(at) == np.flatnonzero(exact >= least).tolist() and (scores == exact[at]).all()
+    ids = np.random.default_rng(3).permutation(len(grid))
+    queries = np.random.default_rng(2).integers(-1000, 1000, (60, 2))
+    for q, low, high in zip(queries, *topk.scan(queries, *topk.quantised(grid)), strict=True):
+        winners = np.lexsort((ids, -(grid @ q)))[:5]
+        assert set(winners) <= set(topk.unbeaten(low, high, ids, 5))
+
+
+@pytest.mark.parametrize("spread", [1, 3000])
+def test_dense_grid_with_ties(spark, spread, monkeypatch):
+    """Scores tie by the hundred, and the query of zeros ties with all; small blocks make many meetings."""
+    from pyspark.sql import functions as F
+
+    for name, size in (("BLOCK", 256), ("STRIPE", 2), ("QUERIES", 8)):
+        monkeypatch.setattr(topk, name, size)
+    points = [(i, [float(spread * (i % 40)), float(spread * (i // 40 % 40))]) for i in range(2000)] + [(2000, [0.0, 0.0])]
+    frame = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(frame, F.col("vec_id") % 100 == 0, k=7, factor=1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    grid = np.array([v for _, v in points], np.int64)
+    for q in range(0, 2001, 100):
+        scores = grid @ grid[q]
+        order = [i for i in np.lexsort((np.arange(len(grid)), -scores)).tolist() if i != q][:7]
+        assert sorted(got[q]) == [(n + 1, i, int(scores[i])) for n, i in enumerate(order)]
 
 
 def test_large_components_and_edges(spark):
