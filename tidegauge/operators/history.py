@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def stats(history: DataFrame, entity: str, value: str, date: str, minimum: int = 30) -> DataFrame:
-    """A row for each entity. Points that repeat say less: the effective number is n (1 - rho) / (1 + rho)."""
+def stats(history: DataFrame, entity: str | list[str], value: str, date: str, minimum: int = 30) -> DataFrame:
+    """A row for each entity, named by one column or several. Points that repeat say less: the effective number is n (1 - rho) / (1 + rho)."""
     rows = history.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    own = Window.partitionBy(entity)
+    keys = [entity] if isinstance(entity, str) else entity
+    own = Window.partitionBy(*keys)
     ready = rows.withColumn("_before", F.lag(value).over(own.orderBy(date))).withColumn("_off", F.abs(F.col(value) - F.median(value).over(own)))
     points = F.col("points")
-    out = ready.groupBy(entity).agg(F.count("*").alias("points"), F.max(date).alias("last_date"), F.corr(value, "_before").alias("_rho"), F.percentile(value, F.array(*map(F.lit, (0.10, 0.25, 0.50, 0.75, 0.90)))).alias("_q"), F.median("_off").alias("mad"))
+    out = ready.groupBy(*keys).agg(F.count("*").alias("points"), F.max(date).alias("last_date"), F.corr(value, "_before").alias("_rho"), F.percentile(value, F.array(*map(F.lit, (0.10, 0.25, 0.50, 0.75, 0.90)))).alias("_q"), F.median("_off").alias("mad"))
     rho = F.greatest(F.lit(-0.95), F.least(F.lit(0.95), F.col("_rho")))
     effective = F.when((points < 3) | F.col("_rho").isNull() | F.isnan("_rho"), points.cast("double")).otherwise(F.least(points.cast("double"), F.greatest(F.lit(1.0), points * (1 - rho) / (1 + rho))))
     out = out.withColumn("effective_points", effective)
     need = max(5.0, minimum * 0.20)
     status = F.when(points < minimum, "INSUFFICIENT_POINTS").when(F.col("effective_points") < need, "INSUFFICIENT_EFFECTIVE_POINTS").otherwise("OK")
     quantiles = [F.element_at("_q", k + 1).alias(n) for k, n in enumerate(("q10", "q25", "q50", "q75", "q90"))]
-    return out.select(entity, status.alias("status"), "points", "effective_points", "last_date", F.least(F.lit(1.0), F.col("effective_points") / max(float(minimum), 1.0)).alias("confidence"), F.element_at("_q", 3).alias("median"), *quantiles, "mad")
+    return out.select(*keys, status.alias("status"), "points", "effective_points", "last_date", F.least(F.lit(1.0), F.col("effective_points") / max(float(minimum), 1.0)).alias("confidence"), F.element_at("_q", 3).alias("median"), *quantiles, "mad")
 
 
 def robust_z(value: Column, median: Column, mad: Column) -> Column:
@@ -34,6 +35,6 @@ def shrunk(model: Column, status: Column, median: Column, effective: Column, con
     return value, weight
 
 
-def last_positive(history: DataFrame, entity: str, value: str, date: str, most: int = 750) -> DataFrame:
+def last_positive(history: DataFrame, entity: str | list[str], value: str, date: str, most: int = 750) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc(date)))
     return history.filter(F.col(value) > 0).withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.expr import clipped, first_label, holds
+from tidegauge.operators import history
 
 METRICS = ("pe", "pb", "ps", "ocf_yield")
 GROWTH_FAMILIES = ("growth_pe", "cyclical_growth", "quality_growth", "mature_consumer", "materials_mature", "commodity_cycle")
@@ -33,6 +34,8 @@ QUALITY = {
     "commodity_cycle": (0.20, 0.10, 0.12, 0.18, 0.10, 0.10, 0.10, 0.10),
     "": (0.24, 0.16, 0.10, 0.12, 0.10, 0.10, 0.09, 0.09),
 }
+# Fixed value: how far a quoted price to earnings is believed.
+QUOTED_PE_CONFIDENCE = 0.30
 # The caps of a position by price zone while a sector decays.
 DECAY_CAPS = {"deep_value": 20, "value": 20, "fair": 20, "dear": 10, "extreme": 0}
 
@@ -179,7 +182,7 @@ def trade_bands(rows: DataFrame) -> DataFrame:
     q35 = c("res_q25") + 0.40 * (c("res_q50") - c("res_q25"))
     q = {k: F.when(known, q35 if k == "q35" else c(f"res_{k}")).otherwise(z * scale) for k, z in prior.items()}
     at = lambda k: c("center") * F.exp(q[k])
-    x = rows.withColumn("trade_band_source", F.when(known, "RESIDUAL_QUANTILES").otherwise("MODEL_PRIOR_BANDS")).withColumn("_safety", F.least("fair_low", c("center") * (1 - c("margin"))))
+    x = rows.withColumn("trade_band_source", F.when(~holds(c("center") > 0), "NONE").when(known, "RESIDUAL_QUANTILES").otherwise("MODEL_PRIOR_BANDS")).withColumn("_safety", F.least("fair_low", c("center") * (1 - c("margin"))))
     x = x.withColumns({"_deep": F.least(at("q10"), 0.92 * c("_safety")), "buy_price": F.least(at("q25"), c("_safety")), "_trim": F.greatest(at("q75"), 1.02 * c("center")), "_out": at("q90"), "_back": at("q35")})
     x = x.withColumns({"_out": F.greatest("_out", 1.02 * c("_trim")), "_back": F.greatest(1.02 * c("buy_price"), "_back"), "deep_buy_price": F.least("_deep", 0.98 * c("buy_price")), "trim_price": F.greatest("_trim", 1.02 * c("buy_price"))})
     return x.withColumns({"buy_exit_price": F.least(F.greatest("_back", 1.02 * c("buy_price")), 0.98 * c("trim_price")), "exit_price": F.greatest("_out", 1.02 * c("trim_price"))}).drop("_safety", "_deep", "_trim", "_out", "_back")
@@ -260,3 +263,58 @@ def config_violations(sectors: DataFrame, weights: DataFrame, stocks: DataFrame)
     for rule in rules[1:]:
         out = out.unionByName(rule)
     return out
+
+
+def stock_anchors(stocks: DataFrame) -> DataFrame:
+    """``stocks``: master rows beside a family and its terms. Each stock's own growth and margin, and the multiples they make."""
+    c = F.col
+    return fair_multiples(stocks.withColumns({
+        "revenue_growth": F.when(c("revenue_pri") > 0, c("revenue_cur") / c("revenue_pri") - 1),
+        "profit_growth": F.when(c("net_profit_pri") > 0, c("net_profit_cur") / c("net_profit_pri") - 1),
+        "revenue_growth_coverage": F.lit(1.0),
+        "profit_growth_coverage": F.lit(1.0),
+        "net_margin": F.when(c("ttm_revenue") > 0, c("ttm_profit") / c("ttm_revenue")),
+        "profitable_mcap_coverage": F.when(c("ttm_profit") > 0, 1.0).otherwise(0.0),
+        "turnaround": holds((c("net_profit_pri") <= 0) & (c("net_profit_cur") > 0)),
+        "roe_ttm_pct": c("ttm_roe_pct"),
+    }))
+
+
+def current_pe(rows: DataFrame) -> DataFrame:
+    """The calculated multiple; the quote's only where the profit is missing, never where it is a loss."""
+    c = F.col
+    own, quoted = holds(c("pe_ttm_calc") > 0), c("ttm_profit").isNull() & holds(c("pe_dynamic") > 0)
+    return rows.withColumns({
+        "pe": F.when(own, c("pe_ttm_calc")).when(quoted, c("pe_dynamic")),
+        "pe_method": F.when(own, c("ttm_profit_method")).when(quoted, "QUOTE_PROVIDER_PE").otherwise("MISSING"),
+        "pe_confidence": F.when(own, F.coalesce("ttm_profit_confidence", F.lit(0.0))).when(quoted, QUOTED_PE_CONFIDENCE).otherwise(0.0),
+    })
+
+
+def anchored_lenses(stocks: DataFrame, weights: DataFrame, past: DataFrame, kappa: float = 60.0) -> DataFrame:
+    """As ``stock_lenses``, of each stock's own multiples drawn to their past: ``past`` (code, metric, status, median,
+    effective_points, confidence). History draws an anchor, it never makes one; cash-flow yields have no history."""
+    c = F.col
+    x = stocks.join(weights, "sector").join(past.select("code", "metric", "status", "median", "effective_points", "confidence"), ["code", "metric"], "left")
+    by_metric = lambda of: F.coalesce(*[F.when(c("metric") == m, v) for m, v in of.items()])
+    anchor = by_metric({m: c(f"fair_{m}") for m in ("pe", "pb", "ps")})
+    value, weight = history.shrunk(anchor, c("status"), c("median"), c("effective_points"), c("confidence"), kappa)
+    basis = by_metric({"pe": c("ttm_eps"), "pb": c("bvps"), "ps": c("sps_ttm")})
+    sure = by_metric({"pe": c("pe_confidence"), "pb": c("ttm_roe_confidence"), "ps": c("ttm_revenue_confidence"), "ocf_yield": c("ttm_ocfps_confidence")})
+    cash = F.when((c("ttm_ocfps") > 0) & (c("target_ocf_yield") > 0), c("ttm_ocfps") / c("target_ocf_yield"))
+    x = x.withColumns({"fair": F.when(holds(anchor > 0), value), "history_weight": F.when(holds(anchor > 0), weight).otherwise(0.0), "sure": c("weight") * clipped(F.coalesce(sure, F.lit(0.0)), 0, 1)})
+    x = x.withColumn("implied_price", F.when(c("metric") == "ocf_yield", cash).otherwise(F.when(basis > 0, basis * c("fair"))))
+    drop = first_label([(~holds(c("implied_price") > 0), F.when(c("metric") == "ocf_yield", "missing_positive_ocf_or_target_yield").otherwise("missing_basis_or_independent_anchor")), (c("sure") <= 0, "zero_data_confidence")], "")
+    return x.select("code", "sector", "metric", "weight", "fair", "history_weight", F.coalesce("confidence", F.lit(0.0)).alias("history_confidence"), "implied_price", F.when(drop == "", c("sure")).otherwise(0.0).alias("left"), drop.alias("drop_reason"))
+
+
+def history_confidence(lenses: DataFrame) -> DataFrame:
+    """(code, history_confidence): how far the weighted lenses rest on their history."""
+    c = F.col
+    return lenses.groupBy("code").agg(F.when(F.sum("left") > 0, F.sum(c("left") * c("history_weight") * c("history_confidence")) / F.sum("left")).otherwise(0.0).alias("history_confidence"))
+
+
+def residual_place(past: DataFrame, current: DataFrame) -> DataFrame:
+    """``past`` and ``current`` (code, residual): the share of each code's past residuals that lie at or below the current one."""
+    now = current.select("code", F.col("residual").alias("_now"))
+    return past.filter("residual is not null").join(now, "code").groupBy("code").agg(F.avg((F.col("residual") <= F.col("_now")).cast("double")).alias("valuation_quantile"))

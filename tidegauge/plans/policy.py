@@ -41,15 +41,23 @@ def sql_of(stats: str) -> str:
     return f"""{stats},
 lasting as (select code, max_by(close, date) as price from prepared group by code),
 posed as (select *, code::bigint as number, median as center, confidence as quality, case when code::bigint % 2 = 1 then 0.1::double end as disagreement, case when code::bigint % 4 = 1 then 0.05::double else 0 end as cycle_penalty from stats join lasting using (code)),
-doubted as (select *, greatest(0.10::double, least(0.45::double, {MARGIN}::double + 0.35::double * coalesce(disagreement, 0.12) + 0.18::double * (1 - quality) + cycle_penalty)) as margin,
+{steps(_OWN)}"""
+
+
+_OWN = """case when number % 5 = 0 then 'fail' when number % 5 = 1 then 'watch' else 'pass' end as gate, ['Decay', 'Seed', 'Mainline', 'UNKNOWN'][number % 4 + 1] as stage, number % 7 = 0 as stopped, case when number % 3 = 0 then 70 else 0 end as previous,
+          """
+
+
+def steps(own: str = "") -> str:
+    """From ``posed`` to the target. ``own``: columns gate, stage, stopped and previous, where ``posed`` has none."""
+    return f"""doubted as (select *, greatest(0.10::double, least(0.45::double, {MARGIN}::double + 0.35::double * coalesce(disagreement, 0.12) + 0.18::double * (1 - quality) + cycle_penalty)) as margin,
             case when center > 0 then sqrt(coalesce(disagreement, {UNCERTAINTY}) ** 2 + {UNCERTAINTY}::double ** 2 + (0.25::double * (1 - quality)) ** 2) end as sigma from posed),
 ranged as (select *, center * exp(-sigma) as fair_low, center * exp(sigma) as fair_high from doubted),
 safe as (select *, least(fair_low, center * (1 - margin)) as safety from ranged),
 first_bands as (select *, least({_at("q10")}, 0.92::double * safety) as deep, least({_at("q25")}, safety) as buy_price, greatest({_at("q75")}, 1.02::double * center) as trim, {_at("q90")} as out_, {_at("q35")} as back from safe),
 next_bands as (select *, greatest(out_, 1.02::double * trim) as out_2, greatest(1.02::double * buy_price, back) as back_2, least(deep, 0.98::double * buy_price) as deep_buy_price, greatest(trim, 1.02::double * buy_price) as trim_price from first_bands),
 bands as (select *, case when status = 'OK' then 'RESIDUAL_QUANTILES' else 'MODEL_PRIOR_BANDS' end as trade_band_source, least(greatest(back_2, 1.02::double * buy_price), 0.98::double * trim_price) as buy_exit_price, greatest(out_2, 1.02::double * trim_price) as exit_price from next_bands),
-zoned as (select *, case when number % 5 = 0 then 'fail' when number % 5 = 1 then 'watch' else 'pass' end as gate, ['Decay', 'Seed', 'Mainline', 'UNKNOWN'][number % 4 + 1] as stage, number % 7 = 0 as stopped, case when number % 3 = 0 then 70 else 0 end as previous,
-          case when price <= deep_buy_price then 'deep_value' when price <= buy_price then 'value' when price < trim_price then 'fair' when price < exit_price then 'dear' else 'extreme' end as zone from bands),
+zoned as (select *, {own}case when price <= deep_buy_price then 'deep_value' when price <= buy_price then 'value' when price < trim_price then 'fair' when price < exit_price then 'dear' else 'extreme' end as zone from bands),
 placed_bases as (select *, case zone when 'deep_value' then 100 when 'value' then 70 when 'fair' then 40 when 'dear' then 15 else 0 end as base from zoned),
 gated as (select *, case when gate = 'watch' then 5 * round_even(base * 0.6::double / 5, 0) else base end as watched, gate = 'pass' and stage <> 'Decay' and status = 'OK' and previous >= 70 and price > buy_price and price <= buy_exit_price and base < previous as keeps from placed_bases),
 after as (select *, case when status = 'OK' then watched else least(watched, 30) end as after, zone in ('deep_value', 'value') as cheap from gated),
