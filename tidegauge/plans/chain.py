@@ -157,7 +157,14 @@ placed as (select d.code, avg((d.v <= ln(price / center))::int) as place from di
 posed as (select j.* exclude (status), center as median, coalesce(r.status, 'MISSING') as status, ln(price / center) as residual, case when r.status = 'OK' then place end as valuation_quantile, case when r.status = 'OK' and 1.4826::double * mad > 1e-12 then (ln(price / center) - q[3]) / (1.4826::double * mad) end as robust_z,
           {", ".join(f"exp(q[{n}]) * center as {name}" for n, name in enumerate(("q10", "q25", "q50", "q75", "q90"), 1))}, case when model = 'cyclical_growth' then 0.05::double else 0 end as cycle_penalty, {stage} as stage, valuation_status <> 'OK' or price is null as stopped, null::int as previous
           from (select *, null as status from judged_stocks) j left join res r using (code) left join placed using (code){joined}),
-{policy.steps()}"""
+{_all_stages(policy.steps())}"""
+
+
+def _all_stages(text: str) -> str:
+    """The policy's steps for every stage: those that confirm a purchase, and all others like an unknown one."""
+    confirmed = "stage in ('Seed', 'Ignition', 'Mainline', 'Diffusion')"
+    text = text.replace("cheap and stage = 'UNKNOWN'", f"cheap and not {confirmed}")
+    return text.replace("case stage when 'Seed' then 'BUILD_POSITION' when 'Mainline' then 'ADD_OR_HOLD'", f"case when stage in ('Seed', 'Ignition') then 'BUILD_POSITION' when {confirmed} then 'ADD_OR_HOLD'")
 
 
 BANDED = f"{JUDGED},\n{_banded(chr(39) + 'UNKNOWN' + chr(39))}"
