@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.operators.trajectory import upserted
@@ -35,10 +35,10 @@ def upsert_stream(rows: DataFrame, folder: str, checkpoint: str, keys: list[str]
 
 
 def intraday_deltas(batch: DataFrame, stored: DataFrame, value: str = "level") -> DataFrame:
-    """A micro-batch's rows beside the latest earlier snapshot of their day: what changed since."""
-    day = F.to_date("captured_at")
-    earlier = stored.select("kind", "code", F.col("captured_at").alias("before"), F.col(value).alias("previous"))
-    met = batch.join(earlier, ["kind", "code"], "left").filter(F.col("before").isNull() | ((F.col("before") < F.col("captured_at")) & (F.to_date("before") == day)))
-    last = met.groupBy("kind", "code", "captured_at", value).agg(F.max_by("previous", "before").alias("previous"))
-    kept = batch.select("kind", "code", "captured_at", value).join(last.select("kind", "code", "captured_at", "previous"), ["kind", "code", "captured_at"], "left")
-    return kept.withColumn("delta_intraday", F.col(value) - F.col("previous"))
+    """A micro-batch's rows beside the latest earlier snapshot of their day: what changed since. Both are laid out by board
+    and day, so that no row meets another day's, and each batch row looks back along its own line."""
+    line = ["kind", "code", "captured_at"]
+    both = stored.select(*line, F.col(value).alias("_stored"), F.lit(None).cast("double").alias("_now"), F.lit(False).alias("_asks")).unionByName(batch.select(*line, F.lit(None).cast("double").alias("_stored"), F.col(value).alias("_now"), F.lit(True).alias("_asks")))
+    earlier = Window.partitionBy("kind", "code", F.to_date("captured_at")).orderBy(F.unix_micros("captured_at")).rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("previous", F.last("_stored", ignorenulls=True).over(earlier)).filter("_asks")
+    return seen.select(*line, F.col("_now").alias(value), "previous", (F.col("_now") - F.col("previous")).alias("delta_intraday"))
