@@ -61,14 +61,14 @@ def _as_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.bars(spark, sf_dir)
     day = F.dayofyear("date") % 3
     text = F.when(day == 0, F.date_format("date", "yyyyMMdd")).when(day == 1, F.date_format("date", "yyyy-MM-dd")).otherwise(F.concat(F.date_format("date", "yyyyMMdd"), F.lit(".0")))
-    return rows.select("kind", "code", text.alias("trade_day"), F.format_number("close", 6).alias("close_price"), F.format_number("volume", 1).alias("volume"), F.lit("-").alias("turnover"))
+    return rows.select("kind", "code", text.alias("trade_day"), F.format_number("close", 10).alias("close_price"), F.format_number("volume", 1).alias("volume"), F.lit("-").alias("turnover"))
 
 
 def _bars_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.bars(_as_landed(spark, sf_dir), {"date": ("trade_day",), "close": ("close",)})
 
 
-add("bars_canonical", _bars_canonical, ["kind", "code", "date", "close", "volume", "turnover"], None)
+add("bars_canonical", _bars_canonical, ["kind", "code", "date", "close", "volume", "turnover"], sql.query(sql.BARS, "bars", f"kind, code, date::varchar as date, {sql.settled("close")} as close, {sql.settled('volume')} as volume, null::double as turnover"))
 
 for _name, _columns in {
     "bar_returns": [f"ret_{k}d" for k in (1, 3, 5, 10, 20)],
@@ -172,7 +172,7 @@ add("synthetic_index", _synthetic, ["board", "date", *_INDEX, "constituent_count
 
 def _waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some boards are missing from the first source, some from both; the last source has all."""
-    rows = adapters.bars(spark, sf_dir).select("kind", "code", "date", "close")
+    rows = panel.cut(adapters.bars(spark, sf_dir).select("kind", "code", "date", "close"))  # all three sources come from it
     number = F.regexp_extract("code", r"(\d+)$", 1).cast("long")
     return canonical.waterfall([("primary", rows.filter(number % 3 == 0)), ("secondary", rows.filter(number % 2 == 0)), ("synthetic", rows)])
 
@@ -211,7 +211,17 @@ _MULTIPLES = ["price", "market_cap", "pb", "shares_outstanding", "ttm_eps", "ttm
 add("multiples", panel.company_table, ["code", "name", *_MULTIPLES], sql.query(sql.MASTER, "master", sql.listed(_MULTIPLES, ["code", "name"])))
 _SECTOR = ["market_cap", "aggregate_pe", "positive_profit_pe", "pb", "ps", "revenue_growth", "profit_growth", "gross_margin_pct", "profitable_mcap_coverage", "loss_mcap_share", "pb_mcap_coverage", "ocf_mcap_coverage", "ocf_yield"]
 add("sector_aggregate", lambda s, d: fundamentals.sector_aggregate(panel.sector_members(s, d), panel.company_table(s, d)), ["sector", "constituents", *_SECTOR], sql.query(sql.SECTORS, "sectors", sql.listed(_SECTOR, ["sector"], ["constituents"])))
-add("period_select", lambda s, d: fundamentals.period_coverage(adapters.performance(s, d), adapters.spot(s, d)), ["period", "current_coverage", "prior_coverage", "annual_coverage", "selected"], None)
+_COVERAGE = ["current_coverage", "prior_coverage", "annual_coverage"]
+_PERIODS = f"""{sql.REPORTS},
+today as (select max(l_shipdate)::date as d from lineitem where l_suppkey in (select s_suppkey from supplier)),
+made as (select (year(d) - back)::int as y, e from today, range(4) as b(back), (values (10, 31, '0930'), (8, 31, '0630'), (4, 30, '0331')) as m(month, day, e) where make_date(year(d) - back, month, day) <= d),
+periods as (select y::varchar || e as period, (y - 1)::varchar || e as prior, (y - 1)::varchar || '1231' as annual from made order by y desc, e desc limit 8),
+reported as (select distinct report_date, code from performance),
+covered as (select period, count(r.code) as reports, count(q.s_suppkey) as in_spot, count(p.code) as prior, count(a.code) as annual from periods left join reported r on r.report_date = period left join supplier q on lpad(q.s_suppkey::varchar, 6, '0') = r.code
+            left join reported p on p.code = r.code and p.report_date = periods.prior left join reported a on a.code = r.code and a.report_date = periods.annual group by period),
+shares as (select period, in_spot / (select count(*) from supplier) as current_coverage, coalesce(prior / nullif(reports, 0), 0) as prior_coverage, coalesce(annual / nullif(reports, 0), 0) as annual_coverage from covered),
+chosen as (select *, coalesce(period = (select max(period) from shares where least(current_coverage, prior_coverage, annual_coverage) >= {fundamentals.LEAST_COVERAGE}::double), false) as selected from shares)"""
+add("period_select", lambda s, d: fundamentals.period_coverage(adapters.performance(s, d), adapters.spot(s, d)), ["period", *_COVERAGE, "selected"], sql.query(_PERIODS, "chosen", sql.listed(_COVERAGE, ["period", "selected"])))
 _STATS = ["effective_points", "confidence", "median", "q10", "q25", "q50", "q75", "q90", "mad"]
 _HISTORY = f"""{sql.STOCKS},
 prepared as (select stock_code as code, date, close, lag(close) over (partition by stock_code order by date) as before, abs(close - median(close) over (partition by stock_code)) as off from stock_bars),
