@@ -23,10 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.llm.runtime import checkpointed
@@ -121,8 +117,9 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     ]
 
 
-def featured(docs: DataFrame, learned: dict[str, float], extra: list[str]) -> DataFrame:
-    """``extra`` columns of docs and the features of column text. ``learned`` has LEARNED_TERMS at most."""
+def featured(docs: DataFrame, learned: dict[str, float], extra: list[str], field: int | None = None) -> DataFrame:
+    """``extra`` columns of docs and the features of column text, or of that field of column row, so that a text which
+    is carried along crosses to Python once. ``learned`` has LEARNED_TERMS at most."""
     kept = [docs.schema[c] for c in extra]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} double" for c in FEATURES)])
     shipped = docs.sparkSession.sparkContext.broadcast(learned)
@@ -132,10 +129,11 @@ def featured(docs: DataFrame, learned: dict[str, float], extra: list[str]) -> Da
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                found = np.array([features(t.as_py() or "", lexicon) for t in batch.column(len(extra))], np.float64)
+                texts = batch.column(len(extra)) if field is None else batch.column(extra.index("row")).field(field)
+                found = np.array([features(t.as_py() or "", lexicon) for t in texts], np.float64)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], *[pa.array(found[:, k]) for k in range(len(FEATURES))]], [*extra, *FEATURES])
 
-    return docs.select(*extra, F.col("text")).mapInArrow(run, schema)
+    return docs.select(*extra, *["text"] * (field is None)).mapInArrow(run, schema)
 
 
 def learned_lexicon(labelled: DataFrame) -> dict[str, float]:
@@ -166,7 +164,14 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_
 
     With ``carry`` also row: a struct of the columns of ``docs``. Labels of rows where ``held_out`` (of column id) is true are not learned from.
     """
+    # here, as the workers that read texts import this module and need none of it
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
     extra = ["id", *["row"] * carry]
+    field = [c.lower() for c in docs.columns].index(text.lower()) if carry else None
     plain_docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry)
     marks = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).filter("label in (0, 1) and id is not null")
     draw = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(6 << 20))
@@ -176,7 +181,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_
     lexicon = learned_lexicon(known)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = checkpointed(featured(known.filter(half == 0), learned_lexicon(known.filter(half == 1)), ["id", "label", "part"]).unionByName(featured(known.filter(half == 1), learned_lexicon(known.filter(half == 0)), ["id", "label", "part"])))
-    scored = featured(plain_docs, lexicon, extra)
+    scored = featured(plain_docs, lexicon, extra, field)
     seen = train.groupBy((F.col("part") > 3).alias("calibrates")).agg(F.sum("label").alias("ones"), F.count("*").alias("rows")).collect()
     enough = {r["calibrates"] for r in seen if 0 < r["ones"] < r["rows"]}
     if enough == {False, True}:
