@@ -50,6 +50,16 @@ def period_coverage(performance: DataFrame, spot: DataFrame) -> DataFrame:
     return out.withColumn("selected", F.coalesce(F.col("period") == first, F.lit(False)))
 
 
+def selected_period(performance: DataFrame, spot: DataFrame, explicit: str | None = None) -> str:
+    """The period to take the figures at: ``explicit``, else the latest whose reports cover enough. One value."""
+    if explicit is not None:
+        return triplet(explicit)[0]
+    chosen = period_coverage(performance, spot).filter("selected").select("period").first()
+    if chosen is None:
+        raise ValueError(f"no report period covers {LEAST_COVERAGE:.0%} of the quoted codes with its earlier reports")
+    return chosen["period"]
+
+
 def ttm(performance: DataFrame, current: str) -> DataFrame:
     """For each code: the three periods' figures and trailing-year revenue, profit and cash flow with their confidence."""
     periods = dict(zip(("cur", "pri", "ann"), triplet(current), strict=True))

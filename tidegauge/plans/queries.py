@@ -222,6 +222,29 @@ covered as (select period, count(r.code) as reports, count(q.s_suppkey) as in_sp
 shares as (select period, in_spot / (select count(*) from supplier) as current_coverage, coalesce(prior / nullif(reports, 0), 0) as prior_coverage, coalesce(annual / nullif(reports, 0), 0) as annual_coverage from covered),
 chosen as (select *, coalesce(period = (select max(period) from shares where least(current_coverage, prior_coverage, annual_coverage) >= {fundamentals.LEAST_COVERAGE}::double), false) as selected from shares)"""
 add("period_select", lambda s, d: fundamentals.period_coverage(adapters.performance(s, d), adapters.spot(s, d)), ["period", *_COVERAGE, "selected"], sql.query(_PERIODS, "chosen", sql.listed(_COVERAGE, ["period", "selected"])))
+
+
+def _ttm_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ttm``, at the period that the coverage of the reports selects."""
+    performance = adapters.performance(spark, sf_dir)
+    period = fundamentals.selected_period(performance, adapters.spot(spark, sf_dir))
+    return fundamentals.ttm(performance, period).withColumn("period", F.lit(period))
+
+
+_FIGURE = {"revenue": "revenue", "profit": "net_profit", "operating_cashflow": "operating_cashflow"}
+_EXACT = "{0}_ann + {0}_cur - {0}_pri"
+_TRAILING = ", ".join(
+    f"coalesce({_EXACT.format(f)}, {f}_cur * factor) as ttm_{n}, case when {_EXACT.format(f)} is not null then 'EXACT_TTM' when {f}_cur is not null then method else 'MISSING' end as ttm_{n}_method, "
+    f"case when {_EXACT.format(f)} is not null then 1 when {f}_cur is not null then sure else 0 end as ttm_{n}_confidence"
+    for n, f in _FIGURE.items()
+)
+_SELECTED = f"""{_PERIODS},
+ways as (select * from (values ('0331', 4.0::double, 'ANNUALIZED_Q1', 0.35), ('0630', 2.0::double, 'ANNUALIZED_H1', 0.55), ('0930', 4.0::double / 3, 'ANNUALIZED_Q3', 0.70), ('1231', 1.0::double, 'EXACT_TTM', 1.0)) as w(e, factor, method, sure)),
+picked as (select period, prior, annual, factor, method, sure from chosen join periods using (period) join ways on e = period[5:] where selected),
+wide_selected as (select code, period, factor, method, sure, {", ".join(f"max({f}) filter (report_date = {day}) as {f}_{tag}" for f in (*_FIGURE.values(), "ocfps") for tag, day in (("cur", "period"), ("pri", "prior"), ("ann", "annual")))}
+                  from performance join picked on report_date in (period, prior, annual) group by all),
+ttm_selected as (select *, {_TRAILING}, ocfps_cur * factor as fallback_ocfps from wide_selected)"""
+add("ttm_selected", _ttm_selected, ["code", "period", *_PLAIN, *_SURE], sql.query(_SELECTED, "ttm_selected", sql.listed(_SURE, ["code", "period", *_PLAIN])))
 _STATS = ["effective_points", "confidence", "median", "q10", "q25", "q50", "q75", "q90", "mad"]
 _HISTORY = f"""{sql.STOCKS},
 prepared as (select stock_code as code, date, close, lag(close) over (partition by stock_code order by date) as before, abs(close - median(close) over (partition by stock_code)) as off from stock_bars),
