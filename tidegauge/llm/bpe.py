@@ -141,13 +141,13 @@ def byte_table(source: str) -> list[bytes]:
     return token_bytes(source)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """``batch`` in pieces of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES`` bytes of a text column."""
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of at most ``rows`` rows and about ``SLICE_BYTES`` bytes of a text column."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         limit = (ends[at - 1] if at else 0) + SLICE_BYTES
-        to = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(ends, limit, "right"))))
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, limit, "right"))))
         yield batch.slice(at, to - at)
         at = to
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import bpe, chat, fingerprints, html, neardup, packing, sharding, substring, topk, toxicity
+from tidegauge.llm import alignment, bpe, chat, fingerprints, html, neardup, packing, sharding, substring, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,8 +107,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), source, with_ids=False)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        found = alignment.summary(table(spark, sf_dir, "documents"), bpe.from_json(public_tokenizers.path("byte_bpe_50k.json")), file.read())
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_near_duplicates, op4_chat_format, op5_html_extraction, op6_sharding, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_near_duplicates, op4_chat_format, op5_html_extraction, op6_sharding, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing, op11_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
