@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import alignment, bpe, chat, fingerprints, html, neardup, packing, sharding, substring, topk, toxicity
+from tidegauge.llm import alignment, bpe, chat, fingerprints, html, neardup, packing, sharding, substring, suffixes, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,8 +113,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_near_duplicates, op4_chat_format, op5_html_extraction, op6_sharding, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing, op11_token_alignment)}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_near_duplicates, op4_chat_format, op5_html_extraction, op6_sharding, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing, op11_token_alignment, op13_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
