@@ -72,7 +72,7 @@ def cut(texts, window=13):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     with duckdb.connect() as con:
-        for table in ("embeddings", "conversations"):
+        for table in ("documents", "embeddings", "conversations"):
             con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
         want = con.execute(queries.oracle_sql()[name]).fetchdf()
     got = run(spark, name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import alignment, bpe, chat, fingerprints, html, neardup, packing, sharding, substring, suffixes, topk, toxicity
+from tidegauge.llm import alignment, bpe, chat, fingerprints, html, neardup, packing, phrases, sharding, substring, suffixes, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,14 +113,39 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as w from pieces),
+grams as (select lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+          from words cross join (values (1), (2), (3)) t(k)),
+f as (select lang, k, phrase, count(*) as a from grams group by all),
+n as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k > 1 and a >= 10),
+cuts as (select *, unnest(range(1, k)) as cut from c),
+rated as (select cuts.*, x.a as l, y.a as r, (1000000::hugeint * cuts.a * cuts.a) // (x.a::hugeint * y.a) as score
+          from cuts join f x on x.lang = cuts.lang and x.phrase = array_to_string(cuts.w[1:cuts.cut], ' ')
+                    join f y on y.lang = cuts.lang and y.phrase = array_to_string(cuts.w[cuts.cut + 1:cuts.k], ' ')),
+best as (select * from rated qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (select lang, phrase, max(a) as over from (select lang, a, array_to_string(w[1:2], ' ') as phrase from c where k = 3
+           union all select lang, a, array_to_string(w[2:3], ' ') from c where k = 3) group by all),
+left_over as (select best.* from best left join longer using (lang, phrase) where longer.over is null or 100 * longer.over < 50 * best.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_over)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join n using (lang) where rank <= 2000
+"""
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.deduplicate(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_near_duplicates, op4_chat_format, op5_html_extraction, op6_sharding, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing, op11_token_alignment, op13_suffix_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_near_duplicates, op4_chat_format, op5_html_extraction, op6_sharding, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing, op11_token_alignment, op12_phrases, op13_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": OP2_SQL, "op4_chat_format": OP4_SQL}
+    return {"op2_topk_search": OP2_SQL, "op4_chat_format": OP4_SQL, "op12_phrases": OP12_SQL}

@@ -42,9 +42,10 @@ class Scratch:
         self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.kept: list[tuple[DataFrame, str]] = []
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+        """``df`` as a table of its own, with ``by`` in folders by the values of these columns."""
         path = f"{self.folder}/{len(self.kept)}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         read = self.spark.read.schema(df.schema).parquet(path)
         self.kept.append((read, path))
         return read
