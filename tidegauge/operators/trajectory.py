@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.functions.expr import descending_rank
@@ -43,10 +45,10 @@ def deltas(snapshots: DataFrame) -> DataFrame:
     return out.withColumn("snapshot_history_coverage", F.when(F.col("ref_1d").isNotNull(), sum(known[1:], known[0]) / len(known)).otherwise(0.0))
 
 
-def upserted(stored: DataFrame, new: DataFrame, keys: list[str], moment: str) -> DataFrame:
-    """Both tables' rows, of each key the last by ``moment``; the new table wins ties."""
+def upserted(stored: DataFrame, new: DataFrame, keys: list[str], moment: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Both tables' rows, of each key the last by ``moment``, then by ``ties``; then the new table wins."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(moment), F.desc("_new")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in (moment, *ties)], F.desc("_new")))
     return both.withColumn("_place", place).filter("_place = 1").drop("_place", "_new")
 
 
