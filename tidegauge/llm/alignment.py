@@ -29,6 +29,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,7 +41,9 @@ from tidegauge.llm import bpe
 from tidegauge.llm.runtime import Scratch
 
 #: Stretches a task remembers before it starts anew, and those it works out together: at most so many bytes but for a longer one alone.
-MEMO_STRETCHES, BLOCK_BYTES = 200_000, 1_000_000
+MEMO_STRETCHES, BLOCK_BYTES = 250_000, 1_000_000
+#: Stretches looked up together.
+LOOKED_UP = 50_000
 #: Entries that a product holds before it adds them up.
 PRODUCT_ENTRIES = 4_000_000
 #: Rows of a slice.
@@ -48,6 +51,7 @@ SLICE_ROWS = 5_000
 #: From a space to the next space that follows a character other than white space.
 _STRETCH = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 _SPACE = "▁"
+FIGURES, LEVELS = ["n_a", "n_b", "n_links", "n_overlaps", "n_shared"], ["documents", "stretches", "per_stretch", "links"]
 
 
 class Rows(NamedTuple):
@@ -122,15 +126,30 @@ def links(sizes_a: np.ndarray, sizes_b: np.ndarray) -> Links:
     return Links(overlap, ends, np.searchsorted(ends[0], np.arange(len(ends_a))), np.searchsorted(ends[1], np.arange(len(ends_b))))
 
 
-class Stretch(NamedTuple):
-    """What a stretch adds to its document. ``pairs``: a * 2^32 + b of each link that ends together; None of ``groups``: not given back."""
+class Known:
+    """What each stretch seen so far adds to its document, by its number: figures, its groups as text (None: not given back), and its pairs:
+    a * 2^32 + b of each link that ends together."""
 
-    a: np.ndarray
-    b: np.ndarray
-    groups: bytes | None
-    pairs: np.ndarray
-    overlaps: int
-    shared: int
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.groups: list[bytes | None] = []
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.joined: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def add(self, new: list[str], groups: list[bytes | None], figures: np.ndarray, pairs: np.ndarray) -> None:
+        """``figures``: a row for each stretch of n_a, n_b, n_links, n_overlaps, n_shared; ``pairs`` of all of them in a row."""
+        self.number.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
+        self.groups += groups
+        self.blocks.append((figures, pairs))
+        self.joined = None
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Figures, and pairs in compressed rows: starts, pairs."""
+        if self.joined is None:
+            figures, pairs = (np.concatenate(x) for x in zip((np.empty((0, len(FIGURES)), np.int32), np.empty(0, np.int64)), *self.blocks, strict=True))
+            self.blocks = [(figures, pairs)]
+            self.joined = figures, np.concatenate([[0], np.cumsum(figures[:, 2], dtype=np.int64)]), pairs
+        return self.joined
 
 
 class Aligner:
@@ -145,17 +164,17 @@ class Aligner:
         self.bytes_b = piece_bytes(self.pieces)
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
         self.space = self.pieces.piece_to_id(_SPACE)
-        self.number: dict[str, int] = {}
-        self.known: list[Stretch] = []
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.known = Known()
 
     def forget(self) -> None:
         self.code.pieces.clear()
-        self.number.clear()
-        self.known.clear()
+        self.known = Known()
 
     def numbers(self, stretches: list[str]) -> np.ndarray:
         """The numbers of stretches in ``known``; new ones are aligned first."""
-        new = [s for s in dict.fromkeys(stretches) if s not in self.number]
+        number = self.known.number
+        new = [s for s in dict.fromkeys(stretches) if s not in number]
         at = 0
         while at < len(new):
             to, size = at + 1, len(new[at])
@@ -164,37 +183,38 @@ class Aligner:
                 to += 1
             self.align(new[at:to])
             at = to
-        return np.fromiter(map(self.number.__getitem__, stretches), np.int64, len(stretches))
+        return np.fromiter(map(number.__getitem__, stretches), np.int64, len(stretches))
+
+    def tokens(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and B in a row, how many each stretch has, and which stretches both give back byte for byte; the others have none."""
+        coded = list(map(self.code, stretches))
+        pieces = [i if len(s) > 1 else [self.space] for s, i in zip(stretches, self.pieces.encode([s[1:] for s in stretches], num_threads=1), strict=True)]
+        a, b = np.frombuffer(b"".join(coded), "<i4").astype(np.int64), np.fromiter(chain.from_iterable(pieces), np.int64)
+        per_a, per_b = np.fromiter(map(len, coded), np.int64, len(coded)) // 4, np.fromiter(map(len, pieces), np.int64, len(pieces))
+        size = np.fromiter((len(s.encode()) for s in stretches), np.int64, len(stretches))
+        good = np.ones(len(stretches), bool)
+        for ids, per, table, sizes in ((a, per_a, self.bytes_a, self.sizes_a), (b, per_b, self.bytes_b, self.sizes_b)):
+            ends = np.cumsum(np.concatenate([[0], per]))
+            own = np.diff(np.concatenate([[0], np.cumsum(sizes[ids])])[ends])
+            if np.any(own != size) or b"".join(map(table.__getitem__, ids.tolist())) != "".join(stretches).encode():
+                good &= [bpe.joined(ids[x:y], table) == s.encode() for s, x, y in zip(stretches, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return a[np.repeat(good, per_a)], b[np.repeat(good, per_b)], per_a * good, per_b * good, good
 
     def align(self, new: list[str]) -> None:
         """Works out new stretches in one product of block-diagonal matrices."""
-        ids_a = [np.frombuffer(self.code(s), "<i4") for s in new]
-        ids_b = [np.array(i if len(s) > 1 else [self.space], np.int64) for s, i in zip(new, self.pieces.encode([s[1:] for s in new], num_threads=1), strict=True)]
-        good = [bpe.joined(a, self.bytes_a) == bpe.joined(b, self.bytes_b) == s.encode() for s, a, b in zip(new, ids_a, ids_b, strict=True)]
-        kept = [k for k, g in enumerate(good) if g]
-        none = np.empty(0, np.int64)
-        flat_a, flat_b = (np.concatenate([none, *[ids[k] for k in kept]]).astype(np.int64) for ids in (ids_a, ids_b))
-        found = links(self.sizes_a[flat_a], self.sizes_b[flat_b])
-        pairs = flat_a[found.ends[0]] << 32 | flat_b[found.ends[1]]
-        per_a, per_b = (np.concatenate([[0], np.cumsum([len(ids[k]) for k in kept])]).astype(np.int64) for ids in (ids_a, ids_b))
-        closed = np.searchsorted(found.ends[0], per_a)  # links before each stretch, as all end where their stretch does
-        overlaps = np.searchsorted(found.overlap[0], per_a)
-        shared = np.zeros(len(flat_a) + 1, np.int64)
+        a, b, per_a, per_b, good = self.tokens(new)
+        found = links(self.sizes_a[a], self.sizes_b[b])
+        ends = np.cumsum(np.concatenate([[0], per_a]))
+        closed = np.searchsorted(found.ends[0], ends)  # links before each stretch, as all end where their stretch does
+        shared = np.zeros(len(a) + 1, np.int64)
         for row, _, _ in found.shared():
-            shared[1:] += np.bincount(row, minlength=len(flat_a))
-        shared = np.cumsum(shared)
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        from_a, from_b = [0, *(found.ends[0] + 1).tolist()], [0, *(found.ends[1] + 1).tolist()]
-        said = [f"{','.join(text_a[from_a[g] : from_a[g + 1]])}|{','.join(text_b[from_b[g] : from_b[g + 1]])}" for g in range(len(pairs))]
-        place = iter(range(len(kept)))
-        for s, g, a, b in zip(new, good, ids_a, ids_b, strict=True):
-            self.number[s] = len(self.known)
-            if not g:
-                self.known.append(Stretch(none, none, None, none, 0, 0))
-                continue
-            k = next(place)
-            part = slice(closed[k], closed[k + 1])
-            self.known.append(Stretch(a, b, ";".join(said[part]).encode(), pairs[part], int(overlaps[k + 1] - overlaps[k]), int(shared[per_a[k + 1]] - shared[per_a[k]])))
+            shared[1:] += np.bincount(row, minlength=len(a))
+        figures = np.stack([per_a, per_b, *map(np.diff, (closed, np.searchsorted(found.overlap[0], ends), np.cumsum(shared)[ends]))], 1).astype(np.int32)
+        text_a, text_b = (list(map(self.names.__getitem__, ids.tolist())) for ids in (a, b))
+        to_a, to_b = ((x + 1).tolist() for x in found.ends)
+        said = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *to_a[:-1]], to_a, [0, *to_b[:-1]], to_b, strict=True)] if to_a else []
+        groups = [";".join(said[i:j]).encode() if g else None for i, j, g in zip(closed[:-1].tolist(), closed[1:].tolist(), good.tolist(), strict=True)]
+        self.known.add(new, groups, figures, a[found.ends[0]] << 32 | b[found.ends[1]])
 
 
 def piece_bytes(pieces) -> list[bytes]:
@@ -245,12 +265,9 @@ def align(docs: DataFrame, source: str, model: bytes, key: str = "doc_id", text:
         for batch in (part for whole in batches for part in bpe.slices(whole, 1)):
             out = []
             for id_, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(own.known) > MEMO_STRETCHES:
-                    own.forget()
-                parts = [own.known[k] for k in own.numbers(stretches_of(text_))]
-                if any(p.groups is None for p in parts):
-                    parts = []
-                a, b = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in ([p.a for p in parts], [p.b for p in parts]))
+                a, b, _, _, good = own.tokens(stretches_of(text_))
+                if not good.all():
+                    a, b = a[:0], b[:0]
                 found = links(own.sizes_a[a], own.sizes_b[b])
                 out.append({"id": id_, "a_ids": a, "b_ids": b, "overlaps": [dict(zip(("a", "b", "bytes"), x, strict=True)) for x in zip(*(v.tolist() for v in found.overlap), strict=True)], "ends": [dict(zip(("a", "b"), x, strict=True)) for x in zip(*(v.tolist() for v in found.ends), strict=True)], "a_groups": found.group_a, "b_groups": found.group_b})
             yield pa.RecordBatch.from_pylist(out, schema)
@@ -271,37 +288,45 @@ def sliced(rows: DataFrame, source: str, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done = aligner(*shipped.value), 0
         for batch in (part for whole in batches for part in bpe.slices(whole, 1, SLICE_ROWS)):
-            if len(own.known) > MEMO_STRETCHES:
+            if len(own.known.groups) > MEMO_STRETCHES:
                 own.forget()
-            texts, shas, kept = batch.column(1).to_pylist(), [], []
-            for text in texts:
-                n = own.numbers(stretches_of(text))
-                said = [own.known[k].groups for k in n.tolist()]
-                if None in said:
-                    n, said = n[:0], []
-                kept.append(n)
-                shas.append(hashlib.sha256(b";".join(said)).hexdigest() if said else "")
+            texts, shas, kept, at = batch.column(1), [], [], 0
+            while at < len(texts):  # texts whose stretches are looked up together
+                parts, held = [], 0
+                while at < len(texts) and held < LOOKED_UP:
+                    parts.append(stretches_of(texts[at].as_py()))
+                    held += len(parts[-1])
+                    at += 1
+                n = own.numbers([s for p in parts for s in p])
+                for n in np.split(n, np.cumsum(list(map(len, parts)))[:-1]):
+                    said = [own.known.groups[k] for k in n.tolist()]
+                    if None in said:
+                        n, said = n[:0], []
+                    kept.append(n)
+                    shas.append(hashlib.sha256(b";".join(said)).hexdigest() if said else "")
+            figures, starts, all_pairs = own.known.table()
             used, at = np.unique(np.concatenate([np.empty(0, np.int64), *kept]), return_inverse=True)
-            parts = [own.known[k] for k in used.tolist()]
-            times = np.bincount(at, minlength=len(parts))
-            per = np.array([len(p.pairs) for p in parts], np.int64)
-            pairs, link = np.unique(np.concatenate([np.empty(0, np.int64), *[p.pairs for p in parts]]), return_inverse=True)
-            linked = np.bincount(link, np.repeat(times, per), len(pairs)).astype(np.int64)
+            figures, per = figures[used], np.diff(starts)[used]
+            from_ = np.repeat(starts[used] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            pairs, link = np.unique(all_pairs[from_], return_inverse=True)
+            linked = np.bincount(link, np.repeat(np.bincount(at, minlength=len(used)), per), len(pairs)).astype(np.int64)
             ends = np.cumsum([0, *map(len, kept)])
-            sums = lambda values: np.diff(np.concatenate([[0], np.cumsum(np.array(values, np.int64)[at])])[ends])  # noqa: E731, B023
-            figures = {"n_a": sums([len(p.a) for p in parts]), "n_b": sums([len(p.b) for p in parts]), "n_links": sums(per), "n_overlaps": sums([p.overlaps for p in parts]), "n_shared": sums([p.shared for p in parts])}
-            yield pa.RecordBatch.from_pylist([{"slice": TaskContext.get().partitionId() << 32 | done, "ids": batch.column(0), **figures, "groups": shas, "documents": small(np.diff(ends)), "stretches": small(at), "per_stretch": small(per), "links": small(link), "a": pairs >> 32, "b": pairs & 0xFFFFFFFF, "times": linked}], schema)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(figures[at, k], dtype=np.int64)])[ends]) for k in range(len(FIGURES))]
+            row = [pa.array([TaskContext.get().partitionId() << 32 | done]), one(batch.column(0)), *map(one, sums), one(shas), *[pa.array([small(x)]) for x in (np.diff(ends), at, per, link)], one(pairs >> 32, pa.int32()), one(pairs & 0xFFFFFFFF, pa.int32()), one(linked)]
+            yield pa.RecordBatch.from_arrays(row, schema=schema)
             done += 1
         own.forget()
 
+    def one(values, kind: pa.DataType | None = None) -> pa.ListArray:
+        """A list column of one row."""
+        flat = values if isinstance(values, pa.Array) else pa.array(values, kind or (pa.string() if isinstance(values, list) else pa.int64()))
+        return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+
     longs = pa.list_(pa.int64())
     schema = pa.schema([("slice", pa.int64()), ("ids", longs), *[(c, longs) for c in FIGURES], ("groups", pa.list_(pa.string())), *[(c, pa.binary()) for c in LEVELS], ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("times", longs)])
     return rows.mapInArrow(run, f"slice long, ids array<long>, {', '.join(f'{c} array<long>' for c in FIGURES)}, groups array<string>, {', '.join(f'{c} binary' for c in LEVELS)}, a array<int>, b array<int>, times array<long>")
 
 
-FIGURES, LEVELS = ["n_a", "n_b", "n_links", "n_overlaps", "n_shared"], ["documents", "stretches", "per_stretch", "links"]
-
-
 def pair_counts(slices: DataFrame) -> DataFrame:
     """(a, b, count, best): how many links of all slices hold a pair of ids, and whether no pair of that B id has more."""
     own = slices.select(F.explode(F.arrays_zip("a", "b", "times")).alias("p")).select("p.*")
