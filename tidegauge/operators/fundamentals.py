@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions.expr import ratio
@@ -60,30 +62,72 @@ def selected_period(performance: DataFrame, spot: DataFrame, explicit: str | Non
     return chosen["period"]
 
 
-def ttm(performance: DataFrame, current: str) -> DataFrame:
-    """For each code: the three periods' figures and trailing-year revenue, profit and cash flow with their confidence."""
-    periods = dict(zip(("cur", "pri", "ann"), triplet(current), strict=True))
-    figures = ("revenue", "net_profit", "operating_cashflow", "ocfps", "bvps_reported", "roe_h1_pct", "gross_margin_pct")
-    needed = performance.filter(F.col("report_date").isin(*periods.values()))
-    wide = needed.groupBy("code").agg(*[F.max(F.when(F.col("report_date") == day, F.col(c))).alias(f"{c}_{tag}") for c in figures for tag, day in periods.items()])
-    factor, method = FACTOR[current[4:]], METHOD[current[4:]]
+FIGURES = ("revenue", "net_profit", "operating_cashflow", "ocfps", "bvps_reported", "roe_h1_pct", "gross_margin_pct")
+
+
+def periods_due(quotes: DataFrame) -> DataFrame:
+    """``quotes`` (as_of, code, quote_trade_date): for each as_of the codes quoted and the last periods due by its latest quote."""
+    calendar = quotes.groupBy("as_of").agg(F.max("quote_trade_date").alias("_today"), F.count_distinct("code").alias("quoted"))
+    return calendar.select("as_of", "quoted", F.explode(candidate_periods(F.col("_today"))).alias("period"))
+
+
+def period_panel(performance: DataFrame, quotes: DataFrame) -> DataFrame:
+    """As ``period_coverage``, for each as_of of ``quotes``: what could be known then, and the period to use."""
+    due = periods_due(quotes)
+    filed = by_period(performance.select("report_date", "code").distinct(), ()).filter("has_cur")
+    whole = filed.groupBy("period").agg(F.count("*").alias("reports"), F.sum(F.col("has_pri").cast("int")).alias("prior"), F.sum(F.col("has_ann").cast("int")).alias("annual"))
+    met = quotes.select("as_of", "code").distinct().join(due.select("as_of", "period"), "as_of").join(filed.select("period", "code"), ["period", "code"]).groupBy("as_of", "period").agg(F.count("*").alias("in_spot"))
+    found = due.join(whole, "period", "left").join(met, ["as_of", "period"], "left")
+    share = lambda n, of: F.coalesce(ratio(F.col(n), F.col(of)), F.lit(0.0))
+    out = found.select("as_of", "period", share("in_spot", "quoted").alias("current_coverage"), share("prior", "reports").alias("prior_coverage"), share("annual", "reports").alias("annual_coverage"))
+    enough = F.least("current_coverage", "prior_coverage", "annual_coverage") >= LEAST_COVERAGE
+    first = F.max(F.when(enough, F.col("period"))).over(Window.partitionBy("as_of"))  # of eight rows
+    return out.withColumn("selected", F.coalesce(F.col("period") == first, F.lit(False)))
+
+
+def by_period(performance: DataFrame, figures: tuple[str, ...]) -> DataFrame:
+    """A row for each code and period that any of its reports serves: the period's own (cur), the year before's (pri), the
+    last year's end (ann). A report serves its own period, the same of the next year, and as a year's end all of that year's."""
+    year, end = F.substring("report_date", 1, 4).cast("int"), F.substring("report_date", 5, 4)
+    next_year = (year + 1).cast("string")
+    uses = F.array(F.struct(F.col("report_date").alias("period"), F.lit("cur").alias("tag")), F.struct(F.concat(next_year, end).alias("period"), F.lit("pri").alias("tag")))
+    closing = F.array(*[F.struct(F.concat(next_year, F.lit(e)).alias("period"), F.lit("ann").alias("tag")) for e in FACTOR])
+    rows = performance.withColumn("_use", F.explode(F.when(end == "1231", F.concat(uses, closing)).otherwise(uses))).select("code", "_use.*", *figures)
+    sums = [F.max(F.when(F.col("tag") == tag, F.col(c))).alias(f"{c}_{tag}") for c in figures for tag in ("cur", "pri", "ann")]
+    return rows.groupBy("period", "code").agg(*[F.bool_or(F.col("tag") == tag).alias(f"has_{tag}") for tag in ("cur", "pri", "ann")], *sums)
+
+
+def ttm_panel(performance: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+    """For each code and period (those of ``periods`` only, where given): the three periods' figures and trailing-year revenue,
+    profit and cash flow with their method and confidence."""
+    wide = by_period(performance, FIGURES).drop("has_cur", "has_pri", "has_ann")
+    if periods is not None:
+        wide = wide.join(periods.select("period").distinct(), "period", "left_semi")
+    end = F.substring("period", 5, 4)
+    way = lambda of: F.coalesce(*[F.when(end == e, F.lit(of[e])) for e in FACTOR])
+    factor, method, sure = way(FACTOR), way(METHOD), way({e: CONFIDENCE[m] for e, m in METHOD.items()})
     out = {}
     for name, figure in (("revenue", "revenue"), ("profit", "net_profit"), ("operating_cashflow", "operating_cashflow")):
         cur, pri, ann = (F.col(f"{figure}_{t}") for t in ("cur", "pri", "ann"))
         exact = ann + cur - pri
-        way = F.when(exact.isNotNull(), "EXACT_TTM").when(cur.isNotNull(), method).otherwise("MISSING")
         out[f"ttm_{name}"] = F.coalesce(exact, cur * factor)
-        out[f"ttm_{name}_method"] = way
-        out[f"ttm_{name}_confidence"] = F.when(exact.isNotNull(), 1.0).when(cur.isNotNull(), CONFIDENCE[method]).otherwise(0.0)
+        out[f"ttm_{name}_method"] = F.when(exact.isNotNull(), "EXACT_TTM").when(cur.isNotNull(), method).otherwise("MISSING")
+        out[f"ttm_{name}_confidence"] = F.when(exact.isNotNull(), 1.0).when(cur.isNotNull(), sure).otherwise(0.0)
     out["fallback_ocfps"] = F.col("ocfps_cur") * factor
-    out["fallback_ocfps_confidence"] = F.when(F.col("ocfps_cur").isNotNull(), min(0.35, CONFIDENCE[method])).otherwise(0.0)
-    out["roe_factor"] = F.lit(factor)
+    out["fallback_ocfps_confidence"] = F.when(F.col("ocfps_cur").isNotNull(), F.least(F.lit(0.35), sure)).otherwise(0.0)
+    out["roe_factor"] = factor
     return wide.withColumns(out)
 
 
-def master(spot: DataFrame, funds: DataFrame) -> DataFrame:
+def ttm(performance: DataFrame, current: str) -> DataFrame:
+    """``ttm_panel`` of one period."""
+    needed = performance.filter(F.col("report_date").isin(*triplet(current)))
+    return ttm_panel(needed).filter(F.col("period") == current)
+
+
+def master(spot: DataFrame, funds: DataFrame, on: Sequence[str] = ("code",)) -> DataFrame:
     """Quotes with fundamentals, per-share values, multiples, return on equity and cash conversion."""
-    x = spot.join(funds, "code", "left")
+    x = spot.join(funds, list(on), "left")
     c = F.col
     shares = F.when((c("market_cap") > 0) & (c("price") > 0), c("market_cap") / c("price"))
     x = x.withColumn("shares_outstanding", shares)

@@ -5,6 +5,8 @@ Names meet on keys, so every match is an equi-join; a name inside another is fou
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.expr import board_name, compact_name, holds, stage_name, theme_name, valuation_name
@@ -44,11 +46,12 @@ def fallback_index(boards: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.select(*boards.columns, F.coalesce("compact_code", "board_code").alias("index_code"), tier.alias("tier"))
 
 
-def stages(aliases: DataFrame, scored: DataFrame) -> DataFrame:
-    """``aliases`` (sector, alias), ``scored`` (name, lifecycle, mainline_score): the stage of each sector's best board. Ties go to the later name."""
+def stages(aliases: DataFrame, scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``aliases`` (sector, alias), ``scored`` (name, lifecycle, mainline_score): the stage of each sector's best board, for each value of ``by``.
+    Ties go to the later name."""
     keyed = aliases.select("sector", stage_name(F.col("alias")).alias("key")).distinct()
     met = keyed.join(scored.withColumn("key", stage_name(F.col("name"))), "key")
-    return met.groupBy("sector").agg(F.max_by("lifecycle", F.struct("mainline_score", "name")).alias("stage"), F.max("mainline_score").alias("stage_score"))
+    return met.groupBy("sector", *by).agg(F.max_by("lifecycle", F.struct("mainline_score", "name")).alias("stage"), F.max("mainline_score").alias("stage_score"))
 
 
 def sector_universe(specs: DataFrame, constituents: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions.expr import descending_rank
 
@@ -52,11 +52,19 @@ def upserted(stored: DataFrame, new: DataFrame, keys: list[str], moment: str, ti
     return both.withColumn("_place", place).filter("_place = 1").drop("_place", "_new")
 
 
-def of_version(stored: DataFrame, version: str, config_hash: str, universe: DataFrame | None = None) -> DataFrame:
+def of_version(stored: DataFrame, version: str, config_hash: str | Column, universe: DataFrame | None = None) -> DataFrame:
     """Rows that this model version and configuration (and, by sector, universe_hash) wrote."""
     own = stored.filter((F.col("model_version") == version) & (F.col("config_hash") == config_hash))
     return own if universe is None else own.join(universe, ["sector", "universe_hash"], "left_semi")
 
 
+def stored_status(columns: Sequence[str] | None, value: str) -> str:
+    """Why a store of snapshots, None if there is none, gives no history; '' if it may: without the value it is missing, without
+    a version or a configuration it is of another model."""
+    if columns is None or value not in columns:
+        return "MISSING"
+    return "" if {"model_version", "config_hash"} <= set(columns) else "VERSION_MISMATCH"
+
+
 def universe_hash(members: DataFrame, group: str, code: str) -> DataFrame:
     return members.groupBy(group).agg(F.substring(F.sha2(F.concat_ws(",", F.array_sort(F.collect_set(code))).cast("binary"), 256), 1, 16).alias("universe_hash"))

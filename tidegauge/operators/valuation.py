@@ -101,10 +101,10 @@ def centered(lenses: DataFrame, entity: list[str], value: str, weight: str) -> D
     """Weighted geometric mean of the lenses' positive values and their spread in logarithms."""
     good = holds((F.col(value) > 0) & (F.col(weight) > 0))
     w, ln = F.when(good, F.col(weight)), F.when(good, F.log(value))
-    sums = lenses.groupBy(*entity).agg(F.sum(w).alias("effective_weight"), F.sum(F.col("weight")).alias("total_weight"), F.sum(w * ln).alias("_l"), F.sum(w * ln * ln).alias("_q"), F.array_join(F.array_sort(F.collect_list(F.when(good, F.upper("metric")))), ";").alias("models_used"))
+    sums = lenses.groupBy(*entity).agg(F.sum(w).alias("effective_weight"), F.sum(F.col("weight")).alias("total_weight"), F.sum(w * ln).alias("_l"), F.sum(w * ln * ln).alias("_q"), F.count(w).alias("_n"), F.array_join(F.array_sort(F.collect_list(F.when(good, F.upper("metric")))), ";").alias("models_used"))
     mean = F.col("_l") / F.col("effective_weight")
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("effective_weight") - mean * mean))
-    return sums.withColumn("center", F.exp(mean)).withColumn("disagreement", spread).withColumn("model_weight_coverage", F.coalesce("effective_weight", F.lit(0.0)) / F.col("total_weight")).drop("_l", "_q")
+    spread = F.when(F.col("_n") == 1, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("effective_weight") - mean * mean)))  # one value agrees with itself, without rounding
+    return sums.withColumn("center", F.exp(mean)).withColumn("disagreement", spread).withColumn("model_weight_coverage", F.coalesce("effective_weight", F.lit(0.0)) / F.col("total_weight")).drop("_l", "_q", "_n")
 
 
 def sector_lenses(rows: DataFrame, weights: DataFrame, least_coverage: float = 0.70) -> DataFrame:
@@ -222,14 +222,41 @@ def position(rows: DataFrame, failed_cap: int = 0, watch_scale: float = 0.60, pr
     return x.withColumn("action", action).withColumn("target_position", sized.cast("int")).drop("_base")
 
 
+def position_path(rows: DataFrame, entity: str, order: str, failed_cap: int = 0, watch_scale: float = 0.60, prior_cap: int = 30) -> DataFrame:
+    """(entity, order, previous_target, target_position, action): as ``position``, in order, each from the target before it.
+
+    All but the hysteresis is decided row by row. An entity's steps, of five small values each, are then folded in order: a target of 70
+    or more stays while the price has not left the band. As only tradable rows are stored, the others pass the target before them on."""
+    c = F.col
+    free = position(rows.withColumn("previous_target", F.lit(None).cast("int")), failed_cap, watch_scale, prior_cap)
+    base = F.coalesce(*[F.when(c("zone") == z, t) for z, t in (("deep_value", 100), ("value", 70), ("fair", 40), ("dear", 15))], F.lit(0))
+    may_keep = holds(c("tradable") & (c("gate") == "pass") & (c("stage") != "Decay") & (c("trade_band_source") != "MODEL_PRIOR_BANDS") & (c("price") > c("buy_price")) & (c("price") <= c("buy_exit_price")))
+    stored = holds(c("tradable")) & c("price").isNotNull()
+    step = F.struct(c(order).alias("at"), may_keep.alias("may_keep"), base.alias("base"), stored.alias("stored"), c("target_position").alias("free"), "action")
+    walked = "previous_target int, target_position int, action string"
+    none = F.lit(None).cast("int")
+
+    def walk(done: Column, x: Column) -> Column:
+        previous = done["last"]
+        keeps = F.coalesce(x["may_keep"] & (previous >= 70) & (x["base"] < previous), F.lit(False))
+        target = F.when(keeps, previous).otherwise(x["free"])
+        here = F.struct(x["at"].alias("at"), previous.alias("previous_target"), target.alias("target_position"), F.when(keeps, "HOLD_HYSTERESIS").otherwise(x["action"]).alias("action"))
+        return F.struct(F.when(x["stored"], target).otherwise(previous).alias("last"), F.concat(done["path"], F.array(here)).alias("path"))
+
+    at = dict(rows.dtypes)[order]
+    start = F.struct(none.alias("last"), F.array().cast(f"array<struct<at:{at},{walked.replace(' ', ':').replace(',:', ',')}>>").alias("path"))
+    paths = free.groupBy(entity).agg(F.array_sort(F.collect_list(step)).alias("steps")).select(entity, F.explode(F.aggregate("steps", start, walk, lambda done: done["path"])).alias("p"))
+    return paths.select(entity, c("p.at").alias(order), "p.previous_target", "p.target_position", "p.action")
+
+
 def risk_flags(rows: DataFrame) -> Column:
     c = F.col
     flags = [
         (holds(c("res_status") != "OK"), "RESIDUAL_HISTORY_INSUFFICIENT"), (c("trade_band_source") == "MODEL_PRIOR_BANDS", "MODEL_PRIOR_BANDS"), (c("stage") == "UNKNOWN", "MAINLINE_UNKNOWN"), (c("model_weight_coverage") < 0.70, "LOW_MODEL_COVERAGE"),
-        (c("floor_hit"), "FAIR_PE_FLOOR_HIT"), (c("cap_hit"), "FAIR_PE_CAP_HIT"),
+        (c("growth_regime") != "NORMAL", c("growth_regime")), (c("floor_hit"), "FAIR_PE_FLOOR_HIT"), (c("cap_hit"), "FAIR_PE_CAP_HIT"), (c("classification_confidence") < 0.60, "SECTOR_LOW_CONFIDENCE"),
+        (~(c("revenue_growth").isNotNull() & c("profit_growth").isNotNull()) & (c("model") != "utility"), "GROWTH_DATA_MISSING"),
     ]
-    regime = F.when(c("growth_regime") != "NORMAL", c("growth_regime"))
-    return F.concat_ws(";", *[F.when(holds(rule), name) for rule, name in flags], regime)
+    return F.concat_ws(";", *[F.when(holds(rule), name) for rule, name in flags])
 
 
 def infer_sectors(hits: DataFrame, least: float = 0.60) -> DataFrame:

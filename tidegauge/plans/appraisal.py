@@ -96,9 +96,9 @@ judged as (select *, case when not coalesce(current_value > 0 and coverage >= 0.
            when sure <= 0 then 'missing_confidence' else '' end as drop_reason from paired),
 lenses as (select *, case when drop_reason = '' then case when metric = 'ocf_yield' then fair_value / current_value else current_value / fair_value end end as ratio, case when drop_reason = '' then sure else 0 end as weight_left from judged)"""
 SECTOR_VALUES = f"""{SECTOR_LENSES},
-summed as (select sector, sum(weight) as total, sum(weight_left) filter (ratio > 0 and weight_left > 0) as w, sum(weight_left * ln(ratio)) filter (ratio > 0 and weight_left > 0) as l,
+summed as (select sector, sum(weight) as total, count(*) filter (ratio > 0 and weight_left > 0) as used, sum(weight_left) filter (ratio > 0 and weight_left > 0) as w, sum(weight_left * ln(ratio)) filter (ratio > 0 and weight_left > 0) as l,
            sum(weight_left * ln(ratio) * ln(ratio)) filter (ratio > 0 and weight_left > 0) as q, coalesce(string_agg(upper(metric), ';' order by metric) filter (ratio > 0 and weight_left > 0), '') as models_used from lenses group by sector),
-valued_sectors as (select sector, exp(l / w) as center, sqrt(greatest(0, q / w - (l / w) * (l / w))) as disagreement, coalesce(w, 0) / total as model_weight_coverage, models_used, exp(l / w) - 1 as multiple_deviation from summed),
+valued_sectors as (select sector, exp(l / w) as center, case when used = 1 then 0 else sqrt(greatest(0, q / w - (l / w) * (l / w))) end as disagreement, coalesce(w, 0) / total as model_weight_coverage, models_used, exp(l / w) - 1 as multiple_deviation from summed),
 labelled as (select *, case when multiple_deviation is null then 'unknown' when multiple_deviation <= -0.25 then 'undervalued' when multiple_deviation <= -0.10 then 'slightly_low' when multiple_deviation < 0.15 then 'fair'
              when multiple_deviation < 0.35 then 'high' when multiple_deviation < 0.70 then 'overvalued' else 'extreme' end as valuation_label,
              case when model_weight_coverage < 0.70 then 'LOW_MODEL_COVERAGE' when center is null then 'INSUFFICIENT_DATA' else 'OK' end as valuation_status from valued_sectors)"""

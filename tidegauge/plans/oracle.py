@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from tidegauge.operators.scoring import CONFIRMATION, GROUP, IGNITION, MAINLINE, SIGNALS, TRAJECTORY
-from tidegauge.plans.panel import PERIOD
+from tidegauge.operators import fundamentals
 
 
 def settled(x: str) -> str:
@@ -200,31 +200,64 @@ quarters as (select l_suppkey, year(l_shipdate) as y, quarter(l_shipdate) as q,
 dates as (select l_suppkey, y, q, sum(revenue) over w as revenue, sum(net_profit) over w as net_profit, sum(ocf) over w as ocf, sum(gross) over w as gross from quarters window w as (partition by l_suppkey, y order by q rows unbounded preceding)),
 performance as (select a.y::varchar || ['0331', '0630', '0930', '1231'][a.q] as report_date, lpad(a.l_suppkey::varchar, 6, '0') as code, a.revenue, a.net_profit, case when a.l_suppkey % 7 <> 0 then a.ocf end as operating_cashflow,
                 a.ocf / 1000 as ocfps, case when a.l_suppkey % 5 <> 0 then a.revenue / 5000 end as bvps_reported, 100 * (a.net_profit / nullif(a.revenue, 0)) as roe_h1_pct, 100 * ((a.revenue - 0.6::double * a.gross) / nullif(a.revenue, 0)) as gross_margin_pct from dates a)"""
-_FACTOR, _METHOD, _SURE = {"0331": (4.0, "ANNUALIZED_Q1", 0.35), "0630": (2.0, "ANNUALIZED_H1", 0.55), "0930": (4.0 / 3.0, "ANNUALIZED_Q3", 0.70), "1231": (1.0, "EXACT_TTM", 1.0)}[PERIOD[4:]]
-_TAGS = {"cur": PERIOD, "pri": f"{int(PERIOD[:4]) - 1}{PERIOD[4:]}", "ann": f"{int(PERIOD[:4]) - 1}1231"}
 _FIGURES = ("revenue", "net_profit", "operating_cashflow", "ocfps", "bvps_reported", "roe_h1_pct", "gross_margin_pct")
 
 
 def _ttm(name: str, figure: str) -> str:
     exact = f"{figure}_ann + {figure}_cur - {figure}_pri"
-    return f"""coalesce({exact}, {figure}_cur * {_FACTOR!r}::double) as ttm_{name}, case when {exact} is not null then 'EXACT_TTM' when {figure}_cur is not null then '{_METHOD}' else 'MISSING' end as ttm_{name}_method,
-        case when {exact} is not null then 1.0::double when {figure}_cur is not null then {_SURE} else 0 end as ttm_{name}_confidence"""
-
-
-TTM = f"""{REPORTS},
-wide as (select code, {", ".join(f"max({c}) filter (report_date = '{day}') as {c}_{tag}" for c in _FIGURES for tag, day in _TAGS.items())} from performance where report_date in ({", ".join(f"'{d}'" for d in _TAGS.values())}) group by code),
-ttm as (select *, {_ttm("revenue", "revenue")}, {_ttm("profit", "net_profit")}, {_ttm("operating_cashflow", "operating_cashflow")}, ocfps_cur * {_FACTOR!r}::double as fallback_ocfps from wide)"""
+    return f"""coalesce({exact}, {figure}_cur * factor) as ttm_{name}, case when {exact} is not null then 'EXACT_TTM' when {figure}_cur is not null then method else 'MISSING' end as ttm_{name}_method,
+        case when {exact} is not null then 1.0::double when {figure}_cur is not null then sure else 0 end as ttm_{name}_confidence"""
+
+
+#: Trailing figures of every code at every period that a report of it serves.
+TRAILING = f"""{REPORTS},
+ways as (select * from (values ('0331', 4.0::double, 'ANNUALIZED_Q1', 0.35::double), ('0630', 2.0::double, 'ANNUALIZED_H1', 0.55::double), ('0930', 4.0::double / 3, 'ANNUALIZED_Q3', 0.70::double), ('1231', 1.0::double, 'EXACT_TTM', 1.0::double)) as w(e, factor, method, sure)),
+serving as (select report_date as period, 'cur' as tag, * from performance union all select (report_date[:4]::int + 1)::varchar || report_date[5:], 'pri', * from performance
+            union all select (report_date[:4]::int + 1)::varchar || e, 'ann', p.* from performance p, ways where report_date[5:] = '1231'),
+wide as (select period, code, {", ".join(f"max({c}) filter (tag = '{tag}') as {c}_{tag}" for c in _FIGURES for tag in ("cur", "pri", "ann"))} from serving group by period, code),
+trailed as (select *, {_ttm("revenue", "revenue")}, {_ttm("profit", "net_profit")}, {_ttm("operating_cashflow", "operating_cashflow")}, ocfps_cur * factor as fallback_ocfps from wide join ways on e = period[5:])"""
+#: The periods due by the last quote, their coverage, and the one to use.
+PERIODS = f"""
+today as (select max(l_shipdate)::date as d from lineitem where l_suppkey in (select s_suppkey from supplier)),
+made as (select (year(d) - back)::int as y, e from today, range(4) as b(back), (values (10, 31, '0930'), (8, 31, '0630'), (4, 30, '0331')) as m(month, day, e) where make_date(year(d) - back, month, day) <= d),
+periods as (select y::varchar || e as period, (y - 1)::varchar || e as prior, (y - 1)::varchar || '1231' as annual from made order by y desc, e desc limit 8),
+reported as (select distinct report_date, code from performance),
+covered as (select period, count(r.code) as reports, count(q.s_suppkey) as in_spot, count(p.code) as prior, count(a.code) as annual from periods left join reported r on r.report_date = period left join supplier q on lpad(q.s_suppkey::varchar, 6, '0') = r.code
+            left join reported p on p.code = r.code and p.report_date = periods.prior left join reported a on a.code = r.code and a.report_date = periods.annual group by period),
+shares as (select period, in_spot / (select count(*) from supplier) as current_coverage, coalesce(prior / nullif(reports, 0), 0) as prior_coverage, coalesce(annual / nullif(reports, 0), 0) as annual_coverage from covered),
+chosen as (select *, coalesce(period = (select max(period) from shares where least(current_coverage, prior_coverage, annual_coverage) >= {fundamentals.LEAST_COVERAGE}::double), false) as selected from shares)"""
+TTM = f"""{TRAILING},{PERIODS},
+ttm as (select t.* from trailed t join chosen using (period) where selected)"""
+#: From quotes beside trailing figures to values a share and multiples.
+VALUED = """valued as (select *, ttm_profit / shares_outstanding as ttm_eps, coalesce(ttm_operating_cashflow / shares_outstanding, fallback_ocfps) as ttm_ocfps, case when ttm_profit > 0 and market_cap > 0 then market_cap / ttm_profit end as pe_ttm_calc,
+           case when ttm_revenue > 0 and market_cap > 0 then market_cap / ttm_revenue end as ps_ttm_calc, ttm_revenue / shares_outstanding as sps_ttm, book / shares_outstanding as bvps,
+           case when bvps_reported_cur > 0 and bvps_reported_pri > 0 then (bvps_reported_cur + bvps_reported_pri) / 2 * shares_outstanding end as average_equity from shared),
+master as (select *, coalesce(case when coalesce(average_equity, book) > 0 then ttm_profit / coalesce(average_equity, book) * 100 end, roe_h1_pct_cur * factor) as ttm_roe_pct,
+           coalesce(case when ttm_profit > 0 then ttm_operating_cashflow / ttm_profit end, case when ttm_eps > 0 then ttm_ocfps / ttm_eps end) as cash_conversion from valued)"""
 MASTER = f"""{TTM},
 monthly as (select l_suppkey, date_trunc('month', l_shipdate)::date as month, avg(l_extendedprice / l_quantity) as price from lineitem group by 1, 2),
 priced_last as (select l_suppkey, max_by(price, month) as price from monthly group by 1),
 spot as (select lpad(s_suppkey::varchar, 6, '0') as code, s_name as name, price, case when s_acctbal > 0 then s_acctbal * 1000 end as market_cap, case when s_acctbal > 0 and s_suppkey % 11 <> 0 then 0.5::double + (s_acctbal % 500) / 100 end as pb
          from supplier left join priced_last on l_suppkey = s_suppkey),
 shared as (select *, case when market_cap > 0 and price > 0 then market_cap / price end as shares_outstanding, case when pb > 0 and market_cap > 0 then market_cap / pb end as book from spot left join ttm using (code)),
-valued as (select *, ttm_profit / shares_outstanding as ttm_eps, coalesce(ttm_operating_cashflow / shares_outstanding, fallback_ocfps) as ttm_ocfps, case when ttm_profit > 0 and market_cap > 0 then market_cap / ttm_profit end as pe_ttm_calc,
-           case when ttm_revenue > 0 and market_cap > 0 then market_cap / ttm_revenue end as ps_ttm_calc, ttm_revenue / shares_outstanding as sps_ttm, book / shares_outstanding as bvps,
-           case when bvps_reported_cur > 0 and bvps_reported_pri > 0 then (bvps_reported_cur + bvps_reported_pri) / 2 * shares_outstanding end as average_equity from shared),
-master as (select *, coalesce(case when coalesce(average_equity, book) > 0 then ttm_profit / coalesce(average_equity, book) * 100 end, roe_h1_pct_cur * {_FACTOR!r}::double) as ttm_roe_pct,
-           coalesce(case when ttm_profit > 0 then ttm_operating_cashflow / ttm_profit end, case when ttm_eps > 0 then ttm_ocfps / ttm_eps end) as cash_conversion from valued)"""
+{VALUED}"""
+#: As MASTER, for every stock and month: what could be known then. Its key is the stock's code and the month.
+MONTHS = f"""{TRAILING},
+month_prices as (select l_suppkey, date_trunc('month', l_shipdate)::date as as_of, avg(l_extendedprice / l_quantity) as price, max(l_shipdate)::date as quote_day from lineitem group by 1, 2),
+grown_prices as (select *, price / first_value(price) over (partition by l_suppkey order by as_of) as price_growth from month_prices),
+spot as (select as_of, lpad(s_suppkey::varchar, 6, '0') as stock, s_name as name, price, quote_day, case when s_acctbal > 0 then s_acctbal * 1000 * price_growth end as market_cap,
+         case when s_acctbal > 0 and s_suppkey % 11 <> 0 then (0.5::double + (s_acctbal % 500) / 100) * price_growth end as pb from supplier join grown_prices on l_suppkey = s_suppkey),
+calendar as (select as_of, max(quote_day) as d, count(distinct stock) as quoted from spot group by as_of),
+made as (select as_of, quoted, (year(d) - back)::int as y, e from calendar, range(4) as b(back), (values (10, 31, '0930'), (8, 31, '0630'), (4, 30, '0331')) as m(month, day, e) where make_date(year(d) - back, month, day) <= d),
+due as (select as_of, quoted, y::varchar || e as period from made qualify row_number() over (partition by as_of order by y desc, e desc) <= 8),
+filed as (select period, code, bool_or(tag = 'pri') as has_pri, bool_or(tag = 'ann') as has_ann from serving group by period, code having bool_or(tag = 'cur')),
+filed_whole as (select period, count(*) as reports, sum(has_pri::int) as prior, sum(has_ann::int) as annual from filed group by period),
+filed_met as (select as_of, period, count(*) as in_spot from due join spot using (as_of) join filed using (period) where filed.code = spot.stock group by as_of, period),
+covered as (select as_of, period, coalesce(in_spot / quoted, 0) as current_coverage, coalesce(prior / reports, 0) as prior_coverage, coalesce(annual / reports, 0) as annual_coverage from due left join filed_whole using (period) left join filed_met using (as_of, period)),
+chosen as (select *, coalesce(period = max(case when least(current_coverage, prior_coverage, annual_coverage) >= {fundamentals.LEAST_COVERAGE}::double then period end) over (partition by as_of), false) as selected from covered),
+shared as (select s.*, c.period, t.* exclude (period, code), stock || '@' || strftime(as_of, '%Y%m') as code, case when market_cap > 0 and price > 0 then market_cap / price end as shares_outstanding, case when pb > 0 and market_cap > 0 then market_cap / pb end as book
+           from spot s left join (select as_of, period from chosen where selected) c using (as_of) left join trailed t on t.period = c.period and t.code = s.stock),
+{VALUED}"""
 SECTORS = f"""{MASTER},
 x as (select 'sector_' || n_regionkey as sector, m.* from (select lpad(s_suppkey::varchar, 6, '0') as code, n_regionkey from supplier join nation on s_nationkey = n_nationkey) join master m using (code) where market_cap > 0),
 sectors as (select sector, count(*) as constituents, sum(market_cap) as market_cap, sum(market_cap) filter (ttm_profit is not null) / case when sum(ttm_profit) > 0 then sum(ttm_profit) end as aggregate_pe,

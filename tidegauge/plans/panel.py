@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidegauge.operators import canonical, flows, fundamentals, metrics, scoring, trajectory
 from tidegauge.sources import adapters
 
-#: The report period that the fundamentals are taken at.
-PERIOD = "19970930"
-
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder named by spark.checkpoint.dir; a local session without one gets a temporary one."""
@@ -59,5 +56,23 @@ def sector_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.constituents(spark, sf_dir).select(F.concat(F.lit("sector_"), F.col("n_regionkey").cast("string")).alias("sector"), F.col("stock_code").alias("code"), F.col("board"))
 
 
+def trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing figures at the period that the coverage of the reports selects as of the last quote."""
+    performance = adapters.performance(spark, sf_dir)
+    chosen = fundamentals.period_coverage(performance, adapters.spot(spark, sf_dir)).filter("selected")
+    return fundamentals.ttm_panel(performance, chosen)
+
+
 def company_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fundamentals.master(adapters.spot(spark, sf_dir), fundamentals.ttm(adapters.performance(spark, sf_dir), PERIOD))
+    return fundamentals.master(adapters.spot(spark, sf_dir), trailing(spark, sf_dir))
+
+
+def month_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fundamentals.period_panel(adapters.performance(spark, sf_dir), adapters.quotes_by_month(spark, sf_dir))
+
+
+def month_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stock's quote of every month beside the trailing figures that could be known then: those of the period that month's coverage selects."""
+    chosen = month_periods(spark, sf_dir).filter("selected").select("as_of", "period")
+    quotes = adapters.quotes_by_month(spark, sf_dir).join(chosen, "as_of", "left")
+    return fundamentals.master(quotes, fundamentals.ttm_panel(adapters.performance(spark, sf_dir), chosen), ["period", "code"])

@@ -206,45 +206,18 @@ _REPORT = ["revenue", "net_profit", "operating_cashflow", "ocfps", "bvps_reporte
 add("reports", adapters.performance, ["report_date", "code", *_REPORT], sql.query(sql.REPORTS, "performance", sql.listed(_REPORT, ["report_date", "code"])))
 _TTM = [f"ttm_{f}" for f in ("revenue", "profit", "operating_cashflow")]
 _PLAIN, _SURE = [f"{t}_method" for t in _TTM], [*_TTM, *[f"{t}_confidence" for t in _TTM], "fallback_ocfps"]
-add("ttm", lambda s, d: fundamentals.ttm(adapters.performance(s, d), panel.PERIOD), ["code", *_PLAIN, *_SURE], sql.query(sql.TTM, "ttm", sql.listed(_SURE, ["code", *_PLAIN])))
+add("ttm", panel.trailing, ["code", *_PLAIN, *_SURE], sql.query(sql.TTM, "ttm", sql.listed(_SURE, ["code", *_PLAIN])))
 _MULTIPLES = ["price", "market_cap", "pb", "shares_outstanding", "ttm_eps", "ttm_ocfps", "pe_ttm_calc", "ps_ttm_calc", "sps_ttm", "bvps", "ttm_roe_pct", "cash_conversion"]
 add("multiples", panel.company_table, ["code", "name", *_MULTIPLES], sql.query(sql.MASTER, "master", sql.listed(_MULTIPLES, ["code", "name"])))
 _SECTOR = ["market_cap", "aggregate_pe", "positive_profit_pe", "pb", "ps", "revenue_growth", "profit_growth", "gross_margin_pct", "profitable_mcap_coverage", "loss_mcap_share", "pb_mcap_coverage", "ocf_mcap_coverage", "ocf_yield"]
 add("sector_aggregate", lambda s, d: fundamentals.sector_aggregate(panel.sector_members(s, d), panel.company_table(s, d)), ["sector", "constituents", *_SECTOR], sql.query(sql.SECTORS, "sectors", sql.listed(_SECTOR, ["sector"], ["constituents"])))
 _COVERAGE = ["current_coverage", "prior_coverage", "annual_coverage"]
-_PERIODS = f"""{sql.REPORTS},
-today as (select max(l_shipdate)::date as d from lineitem where l_suppkey in (select s_suppkey from supplier)),
-made as (select (year(d) - back)::int as y, e from today, range(4) as b(back), (values (10, 31, '0930'), (8, 31, '0630'), (4, 30, '0331')) as m(month, day, e) where make_date(year(d) - back, month, day) <= d),
-periods as (select y::varchar || e as period, (y - 1)::varchar || e as prior, (y - 1)::varchar || '1231' as annual from made order by y desc, e desc limit 8),
-reported as (select distinct report_date, code from performance),
-covered as (select period, count(r.code) as reports, count(q.s_suppkey) as in_spot, count(p.code) as prior, count(a.code) as annual from periods left join reported r on r.report_date = period left join supplier q on lpad(q.s_suppkey::varchar, 6, '0') = r.code
-            left join reported p on p.code = r.code and p.report_date = periods.prior left join reported a on a.code = r.code and a.report_date = periods.annual group by period),
-shares as (select period, in_spot / (select count(*) from supplier) as current_coverage, coalesce(prior / nullif(reports, 0), 0) as prior_coverage, coalesce(annual / nullif(reports, 0), 0) as annual_coverage from covered),
-chosen as (select *, coalesce(period = (select max(period) from shares where least(current_coverage, prior_coverage, annual_coverage) >= {fundamentals.LEAST_COVERAGE}::double), false) as selected from shares)"""
-add("period_select", lambda s, d: fundamentals.period_coverage(adapters.performance(s, d), adapters.spot(s, d)), ["period", *_COVERAGE, "selected"], sql.query(_PERIODS, "chosen", sql.listed(_COVERAGE, ["period", "selected"])))
-
-
-def _ttm_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``ttm``, at the period that the coverage of the reports selects."""
-    performance = adapters.performance(spark, sf_dir)
-    period = fundamentals.selected_period(performance, adapters.spot(spark, sf_dir))
-    return fundamentals.ttm(performance, period).withColumn("period", F.lit(period))
-
-
-_FIGURE = {"revenue": "revenue", "profit": "net_profit", "operating_cashflow": "operating_cashflow"}
-_EXACT = "{0}_ann + {0}_cur - {0}_pri"
-_TRAILING = ", ".join(
-    f"coalesce({_EXACT.format(f)}, {f}_cur * factor) as ttm_{n}, case when {_EXACT.format(f)} is not null then 'EXACT_TTM' when {f}_cur is not null then method else 'MISSING' end as ttm_{n}_method, "
-    f"case when {_EXACT.format(f)} is not null then 1 when {f}_cur is not null then sure else 0 end as ttm_{n}_confidence"
-    for n, f in _FIGURE.items()
-)
-_SELECTED = f"""{_PERIODS},
-ways as (select * from (values ('0331', 4.0::double, 'ANNUALIZED_Q1', 0.35), ('0630', 2.0::double, 'ANNUALIZED_H1', 0.55), ('0930', 4.0::double / 3, 'ANNUALIZED_Q3', 0.70), ('1231', 1.0::double, 'EXACT_TTM', 1.0)) as w(e, factor, method, sure)),
-picked as (select period, prior, annual, factor, method, sure from chosen join periods using (period) join ways on e = period[5:] where selected),
-wide_selected as (select code, period, factor, method, sure, {", ".join(f"max({f}) filter (report_date = {day}) as {f}_{tag}" for f in (*_FIGURE.values(), "ocfps") for tag, day in (("cur", "period"), ("pri", "prior"), ("ann", "annual")))}
-                  from performance join picked on report_date in (period, prior, annual) group by all),
-ttm_selected as (select *, {_TRAILING}, ocfps_cur * factor as fallback_ocfps from wide_selected)"""
-add("ttm_selected", _ttm_selected, ["code", "period", *_PLAIN, *_SURE], sql.query(_SELECTED, "ttm_selected", sql.listed(_SURE, ["code", "period", *_PLAIN])))
+add("period_select", lambda s, d: fundamentals.period_coverage(adapters.performance(s, d), adapters.spot(s, d)), ["period", *_COVERAGE, "selected"], sql.query(f"{sql.REPORTS},{sql.PERIODS}", "chosen", sql.listed(_COVERAGE, ["period", "selected"])))
+
+
+add("ttm_selected", panel.trailing, ["code", "period", *_PLAIN, *_SURE], sql.query(sql.TTM, "ttm", sql.listed(_SURE, ["code", "period", *_PLAIN])))
+add("month_periods", panel.month_periods, ["as_of", "period", *_COVERAGE, "selected"], sql.query(sql.MONTHS, "chosen", sql.listed(_COVERAGE, ["as_of::varchar as as_of", "period", "selected"])))
+add("month_multiples", panel.month_companies, ["as_of", "code", "period", *_PLAIN, *_TTM, *_MULTIPLES], sql.query(sql.MONTHS, "master", sql.listed([*_TTM, *_MULTIPLES], ["as_of::varchar as as_of", "stock as code", "period", *_PLAIN])))
 _STATS = ["effective_points", "confidence", "median", "q10", "q25", "q50", "q75", "q90", "mad"]
 _HISTORY = f"""{sql.STOCKS},
 prepared as (select stock_code as code, date, close, lag(close) over (partition by stock_code order by date) as before, abs(close - median(close) over (partition by stock_code)) as off from stock_bars),

@@ -64,11 +64,24 @@ def sector_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.stages(aliases, scored)
 
 
+def sector_month_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``sector_stages``, for each month: of its last week that had ended by the month's end."""
+    rows = panel.first_pass(spark, sf_dir).filter("kind = 'concept'").select(F.trunc(F.date_add("as_of", 6), "month").alias("month"), "as_of", F.concat(F.lit("board "), "code").alias("name"), "lifecycle", "mainline_score")
+    week = rows.groupBy("month").agg(F.max("as_of").alias("as_of"))
+    aliases = panel.sector_members(spark, sf_dir).select("sector", F.concat(F.lit("Board-"), c("code").cast("long").cast("string"), F.lit("行业")).alias("alias"))
+    return resolution.stages(aliases, rows.join(week, ["month", "as_of"], "left_semi").withColumnRenamed("as_of", "week"), ["month"]).withColumnRenamed("month", "as_of")
+
+
 STAGES = f"""{sql.FIRST},
 now as (select * from first_pass where kind = 'concept' and as_of = (select max(as_of) from first_pass)),
 homes as (select 'sector_' || n_regionkey as sector, s_suppkey::varchar as code from supplier join nation on s_nationkey = n_nationkey),
 stages as (select sector, lifecycle as stage, mainline_score as stage_score from (select *, row_number() over (partition by sector order by mainline_score desc, code desc) as n from homes join now using (code)) where n = 1)"""
 
+MONTH_STAGES = f"""{sql.FIRST},
+month_weeks as (select date_trunc('month', as_of + 6)::date as month, max(as_of) as week from first_pass where kind = 'concept' group by 1),
+month_homes as (select 'sector_' || n_regionkey as sector, s_suppkey::varchar as code from supplier join nation on s_nationkey = n_nationkey),
+month_stages as (select sector, month as as_of, lifecycle as stage from (select *, row_number() over (partition by sector, month order by mainline_score desc, code desc) as n from first_pass join month_weeks on as_of = week join month_homes using (code) where kind = 'concept') where n = 1)"""
+
 
 def label_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extracts of a report: boards that lead, seeds, boxes and candidates."""

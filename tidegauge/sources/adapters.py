@@ -106,3 +106,15 @@ def spot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed(spark, sf_dir, "supplier").join(last, "s_suppkey", "left").select(
         F.lpad(code.cast("string"), 6, "0").alias("code"), F.col("s_name").alias("name"), "price", F.when(balance > 0, balance * 1000).alias("market_cap"), F.when((balance > 0) & (code % 11 != 0), 0.5 + F.pmod(balance, F.lit(500.0)) / 100).alias("pb"), "quote_trade_date"
     )
+
+
+def quotes_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's quote in each month: mean price, market value and book multiple of a number of shares and a book that were settled in its first month."""
+    lines = landed(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("as_of"), F.col("l_shipdate").cast("date").alias("day"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"))
+    months = lines.groupBy("s_suppkey", "as_of").agg(F.avg("px").alias("price"), F.max("day").alias("quote_trade_date"))
+    rows = months.withColumn("first_price", F.first("price").over(Window.partitionBy("s_suppkey").orderBy("as_of")))
+    code, balance, grown = F.col("s_suppkey"), F.col("s_acctbal"), F.col("price") / F.col("first_price")
+    return landed(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").join(rows, "s_suppkey").select(
+        "as_of", F.lpad(code.cast("string"), 6, "0").alias("code"), F.col("s_name").alias("name"), "price", F.when(balance > 0, balance * 1000 * grown).alias("market_cap"),
+        F.when((balance > 0) & (code % 11 != 0), (0.5 + F.pmod(balance, F.lit(500.0)) / 100) * grown).alias("pb"), "quote_trade_date"
+    )
