@@ -275,23 +275,6 @@ def wide(lenses: DataFrame, entity: str) -> DataFrame:
     return out.select(entity, *[F.col(f"{m}_{k}").alias(f"{k}_{m}") for m in METRICS for k in ("configured_weight", "effective_weight", "drop_reason")])
 
 
-def config_violations(sectors: DataFrame, weights: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Every rule that a configuration breaks: unknown families, bounds out of order, weights, stocks without a sector."""
-    c = F.col
-    rules = [
-        sectors.filter(~c("model").isin(*DEFAULT_WEIGHTS)).select(c("sector").alias("entity"), F.lit("unknown_model").alias("rule")),
-        *[sectors.filter(c(f"fair_{m}_floor") > c(f"fair_{m}_cap")).select(c("sector").alias("entity"), F.lit(f"fair_{m}_bounds").alias("rule")) for m in ("pe", "ps", "pb")],
-        sectors.filter(c("required_return") <= c("terminal_growth")).select(c("sector").alias("entity"), F.lit("return_not_above_growth").alias("rule")),
-        weights.groupBy("sector").agg(F.sum("weight").alias("w"), F.min("weight").alias("least")).filter((F.abs(c("w") - 1) > 1e-6) | (c("least") <= 0)).select(c("sector").alias("entity"), F.lit("weights").alias("rule")),
-        stocks.join(sectors.select("sector"), "sector", "left_anti").select(c("code").alias("entity"), F.lit("unknown_sector").alias("rule")),
-        stocks.filter(~F.coalesce(c("code").rlike(r"^\d{6}$"), F.lit(False))).select(c("code").alias("entity"), F.lit("stock_code").alias("rule")),
-    ]
-    out = rules[0]
-    for rule in rules[1:]:
-        out = out.unionByName(rule)
-    return out
-
-
 def stock_anchors(stocks: DataFrame) -> DataFrame:
     """``stocks``: master rows beside a family and its terms. Each stock's own growth and margin, and the multiples they make."""
     c = F.col

@@ -193,31 +193,15 @@ judged as (select *, confidence >= 0.6::double and not coalesce(abs(score - runn
 select code, case when clear then sector else 'MODEL_REVIEW_REQUIRED' end as sector, sector as suggested_sector, case when clear then 'OK' else 'MODEL_REVIEW_REQUIRED' end as classification_status, {sql.settled('confidence')} as classification_confidence, candidates::bigint as candidates from judged"""
 
 
-def config_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A configuration drawn from nations and customers that breaks every rule somewhere."""
-    k = c("n_nationkey")
-    bounds = [x for m, n in (("pe", 5), ("ps", 6), ("pb", 7)) for x in (F.lit(1.0).alias(f"fair_{m}_floor"), F.when(k % n == 0, 0.5).otherwise(2.0).alias(f"fair_{m}_cap"))]
-    sectors = nation(spark, sf_dir).select(c("n_name").alias("sector"), F.when(k % 4 == 0, "guess").otherwise("utility").alias("model"), *bounds, F.when(k % 8 == 1, 0.02).otherwise(0.1).alias("required_return"), F.lit(0.03).alias("terminal_growth"))
-    weights = nation(spark, sf_dir).select(c("n_name").alias("sector"), F.explode(F.array(F.when(k % 3 == 0, 0.5).otherwise(0.25), F.lit(0.75))).alias("weight"))
-    stocks = customer(spark, sf_dir).select(F.when(c("c_custkey") % 10 == 3, "12x").otherwise(F.lpad(_text("c_custkey"), 6, "0")).alias("code"), F.concat(F.lit("NATION_"), (c("c_custkey") % 27).cast("string")).alias("sector"))
-    return valuation.config_violations(sectors, weights, stocks)
-
-
-_RULES = {"unknown_model": "4 = 0", "fair_pe_bounds": "5 = 0", "fair_ps_bounds": "6 = 0", "fair_pb_bounds": "7 = 0", "return_not_above_growth": "8 = 1", "weights": "3 = 0"}
-VIOLATIONS = " union all ".join(f"select n_name as entity, '{r}' as rule from nation where n_nationkey % {x}" for r, x in _RULES.items()) + """
-union all select case when c_custkey % 10 = 3 then '12x' else lpad(c_custkey::varchar, 6, '0') end, 'unknown_sector' from customer where 'NATION_' || (c_custkey % 27) not in (select n_name from nation)
-union all select '12x', 'stock_code' from customer where c_custkey % 10 = 3"""
-
-
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stocks with each cause for a look, and the row for all when most stages are unknown."""
     k = c("c_custkey")
-    flags = {"res_status": F.when(k % 17 == 0, "SHORT").otherwise("OK"), "trade_band_source": F.when(k % 19 == 0, "MODEL_PRIOR_BANDS").otherwise("RESIDUAL"), "stage": F.when(k % 10 == 1, "Seed").otherwise("UNKNOWN"), "model_weight_coverage": F.when(k % 23 == 0, 0.5).otherwise(0.9), "floor_hit": k % 29 == 0, "cap_hit": k % 31 == 0, "growth_regime": F.when(k % 37 == 0, "DECLINE").otherwise("NORMAL")}
+    flags = {"res_status": F.when(k % 17 == 0, "SHORT").otherwise("OK"), "trade_band_source": F.when(k % 19 == 0, "MODEL_PRIOR_BANDS").otherwise("RESIDUAL"), "stage": F.when(k % 10 == 1, "Seed").otherwise("UNKNOWN"), "model_weight_coverage": F.when(k % 23 == 0, 0.5).otherwise(0.9), "floor_hit": k % 29 == 0, "cap_hit": k % 31 == 0, "growth_regime": F.when(k % 37 == 0, "DECLINE").otherwise("NORMAL"), "classification_confidence": F.when(k % 41 == 0, 0.5).otherwise(0.9), "revenue_growth": F.when(k % 43 != 0, 0.1), "profit_growth": F.lit(0.1), "model": F.when(k % 2 == 0, "utility").otherwise("growth_pe")}
     stocks = customer(spark, sf_dir).select(_text("c_custkey").alias("code"), *[x.alias(n) for n, x in flags.items()], F.when(k % 7 == 0, "NO_ANCHOR").otherwise("OK").alias("valuation_status"), F.when(k % 5 != 0, 0.7).alias("quality"), F.when(k % 6 == 0, "fail").otherwise("pass").alias("gate"))
     return views.warnings(stocks.withColumn("risk_flags", valuation.risk_flags(stocks)))
 
 
-_FLAGS = {"RESIDUAL_HISTORY_INSUFFICIENT": "17 = 0", "MODEL_PRIOR_BANDS": "19 = 0", "MAINLINE_UNKNOWN": "10 <> 1", "LOW_MODEL_COVERAGE": "23 = 0", "FAIR_PE_FLOOR_HIT": "29 = 0", "FAIR_PE_CAP_HIT": "31 = 0", "DECLINE": "37 = 0"}
+_FLAGS = {"RESIDUAL_HISTORY_INSUFFICIENT": "17 = 0", "MODEL_PRIOR_BANDS": "19 = 0", "MAINLINE_UNKNOWN": "10 <> 1", "LOW_MODEL_COVERAGE": "23 = 0", "DECLINE": "37 = 0", "FAIR_PE_FLOOR_HIT": "29 = 0", "FAIR_PE_CAP_HIT": "31 = 0", "SECTOR_LOW_CONFIDENCE": "41 = 0", "GROWTH_DATA_MISSING": "43 = 0 and c_custkey % 2 = 1"}
 WARNINGS = "with stocks as (select c_custkey, concat_ws(';', " + ", ".join(f"case when c_custkey % {x} then '{n}' end" for n, x in _FLAGS.items()) + ") as risk_flags from customer)" + """
 select c_custkey::varchar as code, case when c_custkey % 7 = 0 then 'NO_ANCHOR' else 'OK' end as valuation_status, risk_flags from stocks where c_custkey % 7 = 0 or c_custkey % 5 = 0 or c_custkey % 6 = 0 or risk_flags <> ''
 union all select 'ALL', 'STAGE_UNKNOWN', '' from stocks having avg((c_custkey % 10 <> 1)::int) >= 0.8"""
@@ -240,6 +224,5 @@ ENTRIES = [
     ("age_scores", age_scores, ["o_orderkey", "quote_score", "report_score", "bootstrap_weight"], AGES),
     ("growth_gates", growth_gates, ["s_suppkey", "model", "gate"], GATES),
     ("sector_inference", sector_inference, ["code", "sector", "suggested_sector", "classification_status", "classification_confidence", "candidates"], INFERENCE),
-    ("config_violations", config_violations, ["entity", "rule"], VIOLATIONS),
     ("warnings", warnings, ["code", "valuation_status", "risk_flags"], WARNINGS),
 ]
