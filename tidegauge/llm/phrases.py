@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.llm.runtime import Scratch, mixed, text_bytes
 
-SHARDS = 4
+SHARDS = 2
 #: Cells of the filter at most, and bytes of text for each cell up to there.
 MAX_CELLS, CELL_BYTES = 1 << 26, 32
 #: Words whose phrases a task counts together.
-WORDS = 3_000_000
+WORDS = 1_000_000
 #: Bytes of a text that are read together.
 PART_BYTES = 1_000_000
 #: Parts of a language that are ranked apart before they are ranked together.
