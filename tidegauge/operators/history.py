@@ -43,5 +43,5 @@ def last_positive(history: DataFrame, entity: str | list[str], value: str, date:
 def known_at(rows: DataFrame, past: DataFrame, entity: str, as_of: str, date: str, including: bool = False) -> DataFrame:
     """``past`` (entity, date, ...) as each of ``rows`` (entity, as_of, code, ...) could know it: what is older, or with ``including``
     not newer, beside the row's own columns. An equi-join by entity: its size is an entity's rows times its past."""
-    own = rows.select(entity, as_of, "code", *[c for c in ("config_hash",) if c in rows.columns])
+    own = rows.select(entity, as_of, "code", *[c for c in ("config_hash", "universe_hash") if c in rows.columns])
     return own.join(past, entity).filter(F.col(date) <= F.col(as_of) if including else F.col(date) < F.col(as_of))

@@ -107,17 +107,29 @@ def centered(lenses: DataFrame, entity: list[str], value: str, weight: str) -> D
     return sums.withColumn("center", F.exp(mean)).withColumn("disagreement", spread).withColumn("model_weight_coverage", F.coalesce("effective_weight", F.lit(0.0)) / F.col("total_weight")).drop("_l", "_q", "_n")
 
 
-def sector_lenses(rows: DataFrame, weights: DataFrame, least_coverage: float = 0.70) -> DataFrame:
-    """A row for each sector and weighted metric: the ratio of its value to the fair one, the weight left, why it drops."""
+def sector_lenses(rows: DataFrame, weights: DataFrame, least_coverage: float = 0.70, past: DataFrame | None = None, kappa: float = 60.0) -> DataFrame:
+    """A row for each sector and weighted metric: the ratio of its value to the fair one, the weight left, why it drops.
+
+    ``past`` (sector, metric, status, median, effective_points, confidence): the sector's own history. Where it is sound, it draws the model's
+    value; where it isn't, the sector's bootstrap value does (bootstrap_metric, bootstrap_fair, bootstrap_weight of ``rows``); neither makes one."""
     c = F.col
     pick = lambda pattern, ocf: F.coalesce(*[F.when(c("metric") == m, c(pattern.format(m))) for m in ("pe", "pb", "ps")], F.when(c("metric") == "ocf_yield", ocf))
     x = rows.join(weights, "sector")
-    x = x.withColumns({"current": pick("{}", c("ocf_yield")), "coverage": pick("{}_mcap_coverage", c("ocf_mcap_coverage")), "confidence": pick("{}_metric_confidence", c("ocf_metric_confidence")), "fair": pick("fair_{}", c("target_ocf_yield"))})
-    usable, anchored = holds((c("current") > 0) & (c("coverage") >= least_coverage)), holds(c("fair") > 0)
+    x = x.withColumns({"current": pick("{}", c("ocf_yield")), "coverage": pick("{}_mcap_coverage", c("ocf_mcap_coverage")), "confidence": pick("{}_metric_confidence", c("ocf_metric_confidence")), "model_fair": pick("fair_{}", c("target_ocf_yield"))})
+    usable, anchored = holds((c("current") > 0) & (c("coverage") >= least_coverage)), holds(c("model_fair") > 0)
+    x = x.withColumns({"fair": c("model_fair"), "history_weight": F.lit(0.0)})
+    if past is not None:
+        x = x.join(past.select("sector", "metric", c("status").alias("_status"), c("median").alias("_median"), c("effective_points").alias("_points"), c("confidence").alias("_sure")), ["sector", "metric"], "left")
+        drawn, weight = history.shrunk(c("model_fair"), c("_status"), c("_median"), c("_points"), c("_sure"), kappa)
+        multiple = anchored & (c("metric") != "ocf_yield")
+        known = multiple & holds(c("_status") == "OK")
+        started = multiple & ~known & holds((c("metric") == c("bootstrap_metric")) & (c("bootstrap_fair") > 0) & (c("bootstrap_weight") > 0))
+        blend = F.exp((1 - c("bootstrap_weight")) * F.log("model_fair") + c("bootstrap_weight") * F.log("bootstrap_fair"))
+        x = x.withColumns({"fair": F.when(known, drawn).when(started, blend).otherwise(c("model_fair")), "history_weight": F.when(known, weight).when(started, c("bootstrap_weight")).otherwise(0.0)})
     left = c("weight") * clipped(F.coalesce("confidence", F.lit(0.0)), 0, 1)
     value = F.when(c("metric") == "ocf_yield", c("fair") / c("current")).otherwise(c("current") / c("fair"))
     drop = first_label([(~usable, "invalid_current_or_coverage"), (~anchored, "missing_independent_fair_anchor"), (left <= 0, "missing_confidence")], "")
-    return x.select("sector", "metric", "weight", "current", "fair", F.when(drop == "", value).alias("ratio"), F.when(drop == "", left).otherwise(0.0).alias("left"), drop.alias("drop_reason"))
+    return x.select("sector", "metric", "weight", "current", "fair", "history_weight", F.when(drop == "", value).alias("ratio"), F.when(drop == "", left).otherwise(0.0).alias("left"), drop.alias("drop_reason"))
 
 
 def label(deviation: Column) -> Column:

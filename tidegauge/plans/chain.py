@@ -104,14 +104,6 @@ def _own_steps() -> str:
     return text
 
 
-def _statistics(name: str, source: str) -> str:
-    """Rows (code, date, v) of ``source`` to statistics by code."""
-    return f"""{name}_ready as (select *, lag(v) over (partition by code order by date) as before, abs(v - median(v) over (partition by code)) as off from {source}),
-{name}_counted as (select code, count(*) as points, greatest(-0.95, least(0.95, corr(v, before))) as rho, quantile_cont(v, [0.1, 0.25, 0.5, 0.75, 0.9]) as q, median(off) as mad from {name}_ready group by code),
-{name}_sized as (select *, case when points < 3 or rho is null then points else least(points, greatest(1, points * (1 - rho) / (1 + rho))) end as effective_points from {name}_counted),
-{name} as (select *, least(1, effective_points / 30) as confidence, case when points < 30 then 'INSUFFICIENT_POINTS' when effective_points < 6 then 'INSUFFICIENT_EFFECTIVE_POINTS' else 'OK' end as status from {name}_sized)"""
-
-
 _SURE = appraisal._of_metric(
     f"case when pe_ttm_calc > 0 then coalesce(ttm_profit_confidence, 0) when ttm_profit is null and pb > 0 then {valuation.QUOTED_PE_CONFIDENCE}::double else 0 end", "least(coalesce(ttm_profit_confidence, 0), case when average_equity is not null then 0.9::double else 0.45 end)", "ttm_revenue_confidence", "ocf_sure"
 )
@@ -129,7 +121,7 @@ own_known as (select m.*, h.sector, k.* exclude (sector), ttm_roe_pct / 100 as r
               from master m join (select lpad(s_suppkey::varchar, 6, '0') as stock, 'sector_' || n_regionkey as sector from supplier join nation on s_nationkey = n_nationkey) h using (stock) join config k using (sector)),
 multiples as (select stock, as_of as date, 'pe' as metric, pe as v from own_known where pe > 0 union all select stock, as_of, 'pb', pb from own_known where pb > 0 union all select stock, as_of, 'ps', ps_ttm_calc from own_known where ps_ttm_calc > 0),
 past_multiples as (select o.code || '#' || metric as code, date, v from own_known o join multiples m on m.stock = o.stock and m.date <= o.as_of),
-{_statistics("past", "past_multiples")},
+{sql.statistics("past", "past_multiples")},
 {_own_steps()},
 own_lenses as (select o.code, o.sector, metric, weight, case metric when 'pe' then fair_pe when 'pb' then fair_pb when 'ps' then fair_ps end as anchor, {_BASIS} as basis, case when ttm_ocfps > 0 and target_ocf_yield > 0 then ttm_ocfps / target_ocf_yield end as cash_price,
                weight * greatest(0, least(1, coalesce({_SURE}, 0))) as sure, case when p.status = 'OK' then p.q[3] end as past_median, p.effective_points, coalesce(p.confidence, 0) as past_confidence
@@ -165,7 +157,7 @@ def _banded(stage: str, joined: str = "") -> str:
     """``stage``: the expression of a stock's stage; ``joined``: what it is joined from."""
     return f"""residuals as (select stock, as_of, code, ln(price / center) as residual from judged_stocks where price > 0 and center > 0),
 distances as (select j.code, r.as_of as date, r.residual as v from judged_stocks j join residuals r on r.stock = j.stock and r.as_of < j.as_of),
-{_statistics("res", "distances")},
+{sql.statistics("res", "distances")},
 placed as (select d.code, avg((d.v <= residual)::int) as place from distances d join residuals using (code) group by d.code),
 posed as (select j.* exclude (status), center as median, coalesce(r.status, 'MISSING') as status, ln(price / center) as residual, case when r.status = 'OK' then place end as valuation_quantile, case when r.status = 'OK' and 1.4826::double * mad > 1e-12 then (ln(price / center) - q[3]) / (1.4826::double * mad) end as robust_z,
           {", ".join(f"exp(q[{n}]) * center as {name}" for n, name in enumerate(("q10", "q25", "q50", "q75", "q90"), 1))}, case when model = 'cyclical_growth' then 0.05::double else 0 end as cycle_penalty, {stage} as stage, valuation_status <> 'OK' or price is null as stopped, null::int as previous
