@@ -77,3 +77,19 @@ def summary(audit: DataFrame) -> DataFrame:
 
 def distribution(audit: DataFrame) -> DataFrame:
     return audit.groupBy("audit_status", "history_source").agg(F.count("*").alias("boards"))
+
+
+def distributions(audit: DataFrame) -> DataFrame:
+    """Boards by status and source, and by kind and source, in one pass; a board without a history has no source."""
+    counted = audit.select("audit_status", "kind", "history_source").groupingSets([["audit_status", "history_source"], ["kind", "history_source"]], "audit_status", "kind", "history_source").agg(F.grouping("kind").alias("_no_kind"), F.count("*").alias("boards"))
+    return counted.select(F.when(F.col("_no_kind") == 1, "status").otherwise("kind").alias("by"), F.when(F.col("_no_kind") == 1, F.col("audit_status")).otherwise(F.col("kind")).alias("value"), "history_source", "boards")
+
+
+def run_status(summary_: DataFrame, least_pct: float = 80.0) -> DataFrame:
+    """The row of all boards as items: value, and PASS or WARN where something is asked of it: coverages of ``least_pct`` per cent
+    or more, nothing omitted, no warnings."""
+    c = F.col
+    numbers = [n for n in summary_.columns if n != "kind"]
+    items = summary_.filter("kind = 'all'").select(*[c(n).cast("double").alias(n) for n in numbers]).unpivot([], numbers, "item", "value")
+    asked = F.when(c("item").endswith("_pct"), c("value") >= least_pct).when(c("item").isin("omitted", "warnings"), c("value") == 0)
+    return items.withColumn("status", F.when(asked, "PASS").when(~asked, "WARN").when(c("value").isNull() & c("item").endswith("_pct"), "WARN").otherwise(""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -47,6 +48,39 @@ def waterfall(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str] = ("
     return both.join(first, [*keys, "priority"], "left_semi").drop("priority")
 
 
+def source_trail(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str] = ("kind", "code")) -> DataFrame:
+    """What a ``waterfall`` made of each source, in order: the entities it has, and those taken from it."""
+    tagged = [df.select(*keys).distinct().withColumn("priority", F.lit(k)) for k, (_, df) in enumerate(sources)]
+    own = functools.reduce(DataFrame.unionByName, tagged).withColumn("_first", F.min("priority").over(Window.partitionBy(*keys)))
+    counted = own.groupBy("priority").agg(F.count("*").alias("offered"), F.sum((F.col("priority") == F.col("_first")).cast("long")).alias("taken"))
+    every = counted.sparkSession.createDataFrame([(k, name) for k, (name, _) in enumerate(sources)], "priority int, source string")
+    return every.join(counted, "priority", "left").select("priority", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("offered", "taken")])
+
+
+def first_passing(sources: Sequence[tuple[str, DataFrame]], measures: Mapping[str, Column], gate: Column, namespaces: Mapping[str, str] | None = None, beside: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole table of the first source that passes a gate, and a trail with a row for each source.
+
+    ``measures``: aggregates over a source's rows; ``gate``: a condition on them and on ``beside``, a table of one row; a source without
+    rows fails. Rows get data_source, and namespace where sources name their codes differently: ``same_namespace`` guards later joins by
+    it. Neither result needs an action; the trail says passed, chosen and why a source failed: empty or gate."""
+    tagged = [df.withColumns({"priority": F.lit(k), "data_source": F.lit(name), "namespace": F.lit((namespaces or {}).get(name, "own"))}) for k, (name, df) in enumerate(sources)]
+    both = functools.reduce(DataFrame.unionByName, tagged)
+    measured = both.groupBy("priority").agg(F.count("*").alias("rows"), *[x.alias(n) for n, x in measures.items()])
+    every = both.sparkSession.createDataFrame([(k, name) for k, (name, _) in enumerate(sources)], "priority int, source string")
+    x = every.join(measured, "priority", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    x = x if beside is None else x.crossJoin(beside)  # one row
+    x = x.withColumn("passed", (F.col("rows") > 0) & F.coalesce(gate, F.lit(False)))
+    first = F.min(F.when(F.col("passed"), F.col("priority"))).over(Window.partitionBy(F.lit(0)))  # a row for each source
+    trail = x.withColumn("chosen", F.coalesce(F.col("priority") == first, F.lit(False))).withColumn("reason", F.when(F.col("passed"), "").when(F.col("rows") == 0, "empty").otherwise("gate"))
+    rows = both.join(trail.filter("chosen").select("priority"), "priority", "left_semi").drop("priority")
+    return rows, trail.select("priority", "source", "rows", *measures, "passed", "chosen", "reason")
+
+
+def same_namespace(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """A join by code of tables whose sources name codes alike: rows of another namespace never meet."""
+    return left.join(right, [*on, "namespace"])
+
+
 def filtered_universe(boards: DataFrame, pattern: str, most: int | None = None) -> DataFrame:
     """Concepts whose name matches ``pattern`` go; an empty pattern keeps all; ``most`` boards of each kind stay."""
     kept = boards if not pattern else boards.filter(~F.coalesce((F.col("kind") == "concept") & F.col("name").rlike(pattern), F.lit(False)))
@@ -89,12 +123,19 @@ def pool(default: DataFrame, custom: DataFrame, removed: DataFrame) -> DataFrame
 
 def resolve_boards(wanted: DataFrame, catalog: DataFrame, exact_only: bool = False) -> DataFrame:
     """For each wanted (id, alias_pos, alias) the catalog's board (code, name): exact names first, in the order of the
-    aliases, then (unless ``exact_only``) names that hold each other, nearest in length; the catalog is a dimension table of bounded size."""
-    a, b = board_name(F.col("alias")), board_name(F.col("name"))
-    named = catalog.withColumn("b", b)
-    small = named.limit(100_001).count() <= 100_000  # beyond that Spark picks the join
-    near = wanted.withColumn("a", a).join(F.broadcast(named) if small else named, (F.length("a") > 0) & (F.length("b") > 0) & (F.col("b").contains(F.col("a")) | F.col("a").contains(F.col("b"))))
-    near = near.filter("a = b") if exact_only else near
+    aliases, then (unless ``exact_only``) names that hold each other, nearest in length.
+
+    Names meet by equal parts: each name's distinct parts of any length against the other side's whole names, both ways. A name of n
+    characters has at most n * (n + 1) / 2 parts, so the join grows with the names, not with their pairs."""
+    a = wanted.withColumn("a", board_name(F.col("alias"))).filter("a <> ''")
+    b = catalog.select("code", "name", board_name(F.col("name")).alias("b")).filter("b <> ''")
+    if exact_only:
+        near = a.join(b, F.col("a") == F.col("b"))
+    else:
+        parts = lambda x: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.transform(F.sequence(F.lit(1), F.length(x) - i + 1), lambda n: F.substr(x, i, n))))))
+        held = a.join(b.select("b").distinct().select("b", parts(F.col("b")).alias("a")), "a")
+        holds_ = a.select("a").distinct().select("a", parts(F.col("a")).alias("b")).filter("a <> b").join(a, "a")
+        near = held.select("id", "alias_pos", "alias", "a", "b").unionByName(holds_.select("id", "alias_pos", "alias", "a", "b")).join(b, "b")
     tier = F.when(F.col("a") == F.col("b"), 0).otherwise(1)
     place = F.row_number().over(Window.partitionBy("id").orderBy(tier, "alias_pos", F.abs(F.length("a") - F.length("b")), "code"))
     return near.withColumn("tier", tier).withColumn("place", place).filter("place = 1").select("id", "alias", "code", "name", "tier")

@@ -27,38 +27,50 @@ TRAJECTORY = list(IGNITION)[:7]
 SIGNALS = {"flow_1d_signal", "flow_5d_signal", "flow_10d_signal", "flow_acceleration_signal"}
 
 
-def ranked(rows: DataFrame, signals: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
-    """Adds for each signal (its value, and a column that parts its cross-sections further): ``rank_`` its average-tie
-    percentile rank among the values of its part, null for null; ``held_`` the values and ``size_`` the rows of that part.
+def ranks(rows: DataFrame, signals: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
+    """For each signal (its value, and a column that parts its cross-sections further): ``rank_`` its average-tie percentile rank
+    among the values of its part, null for null; ``held_`` the values and ``size_`` the rows of that part. By kind, as_of and code.
 
-    All signals are ranked at once, as long rows under one sort; the wide row travels with its first signal. ``rows`` has
-    one row for each kind, as_of and code.
+    All signals are ranked at once, as long rows under one sort. The rows are narrow: keys, a signal's number, its value and
+    its part; the wide row stays behind, and what comes back are numbers in a hash aggregate. ``rows`` has one row for each kind, as_of and code.
     """
-    items = F.array(*[F.struct(F.lit(n).alias("signal"), value.cast("double").alias("value"), (F.lit("") if part is None else part).alias("part")) for n, (value, part) in signals.items()])
-    exploded = rows.select(*GROUP, "code", F.struct(*rows.columns).alias("row"), F.posexplode(items).alias("at", "item"))
-    long = exploded.select(*GROUP, "code", F.when(F.col("at") == 0, F.col("row")).alias("row"), "item.*")
+    items = F.array(*[F.struct(F.lit(k).cast("byte").alias("signal"), value.cast("double").alias("value"), (F.lit("") if part is None else part).alias("part")) for k, (value, part) in enumerate(signals.values())])
+    long = rows.select(*GROUP, "code", F.explode(items).alias("item")).select(*GROUP, "code", "item.*")
     part = Window.partitionBy(*GROUP, "signal", "part")
     order = part.orderBy(F.col("value").asc_nulls_last())
     placed = long.withColumns({"first": F.rank().over(order), "last": F.count("value").over(order), "held": F.count("value").over(part), "size": F.count("*").over(part)})
     middle = F.when(F.col("value").isNotNull(), (F.col("first") + F.col("last")) / 2.0 / F.col("held"))
-    of = lambda n, x: F.max(F.when(F.col("signal") == n, x))
-    wide = [y for n in signals for y in (of(n, middle).alias(f"rank_{n}"), of(n, F.col("held")).alias(f"held_{n}"), of(n, F.col("size")).alias(f"size_{n}"))]
-    return placed.groupBy(*GROUP, "code").agg(F.first("row", True).alias("row"), *wide).select("row.*", *[f"{x}_{n}" for n in signals for x in ("rank", "held", "size")])
+    of = lambda k, x: F.max(F.when(F.col("signal") == k, x))
+    wide = [y for k, n in enumerate(signals) for y in (of(k, middle).alias(f"rank_{n}"), of(k, F.col("held")).alias(f"held_{n}"), of(k, F.col("size")).alias(f"size_{n}"))]
+    return placed.groupBy(*GROUP, "code").agg(*wide)
+
+
+def ranked(rows: DataFrame, signals: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
+    """``rows`` with their ``ranks``."""
+    return rows.join(ranks(rows, signals), [*GROUP, "code"])
+
+
+FLOWS = ("flow_acceleration", "flow_1d", "flow_5d", "flow_10d")
+
+
+def signals(rows: DataFrame) -> DataFrame:
+    """``rows`` with the ranks of all that the flow signals and the scores take from them, under one sort."""
+    plain = dict.fromkeys(n for weights in (MAINLINE, CONFIRMATION, IGNITION) for n in weights if n not in SIGNALS and n in rows.columns)
+    return ranked(rows, {n: (F.col(n if n == "flow_acceleration" else f"{n}_pct"), F.col(f"{n}_source")) for n in FLOWS} | {n: (F.col(n), None) for n in plain})
 
 
 def flow_signals(rows: DataFrame) -> DataFrame:
-    """Flow ranks among boards of one source, drawn to 0.5 by the source's confidence; 0.5 in groups below three."""
-    names = ["flow_acceleration", *[f"flow_{k}d" for k in (1, 5, 10)]]
-    found = ranked(rows, {n: (F.col(n if n == "flow_acceleration" else f"{n}_pct"), F.col(f"{n}_source")) for n in names})
+    """Flow ranks among boards of one source, drawn to 0.5 by the source's confidence; 0.5 in groups below three. Ranks ``rows`` if they aren't yet."""
+    found = rows if f"rank_{FLOWS[0]}" in rows.columns else signals(rows)
     out = {}
-    for n in names[1:]:
+    for n in FLOWS[1:]:
         among = F.when(F.col(f"size_{n}") >= 3, F.coalesce(f"rank_{n}", F.lit(0.5))).otherwise(0.5)
         out[f"{n}_signal"] = 0.5 + (among - 0.5) * F.col(f"{n}_confidence")
     value, source = F.col("flow_acceleration"), F.col("flow_acceleration_source")
     confidence = F.least("flow_1d_confidence", "flow_5d_confidence")
     among = F.when(F.col("held_flow_acceleration") >= 3, F.coalesce("rank_flow_acceleration", F.lit(0.5))).otherwise(0.5)
     out["flow_acceleration_signal"] = F.when(value.isNotNull() & (source != "not_comparable"), 0.5 + (among - 0.5) * confidence).otherwise(0.5)
-    return found.withColumns(out).select(*rows.columns, *out)
+    return found.withColumns(out).drop(*[f"{x}_{n}" for n in FLOWS for x in ("rank", "held", "size")])
 
 
 def weighted(weights: Mapping[str, float], present: Mapping[str, Column] | None = None) -> Column:
@@ -99,7 +111,9 @@ def scores(rows: DataFrame, present: Mapping[str, Column] | None = None) -> Data
     names = dict.fromkeys(n for weights in (MAINLINE, CONFIRMATION, ignition) for n in weights if n not in SIGNALS)
     confirmation = clipped(weighted(CONFIRMATION) - crowding(), 0, 100)
     out = {"mainline_score": weighted(MAINLINE), "confirmation_score": confirmation, "candidate_score": confirmation, "crowding_penalty": crowding(), "ignition_score": clipped(weighted(ignition, present) - early_crowding(), 0, 100), "ignition_history_coverage": coverage}
-    return ranked(rows, {n: (F.col(n), None) for n in names}).withColumns(out).select(*[c for c in rows.columns if c not in out], *out)
+    unranked = {n: (F.col(n), None) for n in names if f"rank_{n}" not in rows.columns}
+    found = ranked(rows, unranked) if unranked else rows
+    return found.select(*[c for c in found.columns if c not in out and not c.startswith(("held_", "size_"))], *[x.alias(n) for n, x in out.items()])
 
 
 def sideways(rows: DataFrame) -> DataFrame:

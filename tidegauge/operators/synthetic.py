@@ -31,6 +31,6 @@ def index(constituents: DataFrame, stock_bars: DataFrame) -> DataFrame:
     growth = F.when(valid & (F.col("r_close") > -1), F.log1p("r_close")).otherwise(0.0)
     levels = days.withColumn("valid", valid).withColumn("close", F.exp(F.sum(growth).over(line.rowsBetween(Window.unboundedPreceding, 0))) * 100)
     levels = levels.withColumn("previous", F.coalesce(F.lag("close").over(line), F.lit(100.0)))
-    at = lambda c: F.col("previous") * (1 + F.col(f"r_{c}"))
+    at = lambda c: F.col("previous") * (1 + F.coalesce(f"r_{c}", "r_close"))  # noqa: E731  # a price that no member has moves as the closes do
     out = levels.filter("valid").select("board", "date", at("open").alias("open"), at("high").alias("h"), at("low").alias("l"), "close", "amount", "volume", "turnover", F.col("available").alias("constituent_count"), (F.col("available") / F.col("members")).alias("synthetic_coverage"))
     return out.withColumn("high", F.greatest("open", "h", "close")).withColumn("low", F.least("open", "l", "close")).drop("h", "l").withColumn("data_source", F.lit("synthetic_index"))

@@ -57,9 +57,15 @@ shares as (select coalesce(kind, 'all') as kind, count(*) as universe, count(*)
            {", ".join(f"round_even(count(*) filter (is_target and {x}) * 100.0::double / nullif(count(*) filter (is_target), 0), 2) as {n}" for n, x in _SHARED.items())} from audited group by rollup (kind))"""
 _SHARES = list(_SHARED)
 
+STATUS = f"""with {SUMMARY.strip()},
+items as (unpivot (select {", ".join(f"{n}::double as {n}" for n in (*_TOTALS, *_SHARED))} from shares where kind = 'all') on columns(*) into name item value value)
+select item, {sql.settled('value')} as value, case when ends_with(item, '_pct') then case when value >= 80 then 'PASS' else 'WARN' end when item in ('omitted', 'warnings') then case when value = 0 then 'PASS' else 'WARN' end else '' end as status from items"""
+
 #: Name, plan, columns and SQL of each query.
 ENTRIES = [
     ("audit_rows", rows, [*_PLAIN, *_COUNTS], sql.query(AUDIT, "audited", sql.listed((), _PLAIN, _COUNTS))),
     ("audit_summary", lambda s, d: audit.summary(rows(s, d)), ["kind", *_TOTALS, *_SHARES], sql.query(SUMMARY, "shares", sql.listed(_SHARES, ["kind"], _TOTALS))),
     ("audit_distribution", lambda s, d: audit.distribution(rows(s, d)), ["audit_status", "history_source", "boards"], sql.query(AUDIT, "audited", "audit_status, history_source, count(*)::bigint as boards") + " group by all"),
+    ("audit_sources", lambda s, d: audit.distributions(rows(s, d)), ["by", "value", "history_source", "boards"], sql.query(AUDIT, "audited", "'status' as \"by\", audit_status as value, history_source, count(*)::bigint as boards") + " group by all union all select 'kind', kind, history_source, count(*) from audited group by all"),
+    ("run_status", lambda s, d: audit.run_status(audit.summary(rows(s, d))), ["item", "value", "status"], STATUS),
 ]

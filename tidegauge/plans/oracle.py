@@ -190,7 +190,7 @@ dated as (select board, date, max(members) as members, count(r_close) as availab
           from relative join valid using (stock_code) where members >= 3 group by board, date),
 levels as (select *, available >= least(3, members) as valid, exp(sum(case when available >= least(3, members) and r_close > -1 then ln(1 + r_close) else 0 end) over (partition by board order by date rows unbounded preceding)) * 100 as close from dated),
 chained as (select *, coalesce(lag(close) over (partition by board order by date), 100) as previous from levels),
-synthetic as (select board, date, previous * (1 + r_open) as open, greatest(previous * (1 + r_open), previous * (1 + r_high), close) as high, least(previous * (1 + r_open), previous * (1 + r_low), close) as low, close, amount, volume, turnover,
+synthetic as (select board, date, previous * (1 + coalesce(r_open, r_close)) as open, greatest(previous * (1 + coalesce(r_open, r_close)), previous * (1 + coalesce(r_high, r_close)), close) as high, least(previous * (1 + coalesce(r_open, r_close)), previous * (1 + coalesce(r_low, r_close)), close) as low, close, amount, volume, turnover,
               available as constituent_count, available / members as synthetic_coverage from chained where valid),
 log_index as (select *, ln(open) as ln_open, ln(high) as ln_high, ln(low) as ln_low, ln(close) as ln_close from synthetic)"""
 

@@ -31,7 +31,8 @@ def fused_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.flow_signals(flows.amount_share(flows.relative_strength(fused_panel(spark, sf_dir))))
+    """The panel is read twice, by its ranks and beside them, so it is written once."""
+    return scoring.flow_signals(cut(flows.amount_share(flows.relative_strength(fused_panel(spark, sf_dir)))))
 
 
 def first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
