@@ -5,6 +5,8 @@ with the term's weight, once for each time it occurs: pairs weigh 1, a word a si
 so that short common words say little. A bit is set if its votes are above zero. The share d of differing bits of two
 fingerprints estimates the angle between the term vectors, so ``likeness`` is the cosine cos(pi * d), at least 0.
 
+``neighbours`` counts, for each fingerprint, the other rows within a Hamming radius, by the permuted block tables.
+
 Defined results: a text without terms (null, empty, white space) has the fingerprint of no set bits; the likeness of two
 such is 1, of one such and any other text 0; equal texts have equal fingerprints; an empty table gives an empty table;
 rows without an id come first in order; rows of one id follow each other by text; other columns are not read.
@@ -119,3 +121,11 @@ def within_radius(queries: DataFrame, marks: DataFrame, radius: int = 3) -> Data
     distance = sum(words[1:], words[0])
     met = led(queries, "query").join(led(marks, "fingerprint"), ["block", "led_by"])
     return met.withColumn("distance", distance).filter(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
+
+
+def neighbours(marks: DataFrame, radius: int = 3) -> DataFrame:
+    """``marks``: a row for each document with its fingerprint. (fingerprint, n_equal, n_near): for each fingerprint the other rows
+    that have it too, and the rows of other fingerprints within ``radius`` bits. Rows without one are not counted."""
+    own = marks.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("rows"))
+    met = within_radius(own, own, radius).filter("distance > 0").join(own, "fingerprint").groupBy("query").agg(F.sum("rows").alias("n_near"))
+    return own.join(met.withColumnRenamed("query", "fingerprint"), "fingerprint", "left").select("fingerprint", (F.col("rows") - 1).alias("n_equal"), F.coalesce("n_near", F.lit(0)).alias("n_near"))

@@ -6,12 +6,15 @@ all its occurrences in its language, overlaps included.
 Method: dynamic itemset counting. The texts are dealt to ``SHARDS`` shards, read in turn, again and again. Single words are counted
 from the first shard on. As soon as both subphrases of a phrase (all but its last word, all but its first) are known to reach the
 threshold, it is counted too, from the next shard on, until each has seen every shard once. Lengths are so interleaved: pairs are
-counted while words still are, longer ones while pairs still are.
+counted while words still are, longer ones while pairs still are. As most pairs of common words are rare, a pair has a third
+condition: the cell that it falls into, of a table of hashed pairs, must reach the threshold as well. Cells are counted as itemsets are,
+from when both words have opened, over one full cycle; a cell holds at least what each of its pairs does, so none is lost.
 
 How it scales: a scan counts each task's phrases locally, by exact ids of their words, and ships distinct ones only. Which phrases
 have opened, and at which step, is told to the tasks by a filter of one byte a cell, of at most ``MAX_CELLS`` cells: a phrase is open from the latest
 step of its cells. It never misses one; a phrase it opens early, as others fill its cells, is counted over a full cycle from that
-step all the same. So a crowded filter costs counting, never results. Sums are Spark's grouped sums of strings; what completes its cycle
+step all the same. So a crowded filter, or crowded cells (``MAX_PAIR_CELLS``), cost counting, never results. Cells are added up by
+ranges, row by row. Sums are Spark's grouped sums of strings; what completes its cycle
 below the threshold is forgotten. Ranks are taken in parts of a language first.
 
 Defined results: a null text is empty; a null language is ``und``; equal rows all count; a text of any length is read whole; an empty table
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.llm.runtime import Scratch, mixed, text_bytes
+from tidegauge.llm.substring import packed, unpacked
 
 SHARDS = 2
 #: Cells of the filter at most, and bytes of text for each cell up to there.
 MAX_CELLS, CELL_BYTES = 1 << 26, 32
+#: Cells of hashed pairs at most, and bytes of text for each up to there; bytes of text whose cells a task adds up.
+MAX_PAIR_CELLS, PAIR_BYTES, RANGE_BYTES = 1 << 25, 16, 1 << 28
 #: Words whose phrases a task counts together.
 WORDS = 1_000_000
 #: Bytes of a text that are read together.
@@ -91,54 +98,90 @@ def opened(hashes: np.ndarray, lang: str, stamps: np.ndarray) -> np.ndarray:
     return np.maximum(stamps[a], stamps[b])
 
 
-def counted(ids: np.ndarray, words: pa.Array, hashes: np.ndarray, lang: str, stamps: np.ndarray, step: int, shards: int, longest: int) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
+def pair_cells(hashes: np.ndarray, lang: str, cells: int) -> np.ndarray:
+    """The cell of each pair in the table of hashed pairs."""
+    h = mixed(hashes * _SECOND ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
+    return h >> np.uint64(64 - (cells.bit_length() - 1))
+
+
+class Told(NamedTuple):
+    """What a task is told of a step: its number; the steps at which phrases, and the cells of pairs, are known to have reached the threshold."""
+
+    step: int
+    shards: int
+    longest: int
+    stamps: np.ndarray
+    pairs: np.ndarray
+
+    def counts(self, since: np.ndarray) -> np.ndarray:
+        """Which of what is counted from a step on is counted in this one."""
+        return (since != _NEVER) & (since.astype(np.int64) + self.shards > self.step)
+
+
+def counted(ids: np.ndarray, words: pa.Array, hashes: np.ndarray, lang: str, told: Told, cells: list[np.ndarray]) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
     """Of a row of numbered words, for each length: the distinct phrases that are counted in this step, the length, the step
-    each is counted from, and how often each occurs."""
-    if step < shards:
+    each is counted from, and how often each occurs. Appends to ``cells`` those of the pairs that are counted in cells."""
+    if told.step < told.shards:
         times = np.bincount(ids, minlength=len(words))
         times[0] = 0
         used = np.flatnonzero(times)
         yield words.take(pa.array(used)), 1, np.zeros(len(used), np.uint8), times[used]
-    known = opened(hashes, lang, stamps)
+    known = opened(hashes, lang, told.stamps)
     known[0] = _NEVER  # ends of pieces are in no phrase
     at = np.flatnonzero(known[ids] != _NEVER)  # where a phrase that is open stands
     open_, hash_, dense = known[ids[at]], hashes[ids[at]], ids[at]
-    for length in range(2, longest + 1):
+    for length in range(2, told.longest + 1):
         near = np.flatnonzero(at[1:] == at[:-1] + 1)
         at, since = at[near], np.maximum(open_[near], open_[near + 1])
         if not len(at):
             return
         last = ids[at + length - 1]
-        key = dense[near] << 32 | last
-        hash_ = phrase_hash(hash_[near], hashes[last])
-        active = np.flatnonzero(since.astype(np.int64) + shards > step)
+        key, hash_ = dense[near] << 32 | last, phrase_hash(hash_[near], hashes[last])
+        if length == 2:
+            cell = pair_cells(hash_, lang, len(told.pairs))
+            reached = told.pairs[cell]
+            cells.append(cell[told.counts(since) & (reached == _NEVER)])
+            since = np.maximum(since, reached)
+        active = np.flatnonzero(told.counts(since))
         _, first, times = np.unique(key[active], return_index=True, return_counts=True)
         first = active[first]
         parts = [words.take(pa.array(ids[at[first] + k])) for k in range(length)]
         yield pc.binary_join_element_wise(*parts, pa.scalar(" ", words.type)), length, since[first], times
-        if length < longest:
-            open_ = opened(hash_, lang, stamps)
+        if length < told.longest:
+            open_ = opened(hash_, lang, told.stamps)
             still = np.flatnonzero(open_ != _NEVER)
             at, open_, hash_ = at[still], open_[still], hash_[still]
             dense = np.unique(key[still], return_inverse=True)[1]
 
 
-def scan(shard: DataFrame, stamps, step: int, shards: int, longest: int) -> DataFrame:
-    """(lang, text binary) -> (lang, phrase, length, since, count): what each task counts in a step. ``stamps``: the filter, broadcast."""
+SCANNED = "lang string, phrase string, length int, since int, count long, range int, cells binary, times binary"
+
+
+def scan(shard: DataFrame, tables, step: int, shards: int, longest: int, ranges: int, least: int) -> DataFrame:
+    """(lang, text binary) -> what each task counts in a step: rows of phrases (lang, phrase, length, since, count), and rows of cells
+    (range, cells, times: as often, up to ``least``). ``tables``: the stamps of phrases and of cells, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = np.frombuffer(stamps.value, np.uint8)
+        told = Told(step, shards, longest, *(np.frombuffer(t, np.uint8) for t in tables.value))
+        size = len(told.pairs) // ranges
         vocabulary, texts, held = Vocabulary(), {}, 0
 
+        def row(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
         def flush() -> Iterator[pa.RecordBatch]:
-            plain = list(vocabulary)
+            plain, cells = list(vocabulary), [np.empty(0, np.uint64)]
             words, hashes = pa.array(plain, pa.binary()).cast(pa.string()), word_hash(plain)
             for lang, parts in texts.items():
-                for phrases, length, since, times in counted(np.concatenate(parts), words, hashes, lang, filter_, step, shards, longest):
+                for phrases, length, since, times in counted(np.concatenate(parts), words, hashes, lang, told, cells):
                     n = len(phrases)
-                    columns = [pa.array([lang]).take(pa.array(np.zeros(n, np.int64))), phrases, pa.array(np.full(n, length, np.int32)), pa.array(since.astype(np.int32)), pa.array(times.astype(np.int64))]
-                    whole = pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "length", "since", "count"])
+                    whole = row(n, lang=pa.array([lang]).take(pa.array(np.zeros(n, np.int64))), phrase=phrases, length=pa.array(np.full(n, length, np.int32)), since=pa.array(since.astype(np.int32)), count=pa.array(times.astype(np.int64)))
                     yield from (whole.slice(k, 50_000) for k in range(0, n, 50_000))
+            cell, times = np.unique(np.concatenate(cells), return_counts=True)
+            cut = np.searchsorted(cell, np.arange(1, ranges, dtype=np.uint64) * np.uint64(size))
+            kind = np.min_scalar_type(least)
+            found = [(r, packed(c), np.minimum(t, least).astype(kind).tobytes()) for r, (c, t) in enumerate(zip(np.split(cell, cut), np.split(times, cut), strict=True)) if len(c)]
+            yield row(len(found), range=pa.array([f[0] for f in found], pa.int32()), cells=pa.array([f[1] for f in found], pa.binary()), times=pa.array([f[2] for f in found], pa.binary()))
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -150,7 +193,46 @@ def scan(shard: DataFrame, stamps, step: int, shards: int, longest: int) -> Data
                     vocabulary, texts, held = Vocabulary(), {}, 0
         yield from flush()
 
-    return shard.mapInArrow(run, "lang string, phrase string, length int, since int, count long")
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("length", pa.int32()), ("since", pa.int32()), ("count", pa.int64()), ("range", pa.int32()), ("cells", pa.binary()), ("times", pa.binary())])
+    return shard.mapInArrow(run, SCANNED)
+
+
+def added_cells(rows: DataFrame, before: DataFrame | None, size: int, least: int) -> DataFrame:
+    """(range, sums): the cells of each range with what ``rows`` (range, cells, times) add to ``before``, up to ``least``. Rows are added one by one."""
+    kind = np.min_scalar_type(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, cells, times in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own = sums.setdefault(r, np.zeros(size, kind))
+                if cells is None:
+                    own += np.minimum(np.frombuffer(times, kind), least - own)
+                else:
+                    at = (unpacked(cells) - np.uint64(r * size)).astype(np.int64)  # distinct
+                    own[at] += np.minimum(np.frombuffer(times, kind), least - own[at])
+        yield pa.RecordBatch.from_pydict({"range": list(sums), "sums": [s.tobytes() for s in sums.values()]}, schema)
+
+    schema = pa.schema([("range", pa.int32()), ("sums", pa.binary())])
+    own = rows.filter("range is not null").select("range", "cells", "times")
+    if before is not None:
+        own = own.unionByName(before.select("range", F.lit(None).cast("binary").alias("cells"), F.col("sums").alias("times")))
+    return own.repartition("range").mapInArrow(run, "range int, sums binary")
+
+
+def reached_cells(sums: DataFrame, size: int, ranges: int, least: int) -> np.ndarray:
+    """The cells that have reached the threshold: a bit each, MAX_PAIR_CELLS at most."""
+    kind = np.min_scalar_type(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(s, kind) >= least).tobytes() for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["range", "bits"])
+
+    out = np.zeros(size * ranges, bool)
+    for r in sums.mapInArrow(run, "range int, bits binary").collect():
+        out[r.range * size : (r.range + 1) * size] = np.unpackbits(np.frombuffer(r.bits, np.uint8), count=size).astype(bool)
+    return out
 
 
 def filled_cells(open_: DataFrame, cells: int) -> np.ndarray:
@@ -197,26 +279,32 @@ def counts(docs: DataFrame, scratch: Scratch, text: str, lang: str, least: int,
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
     shards = scratch.keep(rows.withColumn("shard", F.floor(F.rand(17) * SHARDS).cast("int")), "shard")
     cells = min(MAX_CELLS, max(1 << 16, 1 << (total // CELL_BYTES).bit_length()))
-    stamps, tally, kept, done, words, step, last_opened = np.full(cells, _NEVER, np.uint8), None, None, [], None, 0, 0
+    pairs = min(MAX_PAIR_CELLS, max(1 << 16, 1 << (total // PAIR_BYTES).bit_length()))
+    ranges = min(pairs // 64, max(16, 1 << (total // RANGE_BYTES).bit_length()))
+    size = pairs // ranges
+    stamps, pair_stamps, last_opened, step = np.full(cells, _NEVER, np.uint8), np.full(pairs, _NEVER, np.uint8), 0, 0
+    tally, kept, sums, done, words = None, None, None, [], None
     while last_opened + SHARDS > step:
-        told = context.broadcast(stamps.tobytes())  # MAX_CELLS bytes at most
-        own = scan(shards.filter(F.col("shard") == step % SHARDS).select("lang", "text"), told, step, SHARDS, longest)
+        told = context.broadcast((stamps.tobytes(), pair_stamps.tobytes()))  # a byte a cell
+        found = scratch.keep(scan(shards.filter(F.col("shard") == step % SHARDS).select("lang", "text"), told, step, SHARDS, longest, ranges, least))
+        own = found.filter("range is null").select("lang", "phrase", "length", "since", "count")
         after = own if tally is None else own.unionByName(tally)
-        before, kept = kept, scratch.keep(after.groupBy("lang", "phrase", "length").agg(F.min("since").alias("since"), F.sum("count").alias("count")))
-        if before is not None:
-            scratch.drop(before)
+        before, kept = (kept, sums), scratch.keep(after.groupBy("lang", "phrase", "length").agg(F.min("since").alias("since"), F.sum("count").alias("count")))
+        sums = scratch.keep(added_cells(found, sums, size, least))
+        scratch.drop(found, *(t for t in before if t is not None))
         complete = F.col("since") + SHARDS <= step + 1
         if step == SHARDS - 1:
             words = scratch.keep(kept.filter("length = 1").groupBy("lang").agg(F.sum("count").alias("n")))
         done.append(scratch.keep(kept.filter(complete & (F.col("count") >= least)).drop("since")))
         tally, step = kept.filter(~complete), step + 1
-        new = filled_cells(kept.filter((F.col("length") < longest) & (F.col("count") >= least)), cells) & (stamps == _NEVER)
-        if new.any():
-            stamps[new], last_opened = step, step
+        for known, reached in ((stamps, filled_cells(kept.filter((F.col("length") < longest) & (F.col("count") >= least)), cells)), (pair_stamps, reached_cells(sums, size, ranges, least))):
+            new = reached & (known == _NEVER)
+            if new.any():
+                known[new], last_opened = step, step
         told.unpersist()
-    found = scratch.keep(functools.reduce(DataFrame.unionByName, done))
-    scratch.drop(shards, kept, *done)
-    return found, words
+    result = scratch.keep(functools.reduce(DataFrame.unionByName, done))
+    scratch.drop(shards, kept, sums, *done)
+    return result, words
 
 
 def scored(found: DataFrame, words: DataFrame, share: int = 50, longest: int = 3) -> DataFrame:

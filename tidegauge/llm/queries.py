@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import alignment, bpe, chat, fingerprints, html, neardup, packing, phrases, sharding, substring, suffixes, topk, toxicity
+from tidegauge.llm import alignment, bpe, chat, fingerprints, html, neardup, packing, phrases, runtime, sharding, substring, suffixes, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,9 +87,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
-    return found.select(
-        F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
-    )
+    edited_sha256 = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    rows = runtime.Scratch(spark, "fingerprints").keep(found.select(F.col("id").alias("doc_id"), "n_chars", edited_sha256, "fingerprint", "edited_fingerprint", "near_edited", "near_next"))
+    return rows.join(fingerprints.neighbours(rows), "fingerprint").select(*rows.columns, "n_equal", "n_near")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
