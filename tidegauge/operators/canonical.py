@@ -141,6 +141,23 @@ def resolve_boards(wanted: DataFrame, catalog: DataFrame, exact_only: bool = Fal
     return near.withColumn("tier", tier).withColumn("place", place).filter("place = 1").select("id", "alias", "code", "name", "tier")
 
 
+def performance(raw: DataFrame, aliases: Mapping[str, Sequence[str]], attributable: Sequence[str], consolidated: Sequence[str]) -> DataFrame:
+    """Reports under the canonical names, keyed by the six digits of their code, the first row of each by ``report_date`` and name.
+
+    ``aliases``: columns by canonical name, cleaned to numbers but for code, name and report_date. Both profits are kept, each null where no
+    column has it; net_profit is, row by row, the attributable one, else the consolidated one."""
+    def column(names: Sequence[str]) -> Column:
+        found = resolved(raw, names)
+        return F.lit(None).cast("string") if found is None else F.col(f"`{found}`")
+
+    plain = ("code", "name", "report_date")
+    code = F.regexp_extract(column(aliases["code"]), r"(\d{6})", 1)
+    x = raw.select(code.alias("code"), *[column(aliases[n]).cast("string").alias(n) for n in plain[1:]], *[number(column(a)).alias(n) for n, a in aliases.items() if n not in plain], number(column(attributable)).alias("attributable_net_profit"), number(column(consolidated)).alias("consolidated_net_profit"))
+    x = x.filter("code <> ''").withColumn("net_profit", F.coalesce("attributable_net_profit", "consolidated_net_profit"))
+    first = F.row_number().over(Window.partitionBy("report_date", "code").orderBy("name", "net_profit"))
+    return x.withColumn("_n", first).filter("_n = 1").drop("_n")
+
+
 def freshness(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """Rows and last moment of each dataset."""
     parts = [df.agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"), F.max(F.col(moment).cast("date")).alias("last_date")) for name, (df, moment) in tables.items()]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions.expr import descending_rank
 
-SCORES = ("mainline_score", "confirmation_score", "ignition_score")
+SCORES = ("mainline_score", "confirmation_score", "candidate_score", "ignition_score")
 VALUES = (*SCORES, "breadth", "amount_share")
 
 
@@ -35,7 +35,7 @@ def latest_of_day(snapshots: DataFrame) -> DataFrame:
 def deltas(snapshots: DataFrame) -> DataFrame:
     """Each row with its change since the three reference snapshots, and the share of one-day changes it has."""
     rows = ranked(snapshots)
-    out = rows.join(F.broadcast(reference_calendar(snapshots).drop("snapshot_date")), "captured_at")  # a row for each capture
+    out = rows.join(reference_calendar(snapshots).drop("snapshot_date"), "captured_at")
     ranks = [f"{s}_rank" for s in SCORES]
     for name in ("intraday", "1d", "3d"):
         prior = rows.dropDuplicates(["captured_at", "kind", "code"]).select(F.col("captured_at").alias(f"ref_{name}"), "kind", "code", *[F.col(c).alias(f"{c}_prev") for c in (*VALUES, *ranks)])

@@ -62,6 +62,16 @@ def snapshot_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.listed(spark, folder, rows.schema)
 
 
+def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as a vendor writes them: prefixed codes, numbers as text with marks, attributable profit missing from every third row, rows twice."""
+    said = adapters.performance(spark, sf_dir).select(
+        F.concat(F.lit("sh."), "code").alias("stock code"), F.concat(F.lit("n"), "code").alias("short name"), c("report_date").alias("period"), F.concat(F.round("revenue", 2).cast("decimal(20,2)").cast("string"), F.lit(" ")).alias("total revenue"),
+        F.when(c("code").cast("long") % 3 != 0, F.round("net_profit", 2).cast("decimal(20,2)").cast("string")).otherwise("--").alias("profit of owners"), F.round(c("net_profit") * 2, 2).cast("decimal(20,2)").cast("string").alias("net profit"),
+    )
+    aliases = {"code": ["code"], "name": ["short name"], "report_date": ["period"], "revenue": ["revenue"], "eps": ["per share"]}
+    return canonical.performance(said.unionByName(said), aliases, ["profit of owners"], ["net profit"])
+
+
 _SCORES = ["mainline_score", "confirmation_score", "ignition_score", "breadth"]
 _MOMENT = "strftime(captured_at, '%Y-%m-%d %H:%M:%S') as captured_at"
 _SPOT = "select lpad(s_suppkey::varchar, 6, '0') as code, s_name as name, price, 1000.0::double * (s_suppkey + 1) as market_cap, 'slow' as data_source from supplier left join (select l_suppkey, max_by(price, month) as price from (select l_suppkey, date_trunc('month', l_shipdate) as month, avg(l_extendedprice / l_quantity) as price from lineitem group by 1, 2) group by 1) on l_suppkey = s_suppkey"
@@ -76,4 +86,6 @@ ENTRIES = [
     ("source_trail", source_trail, ["priority", "source", "offered", "taken"], sql.query(sql.BARS, "(select distinct kind, code, regexp_extract(code, '([0-9]+)$', 1)::bigint as n from bars), (values (0, 'primary'), (1, 'secondary'), (2, 'synthetic'), (3, 'spare')) as s(priority, source) group by all", "priority, source, count(*) filter (case priority when 0 then n % 3 = 0 when 1 then n % 2 = 0 else priority = 2 end) as offered, count(*) filter (case priority when 0 then n % 3 = 0 when 1 then n % 3 <> 0 and n % 2 = 0 when 2 then n % 3 <> 0 and n % 2 <> 0 else false end) as taken")),
     ("snapshot_store", snapshot_store, ["captured_at", "kind", "code", *_SCORES], sql.query(sql.SNAPSHOTS, "snapshots", sql.listed(_SCORES, [_MOMENT, "kind", "code"]))),
     ("snapshot_list", snapshot_list, ["name", "captured_at", "rows"], f"with {sql.SNAPSHOTS.strip()} select strftime(captured_at, '%Y-%m-%d_%H%M%S') as name, {_MOMENT}, count(*) as rows from snapshots group by captured_at union all select n, null, count(*) from snapshots, (values ('latest'), ('2024-13-01_000000')) as odd(n) where kind = 'click' group by n"),
+    ("performance_canonical", performance, ["report_date", "code", "name", "revenue", "eps", "attributable_net_profit", "consolidated_net_profit", "net_profit"],
+     f"with {sql.REPORTS.strip()}, two as (select report_date, code, round(revenue, 2)::decimal(20, 2)::double as revenue, case when code::bigint % 3 <> 0 then round(net_profit, 2)::decimal(20, 2)::double end as own, round(net_profit * 2, 2)::decimal(20, 2)::double as whole from performance) select report_date, code, 'n' || code as name, {sql.settled('revenue')} as revenue, null::double as eps, {sql.settled('own')} as attributable_net_profit, {sql.settled('whole')} as consolidated_net_profit, {sql.settled('coalesce(own, whole)')} as net_profit from two"),
 ]

@@ -159,7 +159,7 @@ second_pass as (select *, {LABELS} from rescored)"""
 SNAPSHOTS = """
 bucketed as (select time_bucket(interval '6 hours', ts) as captured_at, event_type as kind, (user_id % 10)::varchar as code, value from events),
 grouped as (select captured_at, kind, code, avg(value) as level, max(value) as top, min(value) as bottom, sum(value) as amount, avg(case when value > 50 then 1.0::double else 0 end) as breadth from bucketed group by captured_at, kind, code),
-snapshots as (select captured_at, captured_at::date as snapshot_date, kind, code, least(100, level * 1.1::double) as mainline_score, least(100, top) as confirmation_score, least(100, (level + top) / 2) as ignition_score, breadth,
+snapshots as (select captured_at, captured_at::date as snapshot_date, kind, code, least(100, level * 1.1::double) as mainline_score, least(100, top) as confirmation_score, least(100, top) as candidate_score, least(100, (level + top) / 2) as ignition_score, breadth,
               amount / nullif(sum(amount) over (partition by captured_at, kind), 0) as amount_share, top - level as ret_1d, level - bottom as ret_5d from grouped)"""
 REFS = f"""{SNAPSHOTS},
 moments as (select distinct captured_at, snapshot_date from snapshots),
@@ -267,6 +267,7 @@ sectors as (select sector, count(*) as constituents, sum(market_cap) as market_c
             sum(net_profit_cur) filter (net_profit_pri is not null) / case when sum(net_profit_pri) filter (net_profit_cur is not null) > 0 then sum(net_profit_pri) filter (net_profit_cur is not null) end - 1 as profit_growth,
             median(gross_margin_pct_cur) as gross_margin_pct, coalesce(sum(market_cap) filter (ttm_profit > 0), 0) / sum(market_cap) as profitable_mcap_coverage, coalesce(sum(market_cap) filter (ttm_profit <= 0), 0) / sum(market_cap) as loss_mcap_share,
             coalesce(sum(market_cap) filter (pb > 0), 0) / sum(market_cap) as pb_mcap_coverage, coalesce(sum(market_cap) filter (ttm_operating_cashflow is not null), 0) / sum(market_cap) as ocf_mcap_coverage,
+            least(coalesce(sum(market_cap) filter (ttm_revenue is not null), 0), coalesce(sum(market_cap) filter (ttm_profit is not null), 0), coalesce(sum(market_cap) filter (revenue_cur > 0 and revenue_pri > 0), 0), coalesce(sum(market_cap) filter (net_profit_cur is not null and net_profit_pri is not null), 0)) / sum(market_cap) as data_coverage,
             sum(ttm_operating_cashflow) / case when sum(market_cap) filter (ttm_operating_cashflow is not null) > 0 then sum(market_cap) filter (ttm_operating_cashflow is not null) end as ocf_yield from x group by sector)"""
 
 

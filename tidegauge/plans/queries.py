@@ -141,6 +141,14 @@ ranked as (select *, rank() over (partition by captured_at, kind order by mainli
 deltas as (select s.captured_at, s.kind, s.code, {", ".join(f"s.{c} - p_{r}.{c} as {c}_delta_{r}" for r in ("intraday", "1d", "3d") for c in _SHORT)}, {", ".join(f"p_{r}.mainline_score_rank - s.mainline_score_rank as mainline_score_rank_velocity_{r}" for r in ("intraday", "1d", "3d"))}
            from ranked s {" ".join(f"left join ranked p_{r} on p_{r}.captured_at = s.ref_{r} and p_{r}.kind = s.kind and p_{r}.code = s.code" for r in ("intraday", "1d", "3d"))})"""
 add("snapshot_deltas", lambda s, d: trajectory.deltas(adapters.snapshots(s, d)), ["captured_at", "kind", "code", *_DELTAS, *_VELOCITY], sql.query(_WITH, "deltas", sql.listed(_DELTAS, [_MOMENT.format("captured_at"), "kind", "code"], _VELOCITY)))
+_MOVED = {r: [*[f"{c}_delta_{r}" for c in trajectory.VALUES], *[f"{c}_rank_velocity_{r}" for c in trajectory.SCORES]] for r in ("intraday", "1d", "3d")}
+_EVERY = [x for r in _MOVED.values() for x in r]
+_MOVES = f"""{sql.REFS},
+placed as (select *, {", ".join(f"case when {c} is not null then rank() over (partition by captured_at, kind order by {c} desc nulls last) end as {c}_rank" for c in trajectory.SCORES)} from snapshots join refs using (captured_at)),
+moved as (select s.captured_at, s.kind, s.code, s.ref_1d, {", ".join(f"s.{c} - p_{r}.{c} as {c}_delta_{r}" for r in _MOVED for c in trajectory.VALUES)}, {", ".join(f"p_{r}.{c}_rank - s.{c}_rank as {c}_rank_velocity_{r}" for r in _MOVED for c in trajectory.SCORES)}
+          from placed s {" ".join(f"left join placed p_{r} on p_{r}.captured_at = s.ref_{r} and p_{r}.kind = s.kind and p_{r}.code = s.code" for r in _MOVED)}),
+seen as (select *, case when ref_1d is null then 0 else ({" + ".join(f"({c} is not null)::int" for c in _MOVED["1d"])}) / {len(_MOVED["1d"])} end as snapshot_history_coverage from moved)"""
+add("snapshot_moves", lambda s, d: trajectory.deltas(adapters.snapshots(s, d)), ["captured_at", "kind", "code", *_EVERY, "snapshot_history_coverage"], sql.query(_MOVES, "seen", sql.listed([*[x for x in _EVERY if "_delta_" in x], "snapshot_history_coverage"], [_MOMENT.format("captured_at"), "kind", "code"], [x for x in _EVERY if "_velocity_" in x])))
 add("snapshot_latest", lambda s, d: trajectory.latest_of_day(adapters.snapshots(s, d)), ["captured_at", "kind", "code", *SCORES], sql.query(sql.DAYS, "latest", sql.listed(SCORES, [_MOMENT.format("captured_at"), "kind", "code"])))
 
 
@@ -209,7 +217,7 @@ _PLAIN, _SURE = [f"{t}_method" for t in _TTM], [*_TTM, *[f"{t}_confidence" for t
 add("ttm", panel.trailing, ["code", *_PLAIN, *_SURE], sql.query(sql.TTM, "ttm", sql.listed(_SURE, ["code", *_PLAIN])))
 _MULTIPLES = ["price", "market_cap", "pb", "shares_outstanding", "ttm_eps", "ttm_ocfps", "pe_ttm_calc", "ps_ttm_calc", "sps_ttm", "bvps", "ttm_roe_pct", "cash_conversion"]
 add("multiples", panel.company_table, ["code", "name", *_MULTIPLES], sql.query(sql.MASTER, "master", sql.listed(_MULTIPLES, ["code", "name"])))
-_SECTOR = ["market_cap", "aggregate_pe", "positive_profit_pe", "pb", "ps", "revenue_growth", "profit_growth", "gross_margin_pct", "profitable_mcap_coverage", "loss_mcap_share", "pb_mcap_coverage", "ocf_mcap_coverage", "ocf_yield"]
+_SECTOR = ["market_cap", "aggregate_pe", "positive_profit_pe", "pb", "ps", "revenue_growth", "profit_growth", "gross_margin_pct", "profitable_mcap_coverage", "loss_mcap_share", "pb_mcap_coverage", "ocf_mcap_coverage", "ocf_yield", "data_coverage"]
 add("sector_aggregate", lambda s, d: fundamentals.sector_aggregate(panel.sector_members(s, d), panel.company_table(s, d)), ["sector", "constituents", *_SECTOR], sql.query(sql.SECTORS, "sectors", sql.listed(_SECTOR, ["sector"], ["constituents"])))
 _COVERAGE = ["current_coverage", "prior_coverage", "annual_coverage"]
 add("period_select", lambda s, d: fundamentals.period_coverage(adapters.performance(s, d), adapters.spot(s, d)), ["period", *_COVERAGE, "selected"], sql.query(f"{sql.REPORTS},{sql.PERIODS}", "chosen", sql.listed(_COVERAGE, ["period", "selected"])))

@@ -64,7 +64,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kind = Window.partitionBy("captured_at", "kind")
     return grouped.select(
-        "captured_at", F.to_date("captured_at").alias("snapshot_date"), "kind", "code", F.least(F.lit(100.0), F.col("level") * 1.1).alias("mainline_score"), F.least(F.lit(100.0), F.col("top")).alias("confirmation_score"),
+        "captured_at", F.to_date("captured_at").alias("snapshot_date"), "kind", "code", F.least(F.lit(100.0), F.col("level") * 1.1).alias("mainline_score"), *[F.least(F.lit(100.0), F.col("top")).alias(c) for c in ("confirmation_score", "candidate_score")],
         F.least(F.lit(100.0), (F.col("level") + F.col("top")) / 2).alias("ignition_score"), "breadth", ratio(F.col("amount"), F.sum("amount").over(kind)).alias("amount_share"), (F.col("top") - F.col("level")).alias("ret_1d"), (F.col("level") - F.col("bottom")).alias("ret_5d"),
     )
 
