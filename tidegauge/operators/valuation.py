@@ -271,14 +271,26 @@ def risk_flags(rows: DataFrame) -> Column:
     return F.concat_ws(";", *[F.when(holds(rule), name) for rule, name in flags])
 
 
-def infer_sectors(hits: DataFrame, least: float = 0.60) -> DataFrame:
-    """``hits`` (code, sector, board_hits, boards, priority): the best sector of each code, unless it is ambiguous."""
+def infer_sectors(hits: DataFrame, least: float = 0.60, codes: DataFrame | None = None) -> DataFrame:
+    """``hits`` (code, sector, board_hits, boards, priority): the best sector of each code, unless it is ambiguous. Of ``codes``, where
+    given, those without any candidate are rows too: unresolved, with no confidence."""
     scored = hits.withColumn("score", F.least(F.lit(1.0), F.col("board_hits") / F.greatest(F.lit(1), F.col("boards"))))
     ranked = scored.groupBy("code").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("board_hits")).alias("h"), "priority", "sector"))).alias("c"))
     top, runner = -F.col("c")[0]["s"], F.when(F.size("c") > 1, -F.get("c", F.lit(1))["s"])
     confidence = F.least(F.lit(1.0), 0.55 * top + 0.45 * F.greatest(F.lit(0.0), top - F.coalesce(runner, F.lit(0.0))))
     clear = (confidence >= least) & ~holds(F.abs(top - runner) < 0.20)
-    return ranked.select("code", F.when(clear, F.col("c")[0]["sector"]).otherwise("MODEL_REVIEW_REQUIRED").alias("sector"), F.col("c")[0]["sector"].alias("suggested_sector"), F.when(clear, "OK").otherwise("MODEL_REVIEW_REQUIRED").alias("classification_status"), confidence.alias("classification_confidence"), F.size("c").alias("candidates"))
+    found = ranked.select("code", F.when(clear, F.col("c")[0]["sector"]).otherwise("MODEL_REVIEW_REQUIRED").alias("sector"), F.col("c")[0]["sector"].alias("suggested_sector"), F.when(clear, "OK").otherwise("MODEL_REVIEW_REQUIRED").alias("classification_status"), confidence.alias("classification_confidence"), F.size("c").alias("candidates"))
+    if codes is None:
+        return found
+    none = {"sector": "MODEL_UNRESOLVED", "classification_status": "MODEL_UNRESOLVED", "classification_confidence": 0.0, "candidates": 0}
+    return codes.select("code").distinct().join(found, "code", "left").fillna(none)
+
+
+def family_status(resolved: Column, quoted: Column, modelled: Column, center: Column, coverage: Column, confidence: Column, required: float = 0.70) -> Column:
+    """What became of an entity's valuation, the first that holds: its boards are not found, it has no quote, no model, too little of its
+    model's weight, no center or no confidence in it, or all is well."""
+    valued = holds(center.isNotNull() & (confidence != "NO_VALUATION") & (coverage >= required))
+    return first_label([(~holds(resolved), "BOARD_RESOLUTION_FAILED"), (~holds(quoted), "DATA_UNAVAILABLE"), (~holds(modelled), "MODEL_UNRESOLVED"), (valued, "OK"), (coverage < required, "LOW_MODEL_COVERAGE")], "INSUFFICIENT_DATA")
 
 
 def wide(lenses: DataFrame, entity: str) -> DataFrame:

@@ -183,14 +183,15 @@ select s_suppkey, model, case when model = 'utility' then case when profit < -0.
 def sector_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = customer(spark, sf_dir).withColumn("code", (c("c_custkey") % 40).cast("string")).groupBy("code", c("c_mktsegment").alias("sector")).agg(F.count("*").alias("n"))
     boards = hits.select("code", "sector", (c("n") % 4).alias("board_hits"), F.lit(3).alias("boards"), F.length("sector").alias("priority"))
-    return valuation.infer_sectors(boards)
+    return valuation.infer_sectors(boards, codes=customer(spark, sf_dir).select((c("c_custkey") % 44).cast("string").alias("code")))  # four of them in no board
 
 
 INFERENCE = f"""with hits as (select (c_custkey % 40)::varchar as code, c_mktsegment as sector, count(*) % 4 as board_hits, length(c_mktsegment) as priority from customer group by all),
 ranked as (select *, least(1, board_hits / 3.0::double) as score, row_number() over w as n, lead(least(1, board_hits / 3.0::double)) over w as runner, count(*) over (partition by code) as candidates from hits window w as (partition by code order by least(1, board_hits / 3.0::double) desc, board_hits desc, priority, sector)),
 best as (select *, least(1, 0.55::double * score + 0.45::double * greatest(0, score - coalesce(runner, 0))) as confidence from ranked where n = 1),
 judged as (select *, confidence >= 0.6::double and not coalesce(abs(score - runner) < 0.2::double, false) as clear from best)
-select code, case when clear then sector else 'MODEL_REVIEW_REQUIRED' end as sector, sector as suggested_sector, case when clear then 'OK' else 'MODEL_REVIEW_REQUIRED' end as classification_status, {sql.settled('confidence')} as classification_confidence, candidates::bigint as candidates from judged"""
+select code, case when clear then sector else 'MODEL_REVIEW_REQUIRED' end as sector, sector as suggested_sector, case when clear then 'OK' else 'MODEL_REVIEW_REQUIRED' end as classification_status, {sql.settled('confidence')} as classification_confidence, candidates::bigint as candidates from judged
+union all select distinct (c_custkey % 44)::varchar, 'MODEL_UNRESOLVED', null, 'MODEL_UNRESOLVED', 0, 0 from customer where c_custkey % 44 >= 40"""
 
 
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:

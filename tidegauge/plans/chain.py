@@ -90,6 +90,15 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(path, ["stock", "as_of"]).withColumn("risk_flags", valuation.risk_flags(x))
 
 
+def family_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured stocks (customers' numbers) beside the last month's values: most have no quote, every ninth no model, one sector no boards."""
+    number = c("c_custkey")
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lpad(number.cast("string"), 6, "0").alias("stock"), (number % 5 != 3).alias("resolved"), (number % 9 != 0).alias("modelled"))
+    last = judged(spark, sf_dir).groupBy("stock").agg(F.max_by(F.struct("center", "model_weight_coverage", "valuation_confidence"), "as_of").alias("v"))
+    x = wanted.join(last, "stock", "left")
+    return x.select("stock", valuation.family_status(c("resolved"), c("v").isNotNull(), c("modelled"), c("v.center"), c("v.model_weight_coverage"), c("v.valuation_confidence")).alias("family_status"))
+
+
 # the same in SQL ----------------------------------------------------------------------------------------------------
 
 _STEPS = ("known", "based", "capped", "parts", "blended", "grown", "drawn", "fair")
@@ -203,4 +212,5 @@ ENTRIES = [
     ("stock_valuation", judged, ["stock", "as_of", *_WORDS, *_CENTER], sql.query(JUDGED, "judged_stocks", sql.listed(_CENTER, [*_DAY, *_WORDS]))),
     ("stock_bands", banded, ["stock", "as_of", "res_status", "trade_band_source", *_BANDS], sql.query(BANDED, "bands", sql.listed(_BANDS, [*_DAY, "status as res_status", _SOURCE]))),
     ("stock_position", positions, ["stock", "as_of", "gate", "stage", "action", *_TARGETS, "risk_flags"], sql.query(POSITIONS, "walked", f"stock, as_of::varchar as as_of, gate, stage, last_action as action, previous::bigint as previous_target, target::bigint as target_position, {_FLAGS} as risk_flags").replace("with ", "with recursive ", 1)),
+    ("family_status", family_statuses, ["stock", "family_status"], sql.query(f"{JUDGED},\nlast_values as (select * from judged_stocks qualify row_number() over (partition by stock order by as_of desc) = 1)", "customer left join last_values on stock = lpad(c_custkey::varchar, 6, '0')", "lpad(c_custkey::varchar, 6, '0') as stock, case when c_custkey % 5 = 3 then 'BOARD_RESOLUTION_FAILED' when last_values.stock is null then 'DATA_UNAVAILABLE' when c_custkey % 9 = 0 then 'MODEL_UNRESOLVED' else valuation_status end as family_status")),
 ]
