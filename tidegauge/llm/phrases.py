@@ -112,10 +112,14 @@ def counted(ids: np.ndarray, words: pa.Array, hashes: np.ndarray, lang: str, sta
         key = dense[near] << 32 | last
         hash_ = phrase_hash(hash_[near], hashes[last])
         active = np.flatnonzero(since.astype(np.int64) + shards > step)
-        _, first, times = np.unique(key[active], return_index=True, return_counts=True)
-        first = active[first]
-        parts = [words.take(pa.array(ids[at[first] + k])) for k in range(length)]
-        yield pc.binary_join_element_wise(*parts, pa.scalar(" ", words.type)), length, since[first], times
+        if length == 2:  # the key is the pair, so no place of it has to be kept while sorting
+            pairs, times = np.unique(key[active], return_counts=True)
+            ids_, since = [pairs >> 32, pairs & 0xFFFFFFFF], np.maximum(known[pairs >> 32], known[pairs & 0xFFFFFFFF])
+        else:
+            _, first, times = np.unique(key[active], return_index=True, return_counts=True)
+            first = active[first]
+            ids_, since = [ids[at[first] + k] for k in range(length)], since[first]
+        yield pc.binary_join_element_wise(*[words.take(pa.array(i)) for i in ids_], pa.scalar(" ", words.type)), length, since, times
         if length < longest:
             open_ = opened(hash_, lang, stamps)
             still = np.flatnonzero(open_ != _NEVER)
