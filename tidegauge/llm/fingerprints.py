@@ -9,7 +9,7 @@ fingerprints estimates the angle between the term vectors, so ``likeness`` is th
 
 Defined results: a text without terms (null, empty, white space) has the fingerprint of no set bits; the likeness of two
 such is 1, of one such and any other text 0; equal texts have equal fingerprints; an empty table gives an empty table;
-rows without an id come first in order; rows of one id follow each other by text; other columns are not read.
+the key is a number; rows without an id come first in order; rows of one id follow each other by text; other columns are not read.
 """
 
 from __future__ import annotations

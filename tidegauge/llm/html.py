@@ -12,7 +12,7 @@ How it scales: pages meet in groups of one host, of about ``GROUP`` pages; large
 paths, and each group is given, as prints of their lines, the nearest pages beyond its edges of which no two are alike.
 So a page at an edge finds its nearest unlike page as in an uncut host.
 
-Defined results: null html is empty; a null URL is a host of its own; a page without text has an empty text; broken or
+Defined results: null html is empty; pages with a null URL are together one host; the key is a number; a page without text has an empty text; broken or
 cut markup is read as far as it goes; repeated pages each have their row; an empty table gives an empty table; only the
 columns named are read.
 """

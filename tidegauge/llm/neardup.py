@@ -15,9 +15,10 @@ MinHashes rule pairs out there, whole sets decide on the rest, and only links th
 is collected to the driver; tables between the steps are written, and deleted once replaced.
 
 What can be missed: a pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6, and is pruned with a
-posterior probability below ``MISS`` at each look.
+posterior probability below ``MISS`` at each look. Shingles are compared by 64-bit hashes of 64-bit word hashes: two different
+ones of one pair of documents with n shingles each pass for equal with a probability of about n * n / 2^64.
 
-Defined results: null and empty texts have n_shingles 0, component_id their own id; of rows that
+Defined results: the key is a number; null and empty texts have n_shingles 0, component_id their own id; of rows that
 share an id each takes the component of its own set, and sets whose smallest id is the same are one component; rows
 without an id are kept, in no component; an empty table gives an empty table; other columns are not read.
 """

@@ -41,6 +41,17 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+OP3_SQL = r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+links as (select x, y from shared join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+reach as (select doc_id, doc_id as r from d union select reach.doc_id, y from reach join links on r = x)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, min(r) as component_id, doc_id = min(r) as kept from reach left join n using (doc_id) group by doc_id, n
+"""
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = F.lit("</s>[INST] ok [/INST]")
@@ -85,6 +96,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP7_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+places as (select doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) as i from d),
+windows as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as v from places),
+late as (select doc_id, i from windows qualify min(doc_id) over (partition by v) < doc_id),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p, true as away from late),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+left_over as (select doc_id, count(*) as n_words, count(away) as n_removed, string_agg(word, ' ' order by p) filter (away is null) as kept from words left join gone using (doc_id, p) group by doc_id)
+select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join left_over using (doc_id)
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
     edited_sha256 = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
@@ -143,9 +166,23 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP13_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (select doc_id, i, sha256(substr(h, 2 * i - 1, 400)) as v from (select doc_id, h, unnest(range(1, greatest(len(h) // 2 - 198, 1))) as i from d)),
+again as (select doc_id, i from windows qualify count(*) over (partition by v) > 1),
+parted as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end as first from again),
+numbered as (select doc_id, i, sum(first) over (partition by doc_id order by i) as span from parted),
+spans as (select doc_id, span, min(i) as a, max(i) + 199 as b from numbered group by doc_id, span),
+between_ as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans),
+pieces as (select doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' order by a) as head, max(b) as last, sum(b - a + 1) as n_removed, count(*) as n_spans from between_ join d using (doc_id) group by doc_id)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join pieces using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_near_duplicates, op4_chat_format, op5_html_extraction, op6_sharding, op7_substring_dedup, op8_simhash, op9_byte_bpe, op10_packing, op11_token_alignment, op12_phrases, op13_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": OP2_SQL, "op4_chat_format": OP4_SQL, "op12_phrases": OP12_SQL}
+    return {"op2_topk_search": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op12_phrases": OP12_SQL, "op13_suffix_dedup": OP13_SQL}

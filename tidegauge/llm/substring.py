@@ -14,7 +14,10 @@ gathered in one place. A chunk sends a cell and a window once, however often it
 all documents share costs each merging task one entry for each chunk. Answers return as one bit for each entry. The passes
 are one plan over one exchange of the texts, which Spark reuses.
 
-Defined results: a null or empty text has no words and loses none; windows are judged on the input, not on what is left;
+Words are compared by 64-bit hashes and windows by 96 bits made of these: with N distinct windows, two different ones pass for equal
+with a probability of about N * N / 2^97, and two words of V with one of V * V / 2^65.
+
+Defined results: the key is a number; a null or empty text has no words and loses none; windows are judged on the input, not on what is left;
 windows repeated only within one document stay; rows that share an id are the same document; a row without an id has no
 smaller one before it and comes before none, so it keeps its words; an empty table gives an empty table; other columns
 are not read.
