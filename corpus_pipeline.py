@@ -20,34 +20,46 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter("predicted = 0").select("row.*").select(*COLUMNS)
 
 
-def _print() -> Column:
-    """A hash of a row's content, its id among it."""
-    return F.xxhash64(*[x for c in ("doc_id", "text", "lang", "source") for x in (F.col(c), F.col(c).isNull())])
+def _print(seed: int) -> Column:
+    """A hash of a row's content, its id among it, above all smaller ids: 2^62 and 62 bits that depend on ``seed``."""
+    content = F.xxhash64(F.lit(seed), *[x for c in ("doc_id", "text", "lang", "source") for x in (F.col(c), F.col(c).isNull())])
+    return content.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``number``: the id for one row of each id, and a number above all ids for the rest.
+
+    Only rows of null or repeated ids are told apart by hashes. Where rows of different content share the first hash, the second
+    one numbers them, so rows are taken for one only if they agree in 124 bits. Rows of equal content are one row.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"))
+    if odd.isEmpty():
+        return docs.withColumn("number", F.col("doc_id"))
+    marked = docs.join(odd.withColumn("is_odd", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("odd_id")), "left").drop("odd_id")
+    rows = marked.withColumns({"first_print": F.when(F.col("is_odd"), _print(0)), "second_print": F.when(F.col("is_odd"), _print(1))})
+    told = rows.filter("is_odd").groupBy("doc_id", "first_print", "second_print").agg(F.lit(True).alias("is_odd"))
+    met = told.groupBy("first_print").agg(F.count("*").alias("contents")).filter("contents > 1").select(F.col("first_print").alias("met_print"), F.lit(True).alias("is_met"))
+    single = told.join(met, F.col("first_print") == F.col("met_print"), "left").withColumn("print", F.when(F.col("is_met"), F.col("second_print")).otherwise(F.col("first_print")))
+    own = single.filter("doc_id is not null").groupBy("doc_id").agg(F.min("print").alias("print"))
+    keyed = single.join(own.withColumn("is_own", F.lit(True)), ["doc_id", "print"], "left")
+    number = F.when(F.col("is_own"), F.col("doc_id")).otherwise(F.col("print"))
+    numbers = keyed.select(F.col("first_print").alias("a"), F.col("second_print").alias("b"), number.alias("odd_number"))
+    out = rows.join(numbers, (F.col("first_print") == F.col("a")) & (F.col("second_print") == F.col("b")), "left")
+    return out.withColumn("number", F.when(F.col("is_odd"), F.col("odd_number")).otherwise(F.col("doc_id"))).drop("is_odd", "first_print", "second_print", "a", "b", "odd_number")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row of the smallest id (null ids last, then by content).
 
-    Rows are told apart by their content, as ids may be null or repeated. Rows without shingles all stay.
+    Rows are told apart by ``numbered``, as ids may be null or repeated. Rows without shingles all stay.
     """
-    rows = docs.withColumn("row_print", _print())
-    found = neardup.near_duplicates(rows, key="row_print").select(F.col("id").alias("row_print"), "n_shingles", "component_id").distinct()
-    ids = rows.select("row_print", "doc_id").distinct()
-    kept = found.join(ids, "row_print").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_print"))["row_print"].alias("row_print"), F.max("n_shingles").alias("n_shingles"))
-    left = rows.join(kept.select("row_print", "n_shingles"), "row_print")
+    rows = numbered(docs)
+    found = neardup.near_duplicates(rows, key="number").select(F.col("id").alias("number"), "n_shingles", "component_id").distinct()
+    ids = rows.select("number", "doc_id").distinct()
+    kept = found.join(ids, "number").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "number"))["number"].alias("number"), F.max("n_shingles").alias("n_shingles"))
+    left = rows.join(kept.select("number", "n_shingles"), "number")
     apart = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id())
-    return left.withColumn("apart", apart).dropDuplicates(["row_print", "apart"]).select(*COLUMNS)
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``number``: the id for one row of each id, and a number above all ids (2^62 and a hash) for the rest."""
-    rows = docs.withColumn("row_print", _print())
-    odd = rows.groupBy("doc_id").agg(F.min("row_print").alias("first_print"), F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"), "first_print")
-    if odd.isEmpty():
-        return rows.withColumn("number", F.col("doc_id"))
-    marked = rows.join(odd, F.col("doc_id") == F.col("odd_id"), "left")
-    own = F.col("doc_id").isNotNull() & (F.col("first_print").isNull() | (F.col("first_print") == F.col("row_print")))
-    return marked.withColumn("number", F.when(own, F.col("doc_id")).otherwise(F.col("row_print").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))).drop("odd_id", "first_print")
+    return left.withColumn("apart", apart).dropDuplicates(["number", "apart"]).select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
