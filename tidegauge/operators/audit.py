@@ -93,3 +93,39 @@ def run_status(summary_: DataFrame, least_pct: float = 80.0) -> DataFrame:
     items = summary_.filter("kind = 'all'").select(*[c(n).cast("double").alias(n) for n in numbers]).unpivot([], numbers, "item", "value")
     asked = F.when(c("item").endswith("_pct"), c("value") >= least_pct).when(c("item").isin("omitted", "warnings"), c("value") == 0)
     return items.withColumn("status", F.when(asked, "PASS").when(~asked, "WARN").when(c("value").isNull() & c("item").endswith("_pct"), "WARN").otherwise(""))
+
+
+def provenance(bars: DataFrame) -> DataFrame:
+    """Where each board's history comes from: the source of its last bar that states one, the median number of constituents
+    and the mean coverage of its synthetic bars (null where it has none)."""
+    return bars.groupBy("kind", "code").agg(
+        F.max_by("data_source", F.when(F.col("data_source").isNotNull(), F.col("date"))).alias("history_source"),
+        F.median("constituent_count").alias("synthetic_constituents"), F.avg("synthetic_coverage").alias("synthetic_coverage"),
+    )
+
+
+def placed(audit: DataFrame) -> DataFrame:
+    """The audit with each row's place in the report's order: omitted boards first, then by status, kind, name and code.
+
+    Rows are numbered within status and kind, and begin where the statuses and kinds before them end, so no task holds all rows.
+    The audit is read twice; callers write it once.
+    """
+    group = ["is_omitted", "audit_status", "kind"]
+    sizes = audit.groupBy(*group).agg(F.count("*").alias("n"))  # a row for each status and kind
+    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("is_omitted"), "audit_status", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*group).orderBy("name", "code"))
+    return audit.withColumn("_own", own).join(starts, group).withColumn("place", F.col("_start") + F.col("_own")).drop("_start", "_own")
+
+
+def subsets(audit: DataFrame) -> DataFrame:
+    """The extracts of an audit: boards omitted from the scores, and scored ones that are not complete (warnings)."""
+    extract = F.when(F.col("is_omitted"), "omitted").when(F.col("audit_status") != "complete", "warnings")
+    return audit.withColumn("subset", extract).filter("subset is not null")
+
+
+def facts(scored: DataFrame, failures: DataFrame, summary_: DataFrame) -> DataFrame:
+    """The head of a report, one row: the last date of the scores, how many boards were scored and failed, and the audit's totals."""
+    total = summary_.filter("kind = 'all'").select("universe", "filtered", "target", F.col("scored").alias("target_scored"), "target_coverage_pct")
+    head = scored.agg(F.max("as_of").alias("data_cutoff"), F.count("*").alias("scored"))
+    return head.crossJoin(failures.agg(F.count("*").alias("failures"))).crossJoin(total)  # of one row each

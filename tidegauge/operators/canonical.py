@@ -105,6 +105,21 @@ def quotes(raw: DataFrame, declared: int, share: float = 0.9) -> DataFrame:
     return passed.drop("_rows", "_caps")
 
 
+def quote_table(raw: DataFrame, aliases: Mapping[str, Sequence[str]], source: str, trade_date: Column, market_cap_unit: float = 1.0, comparable_pe: bool = True) -> DataFrame:
+    """One source's quotes under the canonical names, stamped with the date of trade and the source; the first row of each code by name and price.
+
+    ``aliases``: columns by canonical name (code, name, price, market_cap, pe_dynamic, pb); ``market_cap_unit``: what the source
+    counts market values in; a source whose multiples are no trailing ones (``comparable_pe`` false) gives null."""
+    def column(name: str) -> Column:
+        found = resolved(raw, aliases.get(name, (name,)))
+        return F.lit(None).cast("string") if found is None else F.col(f"`{found}`").cast("string")
+
+    pe = number(column("pe_dynamic")) if comparable_pe else F.lit(None).cast("double")
+    rows = raw.select(F.regexp_extract(column("code"), r"(\d{6})", 1).alias("code"), column("name").alias("name"), number(column("price")).alias("price"), (number(column("market_cap")) * market_cap_unit).alias("market_cap"), pe.alias("pe_dynamic"), number(column("pb")).alias("pb"))
+    stamped = rows.filter("code <> ''").withColumns({"quote_trade_date": trade_date, "quote_source": F.lit(source)})
+    return stamped.withColumn("_n", F.row_number().over(Window.partitionBy("code").orderBy("name", "price"))).filter("_n = 1").drop("_n")
+
+
 def members(raw: DataFrame) -> DataFrame:
     return raw.withColumn("code", F.regexp_extract("code", r"(\d{6})", 1)).filter("code <> ''").dropDuplicates(["board", "code"])
 
@@ -141,6 +156,15 @@ def resolve_boards(wanted: DataFrame, catalog: DataFrame, exact_only: bool = Fal
     return near.withColumn("tier", tier).withColumn("place", place).filter("place = 1").select("id", "alias", "code", "name", "tier")
 
 
+def resolve_coded(wanted: DataFrame, catalog: DataFrame, exact_only: bool = False) -> DataFrame:
+    """As ``resolve_boards``, but for rows of ``wanted`` with a ``board_code``: these find the board of that code of the catalog, or none;
+    their alias is the code and their tier -1."""
+    coded = F.coalesce(F.col("board_code") != "", F.lit(False))
+    codes = wanted.filter(coded).select("id", F.col("board_code").alias("code")).distinct()
+    by_code = codes.join(catalog.groupBy("code").agg(F.min("name").alias("name")), "code").select("id", F.col("code").alias("alias"), "code", "name", F.lit(-1).alias("tier"))
+    return by_code.unionByName(resolve_boards(wanted.filter(~coded), catalog, exact_only))
+
+
 def performance(raw: DataFrame, aliases: Mapping[str, Sequence[str]], attributable: Sequence[str], consolidated: Sequence[str]) -> DataFrame:
     """Reports under the canonical names, keyed by the six digits of their code, the first row of each by ``report_date`` and name.
 
@@ -167,6 +191,27 @@ def freshness(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return out
 
 
+def freshness_log(tables: Mapping[str, tuple[DataFrame, str, str | None, int]], now: DataFrame) -> DataFrame:
+    """A row for each dataset, by name: rows, the source of its last row, when that landed, the minutes that a copy of it serves, and whether
+    the stored copy still served at ``now`` (one row, one moment ``now``).
+
+    ``tables``: frame, column of the moment, column of the source or None, minutes."""
+    def described(name: str, df: DataFrame, moment: str, source: str | None, minutes: int) -> DataFrame:
+        at = F.col(moment).cast("timestamp")
+        label = F.lit("") if source is None else F.coalesce(F.max_by(source, F.struct(at, F.col(source))), F.lit(""))
+        return df.agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"), label.alias("source"), F.max(at).alias("fetched_at"), F.lit(minutes).alias("ttl_minutes"))
+
+    rows = functools.reduce(DataFrame.unionByName, [described(n, *t) for n, t in tables.items()])
+    served = F.timestamp_diff("MINUTE", F.col("fetched_at"), F.col("now")) <= F.col("ttl_minutes")
+    return rows.crossJoin(now).withColumn("cache_used", F.coalesce(served, F.lit(False))).drop("now").orderBy("dataset")
+
+
+def board_metrics(boards: DataFrame, metrics: DataFrame) -> DataFrame:
+    """The universe's columns beside each board's metrics, for boards that have both; of repeated boards the first by name."""
+    once = boards.withColumn("_n", F.row_number().over(Window.partitionBy("kind", "code").orderBy("name"))).filter("_n = 1").drop("_n")
+    return once.join(metrics, ["kind", "code"])
+
+
 def universe(df: DataFrame) -> DataFrame:
     """Boards with breadth: risers among those that moved."""
     up, down = F.col("up_count"), F.col("down_count")

@@ -4,7 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidegauge.functions.expr import market_date, number
+
 MOST, LEAST, LEAST_BARS = 24, 3, 12
+#: The status of a session in which a stock was traded.
+TRADED = "1"
+
+
+def traded(raw: DataFrame, status: str = "trade_status") -> DataFrame:
+    """Vendor bars of stocks as ``index`` takes them: sessions without trade go (without a status all count as traded), texts become
+    numbers and dates, rows without a date or close go."""
+    rows = raw.filter(F.trim(F.col(status).cast("string")) == TRADED).drop(status) if status in raw.columns else raw
+    figures = ("open", "high", "low", "close", "volume", "amount", "turn")
+    return rows.withColumns({"date": market_date(F.col("date"))} | {c: number(F.col(c)) for c in figures}).filter("date is not null and close is not null")
+
+
+def rejects(constituents: DataFrame, stock_bars: DataFrame, most: int = MOST) -> DataFrame:
+    """Boards that get no index: how many codes they map to, how many of these have enough bars, and which of the two was too few."""
+    codes = constituents.select("board", "stock_code").distinct()
+    place = F.row_number().over(Window.partitionBy("board").orderBy(F.col("stock_code").asc_nulls_last()))
+    chosen = codes.withColumn("place", place).filter(F.col("place") <= most).drop("place")
+    enough = stock_bars.filter("close is not null and date is not null").groupBy("stock_code").agg((F.count("*") >= LEAST_BARS).alias("enough"))
+    counted = chosen.join(enough, "stock_code", "left").groupBy("board").agg(F.count("stock_code").alias("mapped"), F.count_if(F.coalesce("enough", F.lit(False))).alias("valid"))
+    error = F.when(F.col("mapped") < LEAST, "too_few_members").when(F.col("valid") < LEAST, "too_few_histories")
+    return counted.withColumn("error", error).filter("error is not null")
 
 
 def members(constituents: DataFrame, stock_bars: DataFrame, most: int = MOST) -> DataFrame:

@@ -59,6 +59,13 @@ def growth(rows: DataFrame, least_coverage: float = 0.0) -> DataFrame:
     return x.withColumn("growth_used_pct", used).withColumn("growth_regime", regime)
 
 
+def simple_growth(profit: Column, revenue: Column, premium_cap: Column | None = None) -> Column:
+    """Growth in percent without regimes: profit's, no more than ``premium_cap`` above revenue's, with a third of revenue's; either alone where the other is missing."""
+    most = F.lit(None) if premium_cap is None else revenue + premium_cap
+    p, r = clipped(F.when(profit > most, most).otherwise(profit), -30, 80), clipped(revenue, -30, 60)
+    return F.coalesce(0.65 * p + 0.35 * r, p, r)
+
+
 def fair_multiples(rows: DataFrame, least_coverage: float = 0.0) -> DataFrame:
     """``rows``: aggregates of an entity beside its configuration. Adds fair_pe, fair_ps, fair_pb and the bounds hit."""
     c = F.col

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.functions import expr
 from tidegauge.operators import backtest, canonical, fundamentals, history, synthetic, trajectory, views
-from tidegauge.plans import appraisal, auditing, catalog, chain, choice, configured, live, oracle as sql, panel, policy, relations
+from tidegauge.plans import appraisal, auditing, catalog, chain, choice, configured, live, oracle as sql, panel, policy, relations, reporting
 from tidegauge.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,7 +254,7 @@ for _name, _columns in {"robust_z": ["last_close", "robust_z"], "shrinkage": ["s
 
 # fair values, the audit and the policy ----------------------------------------------------------------------------------------
 
-for _entry in [*appraisal.ENTRIES, *auditing.ENTRIES, *policy.entries(_HISTORY), *catalog.ENTRIES, *relations.ENTRIES, *chain.ENTRIES, *choice.ENTRIES, *configured.ENTRIES, *live.ENTRIES]:
+for _entry in [*appraisal.ENTRIES, *auditing.ENTRIES, *policy.entries(_HISTORY), *catalog.ENTRIES, *relations.ENTRIES, *chain.ENTRIES, *choice.ENTRIES, *configured.ENTRIES, *live.ENTRIES, *reporting.ENTRIES]:
     add(*_entry)
 
 
