@@ -144,6 +144,7 @@ def resolve_boards(wanted: DataFrame, catalog: DataFrame, exact_only: bool = Fal
     characters has at most n * (n + 1) / 2 parts, so the join grows with the names, not with their pairs."""
     a = wanted.withColumn("a", board_name(F.col("alias"))).filter("a <> ''")
     b = catalog.select("code", "name", board_name(F.col("name")).alias("b")).filter("b <> ''")
+    b = b.groupBy("b").agg(F.min(F.struct("code", "name")).alias("first")).select("b", "first.*")  # of equal names the least code wins, so the others need not meet
     if exact_only:
         near = a.join(b, F.col("a") == F.col("b"))
     else:
