@@ -17,7 +17,11 @@ def fused(metrics: DataFrame, flows: DataFrame) -> DataFrame:
     ``flows`` must have one row for each key; metrics without a name column use the code.
     """
     named = metrics if "name" in metrics.columns else metrics.withColumn("name", F.col("code"))
-    out = named.join(flows, ["kind", "name", "as_of"], "left")
+    return sourced(named.join(flows, ["kind", "name", "as_of"], "left"))
+
+
+def sourced(rows: DataFrame) -> DataFrame:
+    """Rows with direct flows and the proxy side by side: what counts, its source and its confidence."""
     new = {}
     for k in (1, 5, 10):
         direct, proxy = F.col(f"flow_{k}d_direct_pct"), F.col(f"flow_proxy_{k}d_pct")
@@ -29,7 +33,7 @@ def fused(metrics: DataFrame, flows: DataFrame) -> DataFrame:
     same, proxies = d1.isNotNull() & d5.isNotNull(), d1.isNull() & d5.isNull() & (p1 - p5).isNotNull()
     new["flow_acceleration"] = F.when(same, d1 - d5 / 5).when(proxies, p1 - p5)
     new["flow_acceleration_source"] = F.when(same, "direct_same").when(proxies, "cmf_same").otherwise("not_comparable")
-    return out.withColumns(new)
+    return rows.withColumns(new)
 
 
 def relative_strength(metrics: DataFrame) -> DataFrame:

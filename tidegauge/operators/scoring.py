@@ -27,34 +27,27 @@ TRAJECTORY = list(IGNITION)[:7]
 SIGNALS = {"flow_1d_signal", "flow_5d_signal", "flow_10d_signal", "flow_acceleration_signal"}
 
 
-def ranks(rows: DataFrame, signals: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
-    """For each signal (its value, and a column that parts its cross-sections further): ``rank_`` its average-tie percentile rank
-    among the values of its part, null for null; ``held_`` the values and ``size_`` the rows of that part. By kind, as_of and code.
-
-    All signals are ranked at once, as long rows under one sort. The rows are narrow: keys, a signal's number, its value and
-    its part; the wide row stays behind, and what comes back are numbers in a hash aggregate. ``rows`` has one row for each kind, as_of and code.
-    """
-    items = F.array(*[F.struct(F.lit(k).cast("byte").alias("signal"), value.cast("double").alias("value"), (F.lit("") if part is None else part).alias("part")) for k, (value, part) in enumerate(signals.values())])
-    long = rows.select(*GROUP, "code", F.explode(items).alias("item")).select(*GROUP, "code", "item.*")
-    part = Window.partitionBy(*GROUP, "signal", "part")
-    order = part.orderBy(F.col("value").asc_nulls_last())
-    placed = long.withColumns({"first": F.rank().over(order), "last": F.count("value").over(order), "held": F.count("value").over(part), "size": F.count("*").over(part)})
-    middle = F.when(F.col("value").isNotNull(), (F.col("first") + F.col("last")) / 2.0 / F.col("held"))
-    of = lambda k, x: F.max(F.when(F.col("signal") == k, x))
-    wide = [y for k, n in enumerate(signals) for y in (of(k, middle).alias(f"rank_{n}"), of(k, F.col("held")).alias(f"held_{n}"), of(k, F.col("size")).alias(f"size_{n}"))]
-    return placed.groupBy(*GROUP, "code").agg(*wide)
-
-
 def ranked(rows: DataFrame, signals: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
-    """``rows`` with their ``ranks``."""
-    return rows.join(ranks(rows, signals), [*GROUP, "code"])
+    """``rows`` and for each signal (its value, and a column that parts its cross-sections further): ``rank_`` its average-tie percentile rank
+    among the values of its part, null for null; ``held_`` the values and ``size_`` the rows of that part.
+
+    Every cross-section is dealt once, as all windows are of it or of a part of it; each signal sorts it where it lies. Ranks that nobody reads are pruned with their sorts."""
+    out = rows
+    for n, (value, part) in signals.items():
+        out = out.withColumns({"_value": value.cast("double"), "_part": F.lit("") if part is None else part})
+        by = Window.partitionBy(*GROUP, *([] if part is None else ["_part"])).orderBy(F.col("_value").asc_nulls_last())
+        whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        held = F.count("_value").over(whole)
+        middle = F.when(F.col("_value").isNotNull(), (F.rank().over(by) + F.count("_value").over(by)) / 2.0 / held)
+        out = out.withColumns({f"rank_{n}": middle, f"held_{n}": held, f"size_{n}": F.count("*").over(whole)}).drop("_value", "_part")
+    return out
 
 
 FLOWS = ("flow_acceleration", "flow_1d", "flow_5d", "flow_10d")
 
 
 def signals(rows: DataFrame) -> DataFrame:
-    """``rows`` with the ranks of all that the flow signals and the scores take from them, under one sort."""
+    """``rows`` with the ranks of all that the flow signals and the scores take from them."""
     plain = dict.fromkeys(n for weights in (MAINLINE, CONFIRMATION, IGNITION) for n in weights if n not in SIGNALS and n in rows.columns)
     return ranked(rows, {n: (F.col(n if n == "flow_acceleration" else f"{n}_pct"), F.col(f"{n}_source")) for n in FLOWS} | {n: (F.col(n), None) for n in plain})
 
@@ -99,8 +92,12 @@ def early_crowding() -> Column:
     return F.coalesce(F.when(raw.isNotNull(), F.least(raw, F.lit(22.0))), F.lit(0.0))
 
 
-def scores(rows: DataFrame, present: Mapping[str, Column] | None = None) -> DataFrame:
-    """mainline, confirmation (candidate), ignition scores with their penalties; trajectory columns may be absent."""
+def _shown(found: DataFrame, out: Mapping[str, Column]) -> DataFrame:
+    return found.select(*[c for c in found.columns if c not in out and not c.startswith(("held_", "size_"))], *[x.alias(n) for n, x in out.items()])
+
+
+def ignited(rows: DataFrame, present: Mapping[str, Column] | None = None) -> DataFrame:
+    """The ignition score and how much of its history is known; trajectory columns may be absent."""
     present = dict(present or {})
     ignition = {k: w for k, w in IGNITION.items() if k in rows.columns}
     seen = [c for c in TRAJECTORY if c in rows.columns]
@@ -108,12 +105,17 @@ def scores(rows: DataFrame, present: Mapping[str, Column] | None = None) -> Data
     known = [F.when(present.get(c, F.lit(True)) & F.col(c).isNotNull(), 1.0).otherwise(0.0) for c in seen]
     count = sum(here[1:], here[0]) if seen else F.lit(0)
     coverage = F.when(count > 0, sum(known[1:], known[0]) / count).otherwise(0.0) if seen else F.lit(0.0)
-    names = dict.fromkeys(n for weights in (MAINLINE, CONFIRMATION, ignition) for n in weights if n not in SIGNALS)
-    confirmation = clipped(weighted(CONFIRMATION) - crowding(), 0, 100)
-    out = {"mainline_score": weighted(MAINLINE), "confirmation_score": confirmation, "candidate_score": confirmation, "crowding_penalty": crowding(), "ignition_score": clipped(weighted(ignition, present) - early_crowding(), 0, 100), "ignition_history_coverage": coverage}
-    unranked = {n: (F.col(n), None) for n in names if f"rank_{n}" not in rows.columns}
+    unranked = {n: (F.col(n), None) for n in ignition if n not in SIGNALS and f"rank_{n}" not in rows.columns}
     found = ranked(rows, unranked) if unranked else rows
-    return found.select(*[c for c in found.columns if c not in out and not c.startswith(("held_", "size_"))], *[x.alias(n) for n, x in out.items()])
+    return _shown(found, {"ignition_score": clipped(weighted(ignition, present) - early_crowding(), 0, 100), "ignition_history_coverage": coverage})
+
+
+def scores(rows: DataFrame, present: Mapping[str, Column] | None = None) -> DataFrame:
+    """mainline, confirmation (candidate), ignition scores with their penalties; trajectory columns may be absent."""
+    unranked = {n: (F.col(n), None) for n in dict.fromkeys((*MAINLINE, *CONFIRMATION)) if n not in SIGNALS and f"rank_{n}" not in rows.columns}
+    found = ranked(rows, unranked) if unranked else rows
+    confirmation = clipped(weighted(CONFIRMATION) - crowding(), 0, 100)
+    return ignited(_shown(found, {"mainline_score": weighted(MAINLINE), "confirmation_score": confirmation, "candidate_score": confirmation, "crowding_penalty": crowding()}), present)
 
 
 def sideways(rows: DataFrame) -> DataFrame:

@@ -45,6 +45,25 @@ def deltas(snapshots: DataFrame) -> DataFrame:
     return out.withColumn("snapshot_history_coverage", F.when(F.col("ref_1d").isNotNull(), sum(known[1:], known[0]) / len(known)).otherwise(0.0))
 
 
+def daily_calendar(days: DataFrame) -> DataFrame:
+    """``days`` (snapshot_date) once each, with the one before and the third before. The ordering window is over days, not over boards."""
+    line = Window.orderBy("snapshot_date")
+    return days.select("snapshot_date").distinct().select("snapshot_date", F.lag("snapshot_date", 1).over(line).alias("ref_1d"), F.lag("snapshot_date", 3).over(line).alias("ref_3d"))
+
+
+def daily_deltas(rows: DataFrame, calendar: DataFrame, values: Sequence[str], ranks: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with one capture a day (snapshot_date), and what ``deltas`` finds of their one-day and three-day references: a board's row of one of
+    the three days before is one of its last three rows, so it is met in the board's own order and nothing is joined but the ``calendar`` of days."""
+    line = Window.partitionBy("kind", "code").orderBy("snapshot_date")
+    columns = ("snapshot_date", *values, *ranks)
+    out = rows.join(F.broadcast(calendar), "snapshot_date").withColumn("_past", F.array(*[F.lag(F.struct(*columns), k).over(line) for k in (1, 2, 3)]))  # the calendar has a row a day
+    for name in ("1d", "3d"):
+        reference = F.col(f"ref_{name}")
+        out = out.withColumn("_prior", F.coalesce(*[F.when(F.col("_past")[k]["snapshot_date"] == reference, F.col("_past")[k]) for k in range(3)]))
+        out = out.withColumns({**{f"{c}_delta_{name}": F.col(c) - F.col(f"_prior.{c}") for c in values}, **{f"{c}_velocity_{name}": F.col(f"_prior.{c}") - F.col(c) for c in ranks}}).drop("_prior")
+    return out.drop("_past")
+
+
 def upserted(stored: DataFrame, new: DataFrame, keys: list[str], moment: str, ties: Sequence[str] = ()) -> DataFrame:
     """Both tables' rows, of each key the last by ``moment``, then by ``ties``; then the new table wins."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

@@ -109,10 +109,7 @@ board_query("two_pass_score", panel.second_pass, sql.SECOND, "second_pass", [*SC
 
 
 def _top_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel.first_pass(spark, sf_dir)
-    last = rows.agg(F.max("as_of").alias("as_of"))
-    rows = rows.join(F.broadcast(last), "as_of", "left_semi")  # one row
-    return views.top_views(rows, {"mainline": (F.lit(True), "mainline_score"), "seed": (F.col("sideways_seed_score") > 0, "sideways_seed_score"), "ignition": (F.col("ignition_score") >= 50, "ignition_score")}, 20)
+    return views.top_views(relations.last_scored(spark, sf_dir), {"mainline": (F.lit(True), "mainline_score"), "seed": (F.col("sideways_seed_score") > 0, "sideways_seed_score"), "ignition": (F.col("ignition_score") >= 50, "ignition_score")}, 20)
 
 
 _VIEWS = (("mainline", "mainline_score", "true"), ("seed", "sideways_seed_score", "sideways_seed_score > 0"), ("ignition", "ignition_score", "ignition_score >= 50"))

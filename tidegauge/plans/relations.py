@@ -51,16 +51,16 @@ def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = "select n_name || '板块' as name, case when n_nationkey % 5 <> 4 then n_nationkey end::bigint as index_code, case when n_nationkey % 5 = 4 then null when n_nationkey % 2 = 0 then 'compact' else 'normalised' end as tier from nation"
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first pass at its last date. It is read twice, so it is written once."""
-    rows = panel.cut(panel.first_pass(spark, sf_dir))
-    return rows.join(rows.agg(F.max("as_of").alias("as_of")), "as_of", "left_semi")
+def last_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pass at its last date. Which date that is needs no scores: the panel of bars has the same dates."""
+    last = panel.metric_panel(spark, sf_dir).agg(F.max("as_of").alias("as_of"))
+    return panel.first_pass(spark, sf_dir).join(F.broadcast(last), "as_of", "left_semi")  # one row
 
 
 def sector_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sector's aliases are its members' boards: the concepts named by their numbers."""
     aliases = panel.sector_members(spark, sf_dir).select("sector", F.concat(F.lit("Board-"), c("code").cast("long").cast("string"), F.lit("行业")).alias("alias"))
-    scored = _scored(spark, sf_dir).filter("kind = 'concept'").select(F.concat(F.lit("board "), "code").alias("name"), "lifecycle", "mainline_score")
+    scored = last_scored(spark, sf_dir).filter("kind = 'concept'").select(F.concat(F.lit("board "), "code").alias("name"), "lifecycle", "mainline_score")
     return resolution.stages(aliases, scored)
 
 
@@ -85,7 +85,7 @@ month_stages as (select sector, month as as_of, lifecycle as stage from (select
 
 def label_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extracts of a report: boards that lead, seeds, boxes and candidates."""
-    rows = _scored(spark, sf_dir)
+    rows = last_scored(spark, sf_dir)
     subsets = {"mainline": c("status").startswith("mainline"), "seed_radar": c("lifecycle").isin("Seed", "Ignition"), "sideways": c("sideways_seed_status").isin("sideways_seed", "sideways_watch"), "potential": c("status").isin("potential_start", "watch")}
     named = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in subsets.items()]))
     return rows.select(F.explode(named).alias("subset"), "kind", "code", "mainline_score")
@@ -96,15 +96,14 @@ SUBSETS = f"{sql.FIRST},\nnow as (select * from first_pass where as_of = (select
 
 
 def report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel.first_pass(spark, sf_dir)
-    return rows.groupBy("as_of").agg(F.count("mainline_score").alias("scored"), F.count_if(c("mainline_score").isNull()).alias("failed")).orderBy(F.desc("as_of")).limit(1)
+    return last_scored(spark, sf_dir).groupBy("as_of").agg(F.count("mainline_score").alias("scored"), F.count_if(c("mainline_score").isNull()).alias("failed"))
 
 
 HEADER = f"{sql.FIRST},\nheader as (select max(as_of) as as_of, count(mainline_score) as scored, count(*) - count(mainline_score) as failed from first_pass where as_of = (select max(as_of) from first_pass))"
 
 
 def top_hundred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.ordered(_scored(spark, sf_dir), "mainline_score", "kind", "code").limit(100)
+    return views.ordered(last_scored(spark, sf_dir), "mainline_score", "kind", "code").limit(100)
 
 
 HUNDRED = f"{sql.FIRST},\nhundred as (select * from first_pass where as_of = (select max(as_of) from first_pass) order by mainline_score desc, kind, code limit 100)"

@@ -14,45 +14,57 @@ def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines of each board: brands are industries, suppliers are concepts. Only the columns in use are read."""
+def _weeks(lines: DataFrame, *dealt: str) -> DataFrame:
+    """Weekly bars of ``lines`` (kind, code, day, part and figures), with the counts that make breadth and the net amount.
+
+    Lines are dealt once, by ``dealt``; a week's first day and the parts not seen before in it are found where they lie, so that no other pass over them is needed."""
+    week = ["kind", "code", "date"]
+    seen = Window.partitionBy(*week).orderBy("l_partkey")
+    whole = seen.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fresh = (F.row_number().over(seen) == 1) | ~F.lag("l_partkey").over(seen).eqNullSafe(F.col("l_partkey"))
+    rows = lines.filter("code is not null and day is not null").withColumn("date", F.date_trunc("week", "day").cast("date")).repartition(*dealt).withColumns({"first_day": F.min("day").over(whole), "fresh": fresh})
+    px, first = F.col("l_extendedprice") / F.col("l_quantity"), F.col("day") == F.col("first_day")
+    sums = rows.groupBy(*week).agg(
+        (F.sum(F.when(first, px)) / F.count_if(first)).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), (F.sum(px) / F.count("*")).alias("close"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount"),
+        F.sum("up").alias("up_count"), F.sum("down").alias("down_count"), F.sum(F.when(F.col("filled"), F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice"))).alias("net"), F.count_if("fresh").alias("parts"),
+    )
+    return sums.withColumn("turnover", F.col("volume") / F.col("parts")).drop("parts")
+
+
+def funded_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars of each board, with their net amounts: filled less open ones. Brands are industries, suppliers are concepts.
+
+    A brand has so many lines that these are dealt by weeks; its few weeks are dealt again by brand, as a supplier's lines are from the start."""
     lines = landed(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_linestatus", F.col("l_shipdate").cast("date").alias("day"), F.date_trunc("week", F.col("l_shipdate")).cast("date").alias("date")
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.when(F.col("l_discount") < 0.05, 1).otherwise(0).alias("up"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("down"), (F.col("l_linestatus") == "F").alias("filled"), F.col("l_shipdate").cast("date").alias("day")
     )
     parts = landed(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("code"))
-    industries = lines.join(parts, "l_partkey").withColumn("kind", F.lit("industry"))
-    concepts = lines.withColumn("code", F.col("l_suppkey").cast("string")).withColumn("kind", F.lit("concept"))
-    return industries.unionByName(concepts).withColumn("px", F.col("l_extendedprice") / F.col("l_quantity"))
+    industries = _weeks(lines.join(parts, "l_partkey").withColumn("kind", F.lit("industry")), "code", "date").repartition("code")
+    concepts = _weeks(lines.withColumn("code", F.col("l_suppkey").cast("string")).withColumn("kind", F.lit("concept")), "code")
+    return industries.unionByName(concepts).withColumn("data_source", F.lit("lines"))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars of each board, with the counts that make breadth. Days are summed before weeks, so lines shuffle once."""
-    lines = priced_lines(spark, sf_dir)
-    week = ["kind", "code", "date"]
-    days = lines.groupBy(*week, "day").agg(
-        F.sum("px").alias("px"), F.count("*").alias("n"), F.max("px").alias("high"), F.min("px").alias("low"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount"),
-        F.sum(F.when(F.col("l_discount") < 0.05, 1).otherwise(0)).alias("up_count"), F.sum(F.when(F.col("l_discount") > 0.05, 1).otherwise(0)).alias("down_count"),
-    )
-    weeks = days.groupBy(*week).agg(
-        F.min_by(F.col("px") / F.col("n"), "day").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), (F.sum("px") / F.sum("n")).alias("close"),
-        F.sum("volume").alias("volume"), F.sum("amount").alias("amount"), F.sum("up_count").alias("up_count"), F.sum("down_count").alias("down_count"),
-    )
-    parts = lines.select(*week, "l_partkey").distinct().groupBy(*week).agg(F.count("*").alias("parts"))
-    return weeks.join(parts, week).withColumn("turnover", F.col("volume") / F.col("parts")).drop("parts").withColumn("data_source", F.lit("lines"))
+    """Weekly bars of each board, with the counts that make breadth."""
+    return funded_bars(spark, sf_dir).drop("net")
 
 
 def breadth(up: Column, down: Column) -> Column:
     return F.when(up + down > 0, up / (up + down))
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of filled less open amounts over the last 1, 5 and 10 bars; every third board has none."""
-    lines = priced_lines(spark, sf_dir)
-    sides = lines.groupBy("kind", "code", "date").agg(F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice"))).alias("net"), F.sum("l_extendedprice").alias("total"))
-    numbered = sides.withColumn("number", F.regexp_extract("code", r"(\d+)$", 1).cast("long")).filter("number % 3 <> 0")
+def with_flows(rows: DataFrame) -> DataFrame:
+    """``rows`` of boards with the shares of filled less open amounts over the last 1, 5 and 10 bars; every third board has none."""
     last = lambda n: Window.partitionBy("kind", "code").orderBy("date").rowsBetween(1 - n, 0)
-    shares = [(100 * ratio(F.sum("net").over(last(n)), F.sum("total").over(last(n)))).alias(f"flow_{n}d_direct_pct") for n in (1, 5, 10)]
-    return numbered.select("kind", F.col("code").alias("name"), F.col("date").alias("as_of"), *shares)
+    known = F.regexp_extract("code", r"(\d+)$", 1).cast("long") % 3 != 0
+    return rows.withColumns({f"flow_{n}d_direct_pct": F.when(known, 100 * ratio(F.sum("net").over(last(n)), F.sum("amount").over(last(n)))) for n in (1, 5, 10)}).drop("net")
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flows of the boards that have some, as a table of their own."""
+    shares = [f"flow_{n}d_direct_pct" for n in (1, 5, 10)]
+    rows = with_flows(funded_bars(spark, sf_dir)).filter(F.regexp_extract("code", r"(\d+)$", 1).cast("long") % 3 != 0)
+    return rows.select("kind", F.col("code").alias("name"), F.col("date").alias("as_of"), *shares)
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
