@@ -48,3 +48,20 @@ def test_boards_of_one_name_do_not_meet_in_pairs(spark):
     assert {r.code for r in a.collect()} == {"0000"} and a.count() == 2000
     plan = a._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[b#\d+\]", plan)  # of a name's boards one is left before they are met
+
+
+def test_long_spans_are_put_together_of_short_ones(spark):
+    from tidegauge.operators import metrics
+
+    closes = [10.0, 11.0, None, 10.5, 0.0, 12.0] + [12.0] * 25 + [12.0 + (i * 7 % 11) for i in range(70)]
+    rows = spark.createDataFrame([("k", "a", i, x, x and x + 1, x and x - 1, i % 5 + 1.0, 2.0) for i, x in enumerate(closes)], "kind string, code string, date int, close double, high double, low double, amount double, turnover double")
+    made = metrics.bar_metrics(rows)
+    got = made.toPandas().set_index("as_of")
+    assert {int(k) for k in re.findall(r"RowFrame, -(\d+), currentrow", plan_of(made))} == {2, 4}  # no frame of more than five bars
+    known = [(i, x) for i, x in enumerate(closes) if x is not None]
+    for at, (i, x) in enumerate(known):
+        if at >= 11:
+            sixty, twenty = [y for _, y in known[max(0, at - 59) : at + 1]], [y for _, y in known[max(0, at - 19) : at + 1]]
+            assert got.distance_high_60d_pct[i] == pytest.approx((x / (max(sixty) + 1) - 1) * 100)
+            assert got.distance_ma20[i] == pytest.approx((x / (sum(twenty) / len(twenty)) - 1) * 100)
+    assert got.trend_r2_20d[27] == 1.0 and got.volatility_20d[28] == 0.0 and got.slope_20d[28] == 0.0  # nothing moves, and nothing is left of rounding
