@@ -80,3 +80,10 @@ def test_report_rows(spark):
     summary = spark.createDataFrame([("all", 5, 0, 3, 79.9, None), ("k", 1, 1, 1, 100.0, 1.0)], "kind string, universe long, omitted long, warnings long, target_coverage_pct double, flow_1d_match_pct double")
     got = {r["item"]: (r["value"], r.status) for r in audit.run_status(summary).collect()}
     assert got == {"universe": (5.0, ""), "omitted": (0.0, "PASS"), "warnings": (3.0, "WARN"), "target_coverage_pct": (79.9, "WARN"), "flow_1d_match_pct": (None, "WARN")}
+
+
+def test_half_cents_do_not_hang_on_the_last_bit(spark):
+    from tidegauge.plans import choice
+
+    rows = spark.createDataFrame([(x,) for x in (10.125, 10.125 - 2e-13, 10.125 + 2e-13)], "x double").select(choice._cents(F.col("x")).alias("y"))
+    assert {r.y for r in rows.collect()} == {10.13}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidegauge.functions.expr import settled
 from tidegauge.operators import canonical
 from tidegauge.plans import live, oracle as sql
 from tidegauge.sources import adapters, snapshots
@@ -62,11 +63,16 @@ def snapshot_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.listed(spark, folder, rows.schema)
 
 
+def _cents(x: Column) -> Column:
+    """Sums of lines end on half cents, and the last bit of a sum must not decide: the cut lies just below the half."""
+    return settled(x, 2)
+
+
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports as a vendor writes them: prefixed codes, numbers as text with marks, attributable profit missing from every third row, rows twice."""
+    """Reports as a vendor writes them, in cents with halves up: prefixed codes, numbers as text with marks, attributable profit missing from every third row, rows twice."""
     said = adapters.performance(spark, sf_dir).select(
-        F.concat(F.lit("sh."), "code").alias("stock code"), F.concat(F.lit("n"), "code").alias("short name"), c("report_date").alias("period"), F.concat(F.round("revenue", 2).cast("decimal(20,2)").cast("string"), F.lit(" ")).alias("total revenue"),
-        F.when(c("code").cast("long") % 3 != 0, F.round("net_profit", 2).cast("decimal(20,2)").cast("string")).otherwise("--").alias("profit of owners"), F.round(c("net_profit") * 2, 2).cast("decimal(20,2)").cast("string").alias("net profit"),
+        F.concat(F.lit("sh."), "code").alias("stock code"), F.concat(F.lit("n"), "code").alias("short name"), c("report_date").alias("period"), F.concat(_cents(c("revenue")).cast("decimal(20,2)").cast("string"), F.lit(" ")).alias("total revenue"),
+        F.when(c("code").cast("long") % 3 != 0, _cents(c("net_profit")).cast("decimal(20,2)").cast("string")).otherwise("--").alias("profit of owners"), _cents(c("net_profit") * 2).cast("decimal(20,2)").cast("string").alias("net profit"),
     )
     aliases = {"code": ["code"], "name": ["short name"], "report_date": ["period"], "revenue": ["revenue"], "eps": ["per share"]}
     return canonical.performance(said.unionByName(said), aliases, ["profit of owners"], ["net profit"])
@@ -87,5 +93,5 @@ ENTRIES = [
     ("snapshot_store", snapshot_store, ["captured_at", "kind", "code", *_SCORES], sql.query(sql.SNAPSHOTS, "snapshots", sql.listed(_SCORES, [_MOMENT, "kind", "code"]))),
     ("snapshot_list", snapshot_list, ["name", "captured_at", "rows"], f"with {sql.SNAPSHOTS.strip()} select strftime(captured_at, '%Y-%m-%d_%H%M%S') as name, {_MOMENT}, count(*) as rows from snapshots group by captured_at union all select n, null, count(*) from snapshots, (values ('latest'), ('2024-13-01_000000')) as odd(n) where kind = 'click' group by n"),
     ("performance_canonical", performance, ["report_date", "code", "name", "revenue", "eps", "attributable_net_profit", "consolidated_net_profit", "net_profit"],
-     f"with {sql.REPORTS.strip()}, two as (select report_date, code, round(revenue, 2)::decimal(20, 2)::double as revenue, case when code::bigint % 3 <> 0 then round(net_profit, 2)::decimal(20, 2)::double end as own, round(net_profit * 2, 2)::decimal(20, 2)::double as whole from performance) select report_date, code, 'n' || code as name, {sql.settled('revenue')} as revenue, null::double as eps, {sql.settled('own')} as attributable_net_profit, {sql.settled('whole')} as consolidated_net_profit, {sql.settled('coalesce(own, whole)')} as net_profit from two"),
+     f"with {sql.REPORTS.strip()}, two as (select report_date, code, (floor(revenue * 100 + 0.500123) / 100)::decimal(20, 2)::double as revenue, case when code::bigint % 3 <> 0 then (floor(net_profit * 100 + 0.500123) / 100)::decimal(20, 2)::double end as own, (floor(net_profit * 2 * 100 + 0.500123) / 100)::decimal(20, 2)::double as whole from performance) select report_date, code, 'n' || code as name, {sql.settled('revenue')} as revenue, null::double as eps, {sql.settled('own')} as attributable_net_profit, {sql.settled('whole')} as consolidated_net_profit, {sql.settled('coalesce(own, whole)')} as net_profit from two"),
 ]
