@@ -65,3 +65,12 @@ def test_long_spans_are_put_together_of_short_ones(spark):
             assert got.distance_high_60d_pct[i] == pytest.approx((x / (max(sixty) + 1) - 1) * 100)
             assert got.distance_ma20[i] == pytest.approx((x / (sum(twenty) / len(twenty)) - 1) * 100)
     assert got.trend_r2_20d[27] == 1.0 and got.volatility_20d[28] == 0.0 and got.slope_20d[28] == 0.0  # nothing moves, and nothing is left of rounding
+
+
+def test_a_price_on_its_band_is_in_one_zone(spark):
+    from tidegauge.operators import valuation
+    from tidegauge.plans import policy
+
+    rows = [(float(i), 10.0 + d, 8.0, 10.0, 10.2, 12.0, 13.0, "pass", "Seed", True, 0, "RESIDUAL_QUANTILES", 0.2) for i, d in enumerate((0.0, 2e-15, -2e-15))]
+    names = "code double, price double, deep_buy_price double, buy_price double, buy_exit_price double, trim_price double, exit_price double, gate string, stage string, tradable boolean, previous_target int, trade_band_source string, sigma double"
+    assert {r.zone for r in valuation.position(policy.compared(spark.createDataFrame(rows, names))).collect()} == {"value"}

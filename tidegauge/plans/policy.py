@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidegauge.functions.expr import settled
 from tidegauge.operators import history, valuation
 from tidegauge.plans import oracle as sql
 from tidegauge.sources import adapters
@@ -27,6 +30,14 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valuation.trade_bands(valuation.interval(rows))
 
 
+_COMPARED = ["price", "deep_buy_price", "buy_price", "buy_exit_price", "trim_price", "exit_price"]
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """A last close is often a quantile of its own history, hence a band: prices and bands are compared at six places, so that the last bit does not decide."""
+    return rows.withColumns({x: settled(x) for x in _COMPARED})
+
+
 _PRIOR = {"q10": "-1.2816", "q25": "-0.6745", "q35": "-0.3853", "q75": "0.6745", "q90": "1.2816"}
 _Q35 = "ln(q25 / median) + 0.40::double * (ln(q50 / median) - ln(q25 / median))"
 
@@ -68,6 +79,11 @@ aimed as (select *, case when stopped then 0 when keeps then previous when gate
 policy as (select *, case when target > 0 and action <> 'HOLD_HYSTERESIS' then 5 * round_even(target * case when sigma > 0 then greatest(0.5::double, least(1.0::double, 0.22::double / sigma)) else 0.5 end / 5, 0) else target end as target_position from aimed)"""
 
 
+def _compared_sql(text: str) -> str:
+    """``text`` with each comparison of the price with a band as in ``compared``."""
+    return re.sub(r"\bprice (<=|<|>) (\w+)", lambda m: f"{sql.settled('price')} {m[1]} {sql.settled(m[2])}", text)
+
+
 _BANDS = ["margin", "sigma", "fair_low", "fair_high", "deep_buy_price", "buy_price", "buy_exit_price", "trim_price", "exit_price"]
 
 
@@ -76,5 +92,5 @@ def entries(stats: str) -> list:
     text = sql_of(stats)
     return [
         ("trade_bands", bands, ["code", "trade_band_source", *_BANDS], sql.query(text, "bands", sql.listed(_BANDS, ["code", "trade_band_source"]))),
-        ("position_policy", lambda s, d: valuation.position(bands(s, d)), ["code", "gate", "stage", "zone", "action", "target_position"], sql.query(text, "policy", sql.listed((), ["code", "gate", "stage", "zone", "action"], ["target_position"]))),
+        ("position_policy", lambda s, d: valuation.position(compared(bands(s, d))), ["code", "gate", "stage", "zone", "action", "target_position"], sql.query(_compared_sql(text), "policy", sql.listed((), ["code", "gate", "stage", "zone", "action"], ["target_position"]))),
     ]
