@@ -86,3 +86,32 @@ def test_flags_in_their_order(spark):
     assert frame.select(valuation.risk_flags(frame)).first()[0] == "RESIDUAL_HISTORY_INSUFFICIENT;MODEL_PRIOR_BANDS;MAINLINE_UNKNOWN;LOW_MODEL_COVERAGE;LOW_BASE;FAIR_PE_FLOOR_HIT;FAIR_PE_CAP_HIT;SECTOR_LOW_CONFIDENCE;GROWTH_DATA_MISSING"
     quiet = frame.selectExpr("'OK' res_status", "'RESIDUAL_QUANTILES' trade_band_source", "'Seed' stage", "0.9d model_weight_coverage", "'NORMAL' growth_regime", "false floor_hit", "false cap_hit", "1.0d classification_confidence", "revenue_growth", "profit_growth", "'utility' model")
     assert quiet.select(valuation.risk_flags(quiet)).first()[0] == ""
+
+
+def test_every_row_beside_its_past_in_one_pass(spark):
+    """What rows joined with their past say of it, without that join: the plan has none, and what a row may know is the same."""
+    import random
+
+    draw = random.Random(7)
+    kinds = "stock string, as_of date, code string, multiple double"
+    days = [DAY("2020-01-01") + dt.timedelta(days=9 * k) for k in range(60)]
+    flat = {"flat": 2.0}
+    rows = spark.createDataFrame([(s, d, f"{s}@{d}", flat.get(s, draw.choice([None, -1.0, float("nan"), 1.5, *[draw.random() + 0.1] * 7]))) for s in ("a", "b", "flat") for d in days if draw.random() < 0.9], kinds)
+    good = F.when(F.col("multiple") > 0, F.col("multiple")).otherwise(None)
+    for including in (False, True):
+        for most in (750, 35):
+            got = history.with_past(rows, "stock", "as_of", {"m": good}, including, most)
+            assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+            past = history.known_at(rows, rows.select("stock", F.col("as_of").alias("date"), "multiple").filter("multiple > 0 and not isnan(multiple)"), "stock", "as_of", "date", including)
+            want = {r.code: r for r in history.stats(history.last_positive(past, "code", "multiple", "date", most), "code", "multiple", "date").collect()}
+            seen = {r.code: r.past_m for r in got.collect()}
+            assert {k for k, v in seen.items() if v is not None} == set(want) and len(seen) == rows.count()
+            for code, r in want.items():
+                assert seen[code].status == r.status
+                for f in ("points", "effective_points", "confidence", "median", "q10", "q25", "q75", "q90", "mad"):
+                    assert seen[code][f] == pytest.approx(r[f], rel=1e-9, abs=1e-12), (code, f)
+
+
+def test_the_residuals_place_in_its_past(spark):
+    row = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], 2.0), ([1.0], None), (None, 1.0)], "past array<double>, now double")
+    assert [r[0] for r in row.select(valuation.residual_place(F.col("past"), F.col("now"))).collect()] == [0.5, None, None]

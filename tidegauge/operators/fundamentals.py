@@ -76,7 +76,8 @@ def period_panel(performance: DataFrame, quotes: DataFrame) -> DataFrame:
     due = periods_due(quotes)
     filed = by_period(performance.select("report_date", "code").distinct(), ()).filter("has_cur")
     whole = filed.groupBy("period").agg(F.count("*").alias("reports"), F.sum(F.col("has_pri").cast("int")).alias("prior"), F.sum(F.col("has_ann").cast("int")).alias("annual"))
-    met = quotes.select("as_of", "code").distinct().join(due.select("as_of", "period"), "as_of").join(filed.select("period", "code"), ["period", "code"]).groupBy("as_of", "period").agg(F.count("*").alias("in_spot"))
+    filed_by, due_by = filed.groupBy("code").agg(F.collect_list("period").alias("filed")), due.groupBy("as_of").agg(F.collect_list("period").alias("due"))  # a code's periods, eight of each as_of
+    met = quotes.select("as_of", "code").distinct().join(F.broadcast(due_by), "as_of").join(filed_by, "code").select("as_of", F.explode(F.array_intersect("due", "filed")).alias("period")).groupBy("as_of", "period").agg(F.count("*").alias("in_spot"))
     found = due.join(whole, "period", "left").join(met, ["as_of", "period"], "left")
     share = lambda n, of: F.coalesce(ratio(F.col(n), F.col(of)), F.lit(0.0))
     out = found.select("as_of", "period", share("in_spot", "quoted").alias("current_coverage"), share("prior", "reports").alias("prior_coverage"), share("annual", "reports").alias("annual_coverage"))

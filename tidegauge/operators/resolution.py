@@ -46,11 +46,11 @@ def fallback_index(boards: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.select(*boards.columns, F.coalesce("compact_code", "board_code").alias("index_code"), tier.alias("tier"))
 
 
-def stages(aliases: DataFrame, scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def stages(aliases: DataFrame, scored: DataFrame, by: Sequence[str] = (), unmet: bool = False) -> DataFrame:
     """``aliases`` (sector, alias), ``scored`` (name, lifecycle, mainline_score): the stage of each sector's best board, for each value of ``by``.
-    Ties go to the later name."""
+    Ties go to the later name. With ``unmet``, the boards that no alias names are those of a sector NULL."""
     keyed = aliases.select("sector", stage_name(F.col("alias")).alias("key")).distinct()
-    met = keyed.join(scored.withColumn("key", stage_name(F.col("name"))), "key")
+    met = scored.withColumn("key", stage_name(F.col("name"))).join(keyed, "key", "left" if unmet else "inner")
     return met.groupBy("sector", *by).agg(F.max_by("lifecycle", F.struct("mainline_score", "name")).alias("stage"), F.max("mainline_score").alias("stage_score"))
 
 

@@ -6,6 +6,8 @@ entities: sectors or stocks, a handful or millions, are rows of one plan.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.expr import clipped, first_label, holds
@@ -241,8 +243,8 @@ def position(rows: DataFrame, failed_cap: int = 0, watch_scale: float = 0.60, pr
     return x.withColumn("action", action).withColumn("target_position", sized.cast("int")).drop("_base")
 
 
-def position_path(rows: DataFrame, entity: str, order: str, failed_cap: int = 0, watch_scale: float = 0.60, prior_cap: int = 30) -> DataFrame:
-    """(entity, order, previous_target, target_position, action): as ``position``, in order, each from the target before it.
+def position_path(rows: DataFrame, entity: str, order: str, failed_cap: int = 0, watch_scale: float = 0.60, prior_cap: int = 30, carry: Sequence[str] = ()) -> DataFrame:
+    """(entity, order, previous_target, target_position, action): as ``position``, in order, each from the target before it, with the columns ``carry`` of the rows.
 
     All but the hysteresis is decided row by row. An entity's steps, of five small values each, are then folded in order: a target of 70
     or more stays while the price has not left the band. As only tradable rows are stored, the others pass the target before them on."""
@@ -251,21 +253,21 @@ def position_path(rows: DataFrame, entity: str, order: str, failed_cap: int = 0,
     base = F.coalesce(*[F.when(c("zone") == z, t) for z, t in (("deep_value", 100), ("value", 70), ("fair", 40), ("dear", 15))], F.lit(0))
     may_keep = holds(c("tradable") & (c("gate") == "pass") & (c("stage") != "Decay") & (c("trade_band_source") != "MODEL_PRIOR_BANDS") & (c("price") > c("buy_price")) & (c("price") <= c("buy_exit_price")))
     stored = holds(c("tradable")) & c("price").isNotNull()
-    step = F.struct(c(order).alias("at"), may_keep.alias("may_keep"), base.alias("base"), stored.alias("stored"), c("target_position").alias("free"), "action")
-    walked = "previous_target int, target_position int, action string"
+    step = F.struct(c(order).alias("at"), may_keep.alias("may_keep"), base.alias("base"), stored.alias("stored"), c("target_position").alias("free"), "action", F.struct(F.lit(0).alias("_"), *carry).alias("own"))
     none = F.lit(None).cast("int")
 
     def walk(done: Column, x: Column) -> Column:
         previous = done["last"]
         keeps = F.coalesce(x["may_keep"] & (previous >= 70) & (x["base"] < previous), F.lit(False))
         target = F.when(keeps, previous).otherwise(x["free"])
-        here = F.struct(x["at"].alias("at"), previous.alias("previous_target"), target.alias("target_position"), F.when(keeps, "HOLD_HYSTERESIS").otherwise(x["action"]).alias("action"))
+        here = F.struct(x["at"].alias("at"), previous.alias("previous_target"), target.alias("target_position"), F.when(keeps, "HOLD_HYSTERESIS").otherwise(x["action"]).alias("action"), x["own"].alias("own"))
         return F.struct(F.when(x["stored"], target).otherwise(previous).alias("last"), F.concat(done["path"], F.array(here)).alias("path"))
 
-    at = dict(rows.dtypes)[order]
-    start = F.struct(none.alias("last"), F.array().cast(f"array<struct<at:{at},{walked.replace(' ', ':').replace(',:', ',')}>>").alias("path"))
+    kinds = dict(free.dtypes)
+    own = "".join(f",{name}:{kinds[name]}" for name in carry)
+    start = F.struct(none.alias("last"), F.array().cast(f"array<struct<at:{kinds[order]},previous_target:int,target_position:int,action:string,own:struct<_:int{own}>>>").alias("path"))
     paths = free.groupBy(entity).agg(F.array_sort(F.collect_list(step)).alias("steps")).select(entity, F.explode(F.aggregate("steps", start, walk, lambda done: done["path"])).alias("p"))
-    return paths.select(entity, c("p.at").alias(order), "p.previous_target", "p.target_position", "p.action")
+    return paths.select(entity, c("p.at").alias(order), "p.previous_target", "p.target_position", "p.action", *[c(f"p.own.{name}") for name in carry])
 
 
 def risk_flags(rows: DataFrame) -> Column:
@@ -332,30 +334,50 @@ def current_pe(rows: DataFrame) -> DataFrame:
     })
 
 
-def anchored_lenses(stocks: DataFrame, weights: DataFrame, past: DataFrame, kappa: float = 60.0) -> DataFrame:
-    """As ``stock_lenses``, of each stock's own multiples drawn to their past: ``past`` (code, metric, status, median,
-    effective_points, confidence). History draws an anchor, it never makes one; cash-flow yields have no history."""
+def anchored_lenses(stocks: DataFrame, weights: DataFrame, kappa: float = 60.0) -> DataFrame:
+    """``stocks`` with ``lenses``: as ``stock_lenses``, of each stock's own multiples drawn to their past, a struct for each of ``METRICS``, NULL where it
+    has no weight. past_pe, past_pb and past_ps, as of ``history.with_past``, stand in the rows. History draws an anchor, it never makes one; cash-flow yields have no history."""
     c = F.col
-    x = stocks.join(weights, "sector").join(past.select("code", "metric", "status", "median", "effective_points", "confidence"), ["code", "metric"], "left")
-    by_metric = lambda of: F.coalesce(*[F.when(c("metric") == m, v) for m, v in of.items()])
-    anchor = by_metric({m: c(f"fair_{m}") for m in ("pe", "pb", "ps")})
-    value, weight = history.shrunk(anchor, c("status"), c("median"), c("effective_points"), c("confidence"), kappa)
-    basis = by_metric({"pe": c("ttm_eps"), "pb": c("bvps"), "ps": c("sps_ttm")})
-    sure = by_metric({"pe": c("pe_confidence"), "pb": c("ttm_roe_confidence"), "ps": c("ttm_revenue_confidence"), "ocf_yield": c("ttm_ocfps_confidence")})
-    cash = F.when((c("ttm_ocfps") > 0) & (c("target_ocf_yield") > 0), c("ttm_ocfps") / c("target_ocf_yield"))
-    x = x.withColumns({"fair": F.when(holds(anchor > 0), value), "history_weight": F.when(holds(anchor > 0), weight).otherwise(0.0), "sure": c("weight") * clipped(F.coalesce(sure, F.lit(0.0)), 0, 1)})
-    x = x.withColumn("implied_price", F.when(c("metric") == "ocf_yield", cash).otherwise(F.when(basis > 0, basis * c("fair"))))
-    drop = first_label([(~holds(c("implied_price") > 0), F.when(c("metric") == "ocf_yield", "missing_positive_ocf_or_target_yield").otherwise("missing_basis_or_independent_anchor")), (c("sure") <= 0, "zero_data_confidence")], "")
-    return x.select("code", "sector", "metric", "weight", "fair", "history_weight", F.coalesce("confidence", F.lit(0.0)).alias("history_confidence"), "implied_price", F.when(drop == "", c("sure")).otherwise(0.0).alias("left"), drop.alias("drop_reason"))
-
-
-def history_confidence(lenses: DataFrame) -> DataFrame:
-    """(code, history_confidence): how far the weighted lenses rest on their history."""
+    sure = {"pe": c("pe_confidence"), "pb": c("ttm_roe_confidence"), "ps": c("ttm_revenue_confidence"), "ocf_yield": c("ttm_ocfps_confidence")}
+    basis = {"pe": c("ttm_eps"), "pb": c("bvps"), "ps": c("sps_ttm")}
+    by_sector = weights.groupBy("sector").agg(F.map_from_entries(F.collect_list(F.struct("metric", "weight"))).alias("_weights"))
+    x, out = stocks.join(F.broadcast(by_sector), "sector"), []  # a row for each sector
+    for m in METRICS:
+        weight = F.try_element_at("_weights", F.lit(m))
+        left = weight * clipped(F.coalesce(sure[m], F.lit(0.0)), 0, 1)
+        if m == "ocf_yield":
+            fair, drawn, known, missing = F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0), "missing_positive_ocf_or_target_yield"
+            price = F.when((c("ttm_ocfps") > 0) & (c("target_ocf_yield") > 0), c("ttm_ocfps") / c("target_ocf_yield"))
+        else:
+            anchor, past, missing = c(f"fair_{m}"), c(f"past_{m}"), "missing_basis_or_independent_anchor"
+            value, share = history.shrunk(anchor, past["status"], past["median"], past["effective_points"], past["confidence"], kappa)
+            fair, drawn, known = F.when(holds(anchor > 0), value), F.when(holds(anchor > 0), share).otherwise(0.0), F.coalesce(past["confidence"], F.lit(0.0))
+            price = F.when(basis[m] > 0, basis[m] * fair)
+        drop = first_label([(~holds(price > 0), missing), (left <= 0, "zero_data_confidence")], "")
+        fields = {"metric": F.lit(m), "weight": weight, "fair": fair, "history_weight": drawn, "history_confidence": known, "implied_price": price, "left": F.when(drop == "", left).otherwise(0.0), "drop_reason": drop}
+        out.append(F.when(weight.isNotNull(), F.struct(*[v.alias(k) for k, v in fields.items()])))
+    return x.withColumn("lenses", F.array(*out)).drop("_weights")
+
+
+def center_of(rows: DataFrame) -> DataFrame:
+    """``rows`` with what ``centered`` makes of their ``lenses``, in the row itself, and with history_confidence: how far the weighted lenses rest on their history."""
     c = F.col
-    return lenses.groupBy("code").agg(F.when(F.sum("left") > 0, F.sum(c("left") * c("history_weight") * c("history_confidence")) / F.sum("left")).otherwise(0.0).alias("history_confidence"))
+    lens = {m: F.get("lenses", F.lit(k)) for k, m in enumerate(METRICS)}
+    good = {m: holds((x["implied_price"] > 0) & (x["left"] > 0)) for m, x in lens.items()}
+    total = lambda of: sum((F.coalesce(of(x), F.lit(0.0)) for x in lens.values()), F.lit(0.0))
+    right = lambda of: sum((F.when(good[m], of(x)).otherwise(0.0) for m, x in lens.items()), F.lit(0.0))
+    x = rows.withColumns({
+        "_n": sum((good[m].cast("int") for m in METRICS), F.lit(0)), "_w": right(lambda x: x["left"]), "_l": right(lambda x: x["left"] * F.log(x["implied_price"])), "_q": right(lambda x: x["left"] * F.log(x["implied_price"]) * F.log(x["implied_price"])),
+        "total_weight": total(lambda x: x["weight"]), "_left": total(lambda x: x["left"]), "_rests": total(lambda x: x["left"] * x["history_weight"] * x["history_confidence"]),
+        "models_used": F.concat_ws(";", *[F.when(good[m], m.upper()) for m in sorted(METRICS)]),
+    })
+    mean, some = F.try_divide("_l", "_w"), c("_n") > 0
+    return x.withColumns({
+        "effective_weight": F.when(some, c("_w")), "center": F.when(some, F.exp(mean)), "disagreement": F.when(c("_n") == 1, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.when(some, c("_q") / c("_w") - mean * mean)))),  # one value agrees with itself, without rounding
+        "model_weight_coverage": F.try_divide("_w", "total_weight"), "history_confidence": F.when(c("_left") > 0, c("_rests") / c("_left")).otherwise(0.0),
+    }).drop("_n", "_w", "_l", "_q", "_left", "_rests")
 
 
-def residual_place(past: DataFrame, current: DataFrame) -> DataFrame:
-    """``past`` and ``current`` (code, residual): the share of each code's past residuals that lie at or below the current one."""
-    now = current.select("code", F.col("residual").alias("_now"))
-    return past.filter("residual is not null").join(now, "code").groupBy("code").agg(F.avg((F.col("residual") <= F.col("_now")).cast("double")).alias("valuation_quantile"))
+def residual_place(ordered: Column, current: Column) -> Column:
+    """The share of past residuals, an array of them, that lie at or below the current one; NULL where either is missing."""
+    return F.when(current.isNotNull(), F.try_divide(F.size(F.filter(ordered, lambda v: v <= current)), F.size(ordered)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.operators import fundamentals, history, resolution, trajectory, valuation
+from tidegauge.operators import fundamentals, history, resolution, valuation
 from tidegauge.plans import appraisal, oracle as sql, panel, policy, relations
 
 c = F.col
@@ -23,23 +23,17 @@ def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lenses(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Anchors drawn to the stock's own multiples of that month and those before it, each taken at its own time."""
-    own = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c(v).alias("multiple")) for m, v in (("pe", "pe"), ("pb", "pb"), ("ps", "ps_ttm_calc"))]))
-    past = history.known_at(rows, rows.select("stock", c("as_of").alias("date"), own.alias("v")).select("stock", "date", "v.*").filter("multiple > 0"), "stock", "as_of", "date", including=True)
-    past = history.last_positive(past, ["code", "metric"], "multiple", "date")
-    return valuation.anchored_lenses(rows, valuation.model_weights(appraisal.config(spark, sf_dir)), history.stats(past, ["code", "metric"], "multiple", "date"))
-
-
-def centers(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    of = lenses(spark, sf_dir, rows)
-    return valuation.centered(of, ["code"], "implied_price", "left").join(valuation.history_confidence(of), "code")
+    """``rows`` with their lenses: anchors drawn to the stock's own multiples of that month and those before it, each taken at its own time."""
+    multiples = {m: F.when(c(v) > 0, c(v)) for m, v in (("pe", "pe"), ("pb", "pb"), ("ps", "ps_ttm_calc"))}
+    past = history.with_past(rows, "stock", "as_of", multiples, including=True, most=750, said=("status", "median", "effective_points", "confidence"))
+    return valuation.anchored_lenses(past, valuation.model_weights(appraisal.config(spark, sf_dir)))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Center, data quality, growth gate and status of each stock and month."""
-    rows = panel.cut(stocks(spark, sf_dir))  # read by the lenses, by their history, by the market and by the result
+    rows = stocks(spark, sf_dir)
     market = rows.groupBy("as_of").agg(F.max("quote_trade_date").alias("today"), (F.count("revenue_cur") / F.count("*")).alias("report_coverage"))
-    x = rows.join(centers(spark, sf_dir, rows), "code").join(market, "as_of")
+    x = valuation.center_of(lenses(spark, sf_dir, rows)).join(F.broadcast(market), "as_of")  # a row for each month
     profit, revenue = F.coalesce("ttm_profit_confidence", F.lit(0.0)), c("ttm_revenue_confidence")
     age = lambda day: F.datediff("today", day)
     parts = {
@@ -59,35 +53,30 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """What the engine stores of ``judged`` rows: their centers and residuals, under its version and the sector's configuration."""
+    """``judged`` rows as the engine stores them: with their residuals, under its version and the sector's configuration."""
     hashed = appraisal.config(spark, sf_dir)
     hashed = hashed.select("sector", F.sha2(F.to_json(F.struct(*sorted(hashed.columns))), 256).alias("config_hash"))
     residual = F.when((c("price") > 0) & (c("center") > 0), F.log(c("price") / c("center")))
-    return rows.select("stock", "as_of", "sector", "code", "price", "center", residual.alias("residual")).join(hashed, "sector").withColumn("model_version", F.lit(VERSION))
+    return rows.withColumn("residual", residual).join(F.broadcast(hashed), "sector").withColumn("model_version", F.lit(VERSION))  # a row for each sector
 
 
 def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``judged`` with each residual beside the stored ones of earlier months, and the trade bands these make."""
-    x = judged(spark, sf_dir)
-    stored = panel.cut(snapshots(spark, sf_dir, x))
-    x = x.join(stored.select("code", "residual", "config_hash"), "code")
-    past = history.known_at(x.select("stock", "as_of", "code", "config_hash"), trajectory.of_version(stored, VERSION, c("config_hash")).select("stock", c("as_of").alias("date"), "residual", c("config_hash").alias("stored_hash")), "stock", "as_of", "date")
-    past = past.filter("stored_hash = config_hash and residual is not null")
-    known = history.stats(past, "code", "residual", "date").select("code", c("status").alias("res_status"), c("mad").alias("res_mad"), *[c(q).alias(f"res_{q}") for q in ("q10", "q25", "q50", "q75", "q90")])
-    x = panel.cut(x.join(known, "code", "left").withColumn("res_status", F.coalesce("res_status", F.lit("MISSING"))))
-    x = x.join(valuation.residual_place(past, x), "code", "left")
+    """``judged`` with each residual beside those of earlier months that the same version and configuration stored, and the trade bands these make."""
+    x = history.with_past(snapshots(spark, sf_dir, judged(spark, sf_dir)), ["stock", "config_hash", "model_version"], "as_of", {"residual": c("residual")})
+    past = c("past_residual")
+    x = x.withColumns({"res_status": F.coalesce(past["status"], F.lit("MISSING")), "res_mad": past["mad"], **{f"res_{q}": past[q] for q in history.QUANTILES}})
     ok = c("res_status") == "OK"
-    x = x.withColumns({"valuation_quantile": F.when(ok, c("valuation_quantile")), "robust_z": F.when(ok, history.robust_z(c("residual"), c("res_q50"), c("res_mad")))})
+    x = x.withColumns({"valuation_quantile": F.when(ok, valuation.residual_place(past["ordered"], c("residual"))), "robust_z": F.when(ok, history.robust_z(c("residual"), c("res_q50"), c("res_mad")))}).drop("past_residual")
     terms = {"base_margin": F.lit(policy.MARGIN), "base_uncertainty": F.lit(policy.UNCERTAINTY), "cycle_penalty": F.when(c("model") == "cyclical_growth", 0.05).otherwise(0.0)}
     return valuation.trade_bands(valuation.interval(x.withColumns(terms)))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A target for each stock and month under the stage its sector's best board had then; each month starts from the last target kept."""
-    x = banded(spark, sf_dir).join(relations.sector_month_stages(spark, sf_dir).select("sector", "as_of", "stage"), ["sector", "as_of"], "left")
-    x = panel.cut(x.withColumns({"stage": F.coalesce("stage", F.lit("UNKNOWN")), "tradable": c("valuation_status") == "OK", "classification_confidence": F.lit(1.0)}))
-    path = valuation.position_path(x, "stock", "as_of")
-    return x.join(path, ["stock", "as_of"]).withColumn("risk_flags", valuation.risk_flags(x))
+    stages = relations.sector_month_stages(spark, sf_dir).select("sector", "as_of", "stage")
+    x = banded(spark, sf_dir).join(F.broadcast(stages), ["sector", "as_of"], "left")  # a row for each sector and month
+    x = x.withColumns({"stage": F.coalesce("stage", F.lit("UNKNOWN")), "tradable": c("valuation_status") == "OK", "classification_confidence": F.lit(1.0)})
+    return valuation.position_path(x.withColumn("risk_flags", valuation.risk_flags(x)), "stock", "as_of", carry=("gate", "stage", "risk_flags"))
 
 
 def family_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +192,8 @@ _TARGETS = ["previous_target", "target_position"]
 
 
 def _shown_lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lenses(spark, sf_dir, panel.cut(stocks(spark, sf_dir))).withColumnRenamed("left", "weight_left")
+    of = lenses(spark, sf_dir, stocks(spark, sf_dir)).select("code", F.explode("lenses").alias("lens"))
+    return of.filter("lens is not null").select("code", "lens.*").withColumnRenamed("left", "weight_left")
 
 
 #: Name, plan, columns and SQL of each query.

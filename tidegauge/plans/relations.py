@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidegauge.operators import resolution, views
 from tidegauge.plans import oracle as sql, panel
@@ -67,9 +67,10 @@ def sector_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sector_month_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``sector_stages``, for each month: of its last week that had ended by the month's end."""
     rows = panel.first_pass(spark, sf_dir).filter("kind = 'concept'").select(F.trunc(F.date_add("as_of", 6), "month").alias("month"), "as_of", F.concat(F.lit("board "), "code").alias("name"), "lifecycle", "mainline_score")
-    week = rows.groupBy("month").agg(F.max("as_of").alias("as_of"))
     aliases = panel.sector_members(spark, sf_dir).select("sector", F.concat(F.lit("Board-"), c("code").cast("long").cast("string"), F.lit("行业")).alias("alias"))
-    return resolution.stages(aliases, rows.join(week, ["month", "as_of"], "left_semi").withColumnRenamed("as_of", "week"), ["month"]).withColumnRenamed("month", "as_of")
+    by_week = resolution.stages(aliases, rows.withColumnRenamed("as_of", "week"), ["month", "week"], unmet=True)  # a row for each sector and week, and one of the boards of none
+    last = by_week.withColumn("last_week", F.max("week").over(Window.partitionBy("month")))
+    return last.filter("week = last_week and sector is not null").drop("week", "last_week").withColumnRenamed("month", "as_of")
 
 
 STAGES = f"""{sql.FIRST},
