@@ -40,3 +40,12 @@ def test_statuses(spark):
     total = next(r for r in audit.summary(found).collect() if r.kind == "all")
     assert (total.universe, total.filtered, total.target, total.history_success, total.scored, total.omitted, total.warnings) == (8, 1, 7, 5, 5, 2, 3)
     assert (total.target_coverage_pct, total.flow_1d_match_pct, total.flow_10d_available_pct) == (71.43, 71.43, 57.14)
+
+
+def test_an_audit_deals_its_lines_once(spark):
+    """The bars are written once; none of the audit's stages reads the landed lines again."""
+    from tidegauge.plans import auditing
+
+    bars = auditing.bars(spark, "/root/testdata/sf0.001")
+    plan = auditing.rows(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and "l_partkey" not in plan

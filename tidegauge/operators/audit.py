@@ -12,9 +12,10 @@ WINDOWS = (1, 5, 10)
 WARNED = ("bad_quality", "stale", "gap", "partial_flow")
 
 
-def calendar(bars: DataFrame, cutoff) -> DataFrame:
-    """The last dates of each kind's longest history, then without those after the last completed session."""
-    sizes = bars.groupBy("kind", "code").agg(F.count_distinct("date").alias("n"))
+def calendar(bars: DataFrame, cutoff, sizes: DataFrame | None = None) -> DataFrame:
+    """The last dates of each kind's longest history, then without those after the last completed session. ``sizes`` (kind, code, n): the dates
+    of each history, where they are counted already."""
+    sizes = bars.groupBy("kind", "code").agg(F.count_distinct("date").alias("n")) if sizes is None else sizes
     longest = sizes.groupBy("kind").agg(F.min_by("code", F.struct(-F.col("n"), F.col("code"))).alias("code"))
     dates = bars.select("kind", "code", "date").join(F.broadcast(longest), ["kind", "code"], "left_semi").select("kind", "date").distinct()  # a row for each kind
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("date")))
@@ -35,9 +36,10 @@ def rows(source: DataFrame, target: DataFrame, bars: DataFrame, failures: DataFr
         F.count("*").alias("history_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), (F.count("*") - F.count_distinct("date")).alias("duplicate_dates"),
         F.sum(F.when(holds(F.col("close") > 0), 0).otherwise(1)).alias("invalid_close"), F.sum(F.when(bad, 1).otherwise(0)).alias("invalid_ohlc"), F.max_by("data_source", F.when(F.col("data_source").isNotNull(), F.col("date"))).alias("history_source"),
     )
-    expected = calendar(bars, cutoff)
+    expected = calendar(bars, cutoff, history.select(*key, (F.col("history_rows") - F.col("duplicate_dates")).alias("n")))
     due = history.select(*key, "first_date", "last_date").join(F.broadcast(expected), "kind").filter("date >= first_date")  # at most 30 dates for each kind
-    gone = due.join(bars.select(*key, "date").distinct(), [*key, "date"], "left_anti")
+    there = bars.select(*key, "date").join(F.broadcast(expected), ["kind", "date"], "left_semi")  # a board's bars of these dates only
+    gone = due.join(there.distinct(), [*key, "date"], "left_anti")
     gaps = gone.groupBy(*key).agg(F.count("*").alias("missing_count"), F.array_join(F.array_sort(F.collect_list(F.date_format("date", "yyyy-MM-dd"))), ",").alias("missing_trading_dates"), F.sum((F.col("date") > F.col("last_date")).cast("int")).alias("stale_sessions"))
     flow = [f"flow_{n}d" for n in WINDOWS]
     matched = flows.groupBy("kind", "name").agg(*[(F.count(f"{w}_pct") > 0).alias(f"{w}_matched") for w in flow])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.operators import audit
-from tidegauge.plans import oracle as sql
+from tidegauge.plans import oracle as sql, panel
 from tidegauge.sources import adapters
 
 #: Days before the last bar's date of the last completed session, and of the last one that boards which went stale have.
@@ -16,15 +16,22 @@ def _number() -> Column:
     return F.regexp_extract("code", r"(\d+)$", 1).cast("long")
 
 
-def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = adapters.bars(spark, sf_dir)
-    last = bars.agg(F.max("date")).first()[0]
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars beside their flows, written once: all that an audit reads comes from them, and lines are dealt but once."""
+    flows = [f"flow_{n}d_direct_pct" for n in audit.WINDOWS]
+    return panel.cut(adapters.with_flows(adapters.funded_bars(spark, sf_dir)).select("kind", "code", "date", "high", "low", "close", "data_source", *flows))
+
+
+def rows(lines: DataFrame) -> DataFrame:
+    """The audit of ``lines``, as of ``bars``."""
+    boards = panel.cut(lines.groupBy("kind", "code").agg(F.max("date").alias("last")))  # read by every stage; few beside the bars
+    last = boards.agg(F.max("last")).first()[0]
     before = lambda days: F.date_sub(F.lit(last).cast("date"), days)
-    source = bars.select("kind", "code").distinct().withColumn("name", F.when(_number() % 9 == 0, "shared").otherwise(F.col("code")))
-    kept = bars.filter((_number() % 5 != 3) & ~((_number() % 8 == 5) & (F.col("date") > before(STALE))) & ~((_number() % 7 == 3) & (F.col("date") == before(2 * CUTOFF))))
+    source = boards.select("kind", "code").withColumn("name", F.when(_number() % 9 == 0, "shared").otherwise(F.col("code")))
+    kept = lines.filter((_number() % 5 != 3) & ~((_number() % 8 == 5) & (F.col("date") > before(STALE))) & ~((_number() % 7 == 3) & (F.col("date") == before(2 * CUTOFF))))
     failures = source.withColumn("error", F.when(_number() % 10 == 7, "too_short").when(_number() % 10 == 9, "fetch_failed")).filter("error is not null")
     scored = source.filter(_number() % 6 != 1).withColumns({"flow_1d_pct": F.when(_number() % 2 == 0, 1.0), "flow_5d_pct": F.when(_number() % 3 != 0, 1.0), "flow_10d_pct": F.when(_number() % 7 == 0, 1.0)})
-    flows = adapters.flows(spark, sf_dir).select("kind", "name", *[F.col(f"flow_{n}d_direct_pct").alias(f"flow_{n}d_pct") for n in audit.WINDOWS])
+    flows = lines.filter(_number() % 3 != 0).select("kind", F.col("code").alias("name"), *[F.col(f"flow_{n}d_direct_pct").alias(f"flow_{n}d_pct") for n in audit.WINDOWS])
     return audit.rows(source, source.filter(_number() % 4 != 0), kept, failures, flows, scored, before(CUTOFF))
 
 
@@ -63,9 +70,9 @@ select item, {sql.settled('value')} as value, case when ends_with(item, '_pct')
 
 #: Name, plan, columns and SQL of each query.
 ENTRIES = [
-    ("audit_rows", rows, [*_PLAIN, *_COUNTS], sql.query(AUDIT, "audited", sql.listed((), _PLAIN, _COUNTS))),
-    ("audit_summary", lambda s, d: audit.summary(rows(s, d)), ["kind", *_TOTALS, *_SHARES], sql.query(SUMMARY, "shares", sql.listed(_SHARES, ["kind"], _TOTALS))),
-    ("audit_distribution", lambda s, d: audit.distribution(rows(s, d)), ["audit_status", "history_source", "boards"], sql.query(AUDIT, "audited", "audit_status, history_source, count(*)::bigint as boards") + " group by all"),
-    ("audit_sources", lambda s, d: audit.distributions(rows(s, d)), ["by", "value", "history_source", "boards"], sql.query(AUDIT, "audited", "'status' as \"by\", audit_status as value, history_source, count(*)::bigint as boards") + " group by all union all select 'kind', kind, history_source, count(*) from audited group by all"),
-    ("run_status", lambda s, d: audit.run_status(audit.summary(rows(s, d))), ["item", "value", "status"], STATUS),
+    ("audit_rows", lambda s, d: rows(bars(s, d)), [*_PLAIN, *_COUNTS], sql.query(AUDIT, "audited", sql.listed((), _PLAIN, _COUNTS))),
+    ("audit_summary", lambda s, d: audit.summary(rows(bars(s, d))), ["kind", *_TOTALS, *_SHARES], sql.query(SUMMARY, "shares", sql.listed(_SHARES, ["kind"], _TOTALS))),
+    ("audit_distribution", lambda s, d: audit.distribution(rows(bars(s, d))), ["audit_status", "history_source", "boards"], sql.query(AUDIT, "audited", "audit_status, history_source, count(*)::bigint as boards") + " group by all"),
+    ("audit_sources", lambda s, d: audit.distributions(rows(bars(s, d))), ["by", "value", "history_source", "boards"], sql.query(AUDIT, "audited", "'status' as \"by\", audit_status as value, history_source, count(*)::bigint as boards") + " group by all union all select 'kind', kind, history_source, count(*) from audited group by all"),
+    ("run_status", lambda s, d: audit.run_status(audit.summary(rows(bars(s, d)))), ["item", "value", "status"], STATUS),
 ]

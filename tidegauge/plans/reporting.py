@@ -25,7 +25,7 @@ provenance as (select distinct kind, code, 'lines' as history_source, null::doub
 
 def subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit is read twice by its places, so it is written once."""
-    return audit.subsets(audit.placed(panel.cut(auditing.rows(spark, sf_dir))))
+    return audit.subsets(audit.placed(panel.cut(auditing.rows(auditing.bars(spark, sf_dir)))))
 
 
 SUBSETS = f"""{auditing.AUDIT},
@@ -34,9 +34,10 @@ extracts as (select * from (select *, row_number() over (order by is_omitted des
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boards with a score as of their last bar, and those that could not be fetched, as the audit has them."""
-    last = adapters.bars(spark, sf_dir).groupBy("kind", "code").agg(F.max("date").alias("as_of"))
+    lines = auditing.bars(spark, sf_dir)
+    last = lines.groupBy("kind", "code").agg(F.max("date").alias("as_of"))
     number = F.regexp_extract("code", r"(\d+)$", 1).cast("long")
-    return audit.facts(last.filter(number % 6 != 1), last.filter((number % 10).isin(7, 9)), audit.summary(auditing.rows(spark, sf_dir)))
+    return audit.facts(last.filter(number % 6 != 1), last.filter((number % 10).isin(7, 9)), audit.summary(auditing.rows(lines)))
 
 
 FACTS = f"""{auditing.SUMMARY},
