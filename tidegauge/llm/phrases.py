@@ -205,7 +205,7 @@ def counts(docs: DataFrame, scratch: Scratch, text: str, lang: str, least: int,
     while last_opened + SHARDS > step:
         told = context.broadcast(stamps.tobytes())  # MAX_CELLS bytes at most
         own = scan(shards.filter(F.col("shard") == step % SHARDS).select("lang", "text"), told, step, SHARDS, longest)
-        after = own if tally is None else own.unionByName(tally)
+        after = (own if tally is None else own.unionByName(tally)).repartition("lang", "phrase")  # a task's phrases are distinct already: summing them before they are dealt would only cost
         before, kept = kept, scratch.keep(after.groupBy("lang", "phrase", "length").agg(F.min("since").alias("since"), F.sum("count").alias("count")))
         if before is not None:
             scratch.drop(before)
