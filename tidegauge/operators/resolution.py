@@ -12,29 +12,46 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge.functions.expr import board_name, compact_name, holds, stage_name, theme_name, valuation_name
 from tidegauge.operators import trajectory
 
+#: A name of more member rows than this is dealt in parts of about so many.
+ROWS = 10_000
+
 
 def names_agree(configured: Column, quoted: Column) -> Column:
     return holds(valuation_name(configured) == valuation_name(quoted))
 
 
+def _dealt(targets: DataFrame, held: DataFrame, on: list[str], counts: DataFrame) -> DataFrame:
+    """``targets`` joined with the rows of ``held`` (``on``, code), each of these once. A few names may have most of the rows, so a name's
+    rows are dealt by their codes in parts of some ``ROWS``, and its targets go to each of them. ``counts`` (``on``, count): rows of each name.
+
+    Of the rows nothing is broadcast, however small they seem before they are read; of the names at most one in ``ROWS`` rows."""
+    many = counts.filter(F.col("count") > ROWS).select(*on, F.ceil(F.col("count") / ROWS).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    split = lambda rows, part: rows.join(F.broadcast(many), on, "left").withColumn("_part", part).drop("_parts")
+    rows = split(held, F.pmod(F.xxhash64("code"), parts)).repartition(*on, "_part").distinct()
+    return split(targets, F.explode(F.sequence(F.lit(0), parts - 1))).hint("shuffle_hash").join(rows, [*on, "_part"]).drop("_part")
+
+
 def members(targets: DataFrame, industries: DataFrame, constituents: DataFrame) -> DataFrame:
     """``targets`` (kind, name), ``industries`` (industry, code), ``constituents`` (kind, name, code): codes of each target.
 
     An industry's members come from the equal name, else from the shortest name that contains it (of two characters or
     more; ties to the first by letters); where there is none, and for concepts, from the constituents.
     """
-    c = F.col
-    wanted = targets.select("kind", "name").distinct().withColumn("wanted", theme_name(c("name")))
-    held = industries.select(theme_name(c("industry")).alias("key"), "code").distinct()
-    keys = held.select("key").distinct()
+    c, by = F.col, ["kind", "name"]
+    theme = lambda name: F.coalesce(theme_name(c(name)), F.lit(""))  # noqa: E731  # never null, so no filter of nulls takes every row's name apart
+    wanted = targets.select(*by).distinct().withColumn("wanted", theme("name"))
+    held = industries.select(theme("industry").alias("key"), "code")
+    counts = industries.groupBy("industry").count().groupBy(theme("industry").alias("key")).agg(F.sum("count").alias("count"))
     length = F.length("key")
     parts = F.flatten(F.transform(F.sequence(F.lit(1), length), lambda at: F.transform(F.sequence(at, length), lambda to: F.substring(c("key"), at, to - at + 1))))
-    inside = keys.filter(length > 0).select("key", F.explode(F.array_distinct(parts)).alias("wanted"))
-    named = wanted.filter((c("kind") == "industry") & (c("wanted") != "")).join(inside, "wanted").filter((c("key") == c("wanted")) | (F.length("wanted") >= 2))
-    chosen = named.groupBy("kind", "name").agg(F.min_by("key", F.struct((c("key") != c("wanted")).alias("inside"), length.alias("length"), c("key").alias("k"))).alias("key"))
-    found = chosen.join(held, "key").select("kind", "name", "code", F.lit("industry").alias("origin"))
-    rest = wanted.join(chosen, ["kind", "name"], "left_anti").join(constituents, ["kind", "name"])
-    return found.unionByName(rest.select("kind", "name", "code", F.lit("constituents").alias("origin")).distinct())
+    inside = counts.filter(length > 0).select("key", F.explode(F.array_distinct(parts)).alias("wanted"))  # none of them is empty
+    named = wanted.filter(c("kind") == "industry").hint("shuffle_hash").join(inside, "wanted").filter((c("key") == c("wanted")) | (F.length("wanted") >= 2))
+    chosen = named.groupBy(*by).agg(F.min_by("key", F.struct((c("key") != c("wanted")).alias("inside"), length.alias("length"), c("key").alias("k"))).alias("key"))
+    found = _dealt(chosen, held, ["key"], counts).select(*by, "code", F.lit("industry").alias("origin"))
+    rest = wanted.select(*by).join(chosen, by, "left_anti")
+    others = constituents.select(*by, "code").dropna(subset=by)
+    return found.unionByName(_dealt(rest, others, by, others.groupBy(*by).count()).withColumn("origin", F.lit("constituents")))
 
 
 def fallback_index(boards: DataFrame, catalog: DataFrame) -> DataFrame:
