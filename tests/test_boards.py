@@ -28,6 +28,45 @@ def test_scores_write_no_copy_and_multiply_no_rows(spark, build, exchanges):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= exchanges
 
 
+def exchanged(node):
+    """Raw bytes of every exchange that ran under a plan; an exchange read twice counts once."""
+    name = node.getClass().getSimpleName()
+    if name == "ReusedExchangeExec":
+        return 0
+    inner = "executedPlan" if name == "AdaptiveSparkPlanExec" else "plan" if name.endswith("QueryStageExec") else None
+    below = [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    own = node.metrics().apply("dataSize").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(exchanged(x) for x in below)
+
+
+@pytest.mark.parametrize("columns", [["mainline_score", "confirmation_score", "ignition_score", "ignition_score_pass1", "ignition_history_coverage", "status", "lifecycle"], ["lifecycle"]])
+def test_what_travels_for_the_second_pass_is_short(spark, columns):
+    made = panel.second_pass(spark, DATA).select("kind", "code", "as_of", *columns)
+    rows = len(made.collect())
+    assert exchanged(made._jdf.queryExecution().executedPlan()) / rows < 950  # the panel is dealt once, for the days and the scores; then scores and places travel
+
+
+def test_ranks_made_of_places_are_the_ranks(spark):
+    rows = spark.createDataFrame([("k", n % 3, str(n), None if n % 11 == 0 else float(n * n % 17)) for n in range(200)], "kind string, as_of int, code string, x double")
+    found = scoring.ranked(rows, {"x": (F.col("x"), None)}).withColumnRenamed("rank_x", "want")
+    assert scoring.replaced(found, ["x"]).filter("not (rank_x <=> want)").count() == 0
+
+
+def test_weeks_of_odd_lines(spark, tmp_path):
+    """A part of two brands counts in both, a part met twice in a week once; a week opens on its first day with lines; lines without day, brand or supplier are left out of what needs them."""
+    from tidegauge.sources import adapters
+
+    lines = [(1, 7, 1.0, 10.0, 0.01, "F", "2024-01-03"), (1, 7, 1.0, 30.0, 0.09, "O", "2024-01-03"), (2, 7, 2.0, 10.0, 0.05, "O", "2024-01-05"), (3, None, 1.0, 4.0, 0.0, "F", "2024-01-08"), (9, 7, 1.0, 8.0, 0.0, "F", "1969-12-31"), (1, 7, 1.0, 1.0, 0.0, "F", None), (None, 7, 1.0, 6.0, 0.0, None, "2024-01-05")]
+    columns = "l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_linestatus string, day string"
+    spark.createDataFrame(lines, columns).withColumn("l_shipdate", F.to_timestamp("day").cast("timestamp_ntz")).drop("day").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (3, "A"), (9, None)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.kind, r.code, str(r.date)): (r.open, r.high, r.low, r.volume, r.amount, r.up_count, r.down_count, r.net, r.turnover) for r in adapters.funded_bars(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("industry", "A", "2024-01-01"): (20.0, 30.0, 5.0, 4.0, 50.0, 1, 1, -30.0, 2.0), ("industry", "B", "2024-01-01"): (20.0, 30.0, 10.0, 2.0, 40.0, 1, 1, -20.0, 2.0), ("industry", "A", "2024-01-08"): (4.0, 4.0, 4.0, 1.0, 4.0, 1, 0, 4.0, 1.0),
+        ("concept", "7", "2024-01-01"): (20.0, 30.0, 5.0, 5.0, 56.0, 2, 1, -36.0, 5.0 / 3), ("concept", "7", "1969-12-29"): (8.0, 8.0, 8.0, 1.0, 8.0, 1, 0, 8.0, 1.0),
+    }
+
+
 def test_daily_changes_equal_those_of_snapshots(spark):
     days = [f"2024-01-{d:02d}" for d in range(1, 8)]
     rows = [(day, "k", code, float(i * 7 % 5) + n) for i, day in enumerate(days) for n, code in enumerate("abc") if (i + n) % 4]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,7 +29,7 @@ SIGNALS = {"flow_1d_signal", "flow_5d_signal", "flow_10d_signal", "flow_accelera
 
 def ranked(rows: DataFrame, signals: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
     """``rows`` and for each signal (its value, and a column that parts its cross-sections further): ``rank_`` its average-tie percentile rank
-    among the values of its part, null for null; ``held_`` the values and ``size_`` the rows of that part.
+    among the values of its part, null for null; ``place_`` twice its place there, a whole number, ``held_`` the values and ``size_`` the rows of that part.
 
     Every cross-section is dealt once, as all windows are of it or of a part of it; each signal sorts it where it lies. Ranks that nobody reads are pruned with their sorts."""
     out = rows
@@ -38,23 +38,23 @@ def ranked(rows: DataFrame, signals: Mapping[str, tuple[Column, Column | None]])
         by = Window.partitionBy(*GROUP, *([] if part is None else ["_part"])).orderBy(F.col("_value").asc_nulls_last())
         whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         held = F.count("_value").over(whole)
-        middle = F.when(F.col("_value").isNotNull(), (F.rank().over(by) + F.count("_value").over(by)) / 2.0 / held)
-        out = out.withColumns({f"rank_{n}": middle, f"held_{n}": held, f"size_{n}": F.count("*").over(whole)}).drop("_value", "_part")
+        place = F.when(F.col("_value").isNotNull(), F.rank().over(by) + F.count("_value").over(by))
+        out = out.withColumns({f"place_{n}": place, f"rank_{n}": place / 2.0 / held, f"held_{n}": held, f"size_{n}": F.count("*").over(whole)}).drop("_value", "_part")
     return out
 
 
-FLOWS = ("flow_acceleration", "flow_1d", "flow_5d", "flow_10d")
+def replaced(rows: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``rows`` with the ranks of ``names`` made of their places (``place_``), which are shorter and so travel in their stead; not for signals ranked within parts."""
+    whole = Window.partitionBy(*GROUP)
+    return rows.withColumns({f"rank_{n}": F.col(f"place_{n}") / 2.0 / F.count(f"place_{n}").over(whole) for n in names})
 
 
-def signals(rows: DataFrame) -> DataFrame:
-    """``rows`` with the ranks of all that the flow signals and the scores take from them."""
-    plain = dict.fromkeys(n for weights in (MAINLINE, CONFIRMATION, IGNITION) for n in weights if n not in SIGNALS and n in rows.columns)
-    return ranked(rows, {n: (F.col(n if n == "flow_acceleration" else f"{n}_pct"), F.col(f"{n}_source")) for n in FLOWS} | {n: (F.col(n), None) for n in plain})
+FLOWS = ("flow_acceleration", "flow_1d", "flow_5d", "flow_10d")
 
 
 def flow_signals(rows: DataFrame) -> DataFrame:
-    """Flow ranks among boards of one source, drawn to 0.5 by the source's confidence; 0.5 in groups below three. Ranks ``rows`` if they aren't yet."""
-    found = rows if f"rank_{FLOWS[0]}" in rows.columns else signals(rows)
+    """Flow ranks among boards of one source, drawn to 0.5 by the source's confidence; 0.5 in groups below three."""
+    found = ranked(rows, {n: (F.col(n if n == "flow_acceleration" else f"{n}_pct"), F.col(f"{n}_source")) for n in FLOWS})
     out = {}
     for n in FLOWS[1:]:
         among = F.when(F.col(f"size_{n}") >= 3, F.coalesce(f"rank_{n}", F.lit(0.5))).otherwise(0.5)
@@ -63,7 +63,7 @@ def flow_signals(rows: DataFrame) -> DataFrame:
     confidence = F.least("flow_1d_confidence", "flow_5d_confidence")
     among = F.when(F.col("held_flow_acceleration") >= 3, F.coalesce("rank_flow_acceleration", F.lit(0.5))).otherwise(0.5)
     out["flow_acceleration_signal"] = F.when(value.isNotNull() & (source != "not_comparable"), 0.5 + (among - 0.5) * confidence).otherwise(0.5)
-    return found.withColumns(out).drop(*[f"{x}_{n}" for n in FLOWS for x in ("rank", "held", "size")])
+    return found.withColumns(out).drop(*[f"{x}_{n}" for n in FLOWS for x in ("place", "rank", "held", "size")])
 
 
 def weighted(weights: Mapping[str, float], present: Mapping[str, Column] | None = None) -> Column:
@@ -96,18 +96,23 @@ def _shown(found: DataFrame, out: Mapping[str, Column]) -> DataFrame:
     return found.select(*[c for c in found.columns if c not in out and not c.startswith(("held_", "size_"))], *[x.alias(n) for n, x in out.items()])
 
 
+def ignition(weights: Mapping[str, float], early: Column, present: Mapping[str, Column] | None = None) -> Column:
+    return clipped(weighted(weights, present) - early, 0, 100)
+
+
 def ignited(rows: DataFrame, present: Mapping[str, Column] | None = None) -> DataFrame:
-    """The ignition score and how much of its history is known; trajectory columns may be absent."""
+    """The ignition score and how much of its history is known; trajectory columns may be absent. A penalty that stands in the rows (early_penalty) is taken from there."""
     present = dict(present or {})
-    ignition = {k: w for k, w in IGNITION.items() if k in rows.columns}
+    weights = {k: w for k, w in IGNITION.items() if k in rows.columns or f"rank_{k}" in rows.columns}
     seen = [c for c in TRAJECTORY if c in rows.columns]
     here = [F.when(present.get(c, F.lit(True)), 1).otherwise(0) for c in seen]
     known = [F.when(present.get(c, F.lit(True)) & F.col(c).isNotNull(), 1.0).otherwise(0.0) for c in seen]
     count = sum(here[1:], here[0]) if seen else F.lit(0)
     coverage = F.when(count > 0, sum(known[1:], known[0]) / count).otherwise(0.0) if seen else F.lit(0.0)
-    unranked = {n: (F.col(n), None) for n in ignition if n not in SIGNALS and f"rank_{n}" not in rows.columns}
+    unranked = {n: (F.col(n), None) for n in weights if n not in SIGNALS and f"rank_{n}" not in rows.columns}
     found = ranked(rows, unranked) if unranked else rows
-    return _shown(found, {"ignition_score": clipped(weighted(ignition, present) - early_crowding(), 0, 100), "ignition_history_coverage": coverage})
+    early = F.col("early_penalty") if "early_penalty" in rows.columns else early_crowding()
+    return _shown(found, {"ignition_score": ignition(weights, early, present), "ignition_history_coverage": coverage})
 
 
 def scores(rows: DataFrame, present: Mapping[str, Column] | None = None) -> DataFrame:
@@ -131,16 +136,30 @@ def sideways(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sideways_seed_score", score).withColumn("sideways_seed_status", status)
 
 
-def labelled(rows: DataFrame) -> DataFrame:
+#: What the labels ask of a board but its ignition, in the bits of a number: four ways to its status, five to its stage.
+STANDING = ("watch", "potential_start", "mainline_watch", "mainline_core", "cool", "Diffusion", "Mainline", "Crowded", "Decay")
+
+
+def standing() -> Column:
     c = F.col
     main = (c("slope_5d") > 0) & (c("ret_10d") > 0) & (F.coalesce("breadth", F.lit(0.5)) >= 0.45)
     candidate = (c("slope_3d") > 0) & (c("acceleration") > 0) & (c("ret_10d") < 18)
-    status = last_label(
-        "ordinary", ((c("confirmation_score") >= 65) & candidate, "watch"), ((c("confirmation_score") >= 75) & candidate, "potential_start"), ((c("mainline_score") >= 68) & main, "mainline_watch"), ((c("mainline_score") >= 80) & main, "mainline_core")
-    )
-    moving = (c("ret_5d") < 8) & (c("ignition_history_coverage") >= 0.40)
+    met = {
+        "watch": (c("confirmation_score") >= 65) & candidate, "potential_start": (c("confirmation_score") >= 75) & candidate, "mainline_watch": (c("mainline_score") >= 68) & main, "mainline_core": (c("mainline_score") >= 80) & main,
+        "cool": c("ret_5d") < 8, "Diffusion": (c("mainline_score") >= 62) & main, "Mainline": (c("mainline_score") >= 80) & main, "Crowded": (c("crowding_penalty") >= 8) & (c("mainline_score") >= 65),
+        "Decay": (c("mainline_score") >= 60) & (c("slope_3d") < 0) & (c("acceleration") < 0),
+    }
+    bits = [F.when(holds(met[n]), 1 << k).otherwise(0) for k, n in enumerate(STANDING)]
+    return sum(bits[1:], bits[0])
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """Status and stage of life, by the scores and by ``standing``, which is found here unless it stands in the rows."""
+    found = rows if "standing" in rows.columns else rows.withColumn("standing", standing())
+    c, met = F.col, {n: F.col("standing").bitwiseAND(1 << k) > 0 for k, n in enumerate(STANDING)}
+    status = last_label("ordinary", *[(met[n], n) for n in STANDING[:4]])
+    moving = met["cool"] & (c("ignition_history_coverage") >= 0.40)
     lifecycle = last_label(
-        "Dormant", ((c("mainline_score") >= 62) & main, "Diffusion"), ((c("ignition_score") >= 60) & moving, "Seed"), ((c("ignition_score") >= 72) & moving, "Ignition"), ((c("mainline_score") >= 80) & main, "Mainline"),
-        ((c("crowding_penalty") >= 8) & (c("mainline_score") >= 65), "Crowded"), ((c("mainline_score") >= 60) & (c("slope_3d") < 0) & (c("acceleration") < 0), "Decay"),
+        "Dormant", (met["Diffusion"], "Diffusion"), ((c("ignition_score") >= 60) & moving, "Seed"), ((c("ignition_score") >= 72) & moving, "Ignition"), *[(met[n], n) for n in STANDING[-3:]],
     )
-    return rows.withColumns({"status": status, "lifecycle": lifecycle})
+    return found.withColumns({"status": status, "lifecycle": lifecycle})

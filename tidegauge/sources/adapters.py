@@ -14,34 +14,39 @@ def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _weeks(lines: DataFrame, *dealt: str) -> DataFrame:
-    """Weekly bars of ``lines`` (kind, code, day, part and figures), with the counts that make breadth and the net amount.
-
-    Lines are dealt once, by ``dealt``; a week's first day and the parts not seen before in it are found where they lie, so that no other pass over them is needed."""
-    week = ["kind", "code", "date"]
-    seen = Window.partitionBy(*week).orderBy("l_partkey")
-    whole = seen.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    fresh = (F.row_number().over(seen) == 1) | ~F.lag("l_partkey").over(seen).eqNullSafe(F.col("l_partkey"))
-    rows = lines.filter("code is not null and day is not null").withColumn("date", F.date_trunc("week", "day").cast("date")).repartition(*dealt).withColumns({"first_day": F.min("day").over(whole), "fresh": fresh})
-    px, first = F.col("l_extendedprice") / F.col("l_quantity"), F.col("day") == F.col("first_day")
+def _lean(lines: DataFrame, *keys: str | Column) -> DataFrame:
+    """``keys`` and figures of ``lines`` in few bytes, as every line is dealt: its day and the three things that are true of it or not are one number."""
+    facts = [F.col("l_discount") < 0.05, F.col("l_discount") > 0.05, F.col("l_linestatus") == "F"]
+    bits = [F.when(x, 1 << k).otherwise(0) for k, x in enumerate(facts)]
+    return lines.filter("l_shipdate is not null").select(*keys, "l_quantity", "l_extendedprice", (F.unix_date(F.col("l_shipdate").cast("date")).cast("long") * 8 + sum(bits[1:], bits[0])).alias("marked"))
+
+
+def _weeks(lines: DataFrame) -> DataFrame:
+    """Weekly bars of ``lines`` (kind, code, l_partkey and what ``_lean`` leaves), with the counts that make breadth and the net amount.
+
+    The lines must lie together by code or by l_partkey: then the parts not seen before in a week are found where they lie, and only sums travel.
+    A week opens at the mean price of the first of its seven days that has lines."""
+    day, amount, px = F.date_from_unix_date(F.shiftright("marked", 3).cast("int")), F.col("l_extendedprice"), F.col("l_extendedprice") / F.col("l_quantity")
+    week, fact = ["kind", "code", "date"], [F.col("marked").bitwiseAND(1 << k) > 0 for k in range(3)]
+    rows = lines.withColumn("date", F.date_trunc("week", day).cast("date")).withColumn("weekday", F.datediff(day, "date"))
+    rows = rows.withColumn("fresh", F.row_number().over(Window.partitionBy("code", "date", "l_partkey").orderBy("l_partkey")) == 1)
+    days = [F.col("weekday") == k for k in range(7)]
     sums = rows.groupBy(*week).agg(
-        (F.sum(F.when(first, px)) / F.count_if(first)).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), (F.sum(px) / F.count("*")).alias("close"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount"),
-        F.sum("up").alias("up_count"), F.sum("down").alias("down_count"), F.sum(F.when(F.col("filled"), F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice"))).alias("net"), F.count_if("fresh").alias("parts"),
+        F.max(px).alias("high"), F.min(px).alias("low"), (F.sum(px) / F.count("*")).alias("close"), F.sum("l_quantity").alias("volume"), F.sum(amount).alias("amount"), F.count_if(fact[0]).alias("up_count"), F.count_if(fact[1]).alias("down_count"),
+        F.sum(F.when(fact[2], amount).otherwise(-amount)).alias("net"), F.count_if("fresh").alias("parts"), *[F.sum(F.when(x, px)).alias(f"px_{k}") for k, x in enumerate(days)], *[F.count_if(x).alias(f"lines_{k}") for k, x in enumerate(days)],
     )
-    return sums.withColumn("turnover", F.col("volume") / F.col("parts")).drop("parts")
+    first = F.coalesce(*[F.when(F.col(f"lines_{k}") > 0, F.struct((F.col(f"px_{k}") / F.col(f"lines_{k}")).alias("px"))) for k in range(7)])["px"]
+    return sums.select(*week, first.alias("open"), "high", "low", "close", "volume", "amount", "up_count", "down_count", "net", (F.col("volume") / F.col("parts")).alias("turnover"))
 
 
 def funded_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars of each board, with their net amounts: filled less open ones. Brands are industries, suppliers are concepts.
 
-    A brand has so many lines that these are dealt by weeks; its few weeks are dealt again by brand, as a supplier's lines are from the start."""
-    lines = landed(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.when(F.col("l_discount") < 0.05, 1).otherwise(0).alias("up"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("down"), (F.col("l_linestatus") == "F").alias("filled"), F.col("l_shipdate").cast("date").alias("day")
-    )
-    parts = landed(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("code"))
-    industries = _weeks(lines.join(parts, "l_partkey").withColumn("kind", F.lit("industry")), "code", "date").repartition("code")
-    concepts = _weeks(lines.withColumn("code", F.col("l_suppkey").cast("string")).withColumn("kind", F.lit("concept")), "code")
-    return industries.unionByName(concepts).withColumn("data_source", F.lit("lines"))
+    Lines are dealt twice, by part, where they meet its brand, and by supplier. A brand's lines are summed where its parts lie, so that only sums of weeks are dealt by brand."""
+    lines, parts = landed(spark, sf_dir, "lineitem"), landed(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("code")).filter("code is not null")
+    branded = _lean(lines, "l_partkey").repartition("l_partkey").join(parts, "l_partkey").withColumn("kind", F.lit("industry"))
+    supplied = _lean(lines.filter("l_suppkey is not null"), F.col("l_suppkey").cast("string").alias("code"), "l_partkey").repartition("code").withColumn("kind", F.lit("concept"))
+    return _weeks(branded).repartition("code").unionByName(_weeks(supplied)).withColumn("data_source", F.lit("lines"))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
