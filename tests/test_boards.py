@@ -52,6 +52,30 @@ def test_ranks_made_of_places_are_the_ranks(spark):
     assert scoring.replaced(found, ["x"]).filter("not (rank_x <=> want)").count() == 0
 
 
+def test_labels_by_bits_are_those_of_the_rules(spark):
+    """The bits travel for the second pass, so they must say of every row, unknown figures included, what the rules' own columns say."""
+    from itertools import islice, product
+
+    names = ["mainline_score", "confirmation_score", "ignition_score", "ignition_history_coverage", "slope_3d", "acceleration", "slope_5d", "ret_5d", "ret_10d", "breadth", "crowding_penalty"]
+    values = [(59.9, 60.0, 62.0, 65.0, 68.0, 80.0), (64.9, 65.0, 75.0), (59.9, 60.0, 72.0), (0.39, 0.4), (-1.0, 0.0, 1.0, None), (-1.0, 1.0, None), (0.0, 1.0, None), (7.9, 8.0, None), (0.0, 1.0, 18.0, None), (0.44, 0.45, None), (0.0, 8.0)]
+    rows = list(islice(product(*values), 0, None, 487))
+
+    def rules(x):
+        less, more = (lambda a, b: a is not None and a < b), (lambda a, b: a is not None and a > b)
+        main = more(x["slope_5d"], 0) and more(x["ret_10d"], 0) and (0.5 if x["breadth"] is None else x["breadth"]) >= 0.45
+        candidate = more(x["slope_3d"], 0) and more(x["acceleration"], 0) and less(x["ret_10d"], 18)
+        moving, m, i, c = less(x["ret_5d"], 8) and x["ignition_history_coverage"] >= 0.4, x["mainline_score"], x["ignition_score"], x["confirmation_score"]
+        status = [n for ok, n in ((m >= 80 and main, "mainline_core"), (m >= 68 and main, "mainline_watch"), (c >= 75 and candidate, "potential_start"), (c >= 65 and candidate, "watch"), (True, "ordinary")) if ok][0]
+        falling = m >= 60 and less(x["slope_3d"], 0) and less(x["acceleration"], 0)
+        stages = ((falling, "Decay"), (x["crowding_penalty"] >= 8 and m >= 65, "Crowded"), (m >= 80 and main, "Mainline"), (i >= 72 and moving, "Ignition"), (i >= 60 and moving, "Seed"), (m >= 62 and main, "Diffusion"), (True, "Dormant"))
+        return status, [n for ok, n in stages if ok][0]
+
+    table = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).withColumn("standing", scoring.standing())
+    got = scoring.labelled(table.select("standing", "ignition_score", "ignition_history_coverage", *[F.col(n).alias(f"_{n}") for n in names])).collect()
+    assert len({r.lifecycle for r in got}) == 7 and len({r.status for r in got}) == 5
+    assert [(r.status, r.lifecycle) for r in got] == [rules({n: r[f"_{n}"] for n in names}) for r in got]
+
+
 def test_weeks_of_odd_lines(spark, tmp_path):
     """A part of two brands counts in both, a part met twice in a week once; a week opens on its first day with lines; lines without day, brand or supplier are left out of what needs them."""
     from tidegauge.sources import adapters
